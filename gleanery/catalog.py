@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.operators import lookups, stores, tags
 from gleanery.operators import pages as P
 from gleanery.plans.flagship import site_report
 from gleanery.sources.readers import read_captures, table
@@ -51,3 +52,162 @@ def _p3(spark, d):
 @query("p4_text_gate")
 def _p4(spark, d):
     return P.text_gate(table(spark, d, "pages"))
+
+
+# --- saved records, queues and lookups over the event table -----------------
+# An event is a save operation: its key is a user and the number in its props.
+
+
+def saves_of(spark, d):
+    """Events as save operations: ``id, source, ts`` and what kind they are."""
+    number = F.regexp_extract("props", r'"k": *(\d+)', 1)
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), number).alias("source"),
+        "ts",
+        "user_id",
+        "event_type",
+        "value",
+    )
+
+
+def index_of(spark, d):
+    """Records saved before the batch: the newest sign-up per key."""
+    saved = saves_of(spark, d).where("event_type = 'signup'")
+    entries = saved.select("source", F.col("ts").alias("saved_at"), "id", F.col("event_type").alias("title"))
+    return stores.latest_per_source(entries)
+
+
+def captures_of(spark, d):
+    """The batch: every other event; purchases are snapshots, errors quotes."""
+    return saves_of(spark, d).where("event_type <> 'signup'").select(
+        "id",
+        "source",
+        "ts",
+        (F.col("event_type") == "purchase").alias("snapshot"),
+        (F.col("event_type") == "error").alias("quote"),
+        F.when(F.col("value") < 2, "fallback").otherwise("full").alias("extract"),
+    )
+
+
+def day(column="ts"):
+    return F.date_trunc("day", F.col(column))
+
+
+@query("j1_saved_lookup")
+def _j1(spark, d):
+    index = index_of(spark, d).select("source", F.col("id").alias("saved_id"))
+    return lookups.saved_lookup(captures_of(spark, d), index, day())
+
+
+@query("j2_new_captures")
+def _j2a(spark, d):
+    return lookups.new_captures(captures_of(spark, d), index_of(spark, d)).select("id", "source")
+
+
+@query("j2_known_captures")
+def _j2b(spark, d):
+    return lookups.known_captures(captures_of(spark, d), index_of(spark, d)).select("id", "source")
+
+
+@query("j12_take_within_ttl")
+def _j12(spark, d):
+    # the table has one event per user and hour or so: a two-hour lifetime
+    events = table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), "event_type")
+    requests = events.where("event_type = 'click'").drop("event_type")
+    opens = events.where("event_type = 'view'").drop("event_type")
+    return lookups.take_within_ttl(requests, opens, day(), ttl=7200)
+
+
+@query("w1_latest_per_source")
+def _w1(spark, d):
+    saves = saves_of(spark, d).select("source", F.col("ts").alias("saved_at"), "id", F.col("event_type").alias("title"), "value")
+    patches = saves_of(spark, d).where("event_type = 'error'").select(
+        "source", "id", F.col("ts").alias("patched_at"), F.lit("patched").alias("title")
+    )
+    return stores.latest_per_source(saves, patches)
+
+
+@query("w5_retain_last")
+def _w5(spark, d):
+    ops = saves_of(spark, d).select("user_id", "source", "ts", "id")
+    return stores.retain_last(ops, "user_id", "source", ["ts", "id"], stores.LIMITS["pending"])
+
+
+@query("t2_recent_clips")
+def _t2(spark, d):
+    return stores.recent_clips(index_of(spark, d))
+
+
+@query("t3_pending_head")
+def _t3(spark, d):
+    return stores.pending_head(saves_of(spark, d).where("event_type = 'error'").select("id", "source", "ts"))
+
+
+@query("u1_locate_clips")
+def _u1(spark, d):
+    saves = saves_of(spark, d)
+
+    def store(kind, label):
+        newest = saves.where(F.col("event_type") == kind).groupBy(F.col("source").alias("id")).agg(F.max("ts").alias("saved_at"))
+        return newest.select("id", F.lit(label).alias("found_in"), "saved_at")
+
+    ids = saves.where("value > 20").select(F.col("source").alias("id"))
+    found = stores.locate_clips(ids, store("view", "recent"), store("error", "quotes"), store("click", "ops"), store("signup", "index"))
+    return found.select("id", "found_in", "saved_at")
+
+
+def queue_and_outcomes(spark, d):
+    saves = saves_of(spark, d)
+    state = (
+        F.when(F.col("event_type") == "purchase", "saved")
+        .when(F.col("event_type") == "view", "fallback")
+        .when(F.col("event_type") == "click", "duplicate")
+        .otherwise("failed")
+    )
+    return saves.select("user_id", "event_type"), saves.where("value >= 5").select("user_id", "event_type", state.alias("state"))
+
+
+@query("u2_pending_minus_done")
+def _u2(spark, d):
+    return stores.pending_minus_done(*queue_and_outcomes(spark, d))
+
+
+@query("a8_outcome_counts")
+def _a8(spark, d):
+    return stores.outcome_counts(queue_and_outcomes(spark, d)[1])
+
+
+@query("u3_id_overlap")
+def _u3(spark, d):
+    # pages whose own links name the number the page address ends in
+    pages = table(spark, d, "pages").select(
+        "page_id", F.regexp_extract("url", r"/(\d+)(?:\.html|/)?(?:[?#].*)?$", 1).alias("wanted"),
+        F.regexp_extract_all("html", F.lit(r"\b(\d+)\b"), 1).alias("found"),
+    )
+    return stores.id_overlap(pages, F.col("wanted"), F.col("found")).select("page_id", "wanted")
+
+
+@query("a1_tag_counts")
+def _a1(spark, d):
+    clips = table(spark, d, "part").select(F.split("p_name", " ").alias("tags"))
+    return tags.tag_counts(clips, limit=None)
+
+
+@query("a1_tag_counts_prefix")
+def _a1p(spark, d):
+    clips = table(spark, d, "part").select(F.split("p_name", " ").alias("tags"))
+    return tags.tag_counts(clips, prefix="s", limit=8)
+
+
+@query("t1_top_tags")
+def _t1(spark, d):
+    clips = table(spark, d, "part").select(F.split("p_name", " ").alias("tags"))
+    return tags.top_tags(tags.tag_counts(clips, limit=None))
+
+
+@query("a6_distinct_tags")
+def _a6(spark, d):
+    parts = table(spark, d, "part")
+    padded = F.array(F.concat(F.lit(" "), F.col("p_type"), F.lit(" ")), F.col("p_brand"), F.lit(" "), F.lower("p_type"), F.col("p_type"))
+    return tags.distinct_tags(parts.select(F.col("p_partkey").alias("id"), F.concat(padded, F.split("p_name", " ")).alias("tags")))
