@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.operators import lookups, stores, tags
+from gleanery import derive
+from gleanery.operators import chunks, documents, images, lookups, media, routing, sites, stores, tags
 from gleanery.operators import pages as P
 from gleanery.plans.flagship import site_report
 from gleanery.sources.readers import read_captures, table
@@ -180,10 +181,10 @@ def _a8(spark, d):
 
 @query("u3_id_overlap")
 def _u3(spark, d):
-    # pages whose own links name the number the page address ends in
+    # the language in the address against the languages the page declares
     pages = table(spark, d, "pages").select(
-        "page_id", F.regexp_extract("url", r"/(\d+)(?:\.html|/)?(?:[?#].*)?$", 1).alias("wanted"),
-        F.regexp_extract_all("html", F.lit(r"\b(\d+)\b"), 1).alias("found"),
+        "page_id", F.regexp_extract("url", "/([a-z]{2})/", 1).alias("wanted"),
+        F.regexp_extract_all("html", F.lit('lang="([a-z]+)"'), 1).alias("found"),
     )
     return stores.id_overlap(pages, F.col("wanted"), F.col("found")).select("page_id", "wanted")
 
@@ -211,3 +212,135 @@ def _a6(spark, d):
     parts = table(spark, d, "part")
     padded = F.array(F.concat(F.lit(" "), F.col("p_type"), F.lit(" ")), F.col("p_brand"), F.lit(" "), F.lower("p_type"), F.col("p_type"))
     return tags.distinct_tags(parts.select(F.col("p_partkey").alias("id"), F.concat(padded, F.split("p_name", " ")).alias("tags")))
+
+
+# --- routing, media, sites ---------------------------------------------------
+
+
+@query("p5_classify_captures")
+def _p5(spark, d):
+    k = F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int")
+    kind = (
+        F.when(F.col("event_type") == "click", "link").when(F.col("event_type") == "signup", "media")
+        .when(F.col("event_type") == "error", "quote").when(F.col("event_type") == "purchase", "stream").otherwise("page")
+    )
+    rich = F.col("value") > 3
+    captures = table(spark, d, "events").select(
+        F.col("event_id").alias("id"),
+        kind.alias("kind"),
+        F.when(F.col("value") > 1, F.lit("text")).alias("markdown"),
+        (F.col("value") > 5).alias("fetched"),
+        F.when(k < 50, F.struct(F.when(k < 20, F.struct(F.lit(True).alias("limit"))).alias("partial"))).alias("x"),
+        F.when(rich, F.struct(F.lit("image").alias("kind"))).alias("media"),
+        F.when(rich, F.struct(F.lit("x").alias("platform"))).alias("stream"),
+        F.when(rich, F.struct(F.lit("q").alias("markdown"))).alias("quote"),
+    )
+    return routing.classify_captures(captures).select("id", "kind", "medium", "extract")
+
+
+@query("p6_route_pages")
+def _p6a(spark, d):
+    links = derive.platform_links(spark, d)
+    typed = F.when(F.col("pos") == 0, "application/pdf").when(F.col("pos") == 3, "text/html; charset=utf-8").otherwise("")
+    return routing.route_pages(links.select((F.col("page_id") * 100 + F.col("pos")).alias("id"), "url", typed.alias("content_type")))
+
+
+@query("p6_route_items")
+def _p6b(spark, d):
+    links = derive.platform_links(spark, d)
+    kind = F.when(F.col("page_id") < F.col("pos") * 20, "image").when(F.col("pos") < 5, "audio").otherwise("video")
+    src = F.when(F.length("url") < 45, F.col("url")).when(F.length("url") < 50, F.lit("blob:x")).otherwise(F.lit(""))
+    items = links.select(
+        (F.col("page_id") * 100 + F.col("pos")).alias("id"), kind.alias("kind"), src.alias("src"), F.col("url").alias("page_url"),
+        F.concat(F.lit("https://youtu.be/"), F.substring(F.md5("url"), 1, 11)).alias("frame_url"),
+    )
+    return routing.route_items(items)
+
+
+@query("p7_stream_links")
+def _p7(spark, d):
+    return routing.stream_links(derive.platform_links(spark, d)).drop("url")
+
+
+@query("p9_direct_or_stream")
+def _p9(spark, d):
+    return media.direct_or_stream(derive.media_items(spark, d))
+
+
+@query("j3_media_kinds")
+def _j3(spark, d):
+    return media.media_kinds(derive.media_items(spark, d))
+
+
+@query("j4_image_types")
+def _j4(spark, d):
+    return media.image_types(derive.media_items(spark, d))
+
+
+@query("j5_same_site_links")
+def _j5(spark, d):
+    return sites.same_site_links(derive.neighbour_links(spark, d), sites.default_suffixes(spark))
+
+
+@query("a7_distinct_media")
+def _a7(spark, d):
+    return media.distinct_media(derive.inline_media(spark, d))
+
+
+# --- images, documents, chunks ----------------------------------------------
+
+
+@query("w2_plan_images")
+def _w2(spark, d):
+    return images.plan_images(derive.image_documents(spark, d))
+
+
+def downloads_of(docs):
+    """The plan as if every address of an even length had been fetched."""
+    plan = images.plan_images(docs)
+    return plan.withColumn("ext", F.when(F.length("url") % 2 == 0, "png"))
+
+
+@query("j7_rewrite_images")
+def _j7(spark, d):
+    docs = derive.image_documents(spark, d)
+    return images.rewrite_images(docs, downloads_of(docs))
+
+
+@query("a4_image_stats")
+def _a4(spark, d):
+    lines = table(spark, d, "lineitem")
+    return media.image_stats(lines.select(F.col("l_orderkey").alias("id"), (F.col("l_returnflag") != "R").alias("saved")))
+
+
+@query("w7_admit_by_budget")
+def _w7(spark, d):
+    # several lines of an order may carry one number: position is number and part
+    items = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("record"),
+        (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("pos"),
+        F.col("l_quantity").alias("size"),
+    )
+    return images.admit_by_budget(items, per_item=45, total=100)
+
+
+@query("p10_clip_documents")
+def _p10(spark, d):
+    return documents.clip_documents(derive.stored_documents(spark, d))
+
+
+@query("p11_plain_text")
+def _p11(spark, d):
+    return documents.plain_texts(table(spark, d, "documents"))
+
+
+@query("x1_chunk_documents")
+def _x1(spark, d):
+    return chunks.chunk_documents(table(spark, d, "documents"))
+
+
+@query("x2_join_chunks")
+def _x2(spark, d):
+    docs = table(spark, d, "documents")
+    cut = docs.select("doc_id", "lang", F.posexplode(chunks.pieces_of(F.col("text"))).alias("chunk_no", "text"))
+    return chunks.join_chunks(cut, F.when(F.col("lang") == "de", "ja").otherwise(F.col("lang")))

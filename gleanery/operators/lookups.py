@@ -80,7 +80,7 @@ def take_within_ttl(requests: DataFrame, opens: DataFrame, block: Column, ttl: i
         opens.select("key", "ts", "id", F.lit(1).alias("is_open"))
     )
     followed = next_row(both, ["key"], ["ts", "is_open", "id"], block, F.struct("ts", "is_open", "id"), "next")
-    late = F.unix_micros("next.ts") - F.unix_micros("ts") > ttl * 1_000_000
+    late = F.unix_micros(F.col("next.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > ttl * 1_000_000
     status = (
         F.when(F.col("next").isNull(), "waiting")
         .when(F.col("next.is_open") == 0, "overwritten")

@@ -41,7 +41,7 @@ SELECT id, CASE p WHEN 0 THEN 'recent' WHEN 1 THEN 'quotes' WHEN 2 THEN 'ops' EL
     "u2_pending_minus_done": f"""SELECT user_id, event_type FROM events EXCEPT ALL
 SELECT user_id, event_type FROM events WHERE value >= 5 AND {STATE} <> 'failed'""",
     "a8_outcome_counts": f"SELECT {STATE} AS state, count(*) AS n FROM events WHERE value >= 5 GROUP BY 1",
-    "u3_id_overlap": r"""WITH p AS (SELECT page_id, regexp_extract(url, '/(\d+)(?:\.html|/)?(?:[?#].*)?$', 1) AS wanted, regexp_extract_all(html, '\b(\d+)\b', 1) AS found FROM pages)
+    "u3_id_overlap": """WITH p AS (SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS wanted, regexp_extract_all(html, 'lang="([a-z]+)"', 1) AS found FROM pages)
 SELECT page_id, wanted FROM p WHERE list_contains(found, wanted)""",
     "a1_tag_counts": "SELECT tag, count(*) AS count FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY 1",
     "a1_tag_counts_prefix": "SELECT tag, count(*) AS count FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) WHERE starts_with(tag, 's') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8",
