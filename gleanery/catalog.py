@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import derive
-from gleanery.operators import chunks, documents, images, lookups, media, routing, sites, stores, tags
+from gleanery.operators import chunks, documents, edits, images, lookups, media, quotes, routing, sites, stores, tags, threads
 from gleanery.operators import pages as P
+from gleanery.operators.merge import thread_merge
 from gleanery.plans.flagship import site_report
 from gleanery.sources.readers import read_captures, table
 
@@ -344,3 +345,92 @@ def _x2(spark, d):
     docs = table(spark, d, "documents")
     cut = docs.select("doc_id", "lang", F.posexplode(chunks.pieces_of(F.col("text"))).alias("chunk_no", "text"))
     return chunks.join_chunks(cut, F.when(F.col("lang") == "de", "ja").otherwise(F.col("lang")))
+
+
+# --- threads, quotes, edits --------------------------------------------------
+
+
+@query("w3_thread_ranges")
+def _w3(spark, d):
+    return threads.thread_ranges(derive.posts(spark, d), derive.focal_posts(spark, d))
+
+
+@query("a3_thread_documents")
+def _a3(spark, d):
+    return threads.thread_documents(derive.posts(spark, d), derive.focal_posts(spark, d))
+
+
+@query("j6_resolve_short_links")
+def _j6(spark, d):
+    return threads.resolve_short_links(*derive.link_parts(spark, d))
+
+
+@query("p12_post_videos")
+def _p12(spark, d):
+    asked = derive.posts(spark, d).withColumns({"page_url": F.concat("url", F.lit("/video/7")), "in_quote": F.col("quote").isNotNull()})
+    return threads.post_videos(asked)
+
+
+@query("w6_thread_merge")
+def _w6(spark, d):
+    return thread_merge(derive.snapshots(spark, d))
+
+
+@query("w4_quote_anchors")
+def _w4(spark, d):
+    return quotes.quote_anchors(derive.quotes(spark, d)).select("id", "anchor")
+
+
+@query("a2_collect_quotes")
+def _a2(spark, d):
+    return quotes.collect_quotes(derive.quotes(spark, d))
+
+
+@query("a2_quote_notes")
+def _a2n(spark, d):
+    # a note under each anchor line: write it, then read it back
+    q = quotes.quote_anchors(derive.quotes(spark, d))
+    doc = F.concat(quotes.entry_text(F.col("markdown"), F.col("anchor")), F.lit("\n\n> next\n\nnext anchor\n"))
+    written = quotes.replace_quote_notes(q.select("id", doc.alias("document"), "anchor", F.col("title").alias("note")))
+    return quotes.quote_notes(written.select("id", "document", "anchor"))
+
+
+@query("j11_quote_targets")
+def _j11(spark, d):
+    q = derive.quotes(spark, d).select("id", "source")
+    pages = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    source = F.concat(F.lit("https://q.example.com/"), F.col("conv_id").cast("string"))
+    index = pages.where("n > 1").select(source.alias("source"), F.concat(F.lit("Quotes "), F.col("conv_id").cast("string"), F.lit(".md")).alias("file"), F.col("conv_id").alias("file_id"))
+    files = pages.where("n > 2").select(
+        F.concat(F.lit("QUOTES "), F.col("conv_id").cast("string"), F.lit(".md")).alias("file"),
+        F.when(F.col("n") == 3, -1).otherwise(F.col("conv_id")).alias("id"),
+    )
+    return quotes.quote_targets(q, index, files)
+
+
+@query("j8_apply_edits")
+def _j8(spark, d):
+    return edits.apply_edits(derive.clip_records(spark, d), derive.clip_edits(spark, d))
+
+
+@query("j9_merge_edits")
+def _j9(spark, d):
+    base = derive.clip_records(spark, d).select("id", "title", "tags", "note")
+    incoming = base.withColumns({"note": F.lit("incoming"), "title": F.concat(F.lit("In "), F.col("id"))})
+    change = derive.clip_edits(spark, d).select("id", *[F.col(c).alias(f"_{c}") for c in ("title", "tags", "note")])
+    local = base.join(change, "id").select("id", *[F.coalesce(f"_{c}", c).alias(c) for c in ("title", "tags", "note")])
+    return edits.merge_edits(base, local, incoming)
+
+
+@query("j10_reconcile_library")
+def _j10(spark, d):
+    docs = table(spark, d, "documents")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    index = docs.where("lang <> 'es'").select(path.alias("path"), F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.array("lang", "source").alias("tags"))
+    files = docs.where("n_chars > 500").select(
+        path.alias("path"),
+        F.when(F.col("n_chars") < 700, -1).otherwise(F.col("doc_id")).alias("id"),
+        F.when(F.col("n_chars") < 1500, "renamed").otherwise(F.col("lang")).alias("title"),
+        F.when(F.col("n_chars") > 5000, F.array("source", "lang")).otherwise(F.array("lang", "source")).alias("tags"),
+    )
+    return edits.reconcile_library(index, files)

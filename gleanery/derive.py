@@ -133,3 +133,136 @@ def inline_media(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), F.explode(forms).alias("url"))
 
 
+
+
+# --- posts, quotes, records --------------------------------------------------
+
+
+def posts(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as posts of a thread; long turns are by its author."""
+    size = F.length("text")
+    post_id = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
+    handle = F.when(size < 150, "other").when(F.col("turn") % 2 == 0, "AUTHOR").otherwise("author")
+    url = F.concat(F.lit("https://x.com/author/status/"), post_id)
+    empty = F.lit("")
+    photo = F.struct(
+        F.lit("photo").alias("kind"), F.concat(F.lit("https://p.example/"), post_id, F.lit("(1).jpg")).alias("url"), empty.alias("poster"),
+        F.lit(None).cast("bigint").alias("duration_ms"), empty.alias("href"),
+    )
+    video = F.struct(
+        F.lit("video").alias("kind"), empty.alias("url"), F.concat(F.lit("https://p.example/"), post_id, F.lit(".png")).alias("poster"),
+        (size * 1000 + 999).cast("bigint").alias("duration_ms"), F.concat(url, F.lit("/video/1")).alias("href"),
+    )
+    media = F.filter(F.array(F.when(size % 2 == 0, photo), F.when(size % 5 == 0, video)), lambda m: m.isNotNull())
+    quote = F.struct(
+        F.lit("Some *One*").alias("name"), F.lit("one").alias("handle"), F.lit("2024-05-06T07:08:09.000Z").alias("datetime"),
+        F.concat(F.lit("https://x.com/one/status/9"), post_id).alias("url"), F.lit("quoted\n\ntext").alias("text_md"),
+        F.array(video).alias("media"), (size % 3 == 0).alias("truncated"),
+    )
+    return table(spark, d, "conversations").select(
+        F.col("conv_id").cast("string").alias("thread_id"),
+        F.col("turn").cast("int").alias("pos"),
+        post_id.alias("id"),
+        handle.alias("handle"),
+        F.initcap("role").alias("name"),
+        F.lit("2024-01-02T03:04:05.000Z").alias("datetime"),
+        url.alias("url"),
+        F.col("text").alias("text_md"),
+        (size % 7 == 0).alias("truncated"),
+        (size % 4 == 0).alias("break_before"),
+        media.alias("media"),
+        F.when(size % 11 == 0, quote).alias("quote"),
+        F.when(size % 13 == 0, F.struct(F.lit("https://c.example/").alias("url"), F.lit("A [card]").alias("label"))).alias("card"),
+    )
+
+
+def focal_posts(spark: SparkSession, d: str) -> DataFrame:
+    """The first post of the author in each thread."""
+    mine = posts(spark, d).where("lower(handle) = 'author'")
+    return mine.groupBy("thread_id").agg(F.min_by("id", "pos").alias("focal_id"))
+
+
+def link_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as text and link parts, and the map of their short links."""
+    turns = table(spark, d, "conversations")
+    short = F.concat(F.lit("https://t.co/"), F.substring(F.md5("text"), 1, 8))
+    role = F.col("role")
+    shown = F.when(role == "system", F.concat(F.lit("https://sys.example.com/"), F.col("turn").cast("string"), F.lit("…"))).otherwise("shown text")
+
+    def part(text: Column | None, href: Column | None = None, visible: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(
+            (none if text is None else text).alias("text"), (none if href is None else href).alias("href"),
+            (none if visible is None else visible).alias("visible"),
+        )
+
+    parts = F.array(
+        part(F.concat(F.get(F.split("text", r"\."), F.lit(0)), F.lit(" "))),
+        part(None, short, shown),
+        part(F.lit(" ")),
+        part(None, F.concat(F.lit("/"), role), F.concat(F.lit("@"), role)),
+        part(F.lit(" ")),
+        part(None, F.concat(F.lit("/hashtag/"), role, F.lit("?src=x")), F.concat(F.lit("#"), role)),
+    )
+    made = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("post_id"), parts.alias("parts"))
+    target = F.concat(F.lit("https://example.com/a/("), F.col("conv_id").cast("string"), F.lit(")"))
+    links = turns.where(role == "assistant").select(short.alias("short"), target.alias("url")).groupBy("short").agg(F.min("url").alias("url"))
+    return made, links
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Three turns per snapshot, one further each time; half the lists scroll up."""
+    turns = table(spark, d, "conversations")
+    start = F.explode(F.sequence(F.col("turn") - 2, F.col("turn")))
+    spread = turns.select("conv_id", "turn", "role", F.length("text").alias("size"), start.alias("start"))
+    number = F.when(F.col("conv_id") % 2 == 0, F.col("start") + 10).otherwise(F.lit(1000) - F.col("start"))
+    base = spread.select(F.col("conv_id").cast("string").alias("list_id"), number.cast("int").alias("snapshot_no"), "turn", "role", "size")
+    post = base.select(
+        "list_id", "snapshot_no", (F.col("turn") * 2 + 1).cast("int").alias("pos"), F.lit("post").alias("kind"),
+        F.col("turn").cast("string").alias("id"), F.col("role").alias("handle"),
+    )
+    gap = base.where("size % 4 = 0").select(
+        "list_id", "snapshot_no", (F.col("turn") * 2).cast("int").alias("pos"), F.lit("separator").alias("kind"),
+        F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("handle"),
+    )
+    return post.unionByName(gap)
+
+
+def quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as quotes of a page; two or more share a minute and a link."""
+    source = F.concat(F.lit("https://q.example.com/"), F.col("conv_id").cast("string"))
+    seconds = F.lit(1704067200) + F.col("conv_id") * 3600 + F.floor(F.col("turn") / 3) * 60 + F.col("turn") % 3
+    link = F.when(F.col("role") == "user", F.concat(source, F.lit("#:~:text=a%20(b)"))).otherwise(source)
+    return table(spark, d, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        source.alias("source"),
+        F.concat(F.lit("Page  "), F.col("conv_id").cast("string")).alias("title"),
+        F.timestamp_seconds(seconds).alias("ts"),
+        link.alias("link"),
+        F.col("text").alias("markdown"),
+    )
+
+
+def clip_records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as stored records; some files carry another id."""
+    number = F.col("doc_id").cast("string")
+    return table(spark, d, "documents").select(
+        number.alias("id"),
+        F.when(F.col("n_chars") % 10 == 0, "other").otherwise(number).alias("file_id"),
+        F.when(F.col("lang") == "de", F.concat(number, F.lit(".jpg"))).otherwise(F.concat(F.lit("edited "), number, F.lit(".md"))).alias("file"),
+        F.when(F.col("lang") == "de", "image").otherwise("web").alias("medium"),
+        F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
+        F.array("lang", "source").alias("tags"),
+        F.lit("").alias("note"),
+    )
+
+
+def clip_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as edits; what a label does not say is not edited."""
+    number = F.col("doc_id").cast("string")
+    return table(spark, d, "labels").select(
+        number.alias("id"),
+        F.when(F.col("quality") == 1, F.when(F.col("doc_id") < 300, F.concat(F.lit("Edited "), number)).otherwise(F.concat(F.lit("New: "), number))).alias("title"),
+        F.when(F.col("toxic") == 1, F.array(F.lit("toxic"), F.col("quality").cast("string"))).alias("tags"),
+        F.when(F.col("quality") == 0, "").otherwise("checked").alias("note"),
+    )

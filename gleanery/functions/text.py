@@ -74,23 +74,23 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     return F.get(F.regexp_extract_all(c, F.lit(pattern), group), F.lit(0))
 
 
-def json_scalar(c: Column) -> Column:
-    """A JSON string literal of a text column, without Python."""
-    quoted = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]\z", "")
-    for bad in _JSON_EXTRA:
-        quoted = F.replace(quoted, F.lit(chr(bad)), F.lit(f"\\u{bad:04x}"))
-    return quoted
+# Characters JSON leaves bare but YAML does not accept bare:
+# DEL and C1, line and paragraph separators, byte-order mark, two non-characters.
+_YAML_EXTRA = r"\x7F-\x{009F}\x{2028}\x{2029}\x{FEFF}\x{FFFE}\x{FFFF}"
 
 
-# Characters that JSON leaves bare but YAML does not accept bare:
-# DEL and C1, line and paragraph separators, byte-order mark, the two non-characters.
-_JSON_EXTRA = [*range(0x7F, 0xA0), 0x2028, 0x2029, 0xFEFF, 0xFFFE, 0xFFFF]
+def yaml_string(c: Column) -> Column:
+    """Double-quoted scalar of the document header: a JSON string literal."""
 
+    def escape(p: Column) -> Column:
+        code = F.lower(F.hex(F.encode(p, "UTF-16BE")))
+        return F.when(p.rlike(f"^[{_YAML_EXTRA}]"), F.concat(F.lit("\\u"), code)).otherwise(p)
 
-def yaml_string(c: Column) -> Column:
-    """Double-quoted scalar of the document header."""
-    plain = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]\z", "")
-    return F.when(c.rlike(r"[\x7F-\x{009F}\x{2028}\x{2029}\x{FEFF}\x{FFFE}\x{FFFF}]"), json_scalar(c)).otherwise(plain)
+    def finish(q: Column) -> Column:
+        pieces = F.regexp_extract_all(q, F.lit(f"([{_YAML_EXTRA}]|[^{_YAML_EXTRA}]+)"), 1)
+        return F.when(q.rlike(f"[{_YAML_EXTRA}]"), F.array_join(F.transform(pieces, escape), "")).otherwise(q)
+
+    return let(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]\z", ""), finish)
 
 
 def yaml_tags(tags: Column) -> Column:

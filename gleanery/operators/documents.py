@@ -43,22 +43,26 @@ PLATFORM_LABELS = {
 }
 
 
-def header(stream: bool = False) -> Column:
-    """The block between ``---`` lines, keys in fixed order."""
-    values = {
-        **{k: yaml_string(F.coalesce(F.col(k), F.lit(""))) for k in HEADER_KEYS if k not in ("captured", "site", "tags", "published")},
-        "published": yaml_string(normalize_published(F.coalesce(F.col("published"), F.lit("")))),
-        "captured": yaml_string(iso_timestamp(F.col("captured"))),
-        "site": yaml_string(U.site_of(F.col("source"))),
-        "tags": yaml_tags(F.col("tags")),
-    }
-    keys = list(HEADER_KEYS)
-    if stream:
-        keys += STREAM_KEYS
-        values |= {k: yaml_string(F.coalesce(F.col(k), F.lit(""))) for k in STREAM_KEYS if k != "duration"}
-        values["duration"] = F.coalesce(F.floor(F.col("duration") + 0.5).cast("bigint").cast("string"), F.lit("null"))
-    lines = [F.concat(F.lit(f"{k}: "), values[k]) for k in keys]
-    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
+def header_lines() -> Column:
+    """The keyed lines every document shares, keys in fixed order."""
+    plain = {k: F.coalesce(F.col(k), F.lit("")) for k in HEADER_KEYS if k not in ("captured", "site", "tags", "published")}
+    plain["published"] = normalize_published(F.coalesce(F.col("published"), F.lit("")))
+    plain["captured"] = iso_timestamp(F.col("captured"))
+    plain["site"] = U.site_of(F.col("source"))
+    values = {**{k: yaml_string(v) for k, v in plain.items()}, "tags": yaml_tags(F.col("tags"))}
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), values[k]) for k in HEADER_KEYS])
+
+
+def stream_lines() -> Column:
+    """The five further lines of a stream."""
+    values = {k: yaml_string(F.coalesce(F.col(k), F.lit(""))) for k in STREAM_KEYS if k != "duration"}
+    values["duration"] = F.coalesce(F.floor(F.col("duration") + 0.5).cast("bigint").cast("string"), F.lit("null"))
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), values[k]) for k in STREAM_KEYS])
+
+
+def header() -> Column:
+    """The block between ``---`` lines, from the staged lines."""
+    return F.concat(F.lit("---\n"), F.col("_lines"), F.lit("\n---\n"))
 
 
 def _assemble(head: Column, parts: list[Column]) -> Column:
@@ -113,7 +117,7 @@ def stream() -> Column:
         from_page,
         F.when(text == "-", "").otherwise(text),
     ]
-    return _assemble(header(stream=True), parts)
+    return _assemble(header(), parts)
 
 
 def quote() -> Column:
@@ -138,13 +142,16 @@ def clip_documents(clips: DataFrame) -> DataFrame:
         if name not in filled.columns:
             filled = filled.withColumn(name, F.lit(None).cast(kind))
     medium = F.col("medium")
+    shared = filled.withColumn("_lines", header_lines())
+    streamed = F.when(medium.isin("video", "audio"), F.concat(F.col("_lines"), F.lit("\n"), stream_lines()))
+    staged = shared.withColumn("_lines", F.coalesce(streamed, F.col("_lines")))
     document = (
         F.when(medium.isin("web", "x"), article(F.coalesce("heading", "title")))
         .when(medium == "link", bookmark())
         .when(medium.isin("video", "audio"), stream())
         .when(medium == "quote", quote())
     )
-    return filled.select("id", document.alias("document"))
+    return staged.select("id", document.alias("document"))
 
 
 def plain_texts(docs: DataFrame) -> DataFrame:

@@ -133,5 +133,6 @@ UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 2000""",
 }
 SQL["x2_join_chunks"] = (
     SQL["x1_chunk_documents"].replace("SELECT g.doc_id, g.chunk_no, string_agg", ", c AS (SELECT g.doc_id, g.chunk_no, string_agg", 1)
-    + rf") SELECT doc_id, string_agg(regexp_replace(c.text, '^{WS}+|{WS}+$', '', 'g'), CASE WHEN lang = 'de' THEN '' ELSE ' ' END ORDER BY chunk_no) AS text FROM c JOIN documents USING (doc_id) GROUP BY doc_id, lang"
+    + rf"), t AS (SELECT doc_id, chunk_no, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS t FROM c)"
+    + " SELECT doc_id, CASE WHEN lang = 'de' THEN string_agg(t, '' ORDER BY chunk_no) ELSE string_agg(t, ' ' ORDER BY chunk_no) END AS text FROM t JOIN documents USING (doc_id) GROUP BY doc_id, lang"
 )
