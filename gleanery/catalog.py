@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import derive
+from gleanery.functions.names import base_name
 from gleanery.operators import chunks, documents, edits, images, lookups, media, quotes, routing, sites, stores, tags, threads
 from gleanery.operators import pages as P
 from gleanery.operators.merge import thread_merge
+from gleanery.operators.names import unique_names
 from gleanery.plans.flagship import site_report
-from gleanery.sources.readers import read_captures, table
+from gleanery.session import scratch_path
+from gleanery.sources import writers
+from gleanery.sources.readers import parse_documents, parse_sidecars, read_captures, stream_captures, table
+from gleanery.streaming import jobs, stateful
+from gleanery.streaming.run import drain, event_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -434,3 +440,126 @@ def _j10(spark, d):
         F.when(F.col("n_chars") > 5000, F.array("source", "lang")).otherwise(F.array("lang", "source")).alias("tags"),
     )
     return edits.reconcile_library(index, files)
+
+
+# --- names, sinks, streams -----------------------------------------------------
+
+
+@query("w8_clean_names")
+def _w8a(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", base_name(F.col("text")).alias("base"))
+
+
+@query("w8_unique_names")
+def _w8b(spark, d):
+    parts = table(spark, d, "part")
+    clips = parts.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("seq"), base_name(F.col("p_name")).alias("base"))
+    taken = parts.where("p_size = 1").select(F.concat(F.upper("p_name"), F.lit(".md")).alias("file")).distinct()
+    return unique_names(clips, taken)
+
+
+@query("s4_write_clips")
+def _s4(spark, d):
+    records = derive.stored_documents(spark, d)
+    path = scratch_path(spark, "clips")
+    index = records.select("id", "source", "medium", "title", F.col("captured").alias("saved_at"), "tags")
+    body = documents.clip_documents(records).join(records.select("id", "medium"), "id")
+    writers.write_clips(path, "b1", None, body, index)
+    back = spark.read.parquet(f"{path}/documents").select("id", "medium", F.length("document").alias("size"))
+    return back.join(spark.read.parquet(f"{path}/index").select("id", "source", "tags"), "id")
+
+
+def sidecars_of(spark, d):
+    items = derive.media_items(spark, d)
+    text = {"file": "file_name", "source": "page_url", "media_url": "url", "medium": "kind", "mime": "content_type"}
+    columns = [F.col(v).alias(k) for k, v in text.items()]
+    return items.select(
+        F.col("id").cast("string").alias("id"), *columns, F.lit("Title").alias("title"), F.lit("cdn.example.com").alias("site"),
+        F.lit("2024-01-01T00:00:00.000Z").alias("captured"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.array("kind").alias("tags"), F.lit("").alias("note"),
+    )
+
+
+@query("s5_sidecar_json")
+def _s5(spark, d):
+    return writers.sidecar_json(sidecars_of(spark, d))
+
+
+@query("s3_read_sidecars")
+def _s3(spark, d):
+    path = scratch_path(spark, "sidecars")
+    lines = writers.sidecar_json(sidecars_of(spark, d))
+    lines.select("value").write.text(path)
+    return parse_sidecars(spark.read.text(path))
+
+
+@query("s2_read_clip_library")
+def _s2(spark, d):
+    stored = documents.clip_documents(derive.stored_documents(spark, d))
+    return parse_documents(stored.select(F.concat("id", F.lit(".md")).alias("path"), F.col("document").alias("value")))
+
+
+@query("s6_stream_captures")
+def _s6(spark, d):
+    return drain(stream_captures(spark, d).select("page_id", "url", "html", "kind"), "captures")
+
+
+@query("st1_stream_once")
+def _st1(spark, d):
+    events = event_stream(spark, d)
+    replayed = events.withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2)))).select(F.col("event_id").alias("op_id"), "ts", "event_type")
+    return drain(jobs.stream_once(replayed), "once")
+
+
+def keyed_events(spark, d):
+    return event_stream(spark, d).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), "event_type")
+
+
+@query("st2_stream_saved_index")
+def _st2(spark, d):
+    saves = event_stream(spark, d).select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), F.regexp_extract("props", r'"k": *(\d+)', 1)).alias("source"),
+        F.col("ts").alias("saved_at"), F.col("event_id").alias("id"), F.col("event_type").alias("title"),
+    )
+    return jobs.stream_saved_index(saves)
+
+
+@query("st3_stream_threads")
+def _st3(spark, d):
+    return drain(jobs.stream_threads(keyed_events(spark, d).select("key", "ts"), "6 hours", max_posts=3, max_time=36000), "threads")
+
+
+@query("st4_stream_pending_queue")
+def _st4(spark, d):
+    kind = F.when(F.col("event_type") == "purchase", "grant").when(F.col("event_type") == "error", "revoke").otherwise("push")
+    return drain(stateful.stream_pending_queue(keyed_events(spark, d).select("key", "id", "ts", kind.alias("kind"))), "pending")
+
+
+@query("st5_stream_throttle")
+def _st5(spark, d):
+    phase = F.when(F.col("event_type") == "purchase", "finished").otherwise("running")
+    # events are hours apart: an interval of six hours
+    updates = keyed_events(spark, d).select("key", "id", "ts", phase.alias("phase"))
+    return drain(stateful.stream_throttle(updates, 6 * 3600 * 1000), "throttle")
+
+
+@query("st6_stream_batches")
+def _st6(spark, d):
+    return drain(jobs.stream_batches(keyed_events(spark, d).select("key", "ts"), seconds=6 * 3600), "batches")
+
+
+@query("st7_stream_take")
+def _st7(spark, d):
+    def side(kind):
+        return keyed_events(spark, d).where(F.col("event_type") == kind).drop("event_type")
+
+    # a delay as long as the table, as its rows are not ordered by time
+    pairs = drain(jobs.stream_take(side("click"), side("view"), ttl=7200, delay="40 days"), "take")
+    return jobs.first_taken(pairs)
+
+
+@query("st8_stream_generation_guard")
+def _st8(spark, d):
+    generation = F.dayofmonth("ts") - F.when(F.col("event_type") == "error", 3).otherwise(0)
+    updates = keyed_events(spark, d).select("key", "id", "ts", generation.cast("bigint").alias("generation"))
+    return drain(stateful.stream_generation_guard(updates), "guard")
