@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import derive
+from gleanery.functions.engines import ReversingEngine
+from gleanery.functions.language import pick_target
 from gleanery.functions.names import base_name
-from gleanery.operators import chunks, documents, edits, images, lookups, media, quotes, routing, sites, stores, tags, threads
+from gleanery.operators import chunks, documents, edits, images, lookups, media, quotes, routing, sites, stores, tags, threads, translation, units, videos
 from gleanery.operators import pages as P
+from gleanery.operators import tables as html_tables
 from gleanery.operators.merge import thread_merge
 from gleanery.operators.names import unique_names
 from gleanery.plans.flagship import site_report
@@ -563,3 +566,95 @@ def _st8(spark, d):
     generation = F.dayofmonth("ts") - F.when(F.col("event_type") == "error", 3).otherwise(0)
     updates = keyed_events(spark, d).select("key", "id", "ts", generation.cast("bigint").alias("generation"))
     return drain(stateful.stream_generation_guard(updates), "guard")
+
+
+# --- units, translation --------------------------------------------------------
+
+
+@query("x3_document_units")
+def _x3(spark, d):
+    found = units.document_units(table(spark, d, "documents"))
+    return found.select("doc_id", "unit_no", "kind", "start", "end", F.size("source_lines").alias("lines"), "segments")
+
+
+def translated_units(spark, d):
+    found = units.document_units(table(spark, d, "documents"))
+    return found.withColumn("translations", F.transform("segments", F.reverse))
+
+
+@query("x4_interleave_translations")
+def _x4(spark, d):
+    # documents as they were: the translations go after their own units
+    return units.interleave_translations(table(spark, d, "documents").select("doc_id", "text"), translated_units(spark, d), F.lit("en"))
+
+
+def segment_lines(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "segment"))
+
+
+def translation_memory(spark, d):
+    known = segment_lines(spark, d).where("lang = 'en' AND trim(segment) <> ''")
+    return known.groupBy("segment").agg(F.reverse(F.first("segment")).alias("translation"))
+
+
+@query("j13_translate_segments")
+def _j13(spark, d):
+    lines = segment_lines(spark, d).select("doc_id", "line_no", "segment")
+    return translation.translate_segments(lines, translation_memory(spark, d))
+
+
+@query("a5_translation_status")
+def _a5(spark, d):
+    lines = translation.translate_segments(segment_lines(spark, d), translation_memory(spark, d))
+    counted = lines.groupBy("doc_id").agg(
+        F.first("lang").alias("source"), F.count("translated").alias("applied"), F.count("*").alias("total"),
+        F.when(F.count("*") > 3, "engine-failed").otherwise("needs-download").alias("error"),
+    )
+    return translation.translation_status(counted.withColumn("target", F.lit("es-MX")))
+
+
+@query("e1_with_engine")
+def _e1(spark, d):
+    lines = segment_lines(spark, d).select("doc_id", "line_no", F.col("lang").alias("source"), F.lit("en").alias("target"), "segment")
+    return translation.with_engine(lines, ReversingEngine)
+
+
+@query("x8_language_gate")
+def _x8(spark, d):
+    docs = table(spark, d, "documents")
+    sure = F.when(F.col("n_chars") < 500, 0.4).otherwise(0.9)
+    tag = F.when(F.col("lang") == "de", "zh-HK").when(F.col("lang") == "fr", "zh-Hans-CN").otherwise(F.concat("lang", F.lit("-XX")))
+    target = pick_target(F.when(F.col("doc_id") < 500, " ES ").otherwise(""), F.lit("auto"), F.col("n_chars") > 300, F.lit(True), F.lit("zh"))
+    gated = docs.select("doc_id", tag.alias("lang"), sure.alias("confidence"), target.alias("target"))
+    return translation.language_gate(gated, F.col("target"))
+
+
+@query("x8_detect_language")
+def _x8d(spark, d):
+    docs = table(spark, d, "documents")
+    found = translation.detect_language(docs, translation.language_profiles(docs))
+    return found.select("doc_id", "lang")
+
+
+# --- tables and video pages ----------------------------------------------------
+
+
+@query("x5_table_cells")
+def _x5(spark, d):
+    return html_tables.table_cells(derive.table_pages(spark, d))
+
+
+@query("x6_table_kinds")
+def _x6(spark, d):
+    return html_tables.table_kinds(html_tables.table_cells(derive.table_pages(spark, d)))
+
+
+@query("x7_table_markdown")
+def _x7(spark, d):
+    return html_tables.table_markdown(html_tables.table_cells(derive.table_pages(spark, d)))
+
+
+@query("p8_stream_page_meta")
+def _p8(spark, d):
+    return videos.stream_page_meta(derive.video_pages(spark, d))

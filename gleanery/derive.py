@@ -266,3 +266,52 @@ def clip_edits(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("toxic") == 1, F.array(F.lit("toxic"), F.col("quality").cast("string"))).alias("tags"),
         F.when(F.col("quality") == 0, "").otherwise("checked").alias("note"),
     )
+
+
+def table_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with tables made of their own links and paragraphs.
+
+    A plain table of link words, one with a banner, a spanning one and a
+    layout one, put where the article starts.
+    """
+    links = F.regexp_extract_all("html", F.lit('<a href="/([^"]*)">'), 1)
+    word = lambda i: F.coalesce(F.get(links, F.lit(i)), F.lit("-"))
+    body_rows = F.array_join(F.transform(links, lambda w, i: F.concat(F.lit("<tr><td>"), w, F.lit("|</td>"), F.when(i > 0, F.concat(F.lit("<td>"), i.cast("string"), F.lit("</td>"))).otherwise(""), F.lit("</tr>"))), "")
+    plain = F.concat(F.lit("<table><thead><tr><th>Word</th><th>No</th></tr></thead><tbody>"), body_rows, F.lit("</tbody></table>"))
+    banner = F.concat(
+        F.lit("<table><tr><td colspan=2>"), word(0), F.lit("</td></tr><tr><td>a</td><td>"), word(1), F.lit("</td></tr><tr><td>b</td><td>"), word(2), F.lit("<br>x</td></tr></table>")
+    )
+    span = F.concat(F.lit("<table><tr><td rowspan=3>"), word(0), F.lit("</td><td>1</td></tr><tr><td>2</td><td colspan=2>"), word(1), F.lit("</td></tr></table>"))
+    layout = F.concat(F.lit("<table><tr><td><table><tr><td>"), word(0), F.lit("</td></tr></table></td></tr><tr><td>z</td></tr></table>"))
+    made = F.concat(F.lit("<article>"), plain, F.lit("<p>between</p>"), banner, span, layout)
+    return table(spark, d, "pages").select("page_id", "url", F.replace("html", F.lit("<article>"), made).alias("html"))
+
+
+def video_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as video pages of two platforms, their data as embedded JSON."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    text = F.regexp_replace(title, r'["\\]', "")
+    h, n = F.md5("url"), F.col("page_id").cast("string")
+    watched = F.struct(
+        F.struct(
+            F.when(F.length("url") % 3 == 0, "elsewhere00").otherwise(F.substring(h, 1, 11)).alias("videoId"), text.alias("title"),
+            F.lit("An {Author}").alias("author"), F.length("html").cast("string").alias("lengthSeconds"), F.lit("De\nscription").alias("shortDescription"),
+        ).alias("videoDetails"),
+        F.struct(F.struct(F.lit("2024-05-06").alias("publishDate")).alias("playerMicroformatRenderer")).alias("microformat"),
+    )
+    state = F.struct(
+        F.struct(
+            F.concat(F.lit("BV"), F.substring(h, 1, 10)).alias("bvid"), F.col("page_id").alias("aid"), text.alias("title"), F.length("html").alias("duration"),
+            F.lit(1700000000).alias("pubdate"), F.lit("//i.example/p.jpg").alias("pic"), F.lit("about").alias("desc"), F.struct(F.lit("Up").alias("name")).alias("owner"),
+        ).alias("videoData")
+    )
+    tube = F.length("url") % 2 == 0
+    script = F.when(tube, F.concat(F.lit("var ytInitialPlayerResponse = "), F.to_json(watched), F.lit(";var x={};"))).otherwise(
+        F.concat(F.lit("window.__INITIAL_STATE__="), F.to_json(state), F.lit(";(function(){}());"))
+    )
+    address = F.when(tube, F.concat(F.lit("https://www.youtube.com/watch?v="), F.substring(h, 1, 11))).otherwise(
+        F.when(F.length("url") % 3 == 0, F.concat(F.lit("https://www.bilibili.com/video/av"), n)).otherwise(F.concat(F.lit("https://www.bilibili.com/video/BV"), F.substring(h, 1, 10)))
+    )
+    meta = F.lit('<meta property="og:image" content="/c.jpg"><meta property="og:video:url" content="https://e.example/v">')
+    page = F.replace("html", F.lit("</head>"), F.concat(meta, F.lit("<script>"), script, F.lit("</script></head>")))
+    return table(spark, d, "pages").select("page_id", address.alias("url"), page.alias("html"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleanery.operators.stores import LIMITS
+from gleanery.session import ship_package
 
 #: At most one update per key in this time.
 THROTTLE_MS = 400
@@ -137,6 +138,7 @@ class Throttle(StatefulProcessor):
 
 
 def _run(rows: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
+    ship_package(rows.sparkSession)
     return rows.groupBy("key").transformWithStateInPandas(processor, schema, "Append", time_mode)
 
 
