@@ -1,42 +1,44 @@
-"""Declared schemas; nothing is inferred at read time."""
+"""Declared schemas, field name to type; nothing is inferred at read time."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-PAGES = _schema("page_id bigint, url string, html string")
-EVENTS = _schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
-
-CAPTURE = _schema(
-    """url string, title string, site string, author string, published string, description string,
-    cover_url string, html string, markdown string, text_length int, kind string, fetched boolean,
-    x struct<form: string, posts: int, partial: struct<limit: boolean, timeout: boolean, truncated: int>, heading: string>,
-    media struct<kind: string, url: string, file_name: string>,
-    stream struct<platform: string, video_id: string, embed: string, duration: double, medium: string,
-                  page: struct<url: string, title: string>, bytes: bigint>,
-    quote struct<markdown: string, fragment_url: string, selected_at: timestamp, op_id: string>"""
-)
+PAGES = "page_id bigint, url string, html string"
+EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+_PARTIAL = "struct<limit: boolean, timeout: boolean, truncated: int>"
+CAPTURE = {
+    "url": "string",
+    "title": "string",
+    "site": "string",
+    "author": "string",
+    "published": "string",
+    "description": "string",
+    "cover_url": "string",
+    "html": "string",
+    "markdown": "string",
+    "text_length": "int",
+    "kind": "string",
+    "fetched": "boolean",
+    "x": f"struct<form: string, posts: int, partial: {_PARTIAL}, heading: string>",
+    "media": "struct<kind: string, url: string, file_name: string>",
+    "stream": "struct<platform: string, video_id: string, embed: string, duration: double, medium: string,"
+    " page: struct<url: string, title: string>, bytes: bigint>",
+    "quote": "struct<markdown: string, fragment_url: string, selected_at: timestamp, op_id: string>",
+}
 #: Capture fields whose absence is NULL; every other absent text is ''.
 NULLABLE = {"markdown", "fetched", "x", "media", "stream", "quote"}
 
-SAVED_ENTRY = _schema(
-    "source string, id string, file string, title string, medium string, saved_at timestamp, tags array<string>"
-)
-EDIT = _schema("id string, title string, tags array<string>, note string")
-MEDIA_META = _schema(
-    """id string, file string, source string, media_url string, medium string, title string, site string,
-    captured string, bytes bigint, mime string, tags array<string>, note string"""
-)
-_MEDIA = "array<struct<kind: string, url: string, poster: string, duration_ms: bigint, href: string>>"
-POST = _schema(
-    f"""thread_id string, pos int, id string, handle string, name string, datetime string, url string,
-    text_md string, truncated boolean, break_before boolean, media {_MEDIA},
-    quote struct<name: string, handle: string, datetime: string, url: string, text_md: string, media: {_MEDIA}, truncated: boolean>,
-    card struct<url: string, label: string>"""
-)
-SNAPSHOT_CELL = _schema("list_id string, snapshot_no int, pos int, kind string, id string, handle string")
+MEDIA_META = {
+    "id": "string",
+    "file": "string",
+    "source": "string",
+    "media_url": "string",
+    "medium": "string",
+    "title": "string",
+    "site": "string",
+    "captured": "string",
+    "bytes": "bigint",
+    "mime": "string",
+    "tags": "array<string>",
+    "note": "string",
+}

@@ -20,11 +20,9 @@ def as_captures(pages: DataFrame) -> DataFrame:
     """Pages in the capture schema; nested parts are absent for plain pages."""
     given = {"url": F.col("url"), "html": F.col("html"), "kind": F.lit("page"), "text_length": F.lit(0)}
     columns = [F.col("page_id")]
-    for field in S.CAPTURE.fields:
-        value = given.get(field.name)
-        if value is None:
-            value = F.lit("") if isinstance(field.dataType, S.T.StringType) and field.name not in S.NULLABLE else F.lit(None)
-        columns.append(value.cast(field.dataType).alias(field.name))
+    for name, kind in S.CAPTURE.items():
+        absent = F.lit("") if kind == "string" and name not in S.NULLABLE else F.lit(None)
+        columns.append(given.get(name, absent).cast(kind).alias(name))
     return pages.select(*columns)
 
 
@@ -89,8 +87,7 @@ def parse_sidecars(raw: DataFrame, column: str = "value") -> DataFrame:
 
     tags = F.try_variant_get(F.col("_doc"), "$.tags", "array<variant>")
     columns = []
-    for field in S.MEDIA_META.fields:
-        name = field.name
+    for name, kind_ in S.MEDIA_META.items():
         if name == "tags":
             strings = F.transform(
                 F.filter(tags, lambda t: F.schema_of_variant(t) == "STRING"), lambda t: F.try_variant_get(t, "$", "string")
@@ -104,7 +101,7 @@ def parse_sidecars(raw: DataFrame, column: str = "value") -> DataFrame:
             column_ = F.when(typed(name, "STRING").isin(MEDIA_KINDS), typed(name, "STRING")).otherwise("image")
         else:
             column_ = F.coalesce(typed(name, "STRING"), F.lit(""))
-        columns.append(column_.cast(field.dataType).alias(name))
+        columns.append(column_.cast(kind_).alias(name))
     return staged.select(*columns)
 
 

@@ -29,7 +29,7 @@ def write_clips(path: str, batch: str, attachments: DataFrame | None, documents:
 
 def sidecar_json(df: DataFrame) -> DataFrame:
     """One JSON object per media record, keys in the declared order."""
-    fields: list[Column] = [F.col(f.name).cast(f.dataType).alias(f.name) for f in S.MEDIA_META.fields]
+    fields: list[Column] = [F.col(name).cast(kind).alias(name) for name, kind in S.MEDIA_META.items()]
     return df.select("id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
