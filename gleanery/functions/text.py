@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # (the Unicode space set, not the ASCII-only \s of Java).
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
+_NOT_SPACE = WS.replace(r"\r ", r"\r")
 _TRIM = rf"^{WS}+|{WS}+\z"
 _ENTITY = r"(?i)&(?:#x[0-9a-f]+|#[0-9]+|amp|lt|gt|quot);"
 _ENTITY_PIECES = r"(?i)(&(?:#x[0-9a-f]+|#[0-9]+|amp|lt|gt|quot);|[^&]+|&)"
@@ -30,8 +31,11 @@ def trim_ws(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """White-space runs become one space, ends are trimmed."""
-    return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
+    """White-space runs become one space, ends are trimmed.
+
+    A lone space is no match, so ordinary text is copied in long stretches.
+    """
+    return F.trim(F.regexp_replace(c, rf" {WS}+|{_NOT_SPACE}{WS}*", " "))
 
 
 def blank_to_null(c: Column) -> Column:

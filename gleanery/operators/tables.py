@@ -49,7 +49,8 @@ def page_tables(pages: DataFrame) -> DataFrame:
 
     tokens = pages.where(F.col("html").rlike("(?i)<table")).select("page_id", _tokens(strip_hidden(F.col("html"))).alias("t"))
     folded = tokens.withColumn("spans", F.aggregate(F.filter("t", lambda t: t["tag"] == "table"), start, step)["spans"])
-    cut = folded.select("page_id", "t", F.posexplode("spans").alias("table_no", "s"))
+    # outer: an inner explode would repeat the whole fold as a pushed-down filter
+    cut = folded.select("page_id", "t", F.posexplode_outer("spans").alias("table_no", "s")).where("table_no IS NOT NULL")
     body = F.slice("t", F.col("s.a") + 2, F.col("s.b") - F.col("s.a") - 1)
     return cut.select("page_id", "table_no", F.array_join(F.transform(body, lambda t: t["text"]), "").alias("markup"))
 
@@ -113,14 +114,14 @@ def table_cells(pages: DataFrame) -> DataFrame:
             ),
         ),
     )
-    last_row = F.col("cells")[F.size("cells") - 1]["row"]
+    last_row = F.try_element_at("cells", F.lit(-1))["row"]
 
     def group_end(c: Column) -> Column:
         """Last row of the cell's group; outside a section, of the table."""
         group = F.filter(F.col("cells"), lambda x: (x["row"] >= c["row"]) & (x["group_no"] == c["group_no"]))
         return F.when(c["group_no"] == 0, last_row).otherwise(F.element_at(group, -1)["row"])
 
-    clipped = spans.where(F.size("cells") > 0).withColumn(
+    clipped = spans.withColumn(
         "cells",
         F.transform(
             "cells",
@@ -165,7 +166,8 @@ def table_cells(pages: DataFrame) -> DataFrame:
         return let(held, put)
 
     placed = clipped.withColumn("at", F.aggregate("cells", state, step)["placed"])
-    rows = placed.select("page_id", "table_no", F.explode(F.arrays_zip("cells", "at")).alias("c"))
+    zipped = F.explode_outer(F.arrays_zip("cells", "at"))
+    rows = placed.select("page_id", "table_no", zipped.alias("c")).where("c IS NOT NULL")
     c = F.col("c.cells")
     return rows.select(
         "page_id", "table_no", c["row"].alias("row"), F.col("c.at.col").alias("col"), c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"),
@@ -208,34 +210,49 @@ def _body(cells: DataFrame) -> DataFrame:
     return edges.withColumn("part", part).drop("_n", "_banner", "_first", "_last")
 
 
-def table_kinds(cells: DataFrame) -> DataFrame:
-    """``layout``, ``html`` or ``grid`` per table, its banners, its header."""
+def _typed(cells: DataFrame) -> DataFrame:
+    """Body placement plus ``kind``, ``header`` and counts of the table, per cell.
+
+    All from windows over one table, so the cells are read once.
+    """
+    table = Window.partitionBy("page_id", "table_no")
     placed = _body(cells)
     body = F.col("part") == "body"
-    first = F.min(F.when(body, F.col("row"))).over(Window.partitionBy("page_id", "table_no"))
-    marked = placed.withColumn("_head", body & (F.col("row") == first))
     spanning = (F.col("raw_colspan") > 1) | (F.col("raw_rowspan") > 1) | (F.col("raw_rowspan") == 0)
-    grouped = marked.groupBy("page_id", "table_no").agg(
-        F.bool_or("nested").alias("nested"),
-        F.count_distinct(F.when(body, F.col("row"))).alias("rows"),
-        F.count(F.when(body, 1)).alias("cells"),
-        F.coalesce(F.bool_or(body & (spanning | F.col("has_block"))), F.lit(False)).alias("rich"),
-        F.max("columns").alias("columns"),
-        F.count_distinct(F.when(F.col("part") == "leading", F.col("row"))).alias("leading"),
-        F.count_distinct(F.when(F.col("part") == "trailing", F.col("row"))).alias("trailing"),
-        F.coalesce(
-            F.bool_or(F.col("_head") & (F.col("section") == "thead")) | (F.count(F.when(F.col("_head") & ~F.col("is_header"), 1)) == 0), F.lit(False)
-        ).alias("header"),
+
+    def rows(part: str) -> Column:
+        return F.size(F.collect_set(F.when(F.col("part") == part, F.col("row"))).over(table))
+
+    first = F.min(F.when(body, F.col("row"))).over(table)
+    marked = placed.withColumns(
+        {
+            "_head": body & (F.col("row") == first),
+            "_nested": F.max("nested").over(table),
+            "_rich": F.max(body & (spanning | F.col("has_block"))).over(table),
+            "_cells": F.count(F.when(body, 1)).over(table),
+            "rows": rows("body"),
+            "leading": rows("leading"),
+            "trailing": rows("trailing"),
+        }
     )
-    layout = F.col("nested") | (F.col("rows") <= 1) | (F.col("cells") <= 1)
-    kind = F.when(layout, "layout").when(F.col("rich"), "html").otherwise("grid")
-    return grouped.select("page_id", "table_no", kind.alias("kind"), "columns", "rows", "leading", "trailing", (F.col("header") & (F.col("rows") > 0)).alias("header"))
+    in_head = F.max(F.col("_head") & (F.col("section") == "thead")).over(table)
+    plain = F.max(F.col("_head") & ~F.col("is_header")).over(table)
+    layout = F.col("_nested") | (F.col("rows") <= 1) | (F.col("_cells") <= 1)
+    kind = F.when(layout, "layout").when(F.col("_rich"), "html").otherwise("grid")
+    typed = marked.withColumns({"kind": kind, "header": (in_head | ~plain) & (F.col("rows") > 0)})
+    return typed.drop("_head", "_nested", "_rich", "_cells")
+
+
+def table_kinds(cells: DataFrame) -> DataFrame:
+    """``layout``, ``html`` or ``grid`` per table, its banners, its header."""
+    facts = ["kind", "columns", "rows", "leading", "trailing", "header"]
+    one = _typed(cells).groupBy("page_id", "table_no").agg(F.first(F.struct(*facts)).alias("t"))
+    return one.select("page_id", "table_no", "t.*")
 
 
 def table_markdown(cells: DataFrame) -> DataFrame:
     """Grid tables as Markdown: short rows padded, a blank header if none."""
-    kinds = table_kinds(cells).where("kind = 'grid'").select("page_id", "table_no", "header")
-    body = _body(cells).where("part = 'body'").join(kinds, ["page_id", "table_no"])
+    body = _typed(cells).where("part = 'body' AND kind = 'grid'")
     shown = F.regexp_replace(F.col("text"), r"\|", r"\\|")
     cell = F.when(shown == "", " ").otherwise(shown)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("col", cell.alias("t")))), lambda x: x["t"])

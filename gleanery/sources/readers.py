@@ -12,8 +12,23 @@ from gleanery.functions.text import trim_ws
 MEDIA_KINDS = ["image", "audio", "video", "pdf", "epub"]
 
 
+#: Tables whose rows are whole texts, so the work on them is per-row CPU.
+TEXT_TABLES = {"pages", "documents"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few files out to all cores.
+
+    A text table in fewer files than there are cores would keep all per-row
+    work in a few tasks.  A large table has more files and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def as_captures(pages: DataFrame) -> DataFrame:
