@@ -87,7 +87,7 @@ def parse_documents(documents: DataFrame) -> DataFrame:
 
 def read_clip_library(spark: SparkSession, path: str) -> DataFrame:
     """The ``.md`` documents of a library folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return parse_documents(files.select(F.col("_metadata.file_name").alias("path"), "value"))
 
 
@@ -122,5 +122,5 @@ def parse_sidecars(raw: DataFrame, column: str = "value") -> DataFrame:
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """The ``.meta/*.json`` sidecars of a library folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{path}/.meta")
+    files = spark.read.option("pathGlobFilter", "*.json").text(f"{path}/.meta", wholetext=True)
     return parse_sidecars(files)

@@ -27,7 +27,7 @@ def docs(spark, body=BODY):
 
 
 def test_plan(spark):
-    got = [(r.index, r.url) for r in plan_images(docs(spark)).orderBy("index").collect()]
+    got = [(r["index"], r.url) for r in plan_images(docs(spark)).orderBy("index").collect()]
     assert got == list(enumerate(URLS, 1))
     assert plan_images(docs(spark), 2).count() == 2
 
