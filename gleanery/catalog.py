@@ -17,7 +17,7 @@ from gleanery.operators import tables as html_tables
 from gleanery.operators.merge import thread_merge
 from gleanery.operators.names import unique_names
 from gleanery.plans.flagship import site_report
-from gleanery.session import scratch_path
+from gleanery.session import checkpoint_dir, scratch_path
 from gleanery.sources import writers
 from gleanery.sources.readers import parse_documents, parse_sidecars, read_captures, stream_captures, table
 from gleanery.streaming import jobs, stateful
@@ -55,6 +55,11 @@ def _p2(spark, d):
     return P.page_meta(table(spark, d, "pages"))
 
 
+@query("p2_page_meta_tags")
+def _p2m(spark, d):
+    return P.page_meta(derive.meta_pages(spark, d))
+
+
 @query("p3_page_links")
 def _p3(spark, d):
     return P.page_links(table(spark, d, "pages"))
@@ -633,7 +638,8 @@ def _x8(spark, d):
 @query("x8_detect_language")
 def _x8d(spark, d):
     docs = table(spark, d, "documents")
-    found = translation.detect_language(docs, translation.language_profiles(docs))
+    checkpoint_dir(spark)
+    found = translation.detect_language(docs, translation.language_profiles(docs).checkpoint())
     return found.select("doc_id", "lang")
 
 

@@ -315,3 +315,14 @@ def video_pages(spark: SparkSession, d: str) -> DataFrame:
     meta = F.lit('<meta property="og:image" content="/c.jpg"><meta property="og:video:url" content="https://e.example/v">')
     page = F.replace("html", F.lit("</head>"), F.concat(meta, F.lit("<script>"), script, F.lit("</script></head>")))
     return table(spark, d, "pages").select("page_id", address.alias("url"), page.alias("html"))
+
+
+def meta_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with the meta tags a site would add, in several spellings."""
+    word = F.regexp_extract("html", '<a href="/([^"]*)">', 1)
+    tags = F.concat(
+        F.lit('<META content="First &amp; '), word, F.lit('" Property="og:title"><meta property=og:title content=second>'),
+        F.lit("<meta name='description' content='plain  text &lt;b&gt;'><meta property='og:image' content='/i/"), F.col("page_id").cast("string"),
+        F.lit(".png?a=1&amp;b=2'><meta name=author><meta name=author content=Me /><meta property='article:published_time' content=2024-01-02>"),
+    )
+    return table(spark, d, "pages").select("page_id", "url", F.replace("html", F.lit("</head>"), F.concat(tags, F.lit("</head>"))).alias("html"))

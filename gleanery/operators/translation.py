@@ -13,6 +13,7 @@ from gleanery.functions.engines import EngineError
 from gleanery.functions.language import api_tag
 from gleanery.functions.text import trim_ws
 from gleanery.operators.chunks import pieces_of
+from gleanery.plans.sizes import broadcast_if_small
 from gleanery.session import ship_package
 
 # Detection sample and confidence, and the error classes.
@@ -113,8 +114,9 @@ def _grams(docs: DataFrame, keep: list[str], size: int = 3) -> DataFrame:
     return padded.select(*keep, F.explode(F.transform(starts, lambda i: F.substring(F.col("s"), i, F.lit(size)))).alias("gram"))
 
 
-#: Grams per language in a profile: this and the number of languages bound its size.
+#: Grams per language in a profile, and the most rows of all that are broadcast.
 PROFILE_GRAMS = 400
+PROFILE_ROWS = 200_000
 
 
 def language_profiles(labelled: DataFrame, grams: int = PROFILE_GRAMS) -> DataFrame:
@@ -134,14 +136,14 @@ def detect_language(docs: DataFrame, profiles: DataFrame, floor: float = -12.0)
     """``doc_id, lang, confidence``: best language by summed gram weights.
 
     A gram outside a profile weighs ``floor``, so scoring only needs the grams
-    that hit.  A profile is at most ``PROFILE_GRAMS`` rows per language, which
-    is what makes it safe to broadcast.  Hits combine per document before the
-    shuffle, and confidence is the best language's share after a softmax over
-    the mean weight of a gram.
+    that hit.  Profiles are broadcast if they have at most ``PROFILE_ROWS``
+    rows, which is counted.  Hits combine per document before the shuffle, and
+    confidence is the best language's share after a softmax over the mean
+    weight of a gram.  Give stored profiles: they are read twice.
     """
     grams = _grams(docs, ["doc_id"])
     sizes = grams.groupBy("doc_id").agg(F.count("*").alias("size"))
-    hits = grams.join(F.broadcast(profiles), "gram").groupBy("doc_id", "lang").agg(F.sum(F.col("weight") - floor).alias("gain"))
+    hits = grams.join(broadcast_if_small(profiles, PROFILE_ROWS), "gram").groupBy("doc_id", "lang").agg(F.sum(F.col("weight") - floor).alias("gain"))
     mean = hits.join(sizes, "doc_id").withColumn("score", F.col("gain") / F.col("size"))
     best = mean.groupBy("doc_id").agg(
         F.max_by("lang", F.struct("score", "lang")).alias("lang"), F.max("score").alias("top"), F.collect_list("score").alias("scores")

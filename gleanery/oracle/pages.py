@@ -55,6 +55,8 @@ FROM l GROUP BY 1""",
     "s1_read_captures": "SELECT page_id, url, html, 'page' AS kind, '' AS title, NULL::VARCHAR AS markdown FROM pages",
     "p1_canonical_sources": f"WITH k AS (SELECT page_id, {canonical('url')} AS source FROM pages) SELECT page_id, source, {SITE} AS site FROM k",
     "p2_page_meta": f"SELECT page_id, {TITLE} AS title, '' AS description, '' AS image, '' AS site_name, '' AS published, '' AS author FROM pages",
+    "p2_page_meta_tags": """SELECT page_id, 'First & ' || trim(regexp_extract(html, '<a href="/([^"]*)">', 1)) AS title, 'plain text <b>' AS description,
+ regexp_extract(url, '^https?://[^/?#]*') || '/i/' || page_id || '.png?a=1&b=2' AS image, '' AS site_name, '2024-01-02' AS published, 'Me' AS author FROM pages""",
     "p3_page_links": f"WITH {LINKS} SELECT page_id, pos, tag, url FROM links",
     "p4_text_gate": f"""WITH t AS (SELECT page_id, length({ARTICLE_TEXT}) AS text_length FROM pages)
 SELECT page_id, text_length, CASE WHEN text_length >= 200 THEN 'full' ELSE 'fallback' END AS extract FROM t""",

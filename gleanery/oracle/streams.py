@@ -43,4 +43,14 @@ f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY key, request_id OR
 SELECT key, open_id, request_id FROM f QUALIFY row_number() OVER (PARTITION BY key, open_id ORDER BY asked DESC, request_id DESC) = 1""",
     "st8_stream_generation_guard": """WITH u AS (SELECT user_id AS key, event_id AS id, ts, day(ts) - CASE WHEN event_type = 'error' THEN 3 ELSE 0 END AS generation FROM events)
 SELECT * FROM u QUALIFY generation >= max(generation) OVER (PARTITION BY key ORDER BY ts, id ROWS UNBOUNDED PRECEDING)""",
+    "st5_stream_throttle": """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) // 1000 AS now, CASE event_type WHEN 'purchase' THEN 'finished' ELSE 'running' END AS phase,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT key, rn, now, now AS last, phase, NULL::BIGINT AS wid, NULL::BIGINT AS wdue, NULL::BIGINT AS fid, NULL::BIGINT AS fat, id AS sid FROM e WHERE rn = 1
+ UNION ALL SELECT key, rn, now, CASE WHEN send THEN now ELSE last1 END, CASE WHEN send THEN phase ELSE before END, CASE WHEN send THEN NULL ELSE id END, CASE WHEN send THEN NULL ELSE last1 + 21600000 END,
+  fid, fat, CASE WHEN send THEN id END
+ FROM (SELECT *, phase <> before OR phase = 'finished' OR now - last1 >= 21600000 AS send
+  FROM (SELECT e.key, e.rn, e.now, e.id, e.phase, r.phase AS before, CASE WHEN r.wdue <= e.now THEN r.wdue ELSE r.last END AS last1,
+    CASE WHEN r.wdue <= e.now THEN r.wid END AS fid, CASE WHEN r.wdue <= e.now THEN r.wdue END AS fat FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1)))
+SELECT key, fid AS id, fat AS sent_at_ms FROM r WHERE fid IS NOT NULL UNION ALL SELECT key, sid, now FROM r WHERE sid IS NOT NULL
+UNION ALL SELECT key, wid, wdue FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1) WHERE wdue <= (SELECT max(now) FROM e)""",
 }

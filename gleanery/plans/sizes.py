@@ -1,0 +1,15 @@
+"""Broadcast only what is known to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows.
+
+    The count stops at the limit.  A larger table gets no hint, and the join
+    shuffles as usual.  Meant for a table that is read back from storage.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
