@@ -33,7 +33,7 @@ def _in_range(posts: DataFrame, focal: DataFrame) -> DataFrame:
         F.max(F.when(other & (F.col("pos") < F.col("_at")), F.col("pos"))).alias("_before"),
         F.max(F.when(F.col("break_before") & (F.col("pos") <= F.col("_at")), F.col("pos"))).alias("_break"),
         F.min(F.when(other & (F.col("pos") > F.col("_at")), F.col("pos"))).alias("_after"),
-    ).join(target.select("thread_id"), "thread_id")
+    )
     inside = (
         (F.col("_before").isNull() | (F.col("pos") > F.col("_before")))
         & (F.col("_break").isNull() | (F.col("pos") >= F.col("_break")))

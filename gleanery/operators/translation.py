@@ -49,7 +49,7 @@ def with_engine(units: DataFrame, make_engine: Callable[[], Engine], batch: int
     language pair is translated once, long ones piece by piece; errors become
     a status, so one bad pair does not fail the job.
     """
-    ship_package(units.sparkSession)
+    ship_package()
     key = ["source", "target", "segment"]
     wanted = units.where(trim_ws(F.col("segment")) != "").select(*key).distinct()
     cut = wanted.select(*key, F.transform(pieces_of(F.col("segment")), trim_ws).alias("pieces"))

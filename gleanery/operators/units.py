@@ -64,46 +64,42 @@ def _fences(lines: Column) -> Column:
     Only the fence lines are folded.  A fence ends at its closing line, or
     where its quote ends, or before a line left of its list item's text.
     """
-    marks = F.filter(
-        F.transform(
-            lines,
-            lambda x: F.struct(
-                x["i"].alias("i"),
-                F.regexp_extract(x["line"], _FENCE_LINE, 1).alias("run"),
-                F.regexp_extract(x["line"], _FENCE_LINE, 2).rlike(r"^[ \t]*\z").alias("closer"),
-                (x["kind"] == "quote").alias("quoted"),
-                F.when(x["kind"] == "list", x["col"]).otherwise(F.when(x["kind"] == "quote", 0).otherwise(x["indent"])).alias("col"),
-            ),
-        ),
-        lambda m: m["run"] != "",
-    )
 
-    def end_of(m: Column) -> Column:
-        close = F.filter(
-            marks, lambda c: (c["i"] > m["i"]) & c["closer"] & c["run"].startswith(m["run"])
-        )
-        last = F.size(lines) - 1
-        closing = F.coalesce(F.get(close, F.lit(0))["i"], last)
-        left = F.filter(
-            lines,
-            lambda x: (x["i"] > m["i"])
-            & ((m["quoted"] & (x["kind"] != "quote")) | ((m["col"] > 3) | ((m["col"] > 0) & ~m["quoted"])) & (x["kind"] != "blank") & (x["indent"] < F.least(m["col"], F.lit(2)))),
+    def mark(x: Column) -> Column:
+        margin = F.filter(lines, lambda y: (y["i"] < x["i"]) & (y["indent"] == 0) & (y["kind"] != "blank"))
+        in_list = (x["indent"] > 0) & F.coalesce(F.try_element_at(margin, F.lit(-1))["kind"] == "list", F.lit(False))
+        return F.struct(
+            x["i"].alias("i"),
+            F.regexp_extract(x["line"], _FENCE_LINE, 1).alias("run"),
+            F.regexp_extract(x["line"], _FENCE_LINE, 2).rlike(r"^[ \t]*\z").alias("closer"),
+            (x["kind"] == "quote").alias("quoted"),
+            F.when(x["kind"] == "list", x["col"]).when(in_list, x["indent"]).otherwise(0).alias("col"),
         )
-        bound = F.coalesce(F.get(left, F.lit(0))["i"], last + 1)
-        return F.least(closing, F.when(closing == bound, bound).otherwise(bound - 1)).cast("int")
 
-    start = F.struct(F.lit(-1).alias("until"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    def spans(marks: Column) -> Column:
+        def end_of(m: Column) -> Column:
+            close = F.filter(marks, lambda c: (c["i"] > m["i"]) & c["closer"] & c["run"].startswith(m["run"]))
+            last = F.size(lines) - 1
+            closing = F.coalesce(F.get(close, F.lit(0))["i"], last)
+            # a quote ends with its last quoted line, an item before a line left of its text
+            left = F.filter(
+                lines,
+                lambda x: (x["i"] > m["i"])
+                & ((m["quoted"] & (x["kind"] != "quote")) | ((x["kind"] != "blank") & (x["indent"] < m["col"]))),
+            )
+            bound = F.coalesce(F.get(left, F.lit(0))["i"], last + 1)
+            return F.least(closing, F.when(closing == bound, bound).otherwise(bound - 1)).cast("int")
 
-    def step(acc: Column, m: Column) -> Column:
-        return F.when(m["i"] <= acc["until"], acc).otherwise(
-            let(
-                end_of(m),
-                lambda e: F.struct(e.alias("until"), F.array_append(acc["spans"], F.struct(m["i"].alias("a"), e.alias("b"))).alias("spans")),
+        def step(acc: Column, m: Column) -> Column:
+            span = lambda e: F.struct(m["i"].alias("a"), e.alias("b"))
+            return F.when(m["i"] <= acc["until"], acc).otherwise(
+                let(end_of(m), lambda e: F.struct(e.alias("until"), F.array_append(acc["spans"], span(e)).alias("spans")))
             )
-        )
 
-    none = F.array().cast(f"array<{_SPAN}>")
-    return F.when(F.size(marks) == 0, none).otherwise(F.aggregate(marks, start, step)["spans"])
+        start = F.struct(F.lit(-1).alias("until"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+        return F.aggregate(marks, start, step)["spans"]
+
+    return let(F.transform(F.filter(lines, lambda x: x["line"].rlike(_FENCE_LINE)), mark), spans)
 
 
 def _body_start(lines: Column) -> Column:

@@ -23,15 +23,18 @@ def site_report(pages: DataFrame) -> DataFrame:
         F.length(H.html_title(F.col("html"))).alias("title_length"),
         F.length(H.visible_text(H.content_markup(F.col("html")))).alias("text_length"),
     )
-    latest = narrow.groupBy("source").agg(F.max(F.struct("page_id", "title_length", "text_length")).alias("p"))
-    full = F.col("p.text_length") >= MIN_TEXT_LENGTH
+    # max_by on plain numbers aggregates by hash; a max over a struct would sort
+    latest = narrow.groupBy("source").agg(
+        F.max_by("title_length", "page_id").alias("title_length"), F.max_by("text_length", "page_id").alias("text_length")
+    )
+    full = F.col("text_length") >= MIN_TEXT_LENGTH
     return (
         latest.groupBy(U.site_of(F.col("source")).alias("site"))
         .agg(
             F.count("*").alias("pages"),
             F.sum(F.when(full, 1).otherwise(0)).alias("full_pages"),
             F.sum(F.when(full, 0).otherwise(1)).alias("fallback_pages"),
-            F.sum("p.text_length").alias("text_chars"),
-            F.max("p.title_length").alias("longest_title"),
+            F.sum("text_length").alias("text_chars"),
+            F.max("title_length").alias("longest_title"),
         )
     )

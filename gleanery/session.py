@@ -56,18 +56,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-_SHIPPED: set[str] = set()
+def ship_package() -> None:
+    """Send the Python that runs in tasks along with the tasks.
 
+    Functions and classes of this package are serialised whole, so executors
+    need no copy of it.
+    """
+    import sys
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once, for jobs that run Python there."""
-    import shutil
+    from pyspark import cloudpickle
 
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
-    archive = shutil.make_archive(os.path.join(folder, "gleanery"), "zip", os.path.dirname(package), os.path.basename(package))
-    context.addPyFile(archive)
-    _SHIPPED.add(context.applicationId)
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])

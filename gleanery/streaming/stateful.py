@@ -138,7 +138,7 @@ class Throttle(StatefulProcessor):
 
 
 def _run(rows: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
-    ship_package(rows.sparkSession)
+    ship_package()
     return rows.groupBy("key").transformWithStateInPandas(processor, schema, "Append", time_mode)
 
 

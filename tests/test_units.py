@@ -103,3 +103,13 @@ def test_changed_document(spark):
     row = interleave_translations(new, found, F.lit("en")).first()
     assert row.document == "zero\n\none\n\none!\n\none\n\none!\n\nthree"
     assert (row.applied, row.missing) == (2, 1)
+
+
+def test_fences(spark):
+    text = "- item\n\n  ```\n  code here\n  ```\n\n  after it\n\n> ~~~\n> code\n\nplain words\n\n````\n```\ncode\n````\nend words\n"
+    got = [(u.kind, list(u.segments)) for u in units(spark, text)]
+    assert got == [("list-item", ["item"]), ("list-paragraph", ["after it"]), ("paragraph", ["plain words"]), ("paragraph", ["end words"])]
+
+
+def test_item_before_a_fence_is_no_unit(spark):
+    assert units(spark, "- item\n```\ncode\n```\n") == []
