@@ -11,7 +11,7 @@ from gleanery import derive
 from gleanery.functions.engines import ReversingEngine
 from gleanery.functions.language import pick_target
 from gleanery.functions.names import base_name
-from gleanery.operators import chunks, documents, edits, images, lookups, media, quotes, routing, sites, stores, tags, threads, translation, units, videos
+from gleanery.operators import chunks, documents, edits, headers, images, lookups, media, quotes, routing, sites, stores, tags, threads, translation, units, videos
 from gleanery.operators import pages as P
 from gleanery.operators import tables as html_tables
 from gleanery.operators.merge import thread_merge
@@ -664,3 +664,23 @@ def _x7(spark, d):
 @query("p8_stream_page_meta")
 def _p8(spark, d):
     return videos.stream_page_meta(derive.video_pages(spark, d))
+
+
+@query("j8_edit_documents")
+def _j8d(spark, d):
+    records = derive.stored_documents(spark, d)
+    docs = documents.clip_documents(records).join(records.select("id", "source", "title"), "id")
+    change = records.select(
+        "id", F.concat(F.lit("New ["), F.col("id"), F.lit("]  title")).alias("title"), F.array(F.lit("t"), F.lit('q"')).alias("tags"), F.lit("n").alias("note")
+    )
+    return headers.edit_documents(docs, change)
+
+
+@query("a5_translation_fields")
+def _a5f(spark, d):
+    records = derive.stored_documents(spark, d)
+    marks = records.select(
+        "id", F.element_at("tags", 1).alias("lang"), F.lit("zh-TW").alias("translated_to"),
+        F.when(F.length("body") < 1000, "partial").when(F.length("body") < 3000, "complete").alias("translation"),
+    )
+    return headers.set_translation_fields(documents.clip_documents(records).join(marks, "id"))

@@ -54,3 +54,20 @@ r AS (SELECT key, rn, now, now AS last, phase, NULL::BIGINT AS wid, NULL::BIGINT
 SELECT key, fid AS id, fat AS sent_at_ms FROM r WHERE fid IS NOT NULL UNION ALL SELECT key, sid, now FROM r WHERE sid IS NOT NULL
 UNION ALL SELECT key, wid, wdue FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1) WHERE wdue <= (SELECT max(now) FROM e)""",
 }
+
+# the edited document is the one that would be built from the edited values,
+# but for quotes, whose shown title is not the plain one
+_EDITED = DOC
+for _old, _new in (
+    ("split_part(text, chr(10), 1) AS title", "'New [' || doc_id || ']  title' AS title, split_part(text, chr(10), 1) AS old"),
+    ("trim(regexp_replace(title, ", "trim(regexp_replace(CASE WHEN medium = 'quote' THEN old ELSE title END, "),
+    ("'note: \"\"'", "'note: \"n\"'"),
+):
+    assert _old in _EDITED, _old
+    _EDITED = _EDITED.replace(_old, _new)
+_TAGS = _EDITED.index("'tags: ['")
+_EDITED = _EDITED[:_TAGS] + "'tags: [\"t\", \"q\\\"\"]'" + _EDITED[_EDITED.index(", 'note:", _TAGS) :]
+SQL["j8_edit_documents"] = _EDITED
+SQL["a5_translation_fields"] = f"""WITH doc AS ({DOC}) SELECT id, CASE WHEN length(text) >= 3000 THEN document
+ ELSE regexp_replace(document, '(?m)^(extract: .*)$', '\\1' || chr(10) || 'lang: "' || lang || '"' || chr(10) || 'translated_to: "zh-Hant"' || chr(10) || 'translation: "' || CASE WHEN length(text) < 1000 THEN 'partial' ELSE 'complete' END || '"') END AS document
+FROM doc JOIN documents ON id = doc_id::VARCHAR"""
