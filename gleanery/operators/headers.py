@@ -47,7 +47,7 @@ def _set_if(lines: Column, condition: Column, key: str, value: Column) -> Column
 
 def _shown_title(document: Column, old: Column, new: Column, source: Column) -> Column:
     """Replace the first line after the header if it is still as generated."""
-    shape = r"(?s)\A(---\n.*?\n---\n(?:[ \t]*\n)*)([^\n]*)(.*)\z"
+    shape = r"(?s)\A(---\n.*?\n---\n(?:[ \t]*\n)*+)([^\n]*)(.*)\z"
     head, line, rest = (F.regexp_extract(document, shape, g) for g in (1, 2, 3))
     target = F.concat(F.lit("]("), U.link_destination(source), F.lit(")"))
     bare = lambda t: collapse(F.regexp_replace(t, _HANDLE, ""))

@@ -37,7 +37,7 @@ def page_meta(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Every ``a[href]`` and ``img[src]`` as an absolute address, page order."""
-    tag = r"(?i)<(?:a|img)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+    tag = r"""(?i)<(?:a|img)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
     tags = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(H.strip_hidden(F.col("html")), F.lit(tag), 0)).alias("pos", "markup"))
     named = tags.withColumn("tag", F.when(F.col("markup").rlike(r"(?i)^<img\b"), "img").otherwise("a"))
     target = F.when(F.col("tag") == "img", H.attribute(F.col("markup"), "src")).otherwise(H.attribute(F.col("markup"), "href"))

@@ -11,7 +11,7 @@ from gleanery.functions.text import WS, decode_entities, let, trim_ws
 # The widest span of a cell, and what a Markdown cell cannot hold.
 MAX_COLSPAN = 1000
 BLOCK_IN_CELL = r"(?i)<(?:pre|blockquote|table|hr|h[1-6])\b"
-_TOKEN = r"(?is)<(/?)(table|thead|tbody|tfoot|tr|td|th|caption)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<"
+_TOKEN = r"""(?is)<(/?)(table|thead|tbody|tfoot|tr|td|th|caption)\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[^<]+|<"""
 
 
 

@@ -298,7 +298,9 @@ def _finish(unit: Column) -> Column:
 
     def build(s: Column) -> Column:
         sent = F.filter(s, lambda x: x["sent"])
-        good = I.is_balanced(F.array_join(unit["raws"], "\n")) & (F.size(sent) > 0) & (unit["per_line"] | (F.size(sent) == F.size(s)))
+        # a paragraph only got here if its lines hold together
+        whole = (unit["kind"] == "paragraph") | I.is_balanced(F.array_join(unit["raws"], "\n"))
+        good = (F.size(sent) > 0) & (unit["per_line"] | (F.size(sent) == F.size(s))) & whole
         return F.when(
             good,
             F.struct(

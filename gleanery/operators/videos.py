@@ -12,14 +12,14 @@ from gleanery.functions.text import blank_to_null, decode_entities, iso_timestam
 
 # A JSON object up to the brace that closes it.  Strings are skipped, and an
 # object may nest a fixed number of levels, which covers both platforms.
-_STRING = r'"(?:[^"\\]|\\.)*+"'
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
 _DEPTH = 12
 
 
 def _object(depth: int = _DEPTH) -> str:
-    inner = rf'(?:[^"{{}}]|{_STRING})*+'
+    inner = rf'(?:[^"{{}}]++|{_STRING})*+'
     for _ in range(depth):
-        inner = rf'(?:[^"{{}}]|{_STRING}|\{{{inner}\}})*+'
+        inner = rf'(?:[^"{{}}]++|{_STRING}|\{{{inner}\}})*+'
     return rf"\{{{inner}\}}"
 
 

@@ -72,7 +72,7 @@ def parse_documents(documents: DataFrame) -> DataFrame:
 
     raw_id, raw_tags = _header_value(F.col("block"), "id"), _header_value(F.col("block"), "tags")
     literal = F.try_parse_json(raw_id)
-    quoted_only = r'^\s*\[\s*(?:"(?:[^"\\]|\\.)*"\s*(?:,\s*"(?:[^"\\]|\\.)*"\s*)*)?\]\s*$'
+    quoted_only = r'^\s*\[\s*(?:"(?:[^"\\]++|\\.)*+"\s*(?:,\s*"(?:[^"\\]++|\\.)*+"\s*)*+)?\]\s*$'
     return staged.select(
         "path",
         F.when(literal.isNull(), trim_ws(raw_id)).otherwise(text("id")).alias("id"),
