@@ -74,15 +74,24 @@ def unique_names(clips: DataFrame, existing: DataFrame, ext: str = ".md", cut: i
     start = F.struct(F.lit(0).cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("skipped"))
 
     def step(acc: Column, o: Column) -> Column:
-        skip = o["before"] + acc["s"] < o["k"]
+        skip = o["before"] + acc["s"] < o["slot"]
         return F.struct(
             (acc["s"] + skip.cast("bigint")).alias("s"),
             F.when(skip, F.array_append(acc["skipped"], o["k"])).otherwise(acc["skipped"]).alias("skipped"),
         )
 
     def solve(rows: DataFrame) -> DataFrame:
-        lists = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "before"))).alias("o"))
-        return lists.select("key", F.explode(F.aggregate("o", start, step)["skipped"]).alias("k"))
+        """Numbers of each base that others hold.
+
+        Those of existing files always are and only shift the ones above them;
+        what is folded per base is the titles of this batch it competes with.
+        """
+        always = F.col("before") == _ALWAYS
+        shifted = sum_before(rows, ["key"], ["k"], F.floor(F.col("k") / cut), F.when(always, 1).otherwise(0), "fixed")
+        rivals = shifted.where(~always).withColumn("slot", F.col("k") - F.col("fixed"))
+        lists = rivals.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("slot", "k", "before"))).alias("o"))
+        lost = lists.select("key", F.explode(F.aggregate("o", start, step)["skipped"]).alias("k"))
+        return lost.unionByName(rows.where(always).select("key", "k"))
 
     # a title ``p (k)`` finds its own name gone when p reached number k first
     deepest = bases.agg(F.max("depth")).first()[0] or 0

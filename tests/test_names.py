@@ -39,6 +39,12 @@ def test_random_families(spark):
         assert run(spark, bases, existing) == brute(bases, existing), (bases, existing)
 
 
+def test_many_existing_numbers(spark):
+    existing = ["a.md"] + [f"a ({n}).md" for n in range(2, 40) if n % 7]
+    bases = ["a", "a (7)", "a", "a (14)", "a", "a (21)", "a", "a", "a (50)", "a"]
+    assert run(spark, bases, existing) == brute(bases, existing)
+
+
 def test_base_names(spark):
     rows = [("a/b:c\td",), ("  ..hidden  x ",), ("x" * 61,), ("",), ("...",)]
     df = spark.createDataFrame(rows, "t string")
