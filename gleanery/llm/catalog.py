@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, exact, hosts, packing, preferences, shards, token_counts, warc
+from gleanery.llm import bpe, exact, hosts, minmax, packing, preferences, shards, suffixes, token_counts, warc
 from gleanery.llm.common import table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,10 @@ BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MAX_TOKENS = 2048
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_counts.prefix_counts(table(spark, sf_dir, "documents"), WORDS)
     n = token_counts.n_tokens()
@@ -26,6 +30,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op4_min_max_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.extendible_shards(table(spark, sf_dir, "documents"))
 
@@ -57,5 +65,5 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_warc, op5_extendible_shards, op6_byte_bpe, op7_preference_pairs, op8_content_sort, op9_best_fit_packing, op10_host_rules)
+    f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_warc, op4_min_max_groups, op5_extendible_shards, op6_byte_bpe, op7_preference_pairs, op8_content_sort, op9_best_fit_packing, op10_host_rules)
 }
