@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanery.llm import exact, hosts, packing
+from gleanery.llm import exact, hosts, minmax, packing, suffixes
 from gleanery.llm.catalog import WORDS
 from gleanery.llm.common import written
 
@@ -23,12 +24,22 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    return minmax.drop_near_copies(docs, width=5, percent=80)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated passages; a document that holds nothing else stays, empty."""
+    return suffixes.strip_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
     return packing.packed(docs, WORDS)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("exact dedup", exact_dedup), ("best-fit packing", packing_stage)]
+STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("exact dedup", exact_dedup), ("MinHash near-dedup", near_dedup), ("suffix-array dedup", suffix_dedup), ("best-fit packing", pack)]
 
 #: Tokens, signatures and suffixes are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
