@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from gleanery.llm.common import kept_in_worker
 
 #: Words that a worker remembers, and their bytes; beyond it starts anew, which costs time only.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 96 << 20
+REMEMBERED, REMEMBERED_BYTES = 1_500_000, 64 << 20
 #: Bytes of text that are worked on at a time.
 SLICE = 4 << 20
 
@@ -58,20 +59,57 @@ class Remembered(dict):
         self.size += len(word) + len(ids)
 
 
+def _is_one_token_run(s: str) -> bool:
+    """Letters only, and so after normalisation: the pattern leaves such a word whole."""
+    return s.isalpha() and (s.isascii() or (s.lower().isalpha() and is_normalized("NFC", s)))
+
+
+class Encoder:
+    """Ids of single words.  Words of letters are encoded many at a time, apart by spaces, and told apart by the tokens that end a word."""
+
+    def __init__(self, path: str):
+        import numpy as np
+
+        self.tokenizer = tokenizer(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _alone(self, part: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+    def _together(self, part: list[str]) -> list[bytes]:
+        import numpy as np
+
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(part):
+            return self._alone(part)
+        data, edges = ids.tobytes(), [0, *(last * 4).tolist()]
+        return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        whole: list[bytes] = []
+        other: list[bytes] = []
+        for w in words:
+            (whole if _is_one_token_run(w.decode("utf-8", "replace")) else other).append(w)
+        for some, how, step in ((whole, self._together, 256), (other, self._alone, 4096)):
+            for i in range(0, len(some), step):
+                part = some[i : i + step]
+                yield from zip(part, how([w.decode("utf-8", "replace") for w in part]), strict=True)
+
+
 def word_table(path: str, split: list[list[bytes]]) -> dict[bytes, bytes]:
     """A mapping that has the ids (little-endian unsigned 32-bit) of all given words."""
-    import numpy as np
-
     known: Remembered = kept_in_worker(f"words {path}", Remembered)
     known.make_room()
     missing: set[bytes] = set()
     for words in split:
         missing.update(words)
     missing.difference_update(known)
-    listed = list(missing)
-    encode = tokenizer(path).encode_batch_fast
-    for i in range(0, len(listed), 20_000):
-        part = listed[i : i + 20_000]
-        for word, found in zip(part, encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            known.add(word, np.array(found.ids, "<u4").tobytes())
+    if missing:
+        for word, ids in kept_in_worker(f"encoder {path}", lambda: Encoder(path)).encode(list(missing)):
+            known.add(word, ids)
     return known
