@@ -28,12 +28,23 @@ def texts(docs: DataFrame, *also: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *also)
 
 
-def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
-    """NULL-safe equality of the named columns, for a join on them."""
-    out = F.lit(True)
-    for name in names:
-        out &= a[name].eqNullSafe(b[name])
-    return out
+def wrapped(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` as one column ``row``, safe from clashing names, beside ``keys``."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *(v.alias(k) for k, v in keys.items()))
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of :func:`wrapped` with the columns of ``docs``."""
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def only(docs: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are a row of ``kept``, NULL equal to NULL."""
+    rows = wrapped(docs, **keys)
+    on = F.lit(True)
+    for k in keys:
+        on &= rows[k].eqNullSafe(kept[k])
+    return unwrapped(rows.join(kept, on, "left_semi"), docs)
 
 
 _made: list[tuple[SparkSession, str]] = []

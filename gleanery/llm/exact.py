@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import texts, written
+from gleanery.llm.common import texts, unwrapped, wrapped, written
 
 #: Leading characters that the sampled splitters of the range partitioning see.
 SPLITTER_CHARS = 48
@@ -47,8 +47,8 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
 
     Repeated rows with one id and one text stay once.
     """
-    stays = content_sort(docs, **options).filter("kept").select("doc_id", "text_sha256")
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    once = Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0))
-    joined = keyed.join(stays.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")))
-    return joined.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns)
+    kept = content_sort(docs, **options).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    rows = wrapped(docs, id=docs["doc_id"], sha=F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["sha"] == kept["sha"]), "left_semi")
+    once = Window.partitionBy("id", "sha").orderBy("id")
+    return unwrapped(rows.withColumn("n", F.row_number().over(once)).filter("n = 1"), docs)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import let
-from gleanery.llm.common import texts, written
+from gleanery.llm.common import only, texts, written
 
 # Fixed values of the contract: what ends a word, what counts as a symbol.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -142,6 +142,5 @@ def quality_rules(docs: DataFrame, *, max_rate: float = MAX_HOST_RATE) -> DataFr
 
 def drop_failing(docs: DataFrame, *, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """``docs`` without the rows that :func:`quality_rules` does not keep, all columns kept."""
-    kept = _judged(docs, max_rate).filter("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), "_h")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_host")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h"))
-    return docs.join(kept, same, "left_semi")
+    kept = _judged(docs, max_rate).filter("kept").select(F.col("doc_id").alias("id"), "host", F.col("_h").alias("hash"))
+    return only(docs, kept, id=docs["doc_id"], host=docs["source"], hash=F.xxhash64(F.coalesce(docs["text"], F.lit(""))))

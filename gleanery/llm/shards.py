@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import texts, written
+from gleanery.llm.common import texts, wrapped, written
 
 #: Bytes of text that a shard may hold.
 LIMIT = 4 << 20
@@ -96,8 +96,8 @@ def extendible_shards(docs: DataFrame, *, limit: int = LIMIT) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, *, limit: int = LIMIT) -> None:
     """Write ``docs``, all columns, to Parquet folders ``shard=<prefix>`` below ``path`` (one bucket: ``shard=all``)."""
-    keyed = docs.withColumn("_h", hash_bits()).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")) if "n_bytes" not in docs.columns else None
-    if keyed is None:
-        raise ValueError("n_bytes names the measured size; rename that column")
-    named = located(keyed, limit).withColumn("shard", F.coalesce(F.nullif(shard_name(), F.lit("")), F.lit("all")))
-    named.select(*docs.columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    if "shard" in docs.columns:
+        raise ValueError("the table has a column shard of its own")
+    rows = wrapped(docs, _h=hash_bits(), n_bytes=F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    named = located(rows, limit).withColumn("shard", F.coalesce(F.nullif(shard_name(), F.lit("")), F.lit("all")))
+    named.select(*(F.col("row")[c].alias(c) for c in docs.columns), "shard").repartition("shard").write.partitionBy("shard").parquet(path)

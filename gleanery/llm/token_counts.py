@@ -113,8 +113,21 @@ class TextPrefixes:
 
     def within(self, word: str, budget: int) -> tuple[int, int]:
         """Code points of the longest proper prefix of ``word`` with at most ``budget`` tokens, and its count."""
-        for n in range(len(word) - 1, 0, -1):
-            if (c := self.count(word[:n])) <= budget:
+        # a code point is a byte at least, so no longer prefix can do
+        most = min(len(word) - 1, budget * max(self.words.longest, *map(len, self.special)))
+        full = self.pattern.findall(self.tokenizer.normalizer.normalize_str(word[:most]))
+        before = [0]
+        for t in full:
+            before.append(before[-1] + self._of_token(t)[-1])
+        special = any(s in word[:most] for s in self.special)
+        for n in range(most, 0, -1):
+            here = self.pattern.findall(self.tokenizer.normalizer.normalize_str(word[:n]))
+            k = len(here)
+            if not special and k and here[:-1] == full[: k - 1] and k <= len(full) and full[k - 1].startswith(here[-1]):
+                c = before[k - 1] + self._of_token(full[k - 1])[len(here[-1].encode())]
+            else:
+                c = self.count(word[:n])
+            if c <= budget:
                 return n, c
         return 0, 0
 
