@@ -41,7 +41,7 @@ SHALLOW = 64
 #: Contexts of an anchor beyond which they are grouped by what UNIT neighbouring passages share.
 MANY, UNIT = 2000, 16
 #: Passages of a text that are looked at together, and rows of a sort.
-STRETCH, SORTED = 4 << 20, 16_384
+STRETCH, SORTED = 1 << 20, 16_384
 
 U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -61,7 +61,7 @@ def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
             out.append(tuple(pair))
         return out
 
-    size = max(1 << 23, 1 << n.bit_length())
+    size = max(1 << 21, 1 << n.bit_length())
     with np.errstate(over="ignore"):
         return kept_in_worker(f"powers {size}", make)
 
