@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,9 @@ from gleanery.operators.names import unique_names
 from gleanery.plans.flagship import site_report
 from gleanery.session import checkpoint_dir, scratch_path
 from gleanery.sources import writers
-from gleanery.sources.readers import parse_documents, parse_sidecars, read_captures, stream_captures, table
+from gleanery.sources.readers import parse_documents, read_captures, read_sidecars, stream_captures, table
 from gleanery.streaming import jobs, stateful
-from gleanery.streaming.run import drain, event_stream
+from gleanery.streaming.run import drain, drain_to_end, event_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -474,7 +475,7 @@ def _s4(spark, d):
     index = records.select("id", "source", "medium", "title", F.col("captured").alias("saved_at"), "tags")
     body = documents.clip_documents(records).join(records.select("id", "medium"), "id")
     writers.write_clips(path, "b1", None, body, index)
-    back = spark.read.parquet(f"{path}/documents").select("id", "medium", F.length("document").alias("size"))
+    back = spark.read.parquet(f"{path}/documents").select("id", "medium", "document")
     return back.join(spark.read.parquet(f"{path}/index").select("id", "source", "tags"), "id")
 
 
@@ -496,9 +497,8 @@ def _s5(spark, d):
 @query("s3_read_sidecars")
 def _s3(spark, d):
     path = scratch_path(spark, "sidecars")
-    lines = writers.sidecar_json(sidecars_of(spark, d))
-    lines.select("value").write.text(path)
-    return parse_sidecars(spark.read.text(path))
+    writers.write_sidecars(sidecars_of(spark, d), path)
+    return read_sidecars(spark, path)
 
 
 @query("s2_read_clip_library")
@@ -512,11 +512,29 @@ def _s6(spark, d):
     return drain(stream_captures(spark, d).select("page_id", "url", "html", "kind"), "captures")
 
 
+def disordered_events(spark, d):
+    """The events in eight files that are not ordered by time, two to a trigger, and how far apart they are."""
+    events = table(spark, d, "events")
+    path = scratch_path(spark, "events")
+    events.repartition(8, "event_id").write.parquet(path)
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    delay = int((hi - lo).total_seconds()) + 1
+    return event_stream(spark, path, 2, "*.parquet"), f"{delay} seconds", hi + datetime.timedelta(seconds=delay, days=30)
+
+
+def to_end(spark, d, columns, build, name):
+    """``build(stream, delay)`` over disordered events with ``key, id, ts`` and ``columns``, to its end."""
+    events, delay, after = disordered_events(spark, d)
+    stream = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", *columns)
+    end = (-1, -1, after, *(-1 if kind == "bigint" else "" for _, kind in stream.dtypes[3:]))
+    return drain_to_end(stream, lambda source: build(source, delay), name, end)
+
+
 @query("st1_stream_once")
 def _st1(spark, d):
-    events = event_stream(spark, d)
+    events, delay, _ = disordered_events(spark, d)
     replayed = events.withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2)))).select(F.col("event_id").alias("op_id"), "ts", "event_type")
-    return drain(jobs.stream_once(replayed), "once")
+    return drain(jobs.stream_once(replayed, delay), "once")
 
 
 def keyed_events(spark, d):
@@ -534,26 +552,25 @@ def _st2(spark, d):
 
 @query("st3_stream_threads")
 def _st3(spark, d):
-    return drain(jobs.stream_threads(keyed_events(spark, d).select("key", "ts"), "6 hours", max_posts=3, max_time=36000), "threads")
+    return to_end(spark, d, [], lambda s, delay: jobs.stream_threads(s.select("key", "ts"), "6 hours", delay, max_posts=3, max_time=36000), "threads")
 
 
 @query("st4_stream_pending_queue")
 def _st4(spark, d):
     kind = F.when(F.col("event_type") == "purchase", "grant").when(F.col("event_type") == "error", "revoke").otherwise("push")
-    return drain(stateful.stream_pending_queue(keyed_events(spark, d).select("key", "id", "ts", kind.alias("kind"))), "pending")
+    return to_end(spark, d, [kind.alias("kind")], stateful.stream_pending_queue, "pending")
 
 
 @query("st5_stream_throttle")
 def _st5(spark, d):
     phase = F.when(F.col("event_type") == "purchase", "finished").otherwise("running")
     # events are hours apart: an interval of six hours
-    updates = keyed_events(spark, d).select("key", "id", "ts", phase.alias("phase"))
-    return drain(stateful.stream_throttle(updates, 6 * 3600 * 1000), "throttle")
+    return to_end(spark, d, [phase.alias("phase")], lambda s, delay: stateful.stream_throttle(s, delay, 6 * 3600 * 1000), "throttle")
 
 
 @query("st6_stream_batches")
 def _st6(spark, d):
-    return drain(jobs.stream_batches(keyed_events(spark, d).select("key", "ts"), seconds=6 * 3600), "batches")
+    return to_end(spark, d, [], lambda s, delay: jobs.stream_batches(s.select("key", "ts"), delay, seconds=6 * 3600), "batches")
 
 
 @query("st7_stream_take")
@@ -569,8 +586,7 @@ def _st7(spark, d):
 @query("st8_stream_generation_guard")
 def _st8(spark, d):
     generation = F.dayofmonth("ts") - F.when(F.col("event_type") == "error", 3).otherwise(0)
-    updates = keyed_events(spark, d).select("key", "id", "ts", generation.cast("bigint").alias("generation"))
-    return drain(stateful.stream_generation_guard(updates), "guard")
+    return to_end(spark, d, [generation.cast("bigint").alias("generation")], stateful.stream_generation_guard, "guard")
 
 
 # --- units, translation --------------------------------------------------------

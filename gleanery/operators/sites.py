@@ -17,7 +17,9 @@ def default_suffixes(spark: SparkSession) -> DataFrame:
 
 
 def registrable_domains(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """``host, domain``: public suffix plus one label; hosts without one drop out.
+    """``host, domain``: public suffix plus one label; hosts that are no more than a suffix drop out.
+
+    Where no rule matches, the last label is the suffix.
 
     Works on distinct hosts, so a hot host is looked up once.  The suffix join
     carries no broadcast hint: the size check stays with the optimizer.
@@ -29,7 +31,9 @@ def registrable_domains(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     candidates = tail.select(
         "host", "labels", "n", F.explode(F.array("tail", F.concat(F.lit("!"), F.col("tail")), F.regexp_replace("tail", r"^[^.]*", "*"))).alias("suffix")
     )
-    hit = candidates.join(suffixes.select("suffix").distinct(), "suffix")
+    given = suffixes.select("suffix", F.lit(True).alias("given")).distinct()
+    # the last label by itself is the rule where no other is given
+    hit = candidates.join(given, "suffix", "left").where(F.col("given") | ((F.col("n") == 1) & (F.col("suffix") == F.element_at("labels", -1))))
     exception = F.col("suffix").startswith("!")
     # an exception rule beats every other; its suffix is one label shorter
     longest = hit.groupBy("host", "labels").agg(

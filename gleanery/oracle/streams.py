@@ -19,7 +19,7 @@ SELECT doc_id, CASE WHEN n = '' THEN 'Untitled' WHEN length(n) > 60 THEN left(n,
     "w8_unique_names": """WITH t AS (SELECT DISTINCT p_name FROM part WHERE p_size = 1),
 r AS (SELECT p_partkey AS id, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) + CASE WHEN p_name IN (SELECT p_name FROM t) THEN 1 ELSE 0 END AS n FROM part)
 SELECT id, p_name || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.md' AS file FROM r""",
-    "s4_write_clips": f"WITH doc AS ({DOC}), s AS ({STORED}) SELECT id, medium, length(document) AS size, source, tags FROM doc JOIN s USING (id)",
+    "s4_write_clips": f"WITH doc AS ({DOC}), s AS ({STORED}) SELECT id, medium, document, source, tags FROM doc JOIN s USING (id)",
     "s5_sidecar_json": f"WITH {SIDE} SELECT id, to_json(side)::VARCHAR AS value FROM side",
     "s3_read_sidecars": f"WITH {SIDE} SELECT * FROM side",
     "s2_read_clip_library": f"""WITH doc AS ({DOC}), s AS ({STORED})
@@ -31,12 +31,12 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY ts DESC, id DESC) = 1"""
     "st3_stream_threads": """WITH g AS (SELECT user_id AS key, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(o) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
 a AS (SELECT key, min(ts) AS opened, max(ts) + INTERVAL 6 HOUR AS closed, count(*) AS n, max(ts) - min(ts) >= INTERVAL 10 HOUR AS timeout FROM s GROUP BY key, s.n)
-SELECT key, opened, closed, n, n > 3 AS "limit", timeout, n > 3 OR timeout AS partial FROM a WHERE closed <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""",
+SELECT key, opened, closed, n, n > 3 AS "limit", timeout, n > 3 OR timeout AS partial FROM a""",
     "st4_stream_pending_queue": f"""WITH {CTRL},
 q AS (SELECT key, id, ts AS queued_at, next_grant AS saved_at, row_number() OVER (PARTITION BY key, next_grant ORDER BY ts DESC, id DESC) AS rn FROM c WHERE kind = 'push' AND coalesce(state, 'revoke') = 'revoke' AND next_grant IS NOT NULL)
 SELECT key, id, queued_at, saved_at FROM q WHERE rn <= 20 UNION ALL SELECT key, id, ts, ts FROM c WHERE kind = 'push' AND state = 'grant'""",
     "st6_stream_batches": """WITH w AS (SELECT user_id AS key, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS opened, count(*) AS units, max(ts) AS last_ts FROM events GROUP BY 1, 2)
-SELECT * FROM w WHERE opened + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""",
+SELECT * FROM w""",
     "st7_stream_take": """WITH r AS (SELECT user_id AS key, ts, event_id AS id FROM events WHERE event_type = 'click'), o AS (SELECT user_id AS key, ts, event_id AS id FROM events WHERE event_type = 'view'),
 p AS (SELECT r.key, r.id AS request_id, r.ts AS asked, o.id AS open_id, o.ts AS opened FROM r JOIN o ON r.key = o.key AND o.ts BETWEEN r.ts AND r.ts + INTERVAL 7200 SECOND),
 f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY key, request_id ORDER BY opened, open_id) = 1)
@@ -52,7 +52,7 @@ r AS (SELECT key, rn, now, now AS last, phase, NULL::BIGINT AS wid, NULL::BIGINT
   FROM (SELECT e.key, e.rn, e.now, e.id, e.phase, r.phase AS before, CASE WHEN r.wdue <= e.now THEN r.wdue ELSE r.last END AS last1,
     CASE WHEN r.wdue <= e.now THEN r.wid END AS fid, CASE WHEN r.wdue <= e.now THEN r.wdue END AS fat FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1)))
 SELECT key, fid AS id, fat AS sent_at_ms FROM r WHERE fid IS NOT NULL UNION ALL SELECT key, sid, now FROM r WHERE sid IS NOT NULL
-UNION ALL SELECT key, wid, wdue FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1) WHERE wdue <= (SELECT max(now) FROM e)""",
+UNION ALL SELECT key, wid, wdue FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1) WHERE wid IS NOT NULL""",
 }
 
 # the edited document is the one that would be built from the edited values,

@@ -16,14 +16,20 @@ MEDIA_KINDS = ["image", "audio", "video", "pdf", "epub"]
 TEXT_TABLES = {"pages", "documents"}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a few files out to all cores.
+#: Bytes of a text table up to which its rows are dealt out anew.
+SMALL_TABLE = 256 << 20
 
-    A text table in fewer files than there are cores would keep all per-row
-    work in a few tasks.  A large table has more files and is left alone.
+
+def spread(df: DataFrame, most: int = SMALL_TABLE) -> DataFrame:
+    """Deal the rows of a small table out to all cores.
+
+    A file of one row group is one task, however many cores there are.  Only a
+    table of at most ``most`` bytes, by the optimizer's estimate, is shuffled
+    for that; a larger one is read as its scan splits it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = size <= most
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -121,6 +127,11 @@ def parse_sidecars(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """The ``.meta/*.json`` sidecars of a library folder."""
+    """The sidecars below ``.meta`` of a library folder.
+
+    A ``.json`` file is one record; a ``.txt`` file, as the sink writes them,
+    has one on every line.
+    """
     files = spark.read.option("pathGlobFilter", "*.json").text(f"{path}/.meta", wholetext=True)
-    return parse_sidecars(files)
+    lines = spark.read.option("pathGlobFilter", "*.txt").text(f"{path}/.meta")
+    return parse_sidecars(files.unionByName(lines))

@@ -34,5 +34,5 @@ def sidecar_json(df: DataFrame) -> DataFrame:
 
 
 def write_sidecars(df: DataFrame, path: str) -> None:
-    """Sidecars as JSON lines below ``path/.meta``."""
+    """Sidecars as JSON lines below ``path/.meta``, as :func:`read_sidecars` reads them."""
     sidecar_json(df).select("value").write.mode("overwrite").text(f"{path}/.meta")

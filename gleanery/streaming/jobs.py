@@ -1,4 +1,9 @@
-"""Event-time jobs on built-in streaming operators, and their batch twins."""
+"""Event-time jobs on built-in streaming operators, and their batch twins.
+
+``delay`` is the caller's: how far the input may be out of order.  A row later
+than that is dropped, as nothing else bounds the state; windows still open at
+the end of a finite input close with :func:`gleanery.streaming.run.drain_to_end`.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,7 @@ FLUSH_SECONDS = 15
 TTL_SECONDS = 30
 
 
-def stream_once(operations: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stream_once(operations: DataFrame, delay: str) -> DataFrame:
     """Each operation takes effect once, however often it is replayed.
 
     ``operations``: ``op_id, ts, …``.  State is kept per id for ``delay`` past
@@ -54,7 +59,7 @@ def thread_sessions(events: DataFrame, gap: str, max_posts: int = MAX_POSTS, max
     )
 
 
-def stream_threads(events: DataFrame, gap: str, delay: str = "0 seconds", **limits: int) -> DataFrame:
+def stream_threads(events: DataFrame, gap: str, delay: str, **limits: int) -> DataFrame:
     return thread_sessions(events.withWatermark("ts", delay), gap, **limits)
 
 
@@ -68,7 +73,7 @@ def flush_batches(units: DataFrame, seconds: int = FLUSH_SECONDS) -> DataFrame:
     return grouped.select("key", F.col("window.start").alias("opened"), "units", "last_ts")
 
 
-def stream_batches(units: DataFrame, seconds: int = FLUSH_SECONDS, delay: str = "0 seconds") -> DataFrame:
+def stream_batches(units: DataFrame, delay: str, seconds: int = FLUSH_SECONDS) -> DataFrame:
     return flush_batches(units.withWatermark("ts", delay), seconds)
 
 

@@ -13,10 +13,10 @@ from gleanery.session import scratch_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64, files: str = "events*.parquet") -> DataFrame:
     """The event table as an unbounded file source."""
     source = spark.readStream.schema(S.EVENTS).option("maxFilesPerTrigger", files_per_trigger)
-    return source.option("pathGlobFilter", "events*.parquet").parquet(folder)
+    return source.option("pathGlobFilter", files).parquet(folder)
 
 
 @contextmanager
@@ -46,6 +46,32 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
 
 
+def drain_to_end(source: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, end: tuple) -> DataFrame:
+    """Process all input of a finite stream, then close what waits for later events.
+
+    ``build`` makes the job from the source.  When all input has been read,
+    ``end``, a row of the source with a key of its own and a time beyond every
+    delay and gap, follows through a second folder; it carries the watermark
+    past all windows and timers.  A restart goes on from the same progress.
+    """
+    spark = source.sparkSession
+    root = scratch_path(spark, name)
+    marks = f"{root}/marks"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marks)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    stream = build(source.unionByName(spark.readStream.schema(source.schema).parquet(marks)))
+
+    def available() -> None:
+        with rocksdb_state(spark):
+            writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            writer.option("path", f"{root}/data").option("checkpointLocation", f"{root}/progress").start().awaitTermination()
+
+    available()
+    spark.createDataFrame([end], source.schema).coalesce(1).write.mode("append").parquet(marks)
+    available()
+    return spark.read.schema(stream.schema).parquet(f"{root}/data")
+
+
 def drain_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int, str], None]) -> str:
     """Process all available input through ``each(batch, number, root)``."""
     root = scratch_path(stream.sparkSession, name)

@@ -1,8 +1,9 @@
 """Keyed state the built-in streaming operators cannot hold.
 
-Each processor sees the rows of one key in one trigger, in event order.  The
-trigger size (``maxFilesPerTrigger``) bounds how many that can be; what is kept
-between triggers is a few values per key.
+What counts is the order of events, not of arrival: rows of a key wait until
+the watermark has passed them and are then taken in order, so the number of
+files in a trigger decides nothing.  The caller's delay bounds how long rows
+wait; it must cover how far the input is out of order.
 """
 
 from __future__ import annotations
@@ -20,140 +21,195 @@ from gleanery.session import ship_package
 THROTTLE_MS = 400
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], kind="stable")
+class InEventOrder(StatefulProcessor):
+    """Hands the rows of a key to :meth:`take` in the order of ``ts, id``.
 
+    One timer per key is kept at its earliest waiting row, or at a time that
+    :meth:`due` asks for.
+    """
 
-class GenerationGuard(StatefulProcessor):
-    """Drops updates of an older run than the newest seen for the key."""
+    #: Columns of a row after ``id`` and its time in microseconds.
+    more: dict[str, str] = {}
+    #: Columns of the result after ``key``.
+    made: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "generation bigint")
+        self.handle = handle
+        extra = "".join(f", {name} {kind}" for name, kind in self.more.items())
+        self.held = handle.getListState("held", f"id bigint, us bigint{extra}")
+        self.timer = handle.getValueState("timer", "at bigint")
+        self.begin(handle)
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        """State of the job itself."""
+
+    def take(self, rows: list[tuple], watermark: int) -> list[tuple]:
+        """Results of rows in order; no row before ``watermark`` (in ms) will follow."""
+        raise NotImplementedError
+
+    def due(self) -> int | None:
+        """When the job wants to be called without a row, in ms."""
+        return None
+
+    def _wake(self, at: int | None) -> None:
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if at == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+            self.timer.clear()
+        if at is not None:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=self.made)
+        frame.insert(0, "key", key[0])
+        return frame.astype({"key": "int64"} | {c: "datetime64[us]" if c == "ts" or c.endswith("_at") else "int64" for c in self.made})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows)
-        seen = self.newest.get()[0] if self.newest.exists() else None
-        running = frame["generation"].cummax()
-        if seen is not None:
-            running = running.clip(lower=seen)
-        self.newest.update((int(running.iloc[-1]),))
-        kept = frame[frame["generation"] >= running]
-        yield kept[["key", "id", "ts", "generation"]]
+        first = self.timer.get()[0] if self.timer.exists() else None
+        for frame in rows:
+            us = frame["ts"].astype("datetime64[us]").astype("int64")
+            self.held.appendList(list(zip(frame["id"].tolist(), us.tolist(), *(frame[c].tolist() for c in self.more), strict=True)))
+            at = int(us.min()) // 1000 + 1
+            first = at if first is None else min(first, at)
+        self._wake(first)
+        yield self._frame(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        ready, rest = [], []
+        for row in self.held.get() if self.held.exists() else ():
+            (ready if row[1] // 1000 < watermark else rest).append(tuple(row))
+        out = self.take(sorted(ready, key=lambda r: (r[1], r[0])), watermark)
+        self.held.put(rest) if rest else self.held.clear()
+        times = [min(r[1] for r in rest) // 1000 + 1] if rest else []
+        if (due := self.due()) is not None:
+            times.append(due + 1)
+        self.timer.clear()
+        self._wake(min(times, default=None))
+        yield self._frame(key, out)
 
     def close(self) -> None:
         pass
 
 
-class PendingQueue(StatefulProcessor):
-    """Items wait per key, newest 20, until a grant drains them in order.
+class GenerationGuard(InEventOrder):
+    """Drops updates of an older run than the newest before them."""
+
+    more = {"generation": "bigint"}
+    made = ["id", "ts", "generation"]
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "generation bigint")
+
+    def take(self, rows: list[tuple], watermark: int) -> list[tuple]:
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        out = []
+        for item, us, generation in rows:
+            if newest is None or generation >= newest:
+                newest = generation
+                out.append((item, us, generation))
+        if newest is not None:
+            self.newest.update((int(newest),))
+        return out
+
+
+class PendingQueue(InEventOrder):
+    """Items wait per key, newest ``limit``, until a grant drains them in order.
 
     While granted, items pass at once; a revoke makes them wait again.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    more = {"kind": "string"}
+    made = ["id", "queued_at", "saved_at"]
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
         self.granted = handle.getValueState("granted", "granted boolean")
-        self.waiting = handle.getListState("waiting", "id bigint, ts timestamp")
+        self.waiting = handle.getListState("waiting", "id bigint, us bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def take(self, rows: list[tuple], watermark: int) -> list[tuple]:
         granted = bool(self.granted.get()[0]) if self.granted.exists() else False
-        queue = [(row[0], row[1]) for row in self.waiting.get()] if self.waiting.exists() else []
+        queue = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
         out = []
-        for row in _in_order(rows).itertuples():
-            if row.kind == "revoke":
+        for item, us, kind in rows:
+            if kind == "revoke":
                 granted = False
-            elif row.kind == "grant":
+            elif kind == "grant":
                 granted = True
-                out += [(key[0], i, t, row.ts) for i, t in queue]
+                out += [(i, t, us) for i, t in queue]
                 queue = []
             elif granted:
-                out.append((key[0], row.id, row.ts, row.ts))
+                out.append((item, us, us))
             else:
-                queue = (queue + [(row.id, row.ts)])[-LIMITS["pending"] :]
+                queue = [*queue, (item, us)][-self.limit :]
         self.granted.update((granted,))
-        if queue:
-            self.waiting.put([(int(i), pd.Timestamp(t).to_pydatetime()) for i, t in queue])
-        else:
-            self.waiting.clear()
-        yield pd.DataFrame(out, columns=["key", "id", "queued_at", "saved_at"])
-
-    def close(self) -> None:
-        pass
+        self.waiting.put(queue) if queue else self.waiting.clear()
+        return out
 
 
-class Throttle(StatefulProcessor):
+class Throttle(InEventOrder):
     """At most one update per key and interval.
 
     A change of phase goes out at once; otherwise the latest value waits for
     the end of the interval, so the last one is never lost.
     """
 
+    more = {"phase": "string"}
+    made = ["id", "sent_at_ms"]
+
     def __init__(self, interval_ms: int) -> None:
         self.interval = interval_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def begin(self, handle: StatefulProcessorHandle) -> None:
         self.sent = handle.getValueState("sent", "at bigint, phase string")
         self.pending = handle.getValueState("pending", "id bigint, due bigint")
 
-    @staticmethod
-    def _frame(key, out) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["id", "at"])
-        return pd.DataFrame({"key": key[0], "id": frame["id"].astype("int64"), "sent_at_ms": frame["at"].astype("int64")})
+    def due(self) -> int | None:
+        return self.pending.get()[1] if self.pending.exists() else None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def take(self, rows: list[tuple], watermark: int) -> list[tuple]:
         last, phase = self.sent.get() if self.sent.exists() else (None, None)
         waiting = tuple(self.pending.get()) if self.pending.exists() else None
-        if waiting:
-            self.handle.deleteTimer(waiting[1])
         out = []
-        for row in _in_order(rows).itertuples():
-            now = int(row.ts.value // 1_000_000)
+        for item, us, now_phase in rows:
+            now = us // 1000
             if waiting and waiting[1] <= now:
                 out.append(waiting)
                 last, waiting = waiting[1], None
-            if row.phase != phase or row.phase == "finished" or now - last >= self.interval:
-                out.append((row.id, now))
-                last, phase, waiting = now, row.phase, None
+            if now_phase != phase or now_phase == "finished" or now - last >= self.interval:
+                out.append((item, now))
+                last, phase, waiting = now, now_phase, None
             else:
-                waiting = (row.id, last + self.interval)
-        self.sent.update((int(last), phase))
-        if waiting:
-            self.pending.update((int(waiting[0]), int(waiting[1])))
-            self.handle.registerTimer(int(waiting[1]))
-        else:
-            self.pending.clear()
-        yield self._frame(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.pending.exists():
-            return
-        item, due = self.pending.get()
-        phase = self.sent.get()[1]
-        self.sent.update((int(due), phase))
-        self.pending.clear()
-        yield self._frame(key, [(item, due)])
-
-    def close(self) -> None:
-        pass
+                waiting = (item, last + self.interval)
+        if waiting and waiting[1] < watermark:
+            out.append(waiting)
+            last, waiting = waiting[1], None
+        if last is not None:
+            self.sent.update((int(last), phase))
+        self.pending.update((int(waiting[0]), int(waiting[1]))) if waiting else self.pending.clear()
+        return out
 
 
-def _run(rows: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
+def _run(rows: DataFrame, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
     ship_package()
-    return rows.groupBy("key").transformWithStateInPandas(processor, schema, "Append", time_mode)
+    return rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
-def stream_generation_guard(updates: DataFrame) -> DataFrame:
+def stream_generation_guard(updates: DataFrame, delay: str) -> DataFrame:
     """``updates``: ``key, id, ts, generation``."""
-    return _run(updates, GenerationGuard(), "key bigint, id bigint, ts timestamp, generation bigint")
+    return _run(updates, GenerationGuard(), "key bigint, id bigint, ts timestamp, generation bigint", delay)
 
 
-def stream_pending_queue(events: DataFrame) -> DataFrame:
+def stream_pending_queue(events: DataFrame, delay: str, limit: int = LIMITS["pending"]) -> DataFrame:
     """``events``: ``key, id, ts, kind`` with kind push, grant or revoke."""
-    return _run(events, PendingQueue(), "key bigint, id bigint, queued_at timestamp, saved_at timestamp")
+    return _run(events, PendingQueue(limit), "key bigint, id bigint, queued_at timestamp, saved_at timestamp", delay)
 
 
-def stream_throttle(updates: DataFrame, interval_ms: int = THROTTLE_MS, delay: str = "0 seconds") -> DataFrame:
-    """``updates``: ``key, id, ts, phase``; timers follow the watermark."""
-    return _run(
-        updates.withWatermark("ts", delay), Throttle(interval_ms), "key bigint, id bigint, sent_at_ms bigint", "EventTime"
-    )
+def stream_throttle(updates: DataFrame, delay: str, interval_ms: int = THROTTLE_MS) -> DataFrame:
+    """``updates``: ``key, id, ts, phase``; a value that waits goes out when the watermark passes its time."""
+    return _run(updates, Throttle(interval_ms), "key bigint, id bigint, sent_at_ms bigint", delay)

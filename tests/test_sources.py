@@ -30,6 +30,7 @@ def test_sidecars(spark, tmp_path):
     write_sidecars(parse_sidecars(df), str(tmp_path / "lib"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "lib" / ".meta")).collect()]
     assert list(lines[0]) == ["id", "file", "source", "media_url", "medium", "title", "site", "captured", "bytes", "mime", "tags", "note"]
+    assert sorted(map(tuple, read_sidecars(spark, str(tmp_path / "lib")).collect())) == sorted(map(tuple, parse_sidecars(df).collect()))
     folder = tmp_path / "one" / ".meta"
     folder.mkdir(parents=True)
     (folder / "x.json").write_text(json.dumps(raw[0], indent=2))

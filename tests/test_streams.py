@@ -1,15 +1,30 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from gleanery.streaming.run import drain, event_stream
+from gleanery.streaming.jobs import stream_once, stream_threads, thread_sessions
+from gleanery.streaming.run import drain, drain_to_end, event_stream
 from gleanery.streaming.stateful import stream_throttle
 
 HOURS = 3600 * 1000
+DELAY = "60 days"
+END = (-1, -1, datetime.datetime(2100, 1, 1))
 
 
-def brute(rows, interval, horizon):
-    """Timers up to the newest event of all keys fire."""
+@pytest.fixture(scope="module")
+def shuffled(spark, folder, tmp_path_factory):
+    """The events in six files that are not ordered by time."""
+    path = str(tmp_path_factory.mktemp("events") / "files")
+    spark.read.parquet(f"{folder}/events.parquet").repartition(6, "event_id").write.parquet(path)
+    return path
+
+
+def keyed(spark, path, per_trigger, *more):
+    return event_stream(spark, path, per_trigger, "*.parquet").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", *more)
+
+
+def brute(rows, interval):
     out, by_key = set(), {}
     for key, id_, ms, phase in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
         by_key.setdefault(key, []).append((id_, ms, phase))
@@ -24,17 +39,30 @@ def brute(rows, interval, horizon):
                 last, phase_before, waiting = now, phase, None
             else:
                 waiting = (id_, last + interval)
-        if waiting and waiting[1] <= horizon:
+        if waiting:
             out.add((key, *waiting))
     return out
 
 
-def test_throttle(spark, folder):
-    events = event_stream(spark, folder)
+@pytest.mark.parametrize("per_trigger", [1, 64])
+def test_throttle(spark, folder, shuffled, per_trigger):
     phase = F.when(F.col("event_type") == "purchase", "finished").otherwise("running")
-    stream = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", phase.alias("phase"))
-    got = {(r.key, r.id, r.sent_at_ms) for r in drain(stream_throttle(stream, 24 * HOURS), "throttle").collect()}
+    stream = keyed(spark, shuffled, per_trigger, phase.alias("phase"))
+    got = drain_to_end(stream, lambda s: stream_throttle(s, DELAY, 24 * HOURS), "throttle", (*END, ""))
     batch = spark.read.parquet(f"{folder}/events.parquet").select("user_id", "event_id", "ts", phase.alias("phase")).collect()
     epoch = datetime.datetime(1970, 1, 1)
     rows = [(r[0], r[1], (r[2] - epoch) // datetime.timedelta(milliseconds=1), r[3]) for r in batch]
-    assert got == brute(rows, 24 * HOURS, max(r[2] for r in rows))
+    assert {(r.key, r.id, r.sent_at_ms) for r in got.collect()} == brute(rows, 24 * HOURS)
+
+
+@pytest.mark.parametrize("per_trigger", [1, 4])
+def test_threads_lose_nothing(spark, folder, shuffled, per_trigger):
+    got = drain_to_end(keyed(spark, shuffled, per_trigger), lambda s: stream_threads(s.select("key", "ts"), "6 hours", DELAY, max_posts=3), "threads", END)
+    want = thread_sessions(spark.read.parquet(f"{folder}/events.parquet").select(F.col("user_id").alias("key"), "ts"), "6 hours", max_posts=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_once_keeps_late_rows(spark, folder, shuffled):
+    twice = keyed(spark, shuffled, 1).select(F.explode(F.array("id", "id")).alias("op_id"), "ts")
+    got = [r.op_id for r in drain(stream_once(twice, DELAY), "once").collect()]
+    assert sorted(got) == sorted(r.event_id for r in spark.read.parquet(f"{folder}/events.parquet").collect())
