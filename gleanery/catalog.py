@@ -295,7 +295,7 @@ def _j4(spark, d):
 
 @query("j5_same_site_links")
 def _j5(spark, d):
-    return sites.same_site_links(derive.neighbour_links(spark, d), sites.default_suffixes(spark))
+    return sites.same_site_links(derive.page_targets(spark, d), sites.default_suffixes(spark))
 
 
 @query("a7_distinct_media")

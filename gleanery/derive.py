@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.operators.pages import page_links
 from gleanery.sources.readers import table
 
 # Stand-ins for headers a server would send.
@@ -90,11 +91,13 @@ def image_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), body.alias("body"))
 
 
-def neighbour_links(spark: SparkSession, d: str) -> DataFrame:
-    """Each page linked to the page numbered after it."""
-    pages = table(spark, d, "pages").select("page_id", "url")
-    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("link"))
-    return pages.join(after, "page_id").select("page_id", F.col("url").alias("page_url"), F.col("link").alias("url"))
+def page_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The links of each page, and one to the page numbered after it, beside the page's address."""
+    pages = table(spark, d, "pages")
+    named = pages.select("page_id", F.col("url").alias("page_url"))
+    own = page_links(pages).select("page_id", "url").join(named, "page_id")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), "url").join(named, "page_id")
+    return own.unionByName(after).select("page_id", "page_url", "url")
 
 
 def stored_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -80,8 +80,6 @@ def collect_quotes(quotes: DataFrame, per_part: int = ENTRIES_PER_PART) -> DataF
     into parts of ``per_part`` entries, so a page that holds a third of all
     quotes is many rows; the parts in order, joined, are the document.
     """
-    from pyspark.sql import Window
-
     anchored = quote_anchors(quotes)
     ranked = rank_in_key(anchored, ["source"], ["ts", "id"], F.date_trunc("day", F.col("ts")), "entry_no")
     entries = ranked.select(
@@ -92,8 +90,9 @@ def collect_quotes(quotes: DataFrame, per_part: int = ENTRIES_PER_PART) -> DataF
     parts = entries.groupBy("source", "part").agg(
         F.count("*").alias("n"), F.array_join(ordered, "\n\n").alias("body"), F.min_by(F.struct("id", "title", "ts"), "entry_no").alias("head")
     )
-    total = F.sum("n").over(Window.partitionBy("source"))
-    sized = parts.withColumn("entries", total)
+    # counted on narrow rows: a window over the parts would bring all text of a hot page to one task
+    totals = quotes.where("source IS NOT NULL AND ts IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("entries"))
+    sized = parts.join(totals, "source")
     first = clip_documents(
         sized.where("part = 0").select(
             F.col("source").alias("id"), F.col("source"), F.lit("quote").alias("medium"), F.col("head.title").alias("title"),

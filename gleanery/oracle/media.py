@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from gleanery.derive import BRAND_TYPE, TYPE_KIND, TYPE_SUFFIX
-from gleanery.oracle.pages import WS, canonical
+from gleanery.oracle.pages import LINKS as PAGE_LINKS, WS, canonical
 
 
 def case(column: str, table: dict[str, str], default: str) -> str:
@@ -81,7 +81,8 @@ SELECT id, coalesce({TYPE_KIND_SQL}, CASE WHEN mime IN ('', 'application/octet-s
   CASE coalesce(nullif(nsuf, ''), usuf) WHEN 'jpeg' THEN 'jpg' WHEN 'pdf' THEN 'pdf' WHEN 'mp4' THEN 'mp4' WHEN 'epub' THEN 'epub' WHEN 'flac' THEN 'flac' END, 'bin') AS ext FROM items""",
     "j4_image_types": f"""WITH {ITEMS} SELECT id, CASE WHEN mime = 'image/jpeg' THEN 'jpg' WHEN mime = 'image/png' THEN 'png' WHEN mime = 'image/svg+xml' THEN 'svg'
   WHEN mime LIKE 'text/%' OR mime = 'application/json' THEN NULL WHEN usuf = 'jpeg' THEN 'jpg' END AS ext FROM items""",
-    "j5_same_site_links": """WITH p AS (SELECT a.page_id, a.url AS page_url, b.url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1),
+    "j5_same_site_links": f"""WITH {PAGE_LINKS}, p AS (SELECT l.page_id, a.url AS page_url, l.url FROM links l JOIN pages a USING (page_id)
+  UNION ALL SELECT a.page_id, a.url, b.url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1),
 h AS (SELECT *, regexp_extract(page_url, '^(https?)', 1) = regexp_extract(url, '^(https?)', 1) AS scheme,
   regexp_extract(page_url, '^https?://([^/?#]*)', 1) AS a, regexp_extract(url, '^https?://([^/?#]*)', 1) AS b FROM p),
 s AS (SELECT page_id, url, scheme AND (a = b OR regexp_extract(a, '[^.]+\\.[^.]+$') = regexp_extract(b, '[^.]+\\.[^.]+$')) AS same_site FROM h)
