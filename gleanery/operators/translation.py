@@ -6,14 +6,13 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.engines import EngineError
 from gleanery.functions.language import api_tag
 from gleanery.functions.text import trim_ws
 from gleanery.operators.chunks import pieces_of
-from gleanery.plans.sizes import broadcast_if_small
 from gleanery.session import ship_package
 
 # Detection sample and confidence, and the error classes.
@@ -114,36 +113,28 @@ def _grams(docs: DataFrame, keep: list[str], size: int = 3) -> DataFrame:
     return padded.select(*keep, F.explode(F.transform(starts, lambda i: F.substring(F.col("s"), i, F.lit(size)))).alias("gram"))
 
 
-#: Grams per language in a profile, and the most rows of all that are broadcast.
-PROFILE_GRAMS = 400
-PROFILE_ROWS = 200_000
-
-
-def language_profiles(labelled: DataFrame, grams: int = PROFILE_GRAMS) -> DataFrame:
+def language_profiles(labelled: DataFrame) -> DataFrame:
     """``lang, gram, weight`` from documents whose language is known.
 
-    Weight: log share of the gram in its language, over the most frequent
-    grams only.
+    Weight: log share of the gram in its language.
     """
     counts = _grams(labelled, ["lang"]).groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= grams)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    return top.join(totals, "lang").select("lang", "gram", F.log(F.col("n") / F.col("total")).alias("weight"))
+    return counts.join(totals, "lang").select("lang", "gram", F.log(F.col("n") / F.col("total")).alias("weight"))
 
 
 def detect_language(docs: DataFrame, profiles: DataFrame, floor: float = -12.0) -> DataFrame:
     """``doc_id, lang, confidence``: best language by summed gram weights.
 
     A gram outside a profile weighs ``floor``, so scoring only needs the grams
-    that hit.  Profiles are broadcast if they have at most ``PROFILE_ROWS``
-    rows, which is counted.  Hits combine per document before the shuffle, and
-    confidence is the best language's share after a softmax over the mean
+    that hit.  Grams of a document are counted before they meet the profiles,
+    and confidence is the best language's share after a softmax over the mean
     weight of a gram.  Give stored profiles: they are read twice.
     """
     grams = _grams(docs, ["doc_id"])
     sizes = grams.groupBy("doc_id").agg(F.count("*").alias("size"))
-    hits = grams.join(broadcast_if_small(profiles, PROFILE_ROWS), "gram").groupBy("doc_id", "lang").agg(F.sum(F.col("weight") - floor).alias("gain"))
+    counted = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    hits = counted.join(profiles, "gram").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * (F.col("weight") - floor)).alias("gain"))
     mean = hits.join(sizes, "doc_id").withColumn("score", F.col("gain") / F.col("size"))
     best = mean.groupBy("doc_id").agg(
         F.max_by("lang", F.struct("score", "lang")).alias("lang"), F.max("score").alias("top"), F.collect_list("score").alias("scores")

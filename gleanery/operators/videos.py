@@ -8,25 +8,31 @@ from pyspark.sql import functions as F
 from gleanery.functions import html as H
 from gleanery.functions import urls as U
 from gleanery.functions.platforms import stream_of
-from gleanery.functions.text import blank_to_null, decode_entities, iso_timestamp, normalize_published, trim_ws
+from gleanery.functions.text import blank_to_null, decode_entities, iso_timestamp, let, normalize_published, trim_ws
 
-# A JSON object up to the brace that closes it.  Strings are skipped, and an
-# object may nest a fixed number of levels, which covers both platforms.
-_STRING = r'"(?:[^"\\]++|\\.)*+"'
-_DEPTH = 12
+#: Strings, braces and the runs between them.
+_JSON_PIECES = r'(?s)"(?:[^"\\]++|\\.)*+"|[{}]|[^"{}]++|"'
 
 
-def _object(depth: int = _DEPTH) -> str:
-    inner = rf'(?:[^"{{}}]++|{_STRING})*+'
-    for _ in range(depth):
-        inner = rf'(?:[^"{{}}]++|{_STRING}|\{{{inner}\}})*+'
-    return rf"\{{{inner}\}}"
+def leading_object(text: Column) -> Column:
+    """The text from its opening brace to the brace that closes it, at any depth; NULL if none does."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        after = F.struct(depth.alias("depth"), (acc["size"] + F.length(piece)).alias("size"), (depth == 0).alias("closed"))
+        return F.when(acc["closed"], acc).otherwise(after)
+
+    pieces = F.regexp_extract_all(text, F.lit(_JSON_PIECES), 0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("closed"))
+    end = F.aggregate(pieces, start, step)
+    return let(end, lambda e: F.when(e["closed"], F.substring(text, F.lit(1), e["size"])))
 
 
 def assigned_object(html: Column, name: str) -> Column:
     """JSON text of the first ``name = {…}`` that parses; NULL if none."""
-    hits = F.regexp_extract_all(html, F.lit(rf"(?s){name}\s*=\s*({_object()})"), 1)
-    return F.get(F.filter(hits, lambda h: F.try_parse_json(h).isNotNull()), F.lit(0))
+    parts = F.split(html, rf"{name}\s*=\s*(?=\{{)")
+    tails = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.get(F.filter(F.transform(tails, leading_object), lambda h: F.try_parse_json(h).isNotNull()), F.lit(0))
 
 
 def _text(doc: Column, path: str) -> Column:

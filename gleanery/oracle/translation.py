@@ -48,8 +48,8 @@ SELECT doc_id, CASE WHEN NOT unsure THEN lang END AS lang, CASE WHEN target IS N
     "x8_detect_language": rf"""WITH s AS (SELECT doc_id, lang, ' ' || lower(regexp_replace(left(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^{WS}*$')), chr(10)), 2000), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS s FROM documents),
 g AS (SELECT doc_id, lang, s[i:i + 2] AS gram FROM s, unnest(range(1, greatest(length(s) - 1, 2))) AS t(i)),
 n AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2),
-p AS (SELECT lang, gram, ln(n / sum(n) OVER (PARTITION BY lang)) AS w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM n),
-h AS (SELECT g.doc_id, p.lang, sum(p.w + 12) AS gain FROM g JOIN p ON g.gram = p.gram AND p.r <= 400 GROUP BY 1, 2)
+p AS (SELECT lang, gram, ln(n / sum(n) OVER (PARTITION BY lang)) AS w FROM n),
+h AS (SELECT g.doc_id, p.lang, sum(p.w + 12) AS gain FROM g JOIN p ON g.gram = p.gram GROUP BY 1, 2)
 SELECT doc_id, max_by(lang, gain) AS lang FROM h GROUP BY 1""",
 }
 

@@ -48,3 +48,10 @@ def test_page_functions(spark):
     assert [r.tag for r in page_links(pages).orderBy("pos").collect()] == ["a", "img"]
     assert table_cells(pages).count() == 3
     assert pages.select(F.length(assigned_object(F.col("html"), "v"))).first()[0] > N
+
+
+def test_object_at_any_depth(spark):
+    deep = '{"a": "}", "b": ' + '{"x": [' * 60 + '{"q": "\\"{"}' + "]}" * 60 + "}"
+    html = f"<script>var w = {{broken; var v = {deep}; more = {{}}</script>"
+    df = spark.createDataFrame([(html,), ("v = {never closed",), ("nothing",), (None,)], "html string")
+    assert [r[0] for r in df.select(assigned_object(F.col("html"), "v")).collect()] == [deep, None, None, None]
