@@ -28,6 +28,20 @@ class Engine(Protocol):
     def translate(self, source: str, target: str, texts: list[str]) -> list[str]: ...
 
 
+#: Rows of blank segments are dealt to this many keys in a join, which none of them needs.
+BLANK_KEYS = 1024
+
+
+def _blank() -> Column:
+    return trim_ws(F.col("segment")) == ""
+
+
+def _join_key(units: DataFrame) -> Column:
+    """The segment; for blank ones, the most frequent of all, one of many keys whose match is not used."""
+    spare = F.concat(F.lit(" "), F.pmod(F.xxhash64(*units.columns), F.lit(BLANK_KEYS)).cast("string"))
+    return F.when(_blank(), spare).otherwise(F.col("segment"))
+
+
 def translate_segments(units: DataFrame, memory: DataFrame) -> DataFrame:
     """Add ``translated`` from a memory; blank segments pass, unknown are NULL.
 
@@ -35,23 +49,25 @@ def translate_segments(units: DataFrame, memory: DataFrame) -> DataFrame:
     segment and a lookup per row give the same; the left join needs one
     shuffle and lets the optimizer split a segment that is everywhere.
     """
-    blank = trim_ws(F.col("segment")) == ""
-    known = memory.select("segment", F.col("translation").alias("_t"))
-    joined = units.join(known, "segment", "left")
-    return joined.withColumn("translated", F.when(blank, F.col("segment")).otherwise(F.col("_t"))).drop("_t")
+    known = memory.select(F.col("segment").alias("_key"), F.col("translation").alias("_t"))
+    joined = units.withColumn("_key", _join_key(units)).join(known, "_key", "left")
+    return joined.select(*units.columns, F.when(_blank(), F.col("segment")).otherwise(F.col("_t")).alias("translated"))
 
 
-def with_engine(units: DataFrame, make_engine: Callable[[], Engine], batch: int = 64) -> DataFrame:
+def with_engine(units: DataFrame, make_engine: Callable[[], Engine], batch: int = 64, partitions: int | None = None) -> DataFrame:
     """Add ``translated`` and ``error`` from a user-supplied engine.
 
     ``units``: ``source, target, segment, …``.  Every distinct segment of a
     language pair is translated once, long ones piece by piece; errors become
-    a status, so one bad pair does not fail the job.
+    a status, so one bad pair does not fail the job.  ``partitions`` is how many
+    engines run; it is not left to the size of the text, which says little about
+    an engine's time.  By default as many as shuffles have partitions.
     """
     ship_package()
     key = ["source", "target", "segment"]
     wanted = units.where(trim_ws(F.col("segment")) != "").select(*key).distinct()
-    cut = wanted.select(*key, F.transform(pieces_of(F.col("segment")), trim_ws).alias("pieces"))
+    engines = partitions or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = wanted.repartition(engines, *key).select(*key, F.transform(pieces_of(F.col("segment")), trim_ws).alias("pieces"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = make_engine()
@@ -77,10 +93,12 @@ def with_engine(units: DataFrame, make_engine: Callable[[], Engine], batch: int
     spaced = ~api_tag(F.col("target")).isin("zh", "zh-Hant", "ja")
     parts = F.transform("parts", trim_ws)
     joined = F.when(spaced, F.array_join(parts, " ")).otherwise(F.array_join(parts, ""))
-    results = done.select(*key, joined.alias("_t"), "error")
-    back = units.join(results, key, "left")
-    blank = trim_ws(F.col("segment")) == ""
-    return back.withColumn("translated", F.when(blank, F.col("segment")).otherwise(F.col("_t"))).drop("_t")
+    results = done.select(F.col("source").alias("_source"), F.col("target").alias("_target"), F.col("segment").alias("_key"), joined.alias("_t"), "error")
+    keyed = units.withColumn("_key", _join_key(units))
+    same = (F.col("source") == F.col("_source")) & (F.col("target") == F.col("_target")) & (keyed["_key"] == results["_key"])
+    back = keyed.join(results, same, "left")
+    shown = F.when(_blank(), F.col("segment")).otherwise(F.col("_t"))
+    return back.select(*units.columns, F.when(~_blank(), F.col("error")).alias("error"), shown.alias("translated"))
 
 
 def translation_status(jobs: DataFrame) -> DataFrame:
