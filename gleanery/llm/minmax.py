@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import ship, texts, written
+from gleanery.llm.common import only, ship, texts, written
 from gleanery.llm.graph import components
 from gleanery.llm.words import slices
 
@@ -138,22 +138,44 @@ def signatures(docs: DataFrame, *, width: int = WIDTH, permutations: int = PERMU
     return texts(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``rep, z`` of ``rep, text``: texts compressed for the shuffles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([pack(t) for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())], ["rep", "z"])
+
+    return rows.select("rep", "text").mapInArrow(run, "rep long, z binary")
+
+
+def unpacked(batch: pa.RecordBatch, column: str, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of a batch with the shingle sets of a compressed column."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for part in slices(batch, column, 1 << 19):
+        yield part, shingle_sets([unpack(z) for z in part.column(column).to_pylist()], width)
+
+
 def confirmed(pairs: DataFrame, sources: DataFrame, *, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose full sets are similar enough; ``sources`` has ``rep, text``."""
-    left = sources.select(F.col("rep").alias("a"), F.col("text").alias("_ta"))
-    right = sources.select(F.col("rep").alias("b"), F.col("text").alias("_tb"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "_ta", "_tb")
+    """Those of ``pairs`` (``a, b``) whose full sets are similar enough; ``sources`` is of :func:`packed`."""
+    left = sources.select(F.col("rep").alias("a"), F.col("z").alias("_za"))
+    right = sources.select(F.col("rep").alias("b"), F.col("z").alias("_zb"))
+    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "_za", "_zb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, last_set = None, None
             a, b = [], []
-            for part in slices(batch, "_tb", 1 << 20):
+            for part, sets in unpacked(batch, "_zb", width):
                 ids = part.column("a").to_pylist()
-                sets = shingle_sets(part.column("_tb").cast(pa.binary()).to_pylist(), width)
                 for i, (x, y) in enumerate(zip(ids, part.column("b").to_pylist(), strict=True)):
                     if x != first:
-                        first, last_set = x, shingle_sets([part.column("_ta")[i].as_py().encode()], width)[0]
+                        first, last_set = x, next(unpacked(part.select(["_za"]).slice(i, 1), "_za", width))[1][0]
                     if linked(last_set, sets[i], percent):
                         a.append(x)
                         b.append(y)
@@ -227,8 +249,7 @@ def compared_in_blocks(members: DataFrame, sources: DataFrame, *, width: int, pe
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), width)
+            for part, sets in unpacked(batch, "z", width):
                 columns = [part.column(c).to_pylist() for c in ("bucket", "_x", "_y", "seeks", "rep", "label")]
                 for i, (*cell, seeks, rep, label) in enumerate(zip(*columns, strict=True)):
                     if cell != here:
@@ -237,7 +258,7 @@ def compared_in_blocks(members: DataFrame, sources: DataFrame, *, width: int, pe
                     entries.append((seeks, rep, label, sets[i]))
         yield done()
 
-    return full.select("bucket", "_x", "_y", "seeks", "rep", "label", "text").mapInArrow(run, "a long, b long")
+    return full.select("bucket", "_x", "_y", "seeks", "rep", "label", "z").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, permutations: int = PERMUTATIONS, band: int = BAND, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
@@ -261,18 +282,15 @@ def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT,
     ship()
     rows = written(signatures(docs, width=width, permutations=permutations, band=band), "signatures")
     full = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").cast("long").alias("rep"))
-    classes = written(classes, "classes")
-    reps = full.join(classes, ["set_a", "set_b"]).filter(F.col("doc_id") == F.col("rep")).select("rep", "n_shingles", "bands")
-    each = reps.select("rep", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "rep").distinct()
-    each = written(each, "bands")
+    classes = written(full.groupBy("set_a", "set_b").agg(F.min("doc_id").cast("long").alias("rep"), F.first("bands").alias("bands")), "classes")
+    each = classes.select("rep", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "rep")
     # buckets of one member list are one bucket; lists are told apart by their size and two sums of hashes
     lists = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.shiftright(F.xxhash64("rep", F.lit(1)), 20)).alias("y"))
     lists = lists.filter("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
     members = written(each.join(lists.select("bucket"), "bucket"), "members")
     wanted = members.select("rep").distinct()
-    source = texts(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), "text")
-    sources = written(source.join(wanted, "rep", "left_semi"), "sources")
+    source = packed(texts(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), "text"))
+    sources = written(source.join(wanted.hint("merge"), "rep", "left_semi"), "sources")
     labels = None
 
     def labelled() -> DataFrame:
@@ -307,5 +325,5 @@ def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT,
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that :func:`near_groups` does not keep, all columns kept."""
-    kept = near_groups(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    kept = near_groups(docs, **options).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    return only(docs, kept, id=docs["doc_id"])
