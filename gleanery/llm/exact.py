@@ -35,11 +35,14 @@ def content_sort(docs: DataFrame, *, splitter_chars: int = SPLITTER_CHARS, runs:
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     # The window's keys contain those of the range partitioning, so it adds a sort within partitions and no exchange.
     beside = Window.partitionBy(*keys, "text").orderBy(F.col("doc_id").desc())
-    narrow = ranged.select("doc_id", F.row_number().over(beside).alias("_place"), F.sha2("text", 256).alias("text_sha256"))
-    narrow = written(narrow.select("doc_id", "text_sha256", (F.col("_place") == 1).alias("_head")), "sorted-runs")
-    groups = narrow.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    narrow = ranged.select("doc_id", "_run", F.row_number().over(beside).alias("_place"), F.sha2("text", 256).alias("text_sha256"))
+    narrow = written(narrow.select("doc_id", "text_sha256", "_run", (F.col("_place") == 1).alias("_head")), "sorted-runs")
+    # a group's verdict goes to its runs, and from a run to its rows, so that rows of one text are never joined in one task
+    counted = narrow.groupBy("text_sha256", "_run").agg(F.max("doc_id").alias("_max"), F.count(F.lit(1)).alias("_n"))
+    whole = counted.groupBy("text_sha256").agg(F.max("_max").alias("keep_id"), F.sum("_n").alias("group_size"))
+    groups = counted.select("text_sha256", "_run").join(whole, "text_sha256")
     kept = F.col("_head") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return narrow.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return narrow.join(groups, ["text_sha256", "_run"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
