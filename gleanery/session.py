@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 #: Settings that change results or plan quality; cluster sizing stays with the submitter.
@@ -49,11 +52,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder for a written table."""
-    import uuid
+_scratch: list[str] = []
+
+
+def drop_path(path: str) -> None:
+    """Delete a folder of the shared file system."""
+    jvm = SparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
 
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+def _drop_scratch() -> None:
+    try:
+        while _scratch and SparkContext._jvm is not None:
+            drop_path(_scratch.pop())
+    except Exception:  # noqa: BLE001  the gateway may be gone, and nobody is left to tell
+        return
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared checkpoint folder, deleted when the driver ends."""
+    if not _scratch:
+        atexit.register(_drop_scratch)
+    _scratch.append(os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}"))
+    return _scratch[-1]
 
 
 def ship_package() -> None:
