@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleanery.llm.common import kept_in_worker, ship, texts
+from gleanery.llm.common import kept_in_worker, ship, texts, worker_for
 from gleanery.llm.token_counts import byte_letters
 from gleanery.llm.words import Remembered, slices
 
@@ -120,6 +120,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, digests: bool = False)
     ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_for("codec")
         codec = kept_in_worker(f"codec {path} {pattern}", lambda: Codec(path, pattern))
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -143,6 +144,7 @@ def decoded(encoded_rows: DataFrame, path: str, pattern: str) -> DataFrame:
     ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_for("codec")
         codec = kept_in_worker(f"codec {path} {pattern}", lambda: Codec(path, pattern))
         for batch in batches:
             out = [codec.decode(x or b"").decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
+import gc
 import sys
 import types
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.session import checkpoint_dir
+from gleanery.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,34 +45,6 @@ def only(docs: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
     return unwrapped(rows.join(kept, on, "left_semi"), docs)
 
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _drop_all() -> None:
-    for spark, path in _made:
-        try:
-            if spark.sparkContext._jsc is not None:
-                drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone; its folder then goes with the job
-            return
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session, deleted when the driver ends."""
-    if not _made:
-        atexit.register(_drop_all)
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    _made.append((spark, path))
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
@@ -82,7 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     readers share one computation.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -94,6 +64,16 @@ def ship() -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
+def worker_for(operator: str) -> None:
+    """Say which operator a task works for; what others kept in the worker is let go."""
+    store = sys.modules.setdefault("_llm_worker_store", types.ModuleType("_llm_worker_store")).__dict__
+    if store.get("operator") != operator:
+        for name in [n for n in store if not n.startswith("__")]:
+            del store[name]
+        gc.collect()
+        store["operator"] = operator
+
+
 def kept_in_worker(name: str, make: Callable[[], object]):
     """``make()`` once per worker process.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import ship, texts, written
+from gleanery.llm.common import ship, texts, worker_for, written
 from gleanery.llm.words import slices, word_table
 from gleanery.plans.ordered import rank_in_key
 
@@ -89,6 +89,7 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int
     ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_for("words")
         close = end_id.to_bytes(4, "little")
         step = 4 * capacity
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import kept_in_worker, ship, written
+from gleanery.llm.common import kept_in_worker, ship, worker_for, written
 from gleanery.llm.minmax import mix
 from gleanery.llm.words import slices
 
@@ -246,6 +246,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
     """``k1, k2, h, c, p`` per row that has a passage: arrays of anchored runs, ``p`` holding x, lo and hi."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_for("suffixes")
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, sizes, columns = [], [], ([], [], [])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import kept_in_worker, ship, texts
+from gleanery.llm.common import kept_in_worker, ship, texts, worker_for
 from gleanery.llm.words import slices, tokenizer, word_table
 
 WORD_END = "</w>"
@@ -148,6 +148,7 @@ def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        worker_for("words")
         space = np.zeros(256, bool)
         space[[9, 10, 11, 12, 13, 32]] = True
         for batch in batches:
@@ -190,6 +191,7 @@ def truncate(docs: DataFrame, path: str, budget: int) -> DataFrame:
     ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_for("words")
         for batch in batches:
             inner = kept_in_worker(f"prefixes {path}", lambda: TextPrefixes(path))
             out, left = [], []

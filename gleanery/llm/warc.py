@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import scratch, ship, written
+from gleanery.llm.common import ship, written
+from gleanery.session import scratch_path
 
 #: Payloads of fewer bytes are always stored.
 REVISIT_FROM = 1000
@@ -191,5 +192,5 @@ def located(folder: str) -> str:
 
 def archived(pages: DataFrame, **options) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read every record back."""
-    folder = located(scratch(pages.sparkSession, "warc"))
+    folder = located(scratch_path(pages.sparkSession, "warc"))
     return read_records(write_archives(pages, folder, **options), folder)

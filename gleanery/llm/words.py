@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 from gleanery.llm.common import kept_in_worker
 
 #: Words that a worker remembers, and their bytes; beyond it starts anew, which costs time only.
-REMEMBERED, REMEMBERED_BYTES = 1_500_000, 64 << 20
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64 << 20
 #: Bytes of text that are worked on at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def tokenizer(path: str):
