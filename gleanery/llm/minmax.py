@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import only, ship, texts, written
+from gleanery.llm.common import only, ship, texts, worker_for, written
 from gleanery.llm.graph import components
 from gleanery.llm.words import slices
 
@@ -21,7 +21,7 @@ BAND = 4
 #: Members of a bucket that are compared in one task.
 BLOCK = 192
 #: Rounds in which each bucket is compared with one member, before the rest is compared in blocks.
-PIVOTS = 3
+PIVOTS = 1
 
 U = np.uint64
 
@@ -120,8 +120,9 @@ def signatures(docs: DataFrame, *, width: int = WIDTH, permutations: int = PERMU
     ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_for("minmax")
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), width)
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 full = np.flatnonzero(sizes)
@@ -152,13 +153,21 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("rep", "text").mapInArrow(run, "rep long, z binary")
 
 
-def unpacked(batch: pa.RecordBatch, column: str, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Parts of a batch with the shingle sets of a compressed column."""
+def unpacked(batch: pa.RecordBatch, column: str, width: int, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of a batch, of about ``most`` bytes of text, with the shingle sets of a compressed column."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    for part in slices(batch, column, 1 << 19):
-        yield part, shingle_sets([unpack(z) for z in part.column(column).to_pylist()], width)
+    start, size, held = 0, 0, []
+    for i, z in enumerate(batch.column(column)):
+        text = unpack(z.as_py())
+        if held and size + len(text) > most:
+            yield batch.slice(start, i - start), shingle_sets(held, width)
+            start, size, held = i, 0, []
+        held.append(text)
+        size += len(text)
+    if held:
+        yield batch.slice(start), shingle_sets(held, width)
 
 
 def confirmed(pairs: DataFrame, sources: DataFrame, *, width: int, percent: int) -> DataFrame:
@@ -199,16 +208,23 @@ def _linked_in_block(block: list[tuple[bool, int, int, np.ndarray]], percent: in
         return x
 
     out = []
-    every = np.concatenate([s for *_, s in block])
-    starts = np.concatenate([[0], np.cumsum([len(s) for *_, s in block])[:-1]]).astype(np.int64)
     sizes = np.array([len(s) for *_, s in block])
+    every = np.concatenate([s for *_, s in block])
+    by = np.argsort(every, kind="stable")
+    every, owner = every[by], np.repeat(np.arange(len(block)), sizes)[by]
     for i, (seeks, rep, label, own) in enumerate(block):
         if not seeks:
             continue
         if all(root(label) == root(x[2]) for x in block):
             break
-        place = np.minimum(np.searchsorted(own, every), len(own) - 1)
-        both = np.add.reduceat((own[place] == every).astype(np.int64), starts)
+        # which entries hold each shingle, and so how many each entry shares
+        both = np.zeros(len(block), np.int64)
+        for k in range(0, len(own), 2048):
+            some = own[k : k + 2048]
+            first, last = np.searchsorted(every, some, "left"), np.searchsorted(every, some, "right")
+            found = last - first
+            at = np.arange(found.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(found)[:-1]]), found)
+            both += np.bincount(owner[at], minlength=len(block))
         for j in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)).tolist():
             if j != i and root(block[j][2]) != root(label):
                 group[root(block[j][2])] = root(label)
