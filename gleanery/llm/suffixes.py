@@ -13,7 +13,9 @@ before the anchor it starts.
 2. Anchors with two or more different contexts are grouped, and the contexts'
    suffixes from the anchor on, and their prefixes before it, read backwards,
    are sorted: multikey quicksort over words to a shallow depth, then a blind
-   trie for each group that is still equal there.
+   trie for each group that is still equal there.  Equal parts of contexts are
+   one before that, and a group of over HELD different ones is not sorted: its
+   passages are counted.
 3. Neighbours' common prefixes tell which passages are equal: those with equal
    bytes before the anchor and equal bytes from it on, for each offset.
 """
@@ -21,6 +23,7 @@ before the anchor it starts.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,10 @@ SHALLOW = 64
 MANY, UNIT = 2000, 16
 #: Passages of a text that are looked at together, and rows of a sort.
 STRETCH, SORTED = 1 << 20, 16_384
+#: Different contexts of a group beyond which its passages are counted, not sorted.
+HELD = 16_384
+#: What makes two contexts of a group equal.
+SAME = ["g", "d1", "d2", "lo", "hi"]
 
 U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -298,21 +305,25 @@ def _stored(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, length: int, unit: int) -> DataFrame:
-    """``g, k1, k2, x, lo, hi, t`` of the runs listed per text in ``at`` (``h, p, many``).
+    """``g, d1, d2, k1, k2, x, lo, hi, t`` of the runs listed per text in ``at`` (``h, p, many``).
 
     A run of an anchor with many contexts comes in units of offsets; a unit's
-    group is what all passages of the full unit share.
+    group is what all passages of the full unit share.  ``d1, d2`` are the
+    digest of ``t``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        names = ["g", "k1", "k2", "x", "lo", "hi", "t"]
-        kinds = [pa.int64()] * 6 + [pa.binary()]
+        names = ["g", "d1", "d2", "k1", "k2", "x", "lo", "hi", "t"]
+        kinds = [pa.int64()] * 8 + [pa.binary()]
 
         def batch_of(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names)
+
+        def row(g: int, *place: int, t: bytes) -> tuple:
+            return g, *struct.unpack("<qq", hashlib.blake2b(t, digest_size=16).digest()), *place, t
 
         for batch in batches:
             out: list[tuple] = []
@@ -324,19 +335,19 @@ def _contexts(rows: DataFrame, length: int, unit: int) -> DataFrame:
                     if x - lo + length > len(text) or x < hi:
                         continue  # another text with the same k2
                     if not run_at["many"]:
-                        out.append((run_at["h"], k1, k2, x, lo, hi, text[x - hi : x - lo + length]))
+                        out.append(row(run_at["h"], k1, k2, x, lo, hi, t=text[x - hi : x - lo + length]))
                         continue
                     for u in range(lo // unit, hi // unit + 1):
                         a, b = u * unit, u * unit + unit - 1
                         shared = hashlib.blake2b(text[x - a : x - b + length], digest_size=8, key=u.to_bytes(2, "big")).digest()
                         a, b = max(a, lo), min(b, hi)
-                        out.append((int.from_bytes(shared, "big", signed=True) ^ run_at["h"], k1, k2, x, a, b, text[x - b : x - a + length]))
+                        out.append(row(int.from_bytes(shared, "big", signed=True) ^ run_at["h"], k1, k2, x, a, b, t=text[x - b : x - a + length]))
                 if len(out) >= 8192:
                     yield batch_of(out)
                     out = []
             yield batch_of(out)
 
-    return rows.mapInArrow(run, "g long, k1 long, k2 long, x long, lo long, hi long, t binary")
+    return rows.mapInArrow(run, "g long, d1 long, d2 long, k1 long, k2 long, x long, lo long, hi long, t binary")
 
 
 def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -378,6 +389,28 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "k1 long, k2 long, start long, beyond long")
 
 
+def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """What :func:`_sorted_spans` gives, from equal digests of passages; a group of any size is spread over tasks."""
+    passage = F.substring("t", (F.col("hi") - F.col("i") + 1).cast("int"), F.lit(length))
+    each = contexts.withColumn("i", F.explode(F.sequence("lo", "hi"))).select("g", "i", F.md5(passage).alias("m"), "k1", "k2", "x")
+    twice = each.groupBy("g", "i", "m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "i", "m")
+    start = F.col("x") - F.col("i")
+    return each.join(twice, ["g", "i", "m"], "left_semi").select("k1", "k2", start.alias("start"), (start + length).alias("beyond"))
+
+
+def _repeated_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """``k1, k2, start, beyond`` of the bytes that are repeated within groups of ``contexts``."""
+    contexts = written(contexts, "contexts")
+    alike = contexts.groupBy(*SAME).agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct("k1", "k2", "x", "t")).alias("r"))
+    once = written(alike.select(*SAME, "n", "r.*"), "different")
+    again = contexts.join(once.filter("n > 1").select(*SAME), SAME, "left_semi")
+    whole = again.select("k1", "k2", (F.col("x") - F.col("hi")).alias("start"), (F.col("x") - F.col("lo") + length).alias("beyond"))
+    # one number for more than HELD rows, so small enough to broadcast
+    large = F.broadcast(once.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > HELD).select("g"))
+    few, many = once.join(large, "g", "left_anti"), once.join(large, "g", "left_semi")
+    return whole.unionByName(_sorted_spans(few.select("g", "k1", "k2", "x", "lo", "hi", "t"), length)).unionByName(_counted_spans(many, length))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -408,7 +441,7 @@ def _removed(rows: DataFrame, length: int, many: int, unit: int) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stored = _stored(rows).repartition(parts, "k2")
     contexts = _contexts(stored.join(asked, stored["k2"] == asked["_k"]).select(*stored.columns, "at"), length, unit)
-    spans = whole.unionByName(_sorted_spans(contexts, length))
+    spans = whole.unionByName(_repeated_spans(contexts, length))
     spans = spans.groupBy(F.col("k2").alias("_k")).agg(F.collect_list(F.struct("k1", "start", "beyond")).alias("spans"))
     both = stored.join(spans, stored["k2"] == spans["_k"], "left").select(*stored.columns, "spans")
     carried = rows.columns[: rows.columns.index("k1")]

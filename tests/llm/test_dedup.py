@@ -110,6 +110,23 @@ def test_suffixes(spark, length, many, unit):
     assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in got), key=repr) == sorted(want, key=repr)
 
 
+def test_suffix_groups_are_bounded(spark, monkeypatch):
+    """A passage that many texts hold makes no group of a row per text that is sorted in one task."""
+    passage = prose(78, 150)
+    rows = [(k, prose(400 + k, 12) + passage + prose(500 + k, 12)) for k in range(40)]
+    sort = suffixes.repeated_offsets
+
+    def bounded(groups, *others):
+        assert np.unique(groups, return_counts=True)[1].max() <= 8
+        return sort(groups, *others)
+
+    monkeypatch.setattr(suffixes, "HELD", 8, raising=False)
+    monkeypatch.setattr(suffixes, "repeated_offsets", bounded)
+    got = suffixes.without_repeats(plain(spark, rows).repartition(3), many=0).collect()
+    want = [(i, *x) for (i, _), x in zip(rows, stripped([t for _, t in rows], 200), strict=True)]
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in got) == want
+
+
 def test_long_text_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "STRETCH", 700)
     p = prose(8, 100)
