@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from gleanery.plans.ordered import sum_before
 MAX_IMAGES = 100
 ITEM_MAX_BYTES = 20 * 1024 * 1024
 TOTAL_MAX_BYTES = 200 * 1024 * 1024
+#: Sizes are added and compared as whole numbers of steps, so that no sum is rounded.
+STEPS, EXACT = 10**9, "decimal(24,0)"
 
 
 def plan_images(docs: DataFrame, maximum: int = MAX_IMAGES) -> DataFrame:
@@ -39,15 +43,15 @@ def rewrite_images(docs: DataFrame, downloads: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.when(F.col("local").isNull(), F.col("body")).otherwise(rewritten).alias("body"))
 
 
-def _fold(items: DataFrame, per_item: float, total: float) -> DataFrame:
+def _fold(items: DataFrame, total: int) -> DataFrame:
     """Greedy admission inside records of bounded length."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "size")))
-    start = F.struct(F.lit(float(total)).alias("left"), F.array().cast("array<boolean>").alias("taken"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "amount", "size")))
+    start = F.struct(F.lit(Decimal(total)).cast(EXACT).alias("left"), F.array().cast("array<boolean>").alias("taken"))
 
     def step(acc: Column, item: Column) -> Column:
-        fits = (item["size"] <= per_item) & (acc["left"] > 0) & (item["size"] <= acc["left"])
+        fits = F.coalesce((acc["left"] > 0) & (item["amount"] <= acc["left"]), F.lit(False))
         return F.struct(
-            (acc["left"] - F.when(fits, item["size"]).otherwise(0.0)).alias("left"),
+            F.when(fits, acc["left"] - item["amount"]).otherwise(acc["left"]).cast(EXACT).alias("left"),
             F.array_append(acc["taken"], fits).alias("taken"),
         )
 
@@ -57,30 +61,29 @@ def _fold(items: DataFrame, per_item: float, total: float) -> DataFrame:
     return rows.select("record", F.col("r.items.pos").alias("pos"), F.col("r.items.size").alias("size"), F.col("r.taken").alias("admitted"))
 
 
-def _phases(items: DataFrame, per_item: float, total: float, block: Column) -> DataFrame:
+def _phases(items: DataFrame, total: int, block: Column) -> DataFrame:
     """Greedy admission for records of any length, spread over many tasks.
 
-    While the budget left is in ``[2^k, 2^(k+1))`` every smaller item fits and
-    at most one larger item can.  So one running sum finds the row that ends
-    the phase, and a phase at least halves the budget: about
-    ``log2(total)`` passes settle every record, however long.
+    A phase has a ``unit`` just over half the budget left.  While at least that
+    is left every smaller item fits and at most one larger item can.  So one
+    running sum finds the row that ends the phase, and a phase at least halves
+    the budget: about ``log2(total)`` passes settle every record, however long.
     """
-    items = items.where(F.col("size") <= per_item)
     state = items.select("record").distinct().select(
-        "record", F.lit(None).cast(items.schema["pos"].dataType).alias("after"), F.lit(float(total)).alias("left")
+        "record", F.lit(None).cast(items.schema["pos"].dataType).alias("after"), F.lit(Decimal(total)).cast(EXACT).alias("left")
     )
     spans = None
     while True:
-        open_ = state.where("left > 0").withColumn("unit", F.pow(F.lit(2.0), F.floor(F.log2("left"))))
+        open_ = state.where("left > 0").withColumn("unit", ((F.col("left") + 1) * F.lit(Decimal("0.5"))).cast(EXACT))
         live = items.join(open_, "record").where(
-            (F.col("after").isNull() | (F.col("pos") > F.col("after"))) & (F.col("size") < F.col("unit") * 2)
+            (F.col("after").isNull() | (F.col("pos") > F.col("after"))) & (F.col("amount") < F.col("unit") * 2)
         )
-        small = F.when(F.col("size") < F.col("unit"), F.col("size")).otherwise(F.lit(0.0))
+        small = F.when(F.col("amount") < F.col("unit"), F.col("amount")).otherwise(F.lit(0).cast(EXACT))
         summed = sum_before(live, ["record"], ["pos"], block, small, "used")
         room = F.col("left") - F.col("used")
-        big = F.col("size") >= F.col("unit")
-        ends = F.when(big, F.col("size") <= room).otherwise(room - F.col("size") < F.col("unit"))
-        stop = F.when(ends & (room >= F.col("unit")), F.struct("pos", (room - F.col("size")).alias("left")))
+        big = F.col("amount") >= F.col("unit")
+        ends = F.when(big, F.col("amount") <= room).otherwise(room - F.col("amount") < F.col("unit"))
+        stop = F.when(ends & (room >= F.col("unit")), F.struct("pos", (room - F.col("amount")).cast(EXACT).alias("left")))
         phase = summed.groupBy("record", "after", "unit").agg(F.min(stop).alias("stop"))
         done = phase.select("record", "after", "unit", F.col("stop.pos").alias("until"), F.col("stop.left").alias("left")).checkpoint()
         spans = done if spans is None else spans.unionByName(done)
@@ -93,7 +96,7 @@ def _phases(items: DataFrame, per_item: float, total: float, block: Column) -> D
         "spans",
         lambda s: (s["after"].isNull() | (F.col("pos") > s["after"]))
         & (s["until"].isNull() | (F.col("pos") <= s["until"]))
-        & ((F.col("size") < s["unit"]) | (F.coalesce(F.col("pos") == s["until"], F.lit(False)))),
+        & ((F.col("amount") < s["unit"]) | (F.coalesce(F.col("pos") == s["until"], F.lit(False)))),
     )
     return items.join(ranges, "record", "left").select("record", "pos", "size", F.coalesce(inside, F.lit(False)).alias("admitted"))
 
@@ -105,19 +108,23 @@ def admit_by_budget(
 
     A rejected item uses nothing, so this is no running sum.  Records of up to
     ``long_record`` items are folded in one row; longer ones, if the counts
-    show any, go through halving phases that never gather a record.
+    show any, go through halving phases that never gather a record.  Both add
+    whole billionths, so they agree on fractions too; an item of no known size
+    is not admitted.
     """
-    items = items.select("record", "pos", F.col("size").cast("double").alias("size"))
+    total = round(Decimal(str(total)) * STEPS)
+    amount = F.when(F.col("size") <= per_item, (F.col("size").try_cast("decimal(24,9)") * STEPS).cast(EXACT))
+    items = items.select("record", "pos", F.col("size").cast("double").alias("size"), amount.alias("amount"))
     lengths = items.groupBy("record").agg(F.count("*").alias("n")).where(F.col("n") > long_record).select("record")
     if lengths.isEmpty():
-        return _fold(items, per_item, total)
+        return _fold(items, total)
     from gleanery.session import checkpoint_dir
 
     checkpoint_dir(items.sparkSession)
     lengths = lengths.checkpoint()
-    short = _fold(items.join(lengths, "record", "left_anti"), per_item, total)
+    short = _fold(items.join(lengths, "record", "left_anti"), total)
     long_ = items.join(lengths, "record", "left_semi")
     cut = block if block is not None else F.floor(F.col("pos") / long_record)
-    admitted = _phases(long_, per_item, total, cut)
-    over = long_.where(F.col("size") > per_item).select("record", "pos", "size", F.lit(False).alias("admitted"))
+    admitted = _phases(long_.where("amount IS NOT NULL"), total, cut)
+    over = long_.where("amount IS NULL").select("record", "pos", "size", F.lit(False).alias("admitted"))
     return short.unionByName(admitted).unionByName(over)

@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 from gleanery.operators.images import admit_by_budget, plan_images, rewrite_images
 
@@ -67,3 +68,23 @@ def test_long_records_match_the_fold(spark):
     for limit in (1000, 10):
         got = {(r.record, r.pos): r.admitted for r in admit_by_budget(items, 40, 100, long_record=limit).collect()}
         assert got == want
+
+
+def test_fractional_sizes_are_exact(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for record in range(30):
+        sizes = [Decimal(rng.choice([1, 2, 3, 7, 13, 33, 101, 250])) / 10 + (record % 2) * rng.choice([0, 1, 3]) * Decimal("1e-9") for _ in range(40)]
+        rows += [(record, pos, float(size)) for pos, size in enumerate(sizes)]
+        taken = brute(sizes, Decimal(20), Decimal("30.3"))
+        want.update({(record, p): ok for p, ok in enumerate(taken)})
+    items = spark.createDataFrame(rows, "record int, pos int, size double")
+    for limit in (1000, 10):
+        got = {(r.record, r.pos): r.admitted for r in admit_by_budget(items, 20, 30.3, long_record=limit).collect()}
+        assert got == want
+
+
+def test_unknown_size_is_not_admitted(spark):
+    items = spark.createDataFrame([(1, pos, size) for pos, size in enumerate([3.0, None, 5.0])], "record int, pos int, size double")
+    for limit in (1000, 2):
+        assert {r.pos: r.admitted for r in admit_by_budget(items, 20, 30, long_record=limit).collect()} == {0: True, 1: False, 2: True}
