@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, exact, hosts, minmax, packing, preferences, shards, suffixes, token_counts, warc
+from gleanery.llm import bpe, collocations, conversation_trie, exact, hosts, minmax, packing, preferences, shards, simhash, suffixes, token_counts, warc
 from gleanery.llm.common import table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,22 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_warc, op4_min_max_groups, op5_extendible_shards, op6_byte_bpe, op7_preference_pairs, op8_content_sort, op9_best_fit_packing, op10_host_rules)
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_token_counts, op3_warc, op4_min_max_groups, op5_extendible_shards, op6_byte_bpe, op7_preference_pairs,
+        op8_content_sort, op9_best_fit_packing, op10_host_rules, op11_collocations, op12_conversation_trie, op13_simhash,
+    )
 }

@@ -65,3 +65,39 @@ x AS (SELECT host, max(n) AS host_docs, max((f + p * strength) / (n + strength))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, few OR rep AS base_failed, NOT (few OR rep) AND host_rate <= 0.5 AS kept,
   j.host, host_docs, host_rate FROM j JOIN x ON j.host IS NOT DISTINCT FROM x.host
 """
+
+SQL["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS words FROM p),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM
+    (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
+longer AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN longer x ON x.lang = c.lang AND x.phrase = c.phrase WHERE x.a IS NULL OR 100 * x.a < 50 * c.a),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(words[1:cut], ' ') AS lp, array_to_string(words[cut + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, cut, l.a AS l, r.a AS r, (1000000::HUGEINT * cuts.a * cuts.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+    FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = lp JOIN f r ON r.lang = cuts.lang AND r.phrase = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+SQL["op12_conversation_trie"] = """
+WITH own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (SELECT *, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS bytes FROM own),
+h AS (SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 6 AS h FROM crc),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS t, d, turns[1:d] AS node FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT d, node, node[1:d - 1] AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE t = d) AS ends,
+    (count(*) - 1) * coalesce(length(node[d].text), 0) AS saved FROM p GROUP BY d, node),
+k AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON k.d = n.d AND k.node = n.node),
+s AS (SELECT d, node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+    FROM (SELECT x AS d, node[1:x] AS node, saved, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS x FROM m)) GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN s ON s.d = m.d AND s.node = m.node LEFT JOIN n up ON m.d > 0 AND up.d = m.d - 1 AND up.node = m.parent
+"""
