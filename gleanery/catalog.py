@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -340,6 +341,15 @@ def _w7(spark, d):
     return images.admit_by_budget(items, per_item=45, total=100)
 
 
+@query("w7_admit_long_records")
+def _w7l(spark, d):
+    # what the parts of a supplier's number range have in their orders: records of thousands of items, sizes of tenths
+    items = table(spark, d, "lineitem").select(
+        F.pmod("l_suppkey", F.lit(3)).alias("record"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), ((F.col("l_partkey") * 37 + F.col("l_orderkey")) % 1000 / 10).alias("size")
+    )
+    return images.admit_by_budget(items.groupBy("record", "pos").agg(F.max("size").alias("size")), per_item=97.5, total=25000.7)
+
+
 @query("p10_clip_documents")
 def _p10(spark, d):
     return documents.clip_documents(derive.stored_documents(spark, d))
@@ -391,6 +401,11 @@ def _w6(spark, d):
     return thread_merge(derive.snapshots(spark, d))
 
 
+@query("w6_thread_merge_chain")
+def _w6c(spark, d):
+    return thread_merge(derive.chained_snapshots(spark, d))
+
+
 @query("w4_quote_anchors")
 def _w4(spark, d):
     return quotes.quote_anchors(derive.quotes(spark, d)).select("id", "anchor")
@@ -468,6 +483,11 @@ def _w8b(spark, d):
     return unique_names(clips, taken)
 
 
+@query("w8_contested_names")
+def _w8c(spark, d):
+    return unique_names(*derive.contested_clips(spark, d))
+
+
 @query("s4_write_clips")
 def _s4(spark, d):
     records = derive.stored_documents(spark, d)
@@ -512,24 +532,44 @@ def _s6(spark, d):
     return drain(stream_captures(spark, d).select("page_id", "url", "html", "kind"), "captures")
 
 
-def disordered_events(spark, d):
-    """The events in eight files that are not ordered by time, two to a trigger, and how far apart they are."""
-    events = table(spark, d, "events")
-    path = scratch_path(spark, "events")
-    events.repartition(8, "event_id").write.parquet(path)
-    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
-    delay = int((hi - lo).total_seconds()) + 1
-    return event_stream(spark, path, 2, "*.parquet"), f"{delay} seconds", hi + datetime.timedelta(seconds=delay, days=30)
+#: Hours by which events arrive late at most.
+LATE_HOURS = 24
+
 
+@functools.cache
+def _arrivals(app: str, d: str) -> tuple[str, datetime.datetime]:
+    """The events as files in order of arrival, up to LATE_HOURS after their time, and the last time; written once per session."""
+    spark = SparkSession.getActiveSession()
+    path, parts = scratch_path(spark, "arrivals"), scratch_path(spark, "arrival-parts")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(LATE_HOURS * 3600))
+    events = table(spark, d, "events").withColumn("_arrives", F.unix_seconds(F.col("ts").cast("timestamp")) + late)
+    events.repartitionByRange(8, "_arrives").withColumn("_part", F.spark_partition_id()).drop("_arrives").write.partitionBy("_part").parquet(parts)
+    for n in range(8):
+        # files of a stream are read in the order they were written
+        one = spark.read.option("basePath", parts).parquet(parts).where(F.col("_part") == n).drop("_part")
+        one.coalesce(1).write.mode("append").parquet(path)
+    return path, table(spark, d, "events").agg(F.max("ts")).first()[0]
 
-def to_end(spark, d, columns, build, name):
+
+def disordered_events(spark, d, files_per_trigger=2):
+    """Events as they arrive, two files to a trigger, by how much they are out of order at most, and a time after all."""
+    path, last = _arrivals(spark.sparkContext.applicationId, d)
+    return event_stream(spark, path, files_per_trigger, "*.parquet"), f"{LATE_HOURS} hours 1 second", last + datetime.timedelta(days=60)
+
+
+def to_end(spark, d, columns, build, name, files_per_trigger=2):
     """``build(stream, delay)`` over disordered events with ``key, id, ts`` and ``columns``, to its end."""
-    events, delay, after = disordered_events(spark, d)
+    events, delay, after = disordered_events(spark, d, files_per_trigger)
     stream = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", *columns)
-    end = (-1, -1, after, *(-1 if kind == "bigint" else "" for _, kind in stream.dtypes[3:]))
+    ends = {"bigint": -1, "string": "", "boolean": False}
+    end = (-1, -1, after, *(ends[kind] for _, kind in stream.dtypes[3:]))
     return drain_to_end(stream, lambda source: build(source, delay), name, end)
 
 
+#: Event time that waits together in the keyed streams below, where events of a user are hours apart.
+BUCKET = 6 * 3600 * 1000
+
+
 @query("st1_stream_once")
 def _st1(spark, d):
     events, delay, _ = disordered_events(spark, d)
@@ -537,10 +577,6 @@ def _st1(spark, d):
     return drain(jobs.stream_once(replayed, delay), "once")
 
 
-def keyed_events(spark, d):
-    return event_stream(spark, d).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), "event_type")
-
-
 @query("st2_stream_saved_index")
 def _st2(spark, d):
     saves = event_stream(spark, d).select(
@@ -558,14 +594,14 @@ def _st3(spark, d):
 @query("st4_stream_pending_queue")
 def _st4(spark, d):
     kind = F.when(F.col("event_type") == "purchase", "grant").when(F.col("event_type") == "error", "revoke").otherwise("push")
-    return to_end(spark, d, [kind.alias("kind")], stateful.stream_pending_queue, "pending")
+    return to_end(spark, d, [kind.alias("kind")], functools.partial(stateful.stream_pending_queue, bucket_ms=BUCKET), "pending")
 
 
 @query("st5_stream_throttle")
 def _st5(spark, d):
     phase = F.when(F.col("event_type") == "purchase", "finished").otherwise("running")
     # events are hours apart: an interval of six hours
-    return to_end(spark, d, [phase.alias("phase")], lambda s, delay: stateful.stream_throttle(s, delay, 6 * 3600 * 1000), "throttle")
+    return to_end(spark, d, [phase.alias("phase")], lambda s, delay: stateful.stream_throttle(s, delay, 6 * 3600 * 1000, BUCKET), "throttle")
 
 
 @query("st6_stream_batches")
@@ -575,18 +611,15 @@ def _st6(spark, d):
 
 @query("st7_stream_take")
 def _st7(spark, d):
-    def side(kind):
-        return keyed_events(spark, d).where(F.col("event_type") == kind).drop("event_type")
-
-    # a delay as long as the table, as its rows are not ordered by time
-    pairs = drain(jobs.stream_take(side("click"), side("view"), ttl=7200, delay="40 days"), "take")
-    return jobs.first_taken(pairs)
+    opens = F.when(F.col("event_type") == "view", True).when(F.col("event_type") == "click", False)
+    taken = to_end(spark, d, [opens.alias("opens")], lambda s, delay: stateful.stream_take(s.where("opens IS NOT NULL"), delay, 7200, BUCKET), "take")
+    return taken.select("key", "request_id", "open_id")
 
 
 @query("st8_stream_generation_guard")
 def _st8(spark, d):
     generation = F.dayofmonth("ts") - F.when(F.col("event_type") == "error", 3).otherwise(0)
-    return to_end(spark, d, [generation.cast("bigint").alias("generation")], stateful.stream_generation_guard, "guard")
+    return to_end(spark, d, [generation.cast("bigint").alias("generation")], functools.partial(stateful.stream_generation_guard, bucket_ms=BUCKET), "guard")
 
 
 # --- units, translation --------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators.pages import page_links
+from gleanery.plans.ordered import next_row, rank_in_key
 from gleanery.sources.readers import table
 
 # Stand-ins for headers a server would send.
@@ -213,6 +214,29 @@ def link_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return made, links
 
 
+def chained_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Lists whose every snapshot shows the last known post and a new one beside it: events by type, as long a chain as there are."""
+    events = table(spark, d, "events").select(F.col("event_type").alias("list_id"), "ts", "event_id")
+    day = F.to_date("ts")
+    order = ["ts", "event_id"]
+    numbered = next_row(rank_in_key(events, ["list_id"], order, day, "snapshot_no"), ["list_id"], order, day, F.col("event_id"), "next").where("next IS NOT NULL")
+    below = F.col("next") % 2 == 0
+    pair = F.when(below, F.array("event_id", "next")).otherwise(F.array("next", "event_id"))
+    shown = numbered.select("list_id", F.col("snapshot_no").cast("int").alias("snapshot_no"), F.posexplode(pair).alias("pos", "id"))
+    return shown.select("list_id", "snapshot_no", "pos", F.lit("post").alias("kind"), F.col("id").cast("string").alias("id"), F.concat(F.lit("s"), F.col("snapshot_no").cast("string")).alias("handle"))
+
+
+def contested_clips(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Clips of 40 families of titles, some with a number of their own, and files that are there already."""
+    events = table(spark, d, "events")
+    family = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"))
+    own = F.concat(F.lit(" ("), (2 + F.pmod(F.col("event_id") * 7, F.lit(90))).cast("string"), F.lit(")"))
+    base = F.concat(family, F.when(F.col("event_type").isin("purchase", "click"), own).otherwise(""))
+    clips = events.select(F.col("event_id").alias("id"), F.col("event_id").alias("seq"), base.alias("base"))
+    there = events.where("event_id % 50 = 0").select(F.concat(F.upper(family), F.lit(" ("), (3 + F.pmod("event_id", F.lit(60))).cast("string"), F.lit(").md")).alias("file"))
+    return clips, there.distinct()
+
+
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Three turns per snapshot, one further each time; half the lists scroll up."""
     turns = table(spark, d, "conversations")

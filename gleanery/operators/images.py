@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import markdown as M
-from gleanery.plans.ordered import sum_before
+from gleanery.session import ship_package
 
 # Attachments per record, and bytes per item and per record.
 MAX_IMAGES = 100
@@ -16,6 +19,8 @@ ITEM_MAX_BYTES = 20 * 1024 * 1024
 TOTAL_MAX_BYTES = 200 * 1024 * 1024
 #: Sizes are added and compared as whole numbers of steps, so that no sum is rounded.
 STEPS, EXACT = 10**9, "decimal(24,0)"
+#: Positions of a record that are one row.
+BLOCK = 4096
 
 
 def plan_images(docs: DataFrame, maximum: int = MAX_IMAGES) -> DataFrame:
@@ -43,88 +48,82 @@ def rewrite_images(docs: DataFrame, downloads: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.when(F.col("local").isNull(), F.col("body")).otherwise(rewritten).alias("body"))
 
 
-def _fold(items: DataFrame, total: int) -> DataFrame:
-    """Greedy admission inside records of bounded length."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "amount", "size")))
-    start = F.struct(F.lit(Decimal(total)).cast(EXACT).alias("left"), F.array().cast("array<boolean>").alias("taken"))
+def settled(amounts: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """Which of some items in order fit what is left, and what is left then.
 
-    def step(acc: Column, item: Column) -> Column:
-        fits = F.coalesce((acc["left"] > 0) & (item["amount"] <= acc["left"]), F.lit(False))
-        return F.struct(
-            F.when(fits, acc["left"] - item["amount"]).otherwise(acc["left"]).cast(EXACT).alias("left"),
-            F.array_append(acc["taken"], fits).alias("taken"),
-        )
-
-    lists = items.groupBy("record").agg(ordered.alias("items"))
-    folded = lists.select("record", "items", F.aggregate("items", start, step)["taken"].alias("taken"))
-    rows = folded.select("record", F.explode(F.arrays_zip("items", "taken")).alias("r"))
-    return rows.select("record", F.col("r.items.pos").alias("pos"), F.col("r.items.size").alias("size"), F.col("r.taken").alias("admitted"))
-
-
-def _phases(items: DataFrame, total: int, block: Column) -> DataFrame:
-    """Greedy admission for records of any length, spread over many tasks.
-
-    A phase has a ``unit`` just over half the budget left.  While at least that
-    is left every smaller item fits and at most one larger item can.  So one
-    running sum finds the row that ends the phase, and a phase at least halves
-    the budget: about ``log2(total)`` passes settle every record, however long.
+    By halving: while at least ``unit`` is left, every item below it fits, so
+    one running sum finds where that ends, and at most one item of ``unit`` to
+    twice ``unit`` can fit in between.  Each turn at least halves what is left.
     """
-    state = items.select("record").distinct().select(
-        "record", F.lit(None).cast(items.schema["pos"].dataType).alias("after"), F.lit(Decimal(total)).cast(EXACT).alias("left")
-    )
-    spans = None
-    while True:
-        open_ = state.where("left > 0").withColumn("unit", ((F.col("left") + 1) * F.lit(Decimal("0.5"))).cast(EXACT))
-        live = items.join(open_, "record").where(
-            (F.col("after").isNull() | (F.col("pos") > F.col("after"))) & (F.col("amount") < F.col("unit") * 2)
-        )
-        small = F.when(F.col("amount") < F.col("unit"), F.col("amount")).otherwise(F.lit(0).cast(EXACT))
-        summed = sum_before(live, ["record"], ["pos"], block, small, "used")
-        room = F.col("left") - F.col("used")
-        big = F.col("amount") >= F.col("unit")
-        ends = F.when(big, F.col("amount") <= room).otherwise(room - F.col("amount") < F.col("unit"))
-        stop = F.when(ends & (room >= F.col("unit")), F.struct("pos", (room - F.col("amount")).cast(EXACT).alias("left")))
-        phase = summed.groupBy("record", "after", "unit").agg(F.min(stop).alias("stop"))
-        done = phase.select("record", "after", "unit", F.col("stop.pos").alias("until"), F.col("stop.left").alias("left")).checkpoint()
-        spans = done if spans is None else spans.unionByName(done)
-        state = done.where("until IS NOT NULL").select("record", F.col("until").alias("after"), "left")
-        if state.isEmpty():
-            break
-    # at most one span per halving of the budget, so the list per record is short
-    ranges = spans.groupBy("record").agg(F.collect_list(F.struct("after", "until", "unit")).alias("spans"))
-    inside = F.exists(
-        "spans",
-        lambda s: (s["after"].isNull() | (F.col("pos") > s["after"]))
-        & (s["until"].isNull() | (F.col("pos") <= s["until"]))
-        & ((F.col("amount") < s["unit"]) | (F.coalesce(F.col("pos") == s["until"], F.lit(False)))),
-    )
-    return items.join(ranges, "record", "left").select("record", "pos", "size", F.coalesce(inside, F.lit(False)).alias("admitted"))
-
-
-def admit_by_budget(
-    items: DataFrame, per_item: float = ITEM_MAX_BYTES, total: float = TOTAL_MAX_BYTES, long_record: int = 4096, block: Column | None = None
-) -> DataFrame:
+    out = np.zeros(len(amounts), bool)
+    start = 0
+    while left > 0 and start < len(amounts):
+        rest = amounts[start:]
+        unit = (left + 1) // 2
+        small = rest < unit
+        room = left - np.concatenate([[0], np.cumsum(np.where(small, rest, 0))[:-1]])
+        ends = np.flatnonzero(np.where(small, room - rest < unit, rest <= room) & (room >= unit))
+        stop = int(ends[0]) if len(ends) else len(rest) - 1
+        out[start : start + stop + 1] = small[: stop + 1]
+        if len(ends):
+            out[start + stop] = True
+        left -= int(rest[: stop + 1][out[start : start + stop + 1]].sum())
+        start += stop + 1
+    return out, left
+
+
+def _left_before(blocks: DataFrame, total: int, kind: str) -> DataFrame:
+    """``record, _block, left``: the budget left before each block (``record, _block, amounts``).
+
+    The blocks of a record pass in order, one row at a time.
+    """
+    ship_package()
+    decimal = kind != "bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, left = (), None
+        for batch in batches:
+            out = []
+            for record, amounts in zip(batch.column("record").to_pylist(), batch.column("amounts").to_pylist(), strict=True):
+                if here != (record,):
+                    here, left = (record,), Decimal(total) if decimal else total
+                out.append(left)
+                left = settled(np.array(amounts, object if decimal else np.int64), left)[1]
+            made = pa.array(out, pa.decimal128(24, 0) if decimal else pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("record"), batch.column("_block"), made], ["record", "_block", "left"])
+
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    ordered = blocks.select("record", "_block", "amounts").repartition("record").sortWithinPartitions("record", "_block")
+    return ordered.mapInArrow(run, f"record {types['record']}, _block {types['_block']}, left {kind}")
+
+
+def admit_by_budget(items: DataFrame, per_item: float = ITEM_MAX_BYTES, total: float = TOTAL_MAX_BYTES, cut: int = BLOCK, block: Column | None = None) -> DataFrame:
     """Admit items ``(record, pos, size)`` in order while they fit the budget.
 
-    A rejected item uses nothing, so this is no running sum.  Records of up to
-    ``long_record`` items are folded in one row; longer ones, if the counts
-    show any, go through halving phases that never gather a record.  Both add
-    whole billionths, so they agree on fractions too; an item of no known size
-    is not admitted.
+    A rejected item uses nothing, so this is no running sum.  The items of a
+    record are cut into blocks of the order (``block``, by default ``cut``
+    positions; a short record is one): each is one row.  What is left before
+    each block comes from passing the blocks of a record in order, one at a
+    time and by halving (:func:`settled`), at eight bytes an item; every block
+    then decides its items by itself.  Sizes are whole billionths, so fractions
+    are exact; an item of no known size is not admitted.  A NULL record is one.
     """
     total = round(Decimal(str(total)) * STEPS)
+    kind = "bigint" if total < 1 << 62 else EXACT
+    over = F.lit(Decimal(total + 1)).cast(kind)
     amount = F.when(F.col("size") <= per_item, (F.col("size").try_cast("decimal(24,9)") * STEPS).cast(EXACT))
-    items = items.select("record", "pos", F.col("size").cast("double").alias("size"), amount.alias("amount"))
-    lengths = items.groupBy("record").agg(F.count("*").alias("n")).where(F.col("n") > long_record).select("record")
-    if lengths.isEmpty():
-        return _fold(items, total)
-    from gleanery.session import checkpoint_dir
-
-    checkpoint_dir(items.sparkSession)
-    lengths = lengths.checkpoint()
-    short = _fold(items.join(lengths, "record", "left_anti"), total)
-    long_ = items.join(lengths, "record", "left_semi")
-    cut = block if block is not None else F.floor(F.col("pos") / long_record)
-    admitted = _phases(long_.where("amount IS NOT NULL"), total, cut)
-    over = long_.where("amount IS NULL").select("record", "pos", "size", F.lit(False).alias("admitted"))
-    return short.unionByName(admitted).unionByName(over)
+    fits_at_all = F.when(amount <= Decimal(total), amount.cast(kind))
+    item = F.struct("pos", F.coalesce(fits_at_all, over).alias("amount"), F.col("size").cast("double").alias("size"))
+    lists = items.groupBy("record", (F.floor(F.col("pos") / cut) if block is None else block).alias("_block")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lefts = _left_before(lists.select("record", "_block", F.transform("items", lambda i: i["amount"]).alias("amounts")), total, kind)
+    lefts = lefts.select(F.col("record").alias("_r"), F.col("_block").alias("_b"), "left")
+    begun = lists.join(lefts, lists["record"].eqNullSafe(lefts["_r"]) & lists["_block"].eqNullSafe(lefts["_b"]))
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<boolean>").alias("taken"))
+
+    def step(acc: Column, i: Column) -> Column:
+        fits = (acc["left"] > 0) & (i["amount"] <= acc["left"])
+        return F.struct(F.when(fits, acc["left"] - i["amount"]).otherwise(acc["left"]).cast(kind).alias("left"), F.array_append(acc["taken"], fits).alias("taken"))
+
+    folded = begun.select("record", "items", F.aggregate("items", start, step)["taken"].alias("taken"))
+    rows = folded.select("record", F.explode(F.arrays_zip("items", "taken")).alias("r"))
+    return rows.select("record", F.col("r.items.pos").alias("pos"), F.col("r.items.size").alias("size"), F.col("r.taken").alias("admitted"))

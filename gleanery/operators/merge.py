@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.plans.ordered import rank_in_key
+from gleanery.plans.ordered import last_before, next_row
 from gleanery.session import checkpoint_dir
 
-#: Leading key components that cut a list for the final numbering.
-CUT = 5
+#: Places of a run, or siblings, that are numbered in one task.
+BLOCK = 4096
+
+
+def list_ranks(tokens: DataFrame) -> DataFrame:
+    """``token, before`` of linked lists: the summed weight of what precedes each token in its list.
+
+    ``tokens``: ``head, token, next, weight``; ``head`` names the list, ``next``
+    is NULL at its end.  Pointer jumping: each round a token takes over the sum
+    and the pointer of the token it points to, so the distance doubles and a
+    row stays as long as it was.
+    """
+    sizes = tokens.groupBy("head").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    state = tokens.select("head", "token", "next", F.col("weight").alias("rest")).checkpoint()
+    reach = 1
+    while reach < sizes:
+        # a token that has reached the end stays as it is; only the others look ahead
+        ahead = state.select(F.col("token").alias("next"), F.col("next").alias("_next"), F.col("rest").alias("_rest"))
+        moving = state.where("next IS NOT NULL").join(ahead, "next").select("head", "token", F.col("_next").alias("next"), (F.col("rest") + F.col("_rest")).alias("rest"))
+        state = moving.unionByName(state.where("next IS NULL")).checkpoint()
+        reach *= 2
+    totals = tokens.groupBy("head").agg(F.sum("weight").alias("_total"))
+    return state.join(totals, "head").select("token", (F.col("_total") - F.col("rest")).alias("before"))
 
 
 def thread_merge(cells: DataFrame) -> DataFrame:
@@ -20,11 +41,15 @@ def thread_merge(cells: DataFrame) -> DataFrame:
     the nearest known post after it, else to the end of the list.
 
     Where a post goes depends only on what is next to it in the snapshot that
-    introduces it, not on the order built so far.  So the merge is a tree:
-    every run of new posts hangs on a known post, on its left or right, later
-    snapshots nearer to it.  The path from the root is the sort key, found by
-    path doubling over all lists at once: as many joins as the logarithm of the
-    depth, and no list in one task.
+    introduces it, not on the order built so far.  So the merge is a tree of
+    runs of new posts: a run hangs in its parent run at a cut between two of
+    its posts; of those in one cut, runs that follow a post come first, later
+    snapshots nearer to it, and then those that precede the next post, earlier
+    snapshots first.  The tour of this tree is a linked list with two rows per
+    run: its posts up to the first run that hangs in it, and its parent's posts
+    after it.  :func:`list_ranks` counts the posts before each such stretch.
+    Rows are of constant size, however deep the tree is, and no list is in one
+    task.
     """
     checkpoint_dir(cells.sparkSession)
     at = F.struct("snapshot_no", "pos")
@@ -49,40 +74,24 @@ def thread_merge(cells: DataFrame) -> DataFrame:
     opens = F.col("_new") & ~F.coalesce(F.col("_prev._new"), F.lit(False))
     runs_in = seen.withColumn("_run", F.sum(F.when(opens, 1).otherwise(0)).over(screen.rowsBetween(Window.unboundedPreceding, 0)))
     offset = F.row_number().over(Window.partitionBy("list_id", "snapshot_no", "_run").orderBy("pos")).cast("bigint")
-    new = runs_in.where("_new").withColumn("offset", offset)
-    run = F.struct("snapshot_no", F.col("_run").alias("run_no"))
-    items = new.select("list_id", "id", run.alias("run"), "offset")
-
-    # one row per run: what it hangs on, and on which side
-    heads = new.where("offset = 1").select(
-        "list_id",
-        run.alias("run"),
-        F.coalesce("_prev.id", "_next").alias("anchor"),
-        F.when(F.col("_prev").isNotNull(), 1).otherwise(-1).cast("bigint").alias("side"),
-        F.col("snapshot_no").cast("bigint").alias("snap"),
-    )
-    anchors = items.select("list_id", F.col("id").alias("anchor"), F.col("run").alias("parent"), F.col("offset").alias("hook"))
-    steps = heads.join(anchors, ["list_id", "anchor"], "left").select(
-        "list_id",
-        "run",
-        "parent",
-        F.when(F.col("parent").isNull(), F.array("snap"))
-        .otherwise(F.array(F.col("hook"), F.col("side"), -F.col("side") * F.col("snap")))
-        .alias("path"),
-    )
-    paths = steps.checkpoint()
-    while not paths.where("parent IS NOT NULL").isEmpty():
-        up = paths.select("list_id", F.col("run").alias("parent"), F.col("parent").alias("_up"), F.col("path").alias("_path"))
-        paths = paths.join(up, ["list_id", "parent"], "left").select(
-            "list_id",
-            "run",
-            F.col("_up").alias("parent"),
-            F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
-        ).checkpoint()
-
-    keyed = items.join(paths.select("list_id", "run", "path"), ["list_id", "run"]).select(
-        "list_id", "id", F.concat("path", F.array(F.col("offset"), F.lit(0).cast("bigint"))).alias("_key")
-    )
+    run = F.struct("list_id", "snapshot_no", F.col("_run").alias("run_no"))
+    new = runs_in.where("_new").withColumns({"offset": offset, "run": run})
+    items = new.select("list_id", "run", "id", "offset", F.coalesce("_prev.id", "_next").alias("anchor"), F.col("_prev").isNotNull().alias("follows"))
+    items = items.checkpoint()
+
+    runs = _hung(items)
+    tokens = _tour(runs).checkpoint()
+    ranks = list_ranks(tokens.select("head", "token", "next", "weight"))
+    stretches = tokens.join(ranks, "token").select("run", "cut", "side", "nth", "before")
+    # the stretch a post is in is the last one that starts before it
+    none = F.lit(None).cast("bigint")
+    rows = items.select("list_id", "run", "id", "offset", F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("nth"), none.alias("from"))
+    starts = stretches.select(F.col("run.list_id").alias("list_id"), "run", F.lit(None).cast(items.schema["id"].dataType).alias("id"), F.col("cut").alias("offset"), F.col("side"), "nth", (F.col("before") - F.col("cut")).alias("from"))
+    # a post is after everything that hangs in a lower cut, and before what hangs right behind it
+    order = [F.col("offset") * 2 + F.when(F.col("id").isNull(), 1).otherwise(0), F.col("side"), F.col("nth")]
+    every = rows.unionByName(starts).withColumns({f"_o{i}": o for i, o in enumerate(order)})
+    found = last_before(every, ["run"], ["_o0", "_o1", "_o2"], F.floor(F.col("_o0") / BLOCK), F.col("from"), "_from")
+    positions = found.where("id IS NOT NULL").select("list_id", "id", (F.col("_from") + F.col("offset")).alias("position"))
     # the break flag is known only where something stands above the post
     latest = seen.where(is_post).groupBy("list_id", "id").agg(
         F.max_by("handle", at).alias("handle"),
@@ -90,5 +99,56 @@ def thread_merge(cells: DataFrame) -> DataFrame:
             F.max_by(F.col("_above") != "post", F.when(F.col("_above").isNotNull(), at)), F.lit(False)
         ).alias("break_before"),
     )
-    ordered = rank_in_key(keyed, ["list_id"], ["_key"], F.slice("_key", 1, CUT), "position")
-    return ordered.join(latest, ["list_id", "id"]).select("list_id", "position", "id", "handle", "break_before")
+    return positions.join(latest, ["list_id", "id"]).select("list_id", "position", "id", "handle", "break_before")
+
+
+def _hung(items: DataFrame) -> DataFrame:
+    """One row per run: ``run, size``, and where it hangs: ``parent, cut, side, nth`` (a top run: parent NULL).
+
+    ``side`` is 0 for a run that follows a post and 1 for one that precedes
+    one; ``nth`` orders those of one cut and side.
+    """
+    sizes = items.groupBy("list_id", "run").agg(F.max("offset").alias("size"), F.max(F.when(F.col("offset") == 1, F.col("anchor"))).alias("anchor"), F.bool_or((F.col("offset") == 1) & F.col("follows")).alias("follows"))
+    anchors = items.select("list_id", F.col("id").alias("anchor"), F.col("run").alias("parent"), F.col("offset").alias("hook"))
+    snap = F.col("run.snapshot_no").cast("bigint")
+    follows = F.col("follows") & F.col("parent").isNotNull()
+    return sizes.join(anchors, ["list_id", "anchor"], "left").select(
+        "run",
+        "size",
+        "parent",
+        F.when(F.col("parent").isNull(), F.lit(0).cast("bigint")).when(follows, F.col("hook")).otherwise(F.col("hook") - 1).alias("cut"),
+        F.when(follows, 0).otherwise(1).alias("side"),
+        F.when(follows, -snap).otherwise(snap).alias("nth"),
+    )
+
+
+def _tour(runs: DataFrame) -> DataFrame:
+    """The linked list of all stretches, two per run.
+
+    Token ``(run, 0)`` is the run's posts up to the first run that hangs in it;
+    token ``(run, 1)`` is the parent's posts from where the run hangs to the
+    next one.  ``run, cut, side, nth`` say where in which run a stretch starts.
+    """
+    token = lambda r, end: F.struct(r.alias("run"), F.lit(end).alias("end"))
+    # top runs hang in a run of the list itself that has no posts
+    up = F.coalesce(F.col("parent"), F.struct(F.col("run.list_id").alias("list_id"), F.lit(None).cast(runs.schema["run"].dataType["snapshot_no"].dataType).alias("snapshot_no"), F.lit(-1).cast(runs.schema["run"].dataType["run_no"].dataType).alias("run_no")))
+    hung = runs.withColumn("_up", F.struct(up["list_id"].alias("list_id"), F.coalesce(up["snapshot_no"].cast("bigint"), F.lit(-1)).alias("snapshot_no"), up["run_no"].alias("run_no")))
+    block: Column = F.struct("cut", "side", F.floor(F.col("nth") / BLOCK))
+    sibling = next_row(hung, ["_up"], ["cut", "side", "nth"], block, F.struct("run", "cut"), "_sibling")
+    first = hung.where("parent IS NOT NULL").groupBy("parent").agg(F.min(F.struct("cut", "side", "nth", "run")).alias("_child")).withColumnRenamed("parent", "run")
+    with_first = sibling.join(first, "run", "left")
+    of_parent = runs.select(F.col("run").alias("parent"), F.col("size").alias("_parent_size"))
+    rows = with_first.join(of_parent, "parent", "left")
+    start = F.struct(
+        token(F.col("run"), 0).alias("token"),
+        F.when(F.col("_child").isNotNull(), token(F.col("_child.run"), 0)).otherwise(token(F.col("run"), 1)).alias("next"),
+        F.coalesce("_child.cut", "size").alias("weight"),
+        F.col("run").alias("run"), F.lit(0).cast("bigint").alias("cut"), F.lit(-1).alias("side"), F.lit(0).cast("bigint").alias("nth"),
+    )
+    behind = F.struct(
+        token(F.col("run"), 1).alias("token"),
+        F.when(F.col("_sibling").isNotNull(), token(F.col("_sibling.run"), 0)).when(F.col("parent").isNotNull(), token(F.col("parent"), 1)).alias("next"),
+        F.when(F.col("parent").isNull(), F.lit(0).cast("bigint")).otherwise(F.coalesce("_sibling.cut", "_parent_size") - F.col("cut")).alias("weight"),
+        F.col("parent").alias("run"), F.col("cut").alias("cut"), F.col("side").alias("side"), F.col("nth").alias("nth"),
+    )
+    return rows.select(F.col("run.list_id").alias("head"), F.explode(F.array(start, behind)).alias("t")).select("head", "t.*")

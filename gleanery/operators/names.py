@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.names import name_key
 from gleanery.plans.ordered import rank_in_key, sum_before
-from gleanery.session import checkpoint_dir
+from gleanery.session import checkpoint_dir, ship_package
 
-_NUMBERED = r"(?s)^(.*) \(([2-9]|[1-9][0-9]{1,8})\)\z"
+#: A title with a number that a batch can reach: more digits would take more records than there can be.
+_NUMBERED = r"(?s)^(.*) \(([2-9]|[1-9][0-9]{1,17})\)\z"
 _ALWAYS = -1
+#: Rivals of a base that are summarised in one row.
+RIVALS = 256
 
 
 def _parent(key: Column) -> Column:
@@ -24,11 +30,53 @@ def _parent(key: Column) -> Column:
 
 def _depth(key: Column) -> Column:
     """How many trailing `` (n)`` a name has."""
-    tail = F.regexp_extract(key.cast("string"), r"((?: \((?:[2-9]|[1-9][0-9]{1,8})\))*)\z", 1)
+    tail = F.regexp_extract(key.cast("string"), r"((?: \((?:[2-9]|[1-9][0-9]{1,17})\))*)\z", 1)
     return F.size(F.split(tail, r"\(")) - 1
 
 
-def unique_names(clips: DataFrame, existing: DataFrame, ext: str = ".md", cut: int = 100_000) -> DataFrame:
+def skip_steps(limits: Column) -> Column:
+    """What a block of rivals adds to the numbers skipped before it, as descending steps.
+
+    A rival is skipped while fewer numbers than its limit are skipped so far.
+    How many a block adds never grows with what was skipped before, so it is a
+    step function: one more for each step above that count.  Each rival adds a
+    step to those of the rivals before it: its limit, less the steps that lift
+    the count over it.
+    """
+
+    def lowered(at: Column, step: Column) -> Column:
+        return at - (step >= at).cast("bigint")
+
+    def add(steps: Column, limit: Column) -> Column:
+        one = F.aggregate(steps, limit, lowered)
+        return F.concat(F.filter(steps, lambda x: x > one), F.array(one), F.filter(steps, lambda x: x <= one))
+
+    return F.filter(F.aggregate(limits, F.array().cast("array<bigint>"), add), lambda x: x > 0)
+
+
+def skipped_before(blocks: DataFrame) -> DataFrame:
+    """``base, block, skipped``: numbers skipped before each block (``base, block, steps`` of :func:`skip_steps`).
+
+    The blocks of a base pass one after the other, one row at a time.
+    """
+    ship_package()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, skipped = None, 0
+        for batch in batches:
+            out = []
+            for base, steps in zip(batch.column("base").to_pylist(), batch.column("steps").to_pylist(), strict=True):
+                if base != here:
+                    here, skipped = base, 0
+                out.append(skipped)
+                skipped += sum(x > skipped for x in steps)
+            yield pa.RecordBatch.from_arrays([batch.column("base"), batch.column("block"), pa.array(out, pa.int64())], ["base", "block", "skipped"])
+
+    ordered = blocks.select("base", "block", "steps").repartition("base").sortWithinPartitions("base", "block")
+    return ordered.mapInArrow(run, "base bigint, block bigint, skipped bigint")
+
+
+def unique_names(clips: DataFrame, existing: DataFrame, ext: str = ".md", cut: int = 100_000, rivals: int = RIVALS) -> DataFrame:
     """``id, file``: ``name``, ``name (2)``, ``name (3)`` … in order of ``seq``.
 
     ``clips``: ``id, seq, base``; ``existing``: ``file``.  A record takes the
@@ -39,9 +87,12 @@ def unique_names(clips: DataFrame, existing: DataFrame, ext: str = ".md", cut: i
     r-th number that nobody else took before the base reached it.  Others are
     existing files, records whose own title reads ``name (k)`` and, for such a
     title, the base it is a number of.  Whether ``name (k)`` got there first
-    depends only on how many records of the base arrived before it.  So one
-    row per contested number is folded, never the records; ranks and numbers
-    come from block-wise running counts.
+    depends only on how many records of the base arrived before it.  So the
+    contested numbers are folded, never the records, in blocks of ``rivals``:
+    each block is summarised by itself, the summaries give what was skipped
+    before each block, and the blocks are then folded from there, so no row
+    holds all rivals of a base.  Ranks and numbers come from block-wise running
+    counts.
     """
     checkpoint_dir(clips.sparkSession)
     block = F.floor(F.col("seq") / cut)
@@ -71,10 +122,10 @@ def unique_names(clips: DataFrame, existing: DataFrame, ext: str = ".md", cut: i
     obstacles = contested.join(counted, ["key", "k"], "left").select("key", "k", F.coalesce("before", F.lit(_ALWAYS)).cast("bigint").alias("before"))
     obstacles = obstacles.checkpoint()
 
-    start = F.struct(F.lit(0).cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("skipped"))
+    none = F.array().cast("array<bigint>")
 
     def step(acc: Column, o: Column) -> Column:
-        skip = o["before"] + acc["s"] < o["slot"]
+        skip = acc["s"] < o["limit"]
         return F.struct(
             (acc["s"] + skip.cast("bigint")).alias("s"),
             F.when(skip, F.array_append(acc["skipped"], o["k"])).otherwise(acc["skipped"]).alias("skipped"),
@@ -88,9 +139,13 @@ def unique_names(clips: DataFrame, existing: DataFrame, ext: str = ".md", cut: i
         """
         always = F.col("before") == _ALWAYS
         shifted = sum_before(rows, ["key"], ["k"], F.floor(F.col("k") / cut), F.when(always, 1).otherwise(0), "fixed")
-        rivals = shifted.where(~always).withColumn("slot", F.col("k") - F.col("fixed"))
-        lists = rivals.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("slot", "k", "before"))).alias("o"))
-        lost = lists.select("key", F.explode(F.aggregate("o", start, step)["skipped"]).alias("k"))
+        contest = shifted.where(~always).select("key", "k", (F.col("k") - F.col("fixed") - F.col("before")).alias("limit"))
+        placed = rank_in_key(contest, ["key"], ["k"], F.floor(F.col("k") / cut), "n").join(bases.select("key", F.col("first_seq").cast("bigint").alias("base")), "key")
+        lists = placed.groupBy("base", F.floor((F.col("n") - 1) / rivals).alias("block")).agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.struct("k", "limit"))).alias("o"))
+        lists = lists.checkpoint()
+        starts = skipped_before(lists.select("base", "block", skip_steps(F.transform("o", lambda o: o["limit"])).alias("steps")))
+        begun = lists.join(starts, ["base", "block"]).withColumn("start", F.struct(F.col("skipped").alias("s"), none.alias("skipped")))
+        lost = begun.select("key", F.explode(F.aggregate("o", F.col("start"), step)["skipped"]).alias("k"))
         return lost.unionByName(rows.where(always).select("key", "k"))
 
     # a title ``p (k)`` finds its own name gone when p reached number k first

@@ -104,6 +104,12 @@ g AS (SELECT record, rn, pos, size, size <= 45 AND size <= 100 AS ok, CASE WHEN
  UNION ALL SELECT i.record, i.rn, i.pos, i.size, i.size <= 45 AND g.rest > 0 AND i.size <= g.rest, CASE WHEN i.size <= 45 AND i.size <= g.rest THEN g.rest - i.size ELSE g.rest END
  FROM g JOIN i ON i.record = g.record AND i.rn = g.rn + 1)
 SELECT record, pos, size, ok AS admitted FROM g""",
+    "w7_admit_long_records": """WITH RECURSIVE i AS (SELECT l_suppkey % 3 AS record, l_orderkey * 10 + l_linenumber AS pos, max((l_partkey * 37 + l_orderkey) % 1000)::BIGINT AS tenths FROM lineitem GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY pos) AS rn FROM i),
+g AS (SELECT DISTINCT record, 0::BIGINT AS rn, NULL::BIGINT AS pos, 0::BIGINT AS tenths, false AS ok, 250007::BIGINT AS rest FROM n
+ UNION ALL SELECT n.record, n.rn, n.pos, n.tenths, n.tenths <= 975 AND g.rest > 0 AND n.tenths <= g.rest, CASE WHEN n.tenths <= 975 AND n.tenths <= g.rest THEN g.rest - n.tenths ELSE g.rest END
+ FROM g JOIN n ON n.record = g.record AND n.rn = g.rn + 1)
+SELECT record, pos, tenths / 10.0 AS size, ok AS admitted FROM g WHERE rn > 0""",
     "p10_clip_documents": f"""WITH d AS (SELECT doc_id::VARCHAR AS id, 'https://www.' || source || '.example.com/a(' || doc_id || ')' AS src, 'https://www.' || source || '.example.com/a%28' || doc_id || '%29' AS link,
   CASE lang WHEN 'en' THEN 'web' WHEN 'de' THEN 'link' WHEN 'fr' THEN 'video' ELSE 'quote' END AS medium, split_part(text, chr(10), 1) AS title, source, lang, text, n_chars,
   strftime(make_timestamp((1704067200 + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS captured FROM documents),

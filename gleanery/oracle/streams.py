@@ -19,6 +19,14 @@ SELECT doc_id, CASE WHEN n = '' THEN 'Untitled' WHEN length(n) > 60 THEN left(n,
     "w8_unique_names": """WITH t AS (SELECT DISTINCT p_name FROM part WHERE p_size = 1),
 r AS (SELECT p_partkey AS id, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) + CASE WHEN p_name IN (SELECT p_name FROM t) THEN 1 ELSE 0 END AS n FROM part)
 SELECT id, p_name || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.md' AS file FROM r""",
+    "w8_contested_names": """WITH RECURSIVE x AS (SELECT event_id AS id, 'f' || user_id % 40 AS family, 'f' || user_id % 40 || CASE WHEN event_type IN ('purchase', 'click') THEN ' (' || 2 + event_id * 7 % 90 || ')' ELSE '' END AS base, event_id FROM events),
+t AS (SELECT 'f' || user_id % 40 AS family, list(DISTINCT 'f' || user_id % 40 || ' (' || 3 + event_id % 60 || ')') AS taken FROM events WHERE event_id % 50 = 0 GROUP BY 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY id) AS rn FROM x),
+g AS (SELECT DISTINCT c.family, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::VARCHAR AS name, coalesce(t.taken, []) AS taken FROM c LEFT JOIN t USING (family)
+ UNION ALL SELECT family, rn, id, name, list_append(taken, name) FROM (SELECT c.family, c.rn, c.id, g.taken,
+   list_filter(list_transform(range(1, len(g.taken) + 2), lambda n: c.base || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END), lambda x: NOT list_contains(g.taken, x))[1] AS name
+   FROM g JOIN c ON c.family = g.family AND c.rn = g.rn + 1))
+SELECT id, name || '.md' AS file FROM g WHERE rn > 0""",
     "s4_write_clips": f"WITH doc AS ({DOC}), s AS ({STORED}) SELECT id, medium, document, source, tags FROM doc JOIN s USING (id)",
     "s5_sidecar_json": f"WITH {SIDE} SELECT id, to_json(side)::VARCHAR AS value FROM side",
     "s3_read_sidecars": f"WITH {SIDE} SELECT * FROM side",

@@ -67,6 +67,9 @@ SELECT '9' || id AS post_id, 1 AS n, 'https://x.com/one/status/9' || id || '/vid
 UNION ALL SELECT id, 7, 'https://x.com/' || handle || '/status/' || id || '/video/7', '@' || handle || ' - ' || left({PLAIN}, 30), upper(role[1]) || role[2:] || ' (@' || handle || ')',
  'https://p.example/' || id || '.png', n, {paragraphs('text')} FROM posts WHERE n % 11 <> 0 AND n % 5 = 0""",
     "w6_thread_merge": """SELECT conv_id::VARCHAR AS list_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, turn::VARCHAR AS id, role AS handle, length(text) % 4 = 0 AS break_before FROM conversations""",
+    "w6_thread_merge_chain": """WITH e AS (SELECT event_type AS list_id, event_id AS id, row_number() OVER w AS k, count(*) OVER (PARTITION BY event_type) AS n, lead(event_id) OVER w AS next FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+c AS (SELECT *, count(*) FILTER (WHERE next % 2 = 0) OVER (PARTITION BY list_id ORDER BY k) AS above, count(*) FILTER (WHERE next % 2 = 1) OVER (PARTITION BY list_id ORDER BY k) AS below FROM e WHERE n > 1)
+SELECT list_id, CASE WHEN next % 2 = 0 THEN above WHEN next IS NULL THEN above + 1 ELSE n - below + 1 END AS position, id::VARCHAR AS id, 's' || least(k, n - 1) AS handle, false AS break_before FROM c""",
     "w4_quote_anchors": f"WITH {QUOTES} SELECT id, anchor FROM a",
     "a2_collect_quotes": f"""WITH {QUOTES}, p AS (SELECT source, (rn - 1) // 1000 AS part, string_agg(entry, {NL2} ORDER BY rn) AS body, min_by(title, rn) AS title, min(ts) AS ts FROM e GROUP BY 1, 2),
 n AS (SELECT source, count(*) AS entries FROM q GROUP BY 1)

@@ -1,9 +1,10 @@
 """Keyed state the built-in streaming operators cannot hold.
 
-What counts is the order of events, not of arrival: rows of a key wait until
-the watermark has passed them and are then taken in order, so the number of
-files in a trigger decides nothing.  The caller's delay bounds how long rows
-wait; it must cover how far the input is out of order.
+What counts is the order of events, not of arrival: rows of a key wait, by
+bucket of event time, until the watermark has passed their bucket and are then
+taken in order, so the number of files in a trigger decides nothing.  The
+caller's delay bounds how long rows wait; it must cover how far the input is
+out of order.
 """
 
 from __future__ import annotations
@@ -19,13 +20,20 @@ from gleanery.session import ship_package
 
 #: At most one update per key in this time.
 THROTTLE_MS = 400
+#: Seconds in which an open takes the latest request.
+TTL_SECONDS = 30
+#: Event time of the rows that wait together.
+BUCKET_MS = 60_000
 
 
 class InEventOrder(StatefulProcessor):
-    """Hands the rows of a key to :meth:`take` in the order of ``ts, id``.
+    """Hands the rows of a key to :meth:`take` in the order of :meth:`place`.
 
-    One timer per key is kept at its earliest waiting row, or at a time that
-    :meth:`due` asks for.
+    Rows wait in a map of buckets of event time, each with a timer at its end.
+    When the watermark passes that, the bucket is complete: it alone is read,
+    sorted, taken and dropped, so a call holds one bucket of a key, however
+    many rows the key has.  What the job itself wants to do at a time without a
+    row (:meth:`due`) has a timer of its own and waits for the buckets before.
     """
 
     #: Columns of a row after ``id`` and its time in microseconds.
@@ -33,34 +41,52 @@ class InEventOrder(StatefulProcessor):
     #: Columns of the result after ``key``.
     made: list[str] = []
 
+    def __init__(self, bucket_ms: int) -> None:
+        self.bucket_ms = bucket_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        extra = "".join(f", {name} {kind}" for name, kind in self.more.items())
-        self.held = handle.getListState("held", f"id bigint, us bigint{extra}")
-        self.timer = handle.getValueState("timer", "at bigint")
+        extra = "".join(f", {name}: {kind}" for name, kind in self.more.items())
+        self.held = handle.getMapState("held", "bucket bigint", f"rows array<struct<id: bigint, us: bigint{extra}>>")
+        self.open = handle.getValueState("open", "buckets array<bigint>")
+        self.alarm = handle.getValueState("alarm", "at bigint")
         self.begin(handle)
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
         """State of the job itself."""
 
-    def take(self, rows: list[tuple], watermark: int) -> list[tuple]:
-        """Results of rows in order; no row before ``watermark`` (in ms) will follow."""
+    def place(self, row: tuple) -> tuple:
+        """What rows are ordered by."""
+        return row[1], row[0]
+
+    def take(self, rows: list[tuple]) -> list[tuple]:
+        """Results of the next rows in order."""
         raise NotImplementedError
 
+    def settle(self, until: int) -> list[tuple]:
+        """Results once all rows before ``until`` (in ms) are taken."""
+        return []
+
     def due(self) -> int | None:
         """When the job wants to be called without a row, in ms."""
         return None
 
-    def _wake(self, at: int | None) -> None:
-        before = self.timer.get()[0] if self.timer.exists() else None
+    def _buckets(self) -> list[int]:
+        return list(self.open.get()[0]) if self.open.exists() else []
+
+    def _wake(self, known: int) -> None:
+        """Keep the job's own timer where :meth:`due` wants it; a time that is over waits for the end of an open bucket."""
+        before = self.alarm.get()[0] if self.alarm.exists() else None
+        due = self.due()
+        at = None if due is None or due < known else due + 1
         if at == before:
             return
         if before is not None:
-            self.handle.deleteTimer(before)
-            self.timer.clear()
+            self.handle.deleteTimer(before) if before % self.bucket_ms else None
+            self.alarm.clear()
         if at is not None:
             self.handle.registerTimer(at)
-            self.timer.update((at,))
+            self.alarm.update((at,))
 
     def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=self.made)
@@ -68,27 +94,37 @@ class InEventOrder(StatefulProcessor):
         return frame.astype({"key": "int64"} | {c: "datetime64[us]" if c == "ts" or c.endswith("_at") else "int64" for c in self.made})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = self.timer.get()[0] if self.timer.exists() else None
+        waiting: dict[int, list[tuple]] = {}
         for frame in rows:
-            us = frame["ts"].astype("datetime64[us]").astype("int64")
-            self.held.appendList(list(zip(frame["id"].tolist(), us.tolist(), *(frame[c].tolist() for c in self.more), strict=True)))
-            at = int(us.min()) // 1000 + 1
-            first = at if first is None else min(first, at)
-        self._wake(first)
+            us = frame["ts"].astype("datetime64[us]").astype("int64").tolist()
+            for row in zip(frame["id"].tolist(), us, *(frame[c].tolist() for c in self.more), strict=True):
+                waiting.setdefault(row[1] // (1000 * self.bucket_ms), []).append(row)
+        opened = self._buckets()
+        for bucket, some in waiting.items():
+            if bucket in opened:
+                some = [*map(tuple, self.held.getValue((bucket,))[0]), *some]
+            else:
+                opened.append(bucket)
+                self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+            self.held.updateValue((bucket,), (some,))
+        self.open.update((sorted(opened),))
         yield self._frame(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        ready, rest = [], []
-        for row in self.held.get() if self.held.exists() else ():
-            (ready if row[1] // 1000 < watermark else rest).append(tuple(row))
-        out = self.take(sorted(ready, key=lambda r: (r[1], r[0])), watermark)
-        self.held.put(rest) if rest else self.held.clear()
-        times = [min(r[1] for r in rest) // 1000 + 1] if rest else []
-        if (due := self.due()) is not None:
-            times.append(due + 1)
-        self.timer.clear()
-        self._wake(min(times, default=None))
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        opened, out = self._buckets(), []
+        while opened and (opened[0] + 1) * self.bucket_ms <= now:
+            bucket = opened.pop(0)
+            rows = sorted(map(tuple, self.held.getValue((bucket,))[0]), key=self.place)
+            out += self.take(rows) + self.settle((bucket + 1) * self.bucket_ms)
+            self.held.removeKey((bucket,))
+        # all rows before the watermark are here: taken, or in an open bucket
+        known = timerValues.getCurrentWatermarkInMs()
+        out += self.settle(min(known, opened[0] * self.bucket_ms) if opened else known)
+        self.open.update((opened,)) if opened else self.open.clear()
+        if self.alarm.exists() and self.alarm.get()[0] <= now:
+            self.alarm.clear()
+        self._wake(known)
         yield self._frame(key, out)
 
     def close(self) -> None:
@@ -104,7 +140,7 @@ class GenerationGuard(InEventOrder):
     def begin(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", "generation bigint")
 
-    def take(self, rows: list[tuple], watermark: int) -> list[tuple]:
+    def take(self, rows: list[tuple]) -> list[tuple]:
         newest = self.newest.get()[0] if self.newest.exists() else None
         out = []
         for item, us, generation in rows:
@@ -125,14 +161,15 @@ class PendingQueue(InEventOrder):
     more = {"kind": "string"}
     made = ["id", "queued_at", "saved_at"]
 
-    def __init__(self, limit: int) -> None:
+    def __init__(self, limit: int, bucket_ms: int) -> None:
+        super().__init__(bucket_ms)
         self.limit = limit
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
         self.granted = handle.getValueState("granted", "granted boolean")
         self.waiting = handle.getListState("waiting", "id bigint, us bigint")
 
-    def take(self, rows: list[tuple], watermark: int) -> list[tuple]:
+    def take(self, rows: list[tuple]) -> list[tuple]:
         granted = bool(self.granted.get()[0]) if self.granted.exists() else False
         queue = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
         out = []
@@ -162,7 +199,8 @@ class Throttle(InEventOrder):
     more = {"phase": "string"}
     made = ["id", "sent_at_ms"]
 
-    def __init__(self, interval_ms: int) -> None:
+    def __init__(self, interval_ms: int, bucket_ms: int) -> None:
+        super().__init__(bucket_ms)
         self.interval = interval_ms
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
@@ -172,7 +210,7 @@ class Throttle(InEventOrder):
     def due(self) -> int | None:
         return self.pending.get()[1] if self.pending.exists() else None
 
-    def take(self, rows: list[tuple], watermark: int) -> list[tuple]:
+    def take(self, rows: list[tuple]) -> list[tuple]:
         last, phase = self.sent.get() if self.sent.exists() else (None, None)
         waiting = tuple(self.pending.get()) if self.pending.exists() else None
         out = []
@@ -186,30 +224,81 @@ class Throttle(InEventOrder):
                 last, phase, waiting = now, now_phase, None
             else:
                 waiting = (item, last + self.interval)
-        if waiting and waiting[1] < watermark:
-            out.append(waiting)
-            last, waiting = waiting[1], None
         if last is not None:
             self.sent.update((int(last), phase))
         self.pending.update((int(waiting[0]), int(waiting[1]))) if waiting else self.pending.clear()
         return out
 
+    def settle(self, until: int) -> list[tuple]:
+        """The value that waits, if its time has come and no row before that can change it."""
+        if not self.pending.exists():
+            return []
+        item, due = self.pending.get()
+        if due >= until:
+            return []
+        self.sent.update((int(due), self.sent.get()[1]))
+        self.pending.clear()
+        return [(int(item), int(due))]
+
+
+class Take(InEventOrder):
+    """The latest request per key waits, and the first open within ``ttl_ms`` takes it.
+
+    An open ends the requests before it, taken or not, as a later open cannot
+    be the first after them.  Requests come before opens of the same time.
+    """
+
+    more = {"opens": "boolean"}
+    made = ["request_id", "open_id", "asked_at", "opened_at"]
+
+    def __init__(self, ttl_ms: int, bucket_ms: int) -> None:
+        super().__init__(bucket_ms)
+        self.ttl = 1000 * ttl_ms
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "id bigint, us bigint")
+
+    def place(self, row: tuple) -> tuple:
+        return row[1], row[2], row[0]
+
+    def take(self, rows: list[tuple]) -> list[tuple]:
+        latest = tuple(self.latest.get()) if self.latest.exists() else None
+        out = []
+        for item, us, opens in rows:
+            if not opens:
+                latest = (item, us)
+            elif latest is not None:
+                if us - latest[1] <= self.ttl:
+                    out.append((latest[0], item, latest[1], us))
+                latest = None
+        self.latest.update(latest) if latest else self.latest.clear()
+        return out
+
 
 def _run(rows: DataFrame, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
     ship_package()
     return rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
-def stream_generation_guard(updates: DataFrame, delay: str) -> DataFrame:
+def stream_generation_guard(updates: DataFrame, delay: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """``updates``: ``key, id, ts, generation``."""
-    return _run(updates, GenerationGuard(), "key bigint, id bigint, ts timestamp, generation bigint", delay)
+    return _run(updates, GenerationGuard(bucket_ms), "key bigint, id bigint, ts timestamp, generation bigint", delay)
 
 
-def stream_pending_queue(events: DataFrame, delay: str, limit: int = LIMITS["pending"]) -> DataFrame:
+def stream_pending_queue(events: DataFrame, delay: str, limit: int = LIMITS["pending"], bucket_ms: int = BUCKET_MS) -> DataFrame:
     """``events``: ``key, id, ts, kind`` with kind push, grant or revoke."""
-    return _run(events, PendingQueue(limit), "key bigint, id bigint, queued_at timestamp, saved_at timestamp", delay)
+    return _run(events, PendingQueue(limit, bucket_ms), "key bigint, id bigint, queued_at timestamp, saved_at timestamp", delay)
 
 
-def stream_throttle(updates: DataFrame, delay: str, interval_ms: int = THROTTLE_MS) -> DataFrame:
+def stream_throttle(updates: DataFrame, delay: str, interval_ms: int = THROTTLE_MS, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """``updates``: ``key, id, ts, phase``; a value that waits goes out when the watermark passes its time."""
-    return _run(updates, Throttle(interval_ms), "key bigint, id bigint, sent_at_ms bigint", delay)
+    return _run(updates, Throttle(interval_ms, bucket_ms), "key bigint, id bigint, sent_at_ms bigint", delay)
+
+
+def stream_take(moves: DataFrame, delay: str, ttl: int = TTL_SECONDS, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Requests with the open that takes them.
+
+    ``moves``: ``key, id, ts, opens``, an open or else a request.  State and
+    result hold one row per request at most.
+    """
+    return _run(moves, Take(1000 * ttl, bucket_ms), "key bigint, request_id bigint, open_id bigint, asked_at timestamp, opened_at timestamp", delay)

@@ -1,7 +1,9 @@
 import random
 from decimal import Decimal
 
-from gleanery.operators.images import admit_by_budget, plan_images, rewrite_images
+import numpy as np
+
+from gleanery.operators.images import admit_by_budget, plan_images, rewrite_images, settled
 
 BODY = """![a](https://e.com/1.png "t") ![b](<https://e.com/2 (x).png>) ![c](https://e.com/a_\\(b\\).png)
 ![d](data:image/png;base64,AA) ![rel](/x.png) ![again](https://e.com/1.png)
@@ -56,7 +58,7 @@ def brute(sizes, per_item, total):
     return out
 
 
-def test_long_records_match_the_fold(spark):
+def test_blocks_match_the_rule(spark):
     rng = random.Random(11)
     rows, want = [], {}
     for record in range(6):
@@ -65,8 +67,8 @@ def test_long_records_match_the_fold(spark):
             rows.append((record, pos, size))
         want.update({(record, p): ok for p, ok in enumerate(brute(sizes, 40, 100))})
     items = spark.createDataFrame(rows, "record int, pos int, size int")
-    for limit in (1000, 10):
-        got = {(r.record, r.pos): r.admitted for r in admit_by_budget(items, 40, 100, long_record=limit).collect()}
+    for limit in (1000, 7):
+        got = {(r.record, r.pos): r.admitted for r in admit_by_budget(items, 40, 100, cut=limit).collect()}
         assert got == want
 
 
@@ -79,12 +81,32 @@ def test_fractional_sizes_are_exact(spark):
         taken = brute(sizes, Decimal(20), Decimal("30.3"))
         want.update({(record, p): ok for p, ok in enumerate(taken)})
     items = spark.createDataFrame(rows, "record int, pos int, size double")
-    for limit in (1000, 10):
-        got = {(r.record, r.pos): r.admitted for r in admit_by_budget(items, 20, 30.3, long_record=limit).collect()}
+    for limit in (1000, 7):
+        got = {(r.record, r.pos): r.admitted for r in admit_by_budget(items, 20, 30.3, cut=limit).collect()}
         assert got == want
 
 
 def test_unknown_size_is_not_admitted(spark):
     items = spark.createDataFrame([(1, pos, size) for pos, size in enumerate([3.0, None, 5.0])], "record int, pos int, size double")
     for limit in (1000, 2):
-        assert {r.pos: r.admitted for r in admit_by_budget(items, 20, 30, long_record=limit).collect()} == {0: True, 1: False, 2: True}
+        assert {r.pos: r.admitted for r in admit_by_budget(items, 20, 30, cut=limit).collect()} == {0: True, 1: False, 2: True}
+
+
+def test_budget_beyond_64_bits(spark):
+    rng = random.Random(13)
+    sizes = [rng.choice([1.5, 3e9, 7.25e9, 2e10, 0.0]) for _ in range(60)]
+    items = spark.createDataFrame([(None if n % 2 else 1, n, s) for n, s in enumerate(sizes)], "record int, pos int, size double")
+    got = {r.pos: r.admitted for r in admit_by_budget(items, 1e10, 5e10, cut=9).collect()}
+    for odd in (0, 1):
+        mine = list(range(odd, 60, 2))
+        assert [got[n] for n in mine] == brute([Decimal(sizes[n]) for n in mine], 10**10, 5 * 10**10)
+
+
+def test_settled_is_the_plain_rule():
+    rng = random.Random(14)
+    for _ in range(300):
+        sizes = [rng.choice([0, 1, 2, 3, 8, 9, 31, 64, 200]) for _ in range(rng.randrange(0, 40))]
+        left = rng.choice([0, 1, 5, 64, 100, 1000])
+        taken = brute(sizes, 10**9, left)
+        got, rest = settled(np.array(sizes, np.int64), left)
+        assert got.tolist() == taken and rest == left - sum(s for s, ok in zip(sizes, taken, strict=True) if ok)

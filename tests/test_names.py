@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from gleanery.functions.names import base_name, media_base_name
-from gleanery.operators.names import unique_names
+from gleanery.operators.names import skip_steps, unique_names
 
 
 def brute(bases, existing, ext=".md"):
@@ -18,10 +18,10 @@ def brute(bases, existing, ext=".md"):
     return out
 
 
-def run(spark, bases, existing):
+def run(spark, bases, existing, **options):
     clips = spark.createDataFrame([(i, i, b) for i, b in enumerate(bases)], "id bigint, seq bigint, base string")
     files = spark.createDataFrame([(e,) for e in existing], "file string")
-    return [r["file"] for r in unique_names(clips, files, cut=3).orderBy("id").collect()]
+    return [r["file"] for r in unique_names(clips, files, **{"cut": 3, **options}).orderBy("id").collect()]
 
 
 def test_literal_number_collides(spark):
@@ -45,6 +45,26 @@ def test_many_existing_numbers(spark):
     assert run(spark, bases, existing) == brute(bases, existing)
 
 
+def test_many_rivals_in_blocks(spark):
+    rng = random.Random(3)
+    bases = [rng.choice(["a", "a", f"a ({rng.randrange(2, 160)})", f"A ({rng.randrange(2, 160)})", "c", f"c ({rng.randrange(2, 20)})", "a (999999999999)"]) for _ in range(400)]
+    existing = [f"a ({n}).md" for n in range(5, 100, 9)]
+    for rivals in (4, 1000):
+        assert run(spark, bases, existing, cut=50, rivals=rivals) == brute(bases, existing)
+
+
+def test_steps_of_a_block(spark):
+    rng = random.Random(5)
+    cases = [[rng.randrange(-3, 12) for _ in range(rng.randrange(0, 14))] for _ in range(60)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, limits array<bigint>")
+    for r in df.select("i", skip_steps(F.col("limits")).alias("steps")).collect():
+        for before in range(14):
+            skipped = before
+            for limit in cases[r.i]:
+                skipped += skipped < limit
+            assert before + sum(x > before for x in r.steps) == skipped, (cases[r.i], before)
+
+
 def test_base_names(spark):
     rows = [("a/b:c\td",), ("  ..hidden  x ",), ("x" * 61,), ("",), ("...",)]
     df = spark.createDataFrame(rows, "t string")
