@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import ship, texts, worker_for, written
-from gleanery.llm.words import slices, word_table
+from gleanery.llm.words import slices, word_ids
 from gleanery.plans.ordered import rank_in_key
 
 CAPACITY = 4096
@@ -95,10 +95,10 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int
         for batch in batches:
             for part in slices(batch, "text"):
                 split = [t.split() for t in part.column("text").cast(pa.binary()).to_pylist()]
-                table = word_table(path, split)
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i, words in enumerate(split):
-                    ids = b"".join([*map(table.__getitem__, words), close])
+                for i, found in enumerate(word_ids(path, split)):
+                    found.append(close)
+                    ids = b"".join(found)
                     for k, at in enumerate(range(0, len(ids), step)):
                         cut = ids[at : at + step]
                         row.append(i)

@@ -59,6 +59,10 @@ class Remembered(dict):
         self.size += len(word) + len(ids)
 
 
+#: ASCII punctuation that forms one pre-token when it ends a word; apostrophes and what special strings are made of are left out.
+_TAIL = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
+
+
 def _is_one_token_run(s: str) -> bool:
     """Letters only, and so after normalisation: the pattern leaves such a word whole."""
     return s.isalpha() and (s.isascii() or (s.lower().isalpha() and is_normalized("NFC", s)))
@@ -90,26 +94,64 @@ class Encoder:
         data, edges = ids.tobytes(), [0, *(last * 4).tolist()]
         return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
-    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        whole: list[bytes] = []
-        other: list[bytes] = []
+    def encode(self, words: list[bytes], known: dict[bytes, bytes]) -> None:
+        """Put the ids of ``words`` into ``known``.  Letters with punctuation behind are the ids of either part."""
+        whole: dict[bytes, str] = {}
+        other: dict[bytes, str] = {}
+        tailed: list[tuple[bytes, bytes, bytes]] = []
         for w in words:
-            (whole if _is_one_token_run(w.decode("utf-8", "replace")) else other).append(w)
+            s = w.decode("utf-8", "replace")
+            if _is_one_token_run(s):
+                whole[w] = s
+                continue
+            core = s.rstrip(_TAIL)
+            if core and core != s and _is_one_token_run(core):
+                a, b = core.encode(), s[len(core) :].encode()
+                tailed.append((w, a, b))
+                if a not in known:
+                    whole[a] = core
+                if b not in known:
+                    other[b] = s[len(core) :]
+            else:
+                other[w] = s
         for some, how, step in ((whole, self._together, 256), (other, self._alone, 4096)):
-            for i in range(0, len(some), step):
-                part = some[i : i + step]
-                yield from zip(part, how([w.decode("utf-8", "replace") for w in part]), strict=True)
+            raw, shown = list(some), list(some.values())
+            for i in range(0, len(raw), step):
+                for w, ids in zip(raw[i : i + step], how(shown[i : i + step]), strict=True):
+                    known.add(w, ids)
+        for w, a, b in tailed:
+            known.add(w, known[a] + known[b])
 
 
-def word_table(path: str, split: list[list[bytes]]) -> dict[bytes, bytes]:
-    """A mapping that has the ids (little-endian unsigned 32-bit) of all given words."""
+def _remembered(path: str) -> Remembered:
     known: Remembered = kept_in_worker(f"words {path}", Remembered)
     known.make_room()
+    return known
+
+
+def _learn(path: str, missing: set[bytes], known: Remembered) -> None:
+    if missing:
+        kept_in_worker(f"encoder {path}", lambda: Encoder(path)).encode(list(missing), known)
+
+
+def word_table(path: str, split: list[list[bytes]]) -> dict[bytes, bytes]:
+    """A mapping that has the ids (little-endian unsigned 32-bit) of all given words."""
+    known = _remembered(path)
     missing: set[bytes] = set()
     for words in split:
         missing.update(words)
     missing.difference_update(known)
-    if missing:
-        for word, ids in kept_in_worker(f"encoder {path}", lambda: Encoder(path)).encode(list(missing)):
-            known.add(word, ids)
+    _learn(path, missing, known)
     return known
+
+
+def word_ids(path: str, split: list[list[bytes]]) -> list[list[bytes]]:
+    """The ids of the words of each text; a word is looked up once."""
+    known = _remembered(path)
+    found = [list(map(known.get, words)) for words in split]
+    missing: set[bytes] = set()
+    for words, ids in zip(split, found, strict=True):
+        if None in ids:
+            missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
+    _learn(path, missing, known)
+    return [[known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(split, found, strict=True)]
