@@ -455,8 +455,11 @@ def _removed(rows: DataFrame, length: int, many: int, unit: int) -> DataFrame:
             for i in range(batch.num_rows):
                 text, k1 = unpack(batch.column("z")[i].as_py()), batch.column("k1")[i].as_py()
                 gone = merged([(s["start"], s["beyond"]) for s in batch.column("spans")[i].as_py() or () if s["k1"] == k1])
-                kept = b"".join(text[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(text)], strict=True))
-                out.append((len(text), len(text) - len(kept), len(gone), kept, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+                left = [text[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(text)], strict=True)]
+                kept = b"".join(left)
+                # each piece by itself, so that halves of two cut characters do not become a third
+                shown = "".join([p.decode("utf-8", "ignore") for p in left])
+                out.append((len(text), len(text) - len(kept), len(gone), kept, hashlib.sha256(kept).hexdigest(), shown))
             columns = zip(*out, strict=True) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*map(batch.column, carried), *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], made.names)
@@ -490,8 +493,11 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, many: int = MANY,
 def strip_repeats(docs: DataFrame, *, length: int = LENGTH, many: int = MANY, unit: int = UNIT) -> DataFrame:
     """``docs``, all columns kept, with what :func:`without_repeats` leaves of ``text``.
 
-    The first and last bytes of a character that a passage cuts go with it.
+    The first and last bytes of a character that a passage cuts go with it.  A
+    NULL text stays NULL; repeated rows and rows without an id stay, each
+    without what repeats; an empty table gives no rows.
     """
     others = [c for c in docs.columns if c != "text"]
-    out = _removed(_keyed(docs, F.struct(*others).alias("row")), length, many, unit)
-    return out.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    row = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    out = _removed(_keyed(docs, row.alias("row"), F.col("text").isNull().alias("missing")), length, many, unit)
+    return out.select(*(F.when(~F.col("missing"), F.col("text")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from gleanery.llm import graph, minmax, suffixes, warc
-from tests.llm.cases import awkward, empty, plain, prose, table
+from tests.llm.cases import awkward, empty, plain, prose, rows, table
 
 
 def shingles(t, width):
@@ -93,7 +93,8 @@ def stripped(texts, length):
             if seen[t[p : p + length]] > 1:
                 mark[p : p + length] = b"\1" * length
         kept = bytes(x for x, m in zip(t, mark, strict=True) if not m)
-        out.append((len(t), len(t) - len(kept), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(kept).hexdigest(), kept))
+        pieces = [t[m.start() : m.end()].decode("utf-8", "ignore") for m in re.finditer(b"\0+", bytes(mark))]
+        out.append((len(t), len(t) - len(kept), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(kept).hexdigest(), kept, "".join(pieces)))
     return out
 
 
@@ -105,7 +106,7 @@ def test_suffixes(spark, length, many, unit):
     for k in range(25):
         a, b = sorted(r.sample(range(len(passage)), 2))
         rows.append((100 + k, prose(200 + k, r.randint(0, 25)) + passage[a:b] + prose(300 + k, r.randint(0, 25))))
-    want = [(i, *x) for (i, _), x in zip(rows, stripped([t for _, t in rows], length), strict=True)]
+    want = [(i, *x[:5]) for (i, _), x in zip(rows, stripped([t for _, t in rows], length), strict=True)]
     got = suffixes.without_repeats(plain(spark, rows).repartition(3), length=length, many=many, unit=unit).collect()
     assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in got), key=repr) == sorted(want, key=repr)
 
@@ -123,7 +124,7 @@ def test_suffix_groups_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HELD", 8, raising=False)
     monkeypatch.setattr(suffixes, "repeated_offsets", bounded)
     got = suffixes.without_repeats(plain(spark, rows).repartition(3), many=0).collect()
-    want = [(i, *x) for (i, _), x in zip(rows, stripped([t for _, t in rows], 200), strict=True)]
+    want = [(i, *x[:5]) for (i, _), x in zip(rows, stripped([t for _, t in rows], 200), strict=True)]
     assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in got) == want
 
 
@@ -141,7 +142,37 @@ def test_long_text_in_stretches(spark, monkeypatch):
 def test_suffix_table(spark):
     df = table(spark)
     left = suffixes.strip_repeats(df)
-    assert left.columns == df.columns and left.count() == df.count()
+    assert left.columns == df.columns
+    want = stripped([t for _, t, *_ in awkward()], 200)
+    assert rows(left.select("doc_id", "text")) == sorted(((r[0], None if r[1] is None else x[5]) for r, x in zip(awkward(), want, strict=True)), key=repr)
+
+
+def test_cut_characters_go_and_none_appear(spark):
+    """A passage cut inside characters of two to four bytes, at both ends: no halves meet."""
+    cuts = [("ĩ", "ê", "é", "è"), ("ガ", "€", "€", "₩"), ("😀", "😀", "𐘀", "🤀"), ("ĩ", "€", "é", "₩"), ("x", "ê", "y", "è")]
+    texts_ = []
+    for k, (a, b, c, d) in enumerate(cuts):
+        passage = prose(500 + k, 90)
+        texts_ += [f"uniq{k} {a}{passage}{b} tail{k}", f"other{k} {c}{passage}{d} end{k}"]
+    df = plain(spark, list(enumerate(texts_)))
+    want = stripped(texts_, 200)
+    assert any(x[4].decode("utf-8", "ignore") != x[5] for x in want)  # joined first, some halves would be a character
+    got = {r.doc_id: r.text for r in suffixes.strip_repeats(df).collect()}
+    assert [got[i] for i in range(len(texts_))] == [x[5] for x in want]
+    assert all(set(got[i]) <= set(t) and len(got[i]) < 40 for i, t in enumerate(texts_))
+
+
+def test_near_copies_of_awkward_rows(spark):
+    df = table(spark)
+    left = minmax.drop_near_copies(df, width=5, percent=80)
+    assert left.columns == df.columns
+    kept = groups([(r[0], r[1]) for r in awkward() if r[0] is not None], 5, 80)
+    want = [(r[0], r[1]) for r in awkward() if r[0] is None or kept[r[0]] == r[0]]
+    assert rows(left.select("doc_id", "text")) == sorted(want, key=repr)
+    assert minmax.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_empty_suffixes(spark):
     assert suffixes.without_repeats(empty(spark)).count() == 0
     assert suffixes.strip_repeats(empty(spark)).count() == 0
 

@@ -32,7 +32,7 @@ def test_stages(spark):
             kept = groups(list(rows.items()), 5, 80)
             rows = {i: t for i, t in rows.items() if kept[i] == i}
         elif k == 3:
-            rows = {i: x[4].decode("utf-8", "ignore") for i, x in zip(rows, stripped(list(rows.values()), 200), strict=True)}
+            rows = {i: x[5] for i, x in zip(rows, stripped(list(rows.values()), 200), strict=True)}
         if k < len(pipeline.STAGES) - 1:
             assert {r.doc_id: r.text for r in docs.collect()} == rows, name
     got = docs.collect()
