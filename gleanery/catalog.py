@@ -13,6 +13,7 @@ from gleanery import derive
 from gleanery.functions.engines import ReversingEngine
 from gleanery.functions.language import pick_target
 from gleanery.functions.names import base_name
+from gleanery.functions.urls import canonical
 from gleanery.operators import chunks, documents, edits, headers, images, lookups, media, quotes, routing, sites, stores, tags, threads, translation, units, videos
 from gleanery.operators import pages as P
 from gleanery.operators import tables as html_tables
@@ -52,6 +53,11 @@ def _p1(spark, d):
     return P.canonical_sources(table(spark, d, "pages"))
 
 
+@query("p1_any_scheme")
+def _p1s(spark, d):
+    return derive.scheme_addresses(spark, d).select("page_id", "pos", canonical(F.col("url")).alias("source"))
+
+
 @query("p2_page_meta")
 def _p2(spark, d):
     return P.page_meta(table(spark, d, "pages"))
@@ -289,6 +295,13 @@ def _j3(spark, d):
     return media.media_kinds(derive.media_items(spark, d))
 
 
+@query("j3_header_names")
+def _j3h(spark, d):
+    items = derive.headed_items(spark, d)
+    names = items.select("id", media.disposition_name(F.coalesce("content_disposition", F.lit(""))).alias("name"))
+    return media.media_kinds(items).join(names, "id")
+
+
 @query("j4_image_types")
 def _j4(spark, d):
     return media.image_types(derive.media_items(spark, d))

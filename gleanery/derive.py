@@ -57,6 +57,37 @@ def media_items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def headed_items(spark: SparkSession, d: str) -> DataFrame:
+    """The media items with the header a server would send instead of a name."""
+    n, form = F.col("id").cast("string"), F.col("id") % 6
+    header = (
+        F.when(form == 0, F.concat(F.lit('attachment; filename="dir/part '), n, F.lit(' \\"x\\".jpeg"')))
+        .when(form == 1, F.concat(F.lit("inline; FileName = part "), n, F.lit(".PDF ; size=3")))
+        .when(form == 2, F.concat(F.lit("attachment; filename=\"plain.zip\"; filename*=UTF-8''d%C3%A9%20"), n, F.lit(".epub")))
+        .when(form == 3, F.concat(F.lit("attachment; filename*=utf-8'en'100%25%ZZ"), n, F.lit(".flac")))
+        .when(form == 4, "attachment")
+    )
+    return media_items(spark, d).withColumn("content_disposition", header)
+
+
+def scheme_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Page addresses spelled with other schemes."""
+    host, path = F.regexp_extract("url", "^https?://([^/?#]*)", 1), F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1)
+    n = F.col("page_id").cast("string")
+    spelled = [
+        F.concat(F.lit(" FTP://U@"), F.upper(host), F.lit(":021"), path, F.lit("/./é?utm_source=x&k="), n, F.lit("#f ")),
+        F.concat(F.lit("wss://"), host, F.lit(":444?q='&fbclid="), n),
+        F.concat(F.lit("FILE://LocalHost"), path, F.lit("/a/../b c.txt#"), n),
+        F.concat(F.lit("file:"), path, F.lit("?spm=1")),
+        F.concat(F.lit("MailTo:Some One@"), F.upper(host), F.lit("?subject=a b&UTM_x=1&cc="), n, F.lit("#x")),
+        F.concat(F.lit("App+x://"), F.upper(host), F.lit(":80"), path, F.lit("/x/../y?a='1'&si=2#z")),
+        F.concat(F.lit("app://"), F.upper(host), F.lit("?gclid=1")),
+        F.concat(F.lit("app://bad host/"), n),
+        F.concat(F.lit("tel:+"), n, F.lit(" ")),
+    ]
+    return table(spark, d, "pages").select("page_id", F.posexplode(F.array(*spelled)).alias("pos", "url"))
+
+
 def platform_links(spark: SparkSession, d: str) -> DataFrame:
     """Per page, its own address and one address per platform spelling."""
     h, n = F.md5("url"), F.col("page_id").cast("string")
@@ -88,6 +119,7 @@ def image_documents(spark: SparkSession, d: str) -> DataFrame:
         F.lit("```\n![in fence](https://a.example/fence.png)\n```\n\n"),
         F.array_join(images, "\n"),
         F.lit("\n\n`![in code](https://a.example/code.png)` \\![escaped](https://a.example/esc.png) ![data](data:image/png;base64,AA)\n"),
+        F.lit("![" + "[" * 20 + "deep" + "]" * 20 + "]("), origin, F.lit("/x" + "(" * 20), F.col("page_id").cast("string"), F.lit(")" * 20 + ".png)\n"),
     )
     return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), body.alias("body"))
 

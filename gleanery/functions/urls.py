@@ -23,6 +23,16 @@ HTTP = (
     r"(?is)^(https?):[/\\]*([^/\\?#@]*@)?(\[[0-9a-f:.]+\]|[^\x00-\x20#/<>?@\[\\\]^|%:]+)"
     r"(?::([0-9]*))?([/\\][^?#]*)?(\?[^#]*)?(#.*)?\z"
 )
+#: Schemes other than http(s) whose addresses have a host like theirs, and the port each leaves out.
+WEB_PORTS = {"ftp": "21", "ws": "80", "wss": "443"}
+WEB = HTTP.replace("(https?)", "(" + "|".join(WEB_PORTS) + ")")
+# groups: 1 host, 2 path, 3 ?query, 4 #fragment
+FILE = r"(?is)^file:(?:[/\\]{2}([^/\\?#]*))?([^?#]*)(\?[^#]*)?(#.*)?\z"
+# any other scheme; groups: 1 scheme, 2 //authority, 3 user info, 4 host, 5 port, 6 path, 7 ?query, 8 #fragment
+OTHER = (
+    r"(?is)^([a-z][a-z0-9+.\-]*):(?:(//([^/?#@]*@)?(\[[0-9a-f:.]+\]|[^\x00\t\n\r #/<>?@\[\\\]^|:]*)(?::([0-9]*))?(?=[/?#]|\z))|(?!//))"
+    r"([^?#]*)(\?[^#]*)?(#.*)?\z"
+)
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _DOTS = r"(?i)(^|/)(\.|%2e){1,2}(/|\z)"
 # What the URL parser percent-encodes in a path and in a query.
@@ -151,13 +161,53 @@ def kept_query(article: Column, query: Column) -> Column:
     return F.array_join(F.filter(F.split(query, "&"), keep), "&")
 
 
+def _with_port(host: Column, port: Column, default: Column | None) -> Column:
+    """Host and port, unless there is none or it is the default."""
+    bare = F.regexp_replace(port, r"^0+(?=[0-9])", "")
+    own = (bare != "") if default is None else (bare != "") & (bare != default)
+    return F.concat(host, F.when(own, F.concat(F.lit(":"), bare)).otherwise(""))
+
+
+def _query_key(raw: Column, unsafe: dict[str, str]) -> Column:
+    return _question(kept_query(F.lit(False), percent_encode(F.regexp_replace(raw, r"^\?", ""), unsafe)))
+
+
+def _web_key(u: Column) -> Column:
+    """Key of an address with a host and a default port, other than http(s)."""
+    part = lambda i: F.regexp_extract(u, WEB, i)
+    scheme = F.lower(part(1))
+    default = F.try_element_at(F.create_map(*(F.lit(x) for pair in WEB_PORTS.items() for x in pair)), scheme)
+    host = _with_port(F.concat(F.regexp_replace(part(2), r"^:?@\z", ""), F.lower(part(3))), part(4), default)
+    path = F.regexp_replace(F.replace(part(5), F.lit("\\"), F.lit("/")), r"^\z", "/")
+    return F.concat(scheme, F.lit("://"), host, remove_dots(percent_encode(path, _PATH_UNSAFE)), _query_key(part(6), _QUERY_UNSAFE))
+
+
+def _file_key(u: Column) -> Column:
+    part = lambda i: F.regexp_extract(u, FILE, i)
+    host = F.regexp_replace(F.lower(part(1)), r"^localhost\z", "")
+    path = F.regexp_replace(F.replace(part(2), F.lit("\\"), F.lit("/")), r"^(?!/)", "/")
+    return F.concat(F.lit("file://"), host, remove_dots(percent_encode(path, _PATH_UNSAFE)), _query_key(part(3), _QUERY_UNSAFE))
+
+
+def _other_key(u: Column) -> Column:
+    """Key of an address of a scheme that the parser knows nothing of: its host keeps its case, a path without a slash is kept whole."""
+    part = lambda i: F.regexp_extract(u, OTHER, i)
+    host = _with_port(F.concat(F.regexp_replace(part(3), r"^:?@\z", ""), percent_encode(part(4), {})), part(5), None)
+    authority = F.when(part(2) != "", F.concat(F.lit("//"), host)).otherwise("")
+    rooted = remove_dots(percent_encode(part(6), _PATH_UNSAFE))
+    path = F.when(part(6).startswith("/"), rooted).otherwise(percent_encode(part(6), {}))
+    return F.concat(F.lower(part(1)), F.lit(":"), authority, path, _query_key(part(7), {k: v for k, v in _QUERY_UNSAFE.items() if k != "'"}))
+
+
 def canonical(c: Column) -> Column:
-    """Dedup key of an address; an address that does not parse is only trimmed."""
+    """Dedup key of an address of any scheme: no fragment, no tracking parameters; one that does not parse is only trimmed."""
 
     def key(u: Column) -> Column:
         article = u.rlike(r"(?i)^https?:[/\\]*([^/?#]*@)?mp\.weixin\.qq\.com(:[0-9]*)?/s/?(\?|#|\z)")
         http = F.concat(origin_of(u), path_of(u), _question(kept_query(article, query_of(u))))
-        return F.when(is_http(u), http).otherwise(trim_ws(c))
+        known = u.rlike(r"(?i)^(https?|ftp|wss?|file):")
+        other = F.when(u.rlike(WEB), _web_key(u)).when(u.rlike(FILE), _file_key(u)).when(~known & u.rlike(OTHER), _other_key(u)).otherwise(trim_ws(c))
+        return F.when(is_http(u), http).otherwise(other)
 
     return let(clean_input(c), key)
 

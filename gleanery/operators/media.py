@@ -90,13 +90,34 @@ def _jpg(ext: Column) -> Column:
     return F.when(ext == "jpeg", "jpg").otherwise(ext)
 
 
+def disposition_name(header: Column) -> Column:
+    """File name that a ``Content-Disposition`` header gives; '' if none.
+
+    The encoded form (``filename*``) goes before the plain one; only what
+    follows the last slash of either kind is the name.
+    """
+    at = r"(?is)(?:^|[;\s])"
+    string = at + r'filename\s*=\s*"((?:[^"\\]|\\.)*)"'
+    encoded = trim_ws(F.regexp_extract(header, at + r"filename\*\s*=\s*[^']*'[^']*'([^;]+)", 1))
+    bare = F.regexp_extract(header, at + r"filename\s*=\s*([^;]+)", 1)
+    plain = F.when(header.rlike(string), F.regexp_replace(F.regexp_extract(header, string, 1), r"(?s)\\(.)", "$1")).otherwise(bare)
+    name = F.when(encoded != "", U.decode_component(F.regexp_replace(encoded, r'^"|"\z', ""))).otherwise(plain)
+    return trim_ws(F.regexp_extract(F.coalesce(name, F.lit("")), r"(?s)([^/\\]*)\z", 1))
+
+
 def media_kinds(items: DataFrame) -> DataFrame:
     """Kind and extension of each item ``(id, content_type, file_name, url)``.
 
+    Where the items have the header ``content_disposition``, the name in it
+    goes before ``file_name``.
+
     A mapped content type decides alone; otherwise the file-name suffix, then
     the address suffix, from the list of safe ones; else ``bin``.  The type
     tables are constants of the expression, so nothing is joined or shuffled.
     """
+    if "content_disposition" in items.columns:
+        own = F.coalesce("file_name", F.lit("")) if "file_name" in items.columns else F.lit("")
+        items = items.withColumn("file_name", F.coalesce(blank_to_null(disposition_name(F.col("content_disposition"))), own))
     staged = items.withColumns(
         {
             "_mime": mime_of(F.col("content_type")),

@@ -47,7 +47,8 @@ streams AS (SELECT page_id, pos, url, platform, video_id,
   ELSE '' END AS embed FROM streams1)"""
 
 DOCS = """idocs0 AS (SELECT page_id AS doc_id, regexp_extract(url, '^https?://[^/?#]*') AS origin, regexp_extract_all(html, '<a href="/([^"]*)">', 1) AS words FROM pages),
-refs AS (SELECT doc_id, unnest(range(len(words))) AS pos, unnest(list_transform(words, lambda w: origin || '/' || w || '.png')) AS url FROM idocs0),
+refs AS (SELECT doc_id, unnest(range(len(words))) AS pos, unnest(list_transform(words, lambda w: origin || '/' || w || '.png')) AS url FROM idocs0
+ UNION ALL SELECT doc_id, len(words), origin || '/x' || repeat('(', 20) || doc_id || repeat(')', 20) || '.png' FROM idocs0),
 plan0 AS (SELECT doc_id, url, min(pos) AS pos FROM refs GROUP BY 1, 2),
 plan AS (SELECT doc_id, url, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS index FROM plan0 QUALIFY index <= 100)"""
 
@@ -79,6 +80,13 @@ SELECT id, coalesce({TYPE_KIND_SQL}, CASE WHEN mime IN ('', 'application/octet-s
   CASE usuf WHEN 'jpeg' THEN 'image' WHEN 'svg' THEN 'image' WHEN 'mp4' THEN 'video' WHEN 'epub' THEN 'epub' WHEN 'flac' THEN 'audio' END) AS kind,
  coalesce(CASE mime WHEN 'image/jpeg' THEN 'jpg' WHEN 'image/png' THEN 'png' WHEN 'video/mp4' THEN 'mp4' WHEN 'audio/mpeg' THEN 'mp3' WHEN 'application/pdf' THEN 'pdf' WHEN 'image/svg+xml' THEN 'svg' END,
   CASE coalesce(nullif(nsuf, ''), usuf) WHEN 'jpeg' THEN 'jpg' WHEN 'pdf' THEN 'pdf' WHEN 'mp4' THEN 'mp4' WHEN 'epub' THEN 'epub' WHEN 'flac' THEN 'flac' END, 'bin') AS ext FROM items""",
+    "j3_header_names": f"""WITH {ITEMS},
+h AS (SELECT *, CASE id % 6 WHEN 0 THEN 'part ' || id || ' "x".jpeg' WHEN 1 THEN 'part ' || id || '.PDF' WHEN 2 THEN 'dé ' || id || '.epub' WHEN 3 THEN '100%25%ZZ' || id || '.flac' ELSE '' END AS name,
+  CASE id % 6 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'pdf' WHEN 2 THEN 'epub' WHEN 3 THEN 'flac' ELSE nsuf END AS hsuf FROM items)
+SELECT id, name, coalesce({TYPE_KIND_SQL}, CASE WHEN mime IN ('', 'application/octet-stream', 'application/zip') AND (hsuf = 'epub' OR name = '' AND file_name = '' AND usuf = 'epub') THEN 'epub' END,
+  CASE usuf WHEN 'jpeg' THEN 'image' WHEN 'svg' THEN 'image' WHEN 'mp4' THEN 'video' WHEN 'epub' THEN 'epub' WHEN 'flac' THEN 'audio' END) AS kind,
+ coalesce(CASE mime WHEN 'image/jpeg' THEN 'jpg' WHEN 'image/png' THEN 'png' WHEN 'video/mp4' THEN 'mp4' WHEN 'audio/mpeg' THEN 'mp3' WHEN 'application/pdf' THEN 'pdf' WHEN 'image/svg+xml' THEN 'svg' END,
+  CASE coalesce(nullif(hsuf, ''), usuf) WHEN 'jpeg' THEN 'jpg' WHEN 'pdf' THEN 'pdf' WHEN 'mp4' THEN 'mp4' WHEN 'epub' THEN 'epub' WHEN 'flac' THEN 'flac' END, 'bin') AS ext FROM h""",
     "j4_image_types": f"""WITH {ITEMS} SELECT id, CASE WHEN mime = 'image/jpeg' THEN 'jpg' WHEN mime = 'image/png' THEN 'png' WHEN mime = 'image/svg+xml' THEN 'svg'
   WHEN mime LIKE 'text/%' OR mime = 'application/json' THEN NULL WHEN usuf = 'jpeg' THEN 'jpg' END AS ext FROM items""",
     "j5_same_site_links": f"""WITH {PAGE_LINKS}, p AS (SELECT l.page_id, a.url AS page_url, l.url FROM links l JOIN pages a USING (page_id)
@@ -94,9 +102,9 @@ SELECT key, count(*) AS n, min(id) AS first_id FROM k GROUP BY 1""",
     "j7_rewrite_images": f"""WITH {DOCS},
 r AS (SELECT r.doc_id, r.pos, r.url, regexp_extract(r.url, '/([^/]*)\\.png$', 1) AS word,
   CASE WHEN length(r.url) % 2 = 0 AND p.index IS NOT NULL THEN '.assets/' || r.doc_id || '/' || p.index || '.png' ELSE r.url END AS target FROM refs r LEFT JOIN plan p ON r.doc_id = p.doc_id AND r.url = p.url),
-b AS (SELECT doc_id, string_agg('![' || word || '](' || target || ') text', chr(10) ORDER BY pos) AS lines FROM r GROUP BY 1)
+b AS (SELECT doc_id, string_agg('![' || word || '](' || target || ') text', chr(10) ORDER BY pos) FILTER (WHERE url NOT LIKE '%((((%') AS lines, max(target) FILTER (WHERE url LIKE '%((((%') AS deep FROM r GROUP BY 1)
 SELECT i.doc_id, '```' || chr(10) || '![in fence](https://a.example/fence.png)' || chr(10) || '```' || chr(10) || chr(10) || coalesce(b.lines, '') || chr(10) || chr(10) ||
- '`![in code](https://a.example/code.png)` \\![escaped](https://a.example/esc.png) ![data](data:image/png;base64,AA)' || chr(10) AS body FROM idocs0 i LEFT JOIN b ON i.doc_id = b.doc_id""",
+ '`![in code](https://a.example/code.png)` \\![escaped](https://a.example/esc.png) ![data](data:image/png;base64,AA)' || chr(10) || '![' || repeat('[', 20) || 'deep' || repeat(']', 20) || '](' || b.deep || ')' || chr(10) AS body FROM idocs0 i LEFT JOIN b ON i.doc_id = b.doc_id""",
     "a4_image_stats": "SELECT l_orderkey AS id, sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS image_count, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS image_failures FROM lineitem GROUP BY 1",
     "w7_admit_by_budget": """WITH RECURSIVE i AS (SELECT l_orderkey AS record, l_linenumber::BIGINT * 1000000000 + l_partkey AS pos, l_quantity AS size,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS rn FROM lineitem),

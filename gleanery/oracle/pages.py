@@ -54,6 +54,10 @@ SELECT {SITE} AS site, count(*) AS pages, sum(CASE WHEN text_length >= 200 THEN
 FROM l GROUP BY 1""",
     "s1_read_captures": "SELECT page_id, url, html, 'page' AS kind, '' AS title, NULL::VARCHAR AS markdown FROM pages",
     "p1_canonical_sources": f"WITH k AS (SELECT page_id, {canonical('url')} AS source FROM pages) SELECT page_id, source, {SITE} AS site FROM k",
+    "p1_any_scheme": """WITH p AS (SELECT page_id, page_id::VARCHAR AS n, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, unnest(range(9))::INT AS pos, unnest(['ftp://U@' || lower(host) || path || '/%C3%A9?k=' || n, 'wss://' || lower(host) || ':444/?q=%27', 'file://' || path || '/b%20c.txt',
+  'file://' || CASE WHEN path = '' THEN '/' ELSE path END, 'mailto:Some One@' || upper(host) || '?subject=a%20b&cc=' || n, 'app+x://' || upper(host) || ':80' || path || '/y?a=' || chr(39) || '1' || chr(39),
+  'app://' || upper(host), 'app://bad host/' || n, 'tel:+' || n]) AS source FROM p""",
     "p2_page_meta": f"SELECT page_id, {TITLE} AS title, '' AS description, '' AS image, '' AS site_name, '' AS published, '' AS author FROM pages",
     "p2_page_meta_tags": """SELECT page_id, 'First & ' || trim(regexp_extract(html, '<a href="/([^"]*)">', 1)) AS title, 'plain text <b>' AS description,
  regexp_extract(url, '^https?://[^/?#]*') || '/i/' || page_id || '.png?a=1&b=2' AS image, '' AS site_name, '2024-01-02' AS published, 'Me' AS author FROM pages""",

@@ -35,6 +35,16 @@ def test_plan(spark):
     assert plan_images(docs(spark), 2).count() == 2
 
 
+def test_nesting(spark):
+    deep, alt = "(" * 20 + "x" + ")" * 20, "[" * 20 + "y" + "]" * 20
+    body = f"![a](https://e.com/a{deep}.png) ![{alt}](https://e.com/2.png) ![x](https://e.com/a(b(c(d))).png)\n![open](https://e.com/a(b(c) x) ![end](<https://e.com/e>x) ![far](https://e.com/{'(' * 70}q{')' * 70})"
+    want = [f"https://e.com/a{deep}.png", "https://e.com/2.png", "https://e.com/a(b(c(d))).png", "https://e.com/a(b(c)", "https://e.com/e"]
+    assert [r.url for r in plan_images(docs(spark, body)).orderBy("index").collect()] == want
+    local = spark.createDataFrame([(7, u, i, "png") for i, u in enumerate(want, 1)], "doc_id bigint, url string, index int, ext string")
+    out = rewrite_images(docs(spark, body), local).first().body
+    assert out == body.replace(want[0], ".assets/7/1.png").replace(want[1], ".assets/7/2.png").replace(want[2], ".assets/7/3.png").replace(want[3], ".assets/7/4.png").replace("https://e.com/e", ".assets/7/5.png")
+
+
 def test_rewrite(spark):
     rows = [(7, u, i, None if i == 4 else "png") for i, u in enumerate(URLS, 1)]
     downloads = spark.createDataFrame(rows, "doc_id bigint, url string, index int, ext string")

@@ -22,6 +22,15 @@ CANONICAL = {
     "https://e.com/é?q=é x": "https://e.com/%C3%A9?q=%C3%A9%20x",
     "  not a url ": "not a url",
     "https://u:p@e.com/x?si=1": "https://u:p@e.com/x",
+    "ftp://HOST/a?utm_source=x#f": "ftp://host/a",
+    "ftp://h:21/": "ftp://h/",
+    "file:///a#b": "file:///a",
+    "file:\\\\Srv\\x\\..\\y": "file://srv/y",
+    "mailto:a@B?si=1#x": "mailto:a@B",
+    "data:text/plain,a b#c": "data:text/plain,a b",
+    "foo://Ho.ST:1/a/./b?utm_a=1&c=2#d": "foo://Ho.ST:1/a/b?c=2",
+    "foo://h o/": "foo://h o/",
+    "http://h o/": "http://h o/",
 }
 
 
