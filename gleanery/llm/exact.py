@@ -18,10 +18,13 @@ def content_sort(docs: DataFrame, *, splitter_chars: int = SPLITTER_CHARS, runs:
 
     Sampled splitters range-partition the rows on the first characters of the
     text, then a hash of the whole text, then a run number taken from the id;
-    an external sort puts equal texts side by side, and a row heads its run
-    when the whole text of the neighbour before it differs.  The run number
-    deals the copies of one text over many tasks; run heads and counts of
-    different runs meet as short rows, keyed by the SHA-256 of the text.
+    an external sort puts equal texts side by side, by rising id, and a run
+    ends where the whole text of the neighbour behind differs: its last row
+    has the run's largest id, and its place is the run's size.  The run number
+    deals the copies of one text over many tasks; the last rows of different
+    runs meet as short rows, named by the SHA-256 of the text.  Splitters see
+    no more of a text than its first characters and its hash; what they put
+    together is compared whole.
 
     Returns ``doc_id, keep_id, group_size, kept, text_sha256``.  NULL text is
     the empty text.  A NULL ``doc_id`` is smaller than any other.  Of repeated
@@ -34,11 +37,13 @@ def content_sort(docs: DataFrame, *, splitter_chars: int = SPLITTER_CHARS, runs:
     keys = ["_lead", "_h", "_run"]
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     # The window's keys contain those of the range partitioning, so it adds a sort within partitions and no exchange.
-    beside = Window.partitionBy(*keys, "text").orderBy(F.col("doc_id").desc())
-    narrow = ranged.select("doc_id", "_run", F.row_number().over(beside).alias("_place"), F.sha2("text", 256).alias("text_sha256"))
-    narrow = written(narrow.select("doc_id", "text_sha256", "_run", (F.col("_place") == 1).alias("_head")), "sorted-runs")
-    # a group's verdict goes to its runs, and from a run to its rows, so that rows of one text are never joined in one task
-    counted = narrow.groupBy("text_sha256", "_run").agg(F.max("doc_id").alias("_max"), F.count(F.lit(1)).alias("_n"))
+    beside = Window.partitionBy(*keys, "text").orderBy(F.col("doc_id").asc_nulls_first())
+    # rows of one run lie side by side: the last has no equal text behind it, and its place and id are the run's size and largest id
+    ends = F.lead(F.lit(True)).over(beside).isNull()
+    narrow = ranged.select("doc_id", "_run", F.row_number().over(beside).cast("long").alias("_n"), ends.alias("_head"), F.sha2("text", 256).alias("text_sha256"))
+    narrow = written(narrow.select("doc_id", "text_sha256", "_run", "_n", "_head"), "sorted-runs")
+    # one row per run combines; a group's verdict goes to its runs, and from a run to its rows, so that rows of one text are never joined in one task
+    counted = narrow.filter("_head").select("text_sha256", "_run", F.col("doc_id").alias("_max"), "_n")
     whole = counted.groupBy("text_sha256").agg(F.max("_max").alias("keep_id"), F.sum("_n").alias("group_size"))
     groups = counted.select("text_sha256", "_run").join(whole, "text_sha256")
     kept = F.col("_head") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
