@@ -113,8 +113,13 @@ class TextPrefixes:
 
     def within(self, word: str, budget: int) -> tuple[int, int]:
         """Code points of the longest proper prefix of ``word`` with at most ``budget`` tokens, and its count."""
-        # a code point is a byte at least, so no longer prefix can do
-        most = min(len(word) - 1, budget * max(self.words.longest, *map(len, self.special)))
+        # a code point that is no white space costs a byte at least, so no longer prefix can do
+        room, most = budget * max(self.words.longest, *map(len, self.special)), 0
+        for c in word[:-1]:
+            room -= not c.isspace()
+            if room < 0:
+                break
+            most += 1
         full = self.pattern.findall(self.tokenizer.normalizer.normalize_str(word[:most]))
         before = [0]
         for t in full:
@@ -141,7 +146,8 @@ def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
     word's own table (:class:`TextPrefixes`), so no question about a prefix
     encodes the text again.  NULL text is empty and has no entries; rows are
     independent, so repeated rows and ids give a row each; other columns are
-    left out.
+    left out; an empty table gives no rows.  A long text is worked on by itself
+    and whole.
     """
     ship()
 

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gleanery.llm import bpe, catalog, packing, token_counts, words
-from tests.llm.cases import awkward, empty, table
+from tests.llm.cases import awkward, empty, plain, table
 
 WORDS, BYTES = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
 
@@ -69,6 +69,19 @@ def test_truncate(spark, word_bpe):
             assert len(ids(word_bpe, r.text)) == r.n_tokens <= budget
 
 
+def test_truncate_finds_the_longest(spark, word_bpe):
+    made = ["a" + "\u00a0" * 3000 + "b", "x\u00a0\u2003y z", "don't stop", "word\u00a0<|endoftext|>\u00a0tail", "e\u0301\u0301le\u0300ve\u00a0 ok", "\u00a0\u00a0", "İstanbul123!? ~~", "antidisestablishment 中文字符"]
+    df = plain(spark, list(enumerate(made)))
+    for budget in (0, 1, 2, 3, 5):
+        for r in token_counts.truncate(df, WORDS, budget).collect():
+            t = made[r.doc_id]
+            lengths = range(len(t), -1, -1) if len(t) < 100 else (3001,) if budget == 1 else ()
+            for n in lengths:
+                if len(ids(word_bpe, t[:n])) <= budget:
+                    assert r.text == t[:n].rstrip(" \t\n\x0b\x0c\r") and r.n_tokens == len(ids(word_bpe, r.text)), (t, budget)
+                    break
+
+
 def test_bpe(spark, byte_bpe):
     got = bpe.encoded(table(spark), BYTES, P.PATTERN)
     want = []
