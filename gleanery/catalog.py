@@ -592,11 +592,12 @@ def _st1(spark, d):
 
 @query("st2_stream_saved_index")
 def _st2(spark, d):
-    saves = event_stream(spark, d).select(
+    events, _, _ = disordered_events(spark, d)
+    saves = events.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), F.regexp_extract("props", r'"k": *(\d+)', 1)).alias("source"),
         F.col("ts").alias("saved_at"), F.col("event_id").alias("id"), F.col("event_type").alias("title"),
     )
-    return jobs.stream_saved_index(saves)
+    return jobs.stream_saved_index(saves, every=2)
 
 
 @query("st3_stream_threads")
@@ -699,10 +700,9 @@ def _x8(spark, d):
 
 @query("x8_detect_language")
 def _x8d(spark, d):
-    docs = table(spark, d, "documents")
     checkpoint_dir(spark)
-    found = translation.detect_language(docs, translation.language_profiles(docs).checkpoint())
-    return found.select("doc_id", "lang")
+    found = translation.held_out_languages(table(spark, d, "documents"))
+    return found.select("doc_id", "fold", "lang", F.round("confidence", 3).alias("confidence"))
 
 
 # --- tables and video pages ----------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -118,47 +118,64 @@ def translation_status(jobs: DataFrame) -> DataFrame:
     return jobs.select("doc_id", "applied", "total", status.alias("status"), retry.alias("retryable"))
 
 
-def detection_sample(text: Column) -> Column:
+def detection_sample(text: Column, most: int = SAMPLE_CHARS) -> Column:
     """First characters of the non-blank lines, as the gate reads them."""
     lines = F.filter(F.split(text, "\n"), lambda s: trim_ws(s) != "")
-    return F.substring(F.array_join(lines, "\n"), 1, SAMPLE_CHARS)
+    return F.substring(F.array_join(lines, "\n"), 1, most)
 
 
-def _grams(docs: DataFrame, keep: list[str], size: int = 3) -> DataFrame:
-    sample = F.lower(F.regexp_replace(detection_sample(F.col("text")), r"[^\p{L}]+", " "))
-    padded = docs.select(*keep, F.concat(F.lit(" "), sample, F.lit(" ")).alias("s"))
+def _grams(docs: DataFrame, keep: list[str], text: Column, size: int = 3) -> DataFrame:
+    letters = F.lower(F.regexp_replace(text, r"[^\p{L}]+", " "))
+    padded = docs.select(*keep, F.concat(F.lit(" "), letters, F.lit(" ")).alias("s"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("s") - size + 1, F.lit(1)))
     return padded.select(*keep, F.explode(F.transform(starts, lambda i: F.substring(F.col("s"), i, F.lit(size)))).alias("gram"))
 
 
-def language_profiles(labelled: DataFrame) -> DataFrame:
-    """``lang, gram, weight`` from documents whose language is known.
+def language_profiles(labelled: DataFrame, *by: str) -> DataFrame:
+    """``lang, gram, weight`` from the whole texts of documents whose language is known, per value of ``by``.
 
     Weight: log share of the gram in its language.
     """
-    counts = _grams(labelled, ["lang"]).groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "lang").select("lang", "gram", F.log(F.col("n") / F.col("total")).alias("weight"))
+    counts = _grams(labelled, [*by, "lang"], F.col("text")).groupBy(*by, "lang", "gram").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*by, "lang").agg(F.sum("n").alias("total"))
+    return counts.join(totals, [*by, "lang"]).select(*by, "lang", "gram", F.log(F.col("n") / F.col("total")).alias("weight"))
 
 
-def detect_language(docs: DataFrame, profiles: DataFrame, floor: float = -12.0) -> DataFrame:
+def held_out_languages(labelled: DataFrame, folds: int = 2, **options) -> DataFrame:
+    """``doc_id, fold, lang, confidence``: the language of every labelled document by profiles of the other folds.
+
+    The fold is the id modulo ``folds``, so no document is scored by profiles
+    that were fitted on it.
+    """
+    dealt = labelled.withColumn("_fold", F.pmod("doc_id", F.lit(folds)))
+    # a document helps to fit the profiles of every fold but its own
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("_fold"))
+    profiles = language_profiles(dealt.select("text", "lang", F.explode(others).alias("fold")), "fold").checkpoint()
+    return detect_language(dealt.withColumn("fold", F.col("_fold").cast("int")), profiles, by=["fold"], **options)
+
+
+def detect_language(docs: DataFrame, profiles: DataFrame, floor: float = -12.0, sample_chars: int = SAMPLE_CHARS, by: Sequence[str] = ()) -> DataFrame:
     """``doc_id, lang, confidence``: best language by summed gram weights.
 
+    The first ``sample_chars`` characters of a text decide.  With ``by``,
+    documents meet the profiles of their own value of these columns only.
+
     A gram outside a profile weighs ``floor``, so scoring only needs the grams
     that hit.  Grams of a document are counted before they meet the profiles,
     and confidence is the best language's share after a softmax over the mean
     weight of a gram.  Give stored profiles: they are read twice.
     """
-    grams = _grams(docs, ["doc_id"])
-    sizes = grams.groupBy("doc_id").agg(F.count("*").alias("size"))
-    counted = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    hits = counted.join(profiles, "gram").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * (F.col("weight") - floor)).alias("gain"))
-    mean = hits.join(sizes, "doc_id").withColumn("score", F.col("gain") / F.col("size"))
-    best = mean.groupBy("doc_id").agg(
+    own = ["doc_id", *by]
+    grams = _grams(docs, own, detection_sample(F.col("text"), sample_chars))
+    sizes = grams.groupBy(*own).agg(F.count("*").alias("size"))
+    counted = grams.groupBy(*own, "gram").agg(F.count(F.lit(1)).alias("n"))
+    hits = counted.join(profiles, [*by, "gram"]).groupBy(*own, "lang").agg(F.sum(F.col("n") * (F.col("weight") - floor)).alias("gain"))
+    mean = hits.join(sizes, own).withColumn("score", F.col("gain") / F.col("size"))
+    best = mean.groupBy(*own).agg(
         F.max_by("lang", F.struct("score", "lang")).alias("lang"), F.max("score").alias("top"), F.collect_list("score").alias("scores")
     )
     share = 1 / F.aggregate(F.transform("scores", lambda s: F.exp((s - F.col("top")) * 20)), F.lit(0.0), lambda a, b: a + b)
-    return best.select("doc_id", "lang", share.alias("confidence"))
+    return best.select(*own, "lang", share.alias("confidence"))
 
 
 def language_gate(docs: DataFrame, target: Column) -> DataFrame:

@@ -62,6 +62,24 @@ def drop_path(path: str) -> None:
     p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
+def _file_system(path: str):
+    jvm = SparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(SparkContext._active_spark_context._jsc.hadoopConfiguration()), p
+
+
+def mark(path: str) -> None:
+    """Put an empty file there, at once or not at all."""
+    fs, p = _file_system(path)
+    fs.create(p, True).close()
+
+
+def names_in(path: str) -> list[str]:
+    """Names in a folder of the shared file system; none if there is no such folder."""
+    fs, p = _file_system(path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def _drop_scratch() -> None:
     try:
         while _scratch and SparkContext._jvm is not None:

@@ -1,11 +1,13 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.streaming import jobs
 from gleanery.streaming.jobs import stream_once, stream_threads, thread_sessions
 from gleanery.streaming.run import drain, drain_to_end, event_stream
-from gleanery.streaming.stateful import stream_throttle
+from gleanery.streaming.stateful import stream_take, stream_throttle
 
 HOURS = 3600 * 1000
 DELAY = "60 days"
@@ -44,7 +46,7 @@ def brute(rows, interval):
     return out
 
 
-@pytest.mark.parametrize("per_trigger", [1, 64])
+@pytest.mark.parametrize("per_trigger", [1, 4, 64])
 def test_throttle(spark, folder, shuffled, per_trigger):
     phase = F.when(F.col("event_type") == "purchase", "finished").otherwise("running")
     stream = keyed(spark, shuffled, per_trigger, phase.alias("phase"))
@@ -66,3 +68,54 @@ def test_once_keeps_late_rows(spark, folder, shuffled):
     twice = keyed(spark, shuffled, 1).select(F.explode(F.array("id", "id")).alias("op_id"), "ts")
     got = [r.op_id for r in drain(stream_once(twice, DELAY), "once").collect()]
     assert sorted(got) == sorted(r.event_id for r in spark.read.parquet(f"{folder}/events.parquet").collect())
+
+
+def test_index_is_compacted_and_survives_a_crash(spark, tmp_path, monkeypatch):
+    schema = spark.createDataFrame([], "source string, saved_at bigint, id bigint").schema
+    index = jobs.VersionedIndex(spark, str(tmp_path), schema, every=3)
+    assert index.read().count() == 0
+    rng, want = random.Random(1), {}
+
+    def batch(n):
+        return [(f"k{rng.randrange(9)}", 10 * n + i, i) for i in range(6)]
+
+    def now():
+        return {r.source: (r.saved_at, r.id) for r in index.read().collect()}
+
+    for n in range(14):
+        rows = batch(n)
+        df = spark.createDataFrame(rows, schema)
+        want |= {k: (t, i) for k, t, i in rows}
+        if n == 8:  # the base is there, its mark is not
+            with monkeypatch.context() as m:
+                m.setattr(jobs, "mark", lambda path: (_ for _ in ()).throw(RuntimeError("lost")))
+                with pytest.raises(RuntimeError):
+                    index.add(df, n)
+            assert now() == want and index._marks()[-1] == 5
+        index.add(df, n)
+        if n % 5 == 0:
+            index.add(df, n)  # run again
+        assert now() == want
+        assert len(index._numbers("versions")) <= 6 and len(index._numbers("bases")) <= 2
+    assert index._marks() == [8, 11]
+
+
+@pytest.mark.parametrize("per_trigger", [1, 64])
+def test_take_of_the_latest_request(spark, tmp_path, per_trigger):
+    rng = random.Random(4)
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(rng.randrange(3), i, t0 + datetime.timedelta(seconds=rng.randrange(0, 900)), rng.random() < 0.5) for i in range(300)]
+    arrive = sorted(rows, key=lambda r: r[2] + datetime.timedelta(seconds=r[1] % 60))
+    for n in range(6):
+        spark.createDataFrame(arrive[50 * n : 50 * n + 50], "key bigint, id bigint, ts timestamp_ntz, opens boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key bigint, id bigint, ts timestamp, opens boolean").option("maxFilesPerTrigger", per_trigger).parquet(str(tmp_path / "in"))
+    got = drain_to_end(stream, lambda s: stream_take(s, "61 seconds", ttl=20, bucket_ms=30_000), "take", (-1, -1, datetime.datetime(2030, 1, 1), False))
+    want, latest = set(), {}
+    for key, item, at, opens in sorted(rows, key=lambda r: (r[2], r[3], r[1])):
+        if not opens:
+            latest[key] = (item, at)
+        elif key in latest:
+            request, asked = latest.pop(key)
+            if at - asked <= datetime.timedelta(seconds=20):
+                want.add((key, request, item))
+    assert {(r.key, r.request_id, r.open_id) for r in got.collect()} == want and len(want) > 20
