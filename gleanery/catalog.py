@@ -121,7 +121,7 @@ def day(column="ts"):
 @query("j1_saved_lookup")
 def _j1(spark, d):
     index = index_of(spark, d).select("source", F.col("id").alias("saved_id"))
-    return lookups.saved_lookup(captures_of(spark, d), index, day())
+    return lookups.saved_lookup(captures_of(spark, d), index)
 
 
 @query("j2_new_captures")
@@ -140,7 +140,7 @@ def _j12(spark, d):
     events = table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), "event_type")
     requests = events.where("event_type = 'click'").drop("event_type")
     opens = events.where("event_type = 'view'").drop("event_type")
-    return lookups.take_within_ttl(requests, opens, day(), ttl=7200)
+    return lookups.take_within_ttl(requests, opens, ttl=7200)
 
 
 @query("w1_latest_per_source")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls as U
-from gleanery.plans.ordered import BLOCK, next_row
+from gleanery.plans.ordered import BLOCK, DEPTH, next_row, with_depth_blocks
 
 
 def index_key(kind: Column, url: Column, media_key: Column) -> Column:
@@ -18,16 +18,21 @@ def index_key(kind: Column, url: Column, media_key: Column) -> Column:
     )
 
 
-def saved_lookup(captures: DataFrame, index: DataFrame, block: Column) -> DataFrame:
+def _micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
+def saved_lookup(captures: DataFrame, index: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Save or duplicate, per capture, in arrival order ``(ts, id)``.
 
     ``captures``: ``id, source, ts, snapshot, quote, extract``; ``index``:
     ``source, saved_id``.  Snapshots and quotes always save.  A plain capture
     saves only if its key is unknown, to the index and to the batch so far;
-    otherwise it is a duplicate of the latest saved record.  ``block`` cuts
-    the order of a key so that no key needs one task.
+    otherwise it is a duplicate of the latest saved record.  A key of more
+    than ``depth`` captures is cut into blocks of about that many, so no key
+    needs one task.
     """
-    plain = captures.where(~F.col("quote")).withColumn(BLOCK, block)
+    plain = with_depth_blocks(captures.where(~F.col("quote")), ["source"], _micros(), BLOCK, depth)
     at = F.struct("ts", "id")
     per_block = plain.groupBy("source", BLOCK).agg(
         F.max_by("id", F.when(F.col("snapshot"), at)).alias("snap"), F.min_by("id", at).alias("head")
@@ -69,17 +74,19 @@ def known_captures(captures: DataFrame, index: DataFrame) -> DataFrame:
 PENDING_EDIT_TTL = 30
 
 
-def take_within_ttl(requests: DataFrame, opens: DataFrame, block: Column, ttl: int = PENDING_EDIT_TTL) -> DataFrame:
+def take_within_ttl(requests: DataFrame, opens: DataFrame, ttl: int = PENDING_EDIT_TTL, depth: int = DEPTH) -> DataFrame:
     """What becomes of each pending edit.
 
     The next row of the same key decides: another request overwrites it, an
     open takes it unless more than ``ttl`` seconds have passed.  So one ordered
-    pass over the union of both sides does the interval join, with no pairs.
+    pass over the union of both sides does the interval join, with no pairs; keys
+    of more than ``depth`` rows are cut into blocks of about that many.
     """
     both = requests.select("key", "ts", "id", F.lit(0).alias("is_open")).unionByName(
         opens.select("key", "ts", "id", F.lit(1).alias("is_open"))
     )
-    followed = next_row(both, ["key"], ["ts", "is_open", "id"], block, F.struct("ts", "is_open", "id"), "next")
+    blocks = with_depth_blocks(both, ["key"], _micros(), "_part", depth)
+    followed = next_row(blocks, ["key"], ["ts", "is_open", "id"], F.col("_part"), F.struct("ts", "is_open", "id"), "next")
     late = F.unix_micros(F.col("next.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > ttl * 1_000_000
     status = (
         F.when(F.col("next").isNull(), "waiting")

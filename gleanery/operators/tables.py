@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.html import attribute, strip_hidden
 from gleanery.functions.text import WS, decode_entities, let, trim_ws
+from gleanery.session import ship_package
 
 # The widest span of a cell, and what a Markdown cell cannot hold.
 MAX_COLSPAN = 1000
@@ -26,9 +31,14 @@ def _tokens(html: Column) -> Column:
 
 
 def _span(attrs: Column, name: str) -> Column:
-    """Integer at the start of the attribute; NULL if there is none."""
+    """Integer at the start of the attribute, as far as an int goes; NULL if there is none."""
     raw = attribute(F.concat(F.lit("<x "), attrs, F.lit(">")), name)
-    return F.nullif(F.regexp_extract(raw, r"^\s*([+-]?[0-9]{1,9})", 1), F.lit("")).cast("int")
+
+    def number(digits: Column) -> Column:
+        huge = F.length(F.regexp_replace(digits, r"^[+-]?0*", "")) > 9
+        return F.when(huge, F.when(digits.startswith("-"), -(2**31)).otherwise(2**31 - 1)).otherwise(digits.try_cast("int"))
+
+    return let(F.nullif(F.regexp_extract(raw, r"^\s*([+-]?[0-9]+)", 1), F.lit("")), number)
 
 
 def page_tables(pages: DataFrame) -> DataFrame:
@@ -55,44 +65,72 @@ def page_tables(pages: DataFrame) -> DataFrame:
     return cut.select("page_id", "table_no", F.array_join(F.transform(body, lambda t: t["text"]), "").alias("markup"))
 
 
-def _raw_cells(markup: Column) -> Column:
-    """Cells of one table in source order, with the row they are in.
+def _raw_cells(tables: DataFrame) -> DataFrame:
+    """Cells of each table in source order: ``page_id, table_no, cell_no, row, section, group_no, is_header, attrs, text``.
 
-    Tags of nested tables are text of the cell they are in.  A fold over the
-    table's own tags keeps the state of the open row, section and cell.
+    Tags of nested tables are text of the cell they are in.  What is open at a
+    tag (depth, row, section, cell) is a running value over the table's tags.
     """
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit(-1).alias("row"), F.lit("").alias("section"), F.lit(0).alias("section_no"),
-        F.array().cast("array<struct<row:int,section:string,section_no:int,tag:string,attrs:string,text:string>>").alias("cells"), F.lit(False).alias("in_cell"),
-    )
+    t = tables.select("page_id", "table_no", F.explode(_tokens(F.col("markup"))).alias("t")).select("page_id", "table_no", "t.*")
+    order = Window.partitionBy("page_id", "table_no").orderBy("i")
+    here, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    tag, closing = F.col("tag"), F.col("closing")
+    depth = F.coalesce(F.sum(F.when(tag != "table", 0).when(closing, -1).otherwise(1)).over(before), F.lit(0))
+    t = t.withColumn("own", (depth <= 0) & ~tag.isin("table", ""))
+    own = F.col("own")
+    section, cell = own & tag.isin("thead", "tbody", "tfoot"), own & tag.isin("td", "th")
+    count = lambda c: F.sum(c.cast("int")).over(here).cast("int")
+    state = F.when(cell, ~closing).when(section | (own & (tag == "tr")), F.lit(False))
+    t = t.withColumns(
+        {
+            "row": count(own & (tag == "tr") & ~closing) - 1,
+            "section": F.coalesce(F.last(F.when(section, F.when(closing, "").otherwise(tag)), True).over(before), F.lit("")),
+            "section_no": count(section),
+            "cell_no": count(cell & ~closing),
+            "opens": cell & ~closing,
+            "adds": ~own & F.coalesce(F.last(state, True).over(before), F.lit(False)),
+        }
+    )
+    opened = F.struct("row", "section", F.when(F.col("section") == "", 0).otherwise(F.col("section_no")).alias("group_no"), (tag == "th").alias("is_header"), "attrs")
+    parts = F.sort_array(F.collect_list(F.when(F.col("adds"), F.struct("i", "text"))))
+    cells = t.where("opens OR adds").groupBy("page_id", "table_no", "cell_no").agg(
+        F.max(F.when(F.col("opens"), opened)).alias("c"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text")
+    )
+    return cells.select("page_id", "table_no", "cell_no", "c.*", "text")
 
-    def step(acc: Column, t: Column) -> Column:
-        nested = (acc["depth"] > 0) | (t["tag"] == "table")
-        depth = acc["depth"] + F.when(t["tag"] != "table", 0).when(t["closing"], -1).otherwise(1)
-        own = ~nested & (t["tag"] != "")
-        opens_row = own & (t["tag"] == "tr") & ~t["closing"]
-        section = own & t["tag"].isin("thead", "tbody", "tfoot")
-        cell = own & t["tag"].isin("td", "th")
-        row = acc["row"] + F.when(opens_row, 1).otherwise(0)
-        opened = F.struct(
-            row.alias("row"), acc["section"].alias("section"), acc["section_no"].alias("section_no"), t["tag"].alias("tag"), t["attrs"].alias("attrs"), F.lit("").alias("text")
-        )
-        last = F.element_at(acc["cells"], -1)
-        longer = F.struct(*[last[n].alias(n) for n in ("row", "section", "section_no", "tag", "attrs")], F.concat(last["text"], t["text"]).alias("text"))
-        adds = acc["in_cell"] & ~own
-        return F.struct(
-            depth.cast("int").alias("depth"),
-            row.cast("int").alias("row"),
-            F.when(section, F.when(t["closing"], "").otherwise(t["tag"])).otherwise(acc["section"]).alias("section"),
-            (acc["section_no"] + section.cast("int")).cast("int").alias("section_no"),
-            F.when(cell & ~t["closing"], F.array_append(acc["cells"], opened))
-            .when(adds, F.array_append(F.slice(acc["cells"], F.lit(1), F.size(acc["cells"]) - 1), longer))
-            .otherwise(acc["cells"])
-            .alias("cells"),
-            F.when(cell, ~t["closing"]).when(opens_row | section | (own & (t["tag"] == "tr")), F.lit(False)).otherwise(acc["in_cell"]).alias("in_cell"),
-        )
-
-    return F.aggregate(_tokens(markup), start, step)["cells"]
+
+def _placed(cells: DataFrame) -> DataFrame:
+    """``cells`` with ``col`` and ``incoming``, taken row by row with the spans that are still open.
+
+    Cells of a table are read in order from a sorted partition; what is held is
+    the frontier of open row spans, not the cells.
+    """
+    ship_package()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_, row, at, nth, incoming = None, None, 0, 0, False
+        spans: list[tuple[int, int, int]] = []  # columns [a, b) taken down to a row, by column
+        new: list[tuple[int, int, int]] = []
+        for batch in batches:
+            cols, come = [], []
+            for page, no, r, wide, high in zip(*(batch.column(c).to_pylist() for c in ("page_id", "table_no", "row", "colspan", "rowspan")), strict=True):
+                if (page, no) != table_:
+                    table_, row, spans, new = (page, no), None, [], []
+                if r != row:
+                    spans = sorted(x for x in spans + new if x[2] >= r)
+                    row, at, nth, new, incoming = r, 0, 0, [], bool(spans)
+                while nth < len(spans) and spans[nth][0] <= at:
+                    at = max(at, spans[nth][1])
+                    nth += 1
+                cols.append(at)
+                come.append(incoming)
+                if high > 1:
+                    new.append((at, at + wide, r + high - 1))
+                at += wide
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols, pa.int32()), pa.array(come, pa.bool_())], [*batch.schema.names, "col", "incoming"])
+
+    made = T.StructType([*cells.schema.fields, T.StructField("col", T.IntegerType()), T.StructField("incoming", T.BooleanType())])
+    return cells.repartition("page_id", "table_no").sortWithinPartitions("page_id", "table_no", "cell_no").mapInArrow(run, made)
 
 
 def table_cells(pages: DataFrame) -> DataFrame:
@@ -100,80 +138,23 @@ def table_cells(pages: DataFrame) -> DataFrame:
 
     ``page_id, table_no, row, col, colspan, rowspan, raw_colspan, raw_rowspan,
     section, is_header, has_block, nested, incoming, text``.  Row spans end
-    with their row group, column spans at 1000.  A table is part of one page
-    row; placing its cells is a fold over them, inside that row.
+    with their row group, column spans at 1000.  The work is linear in tags
+    and cells.
     """
-    cells = page_tables(pages).select("page_id", "table_no", _raw_cells(F.col("markup")).alias("cells"))
-    spans = cells.withColumn(
-        "cells",
-        F.transform(
-            "cells",
-            lambda c: F.struct(
-                c["row"].alias("row"), c["section"].alias("section"), F.when(c["section"] == "", 0).otherwise(c["section_no"]).alias("group_no"), (c["tag"] == "th").alias("is_header"),
-                F.coalesce(_span(c["attrs"], "colspan"), F.lit(1)).alias("cs"), F.coalesce(_span(c["attrs"], "rowspan"), F.lit(1)).alias("rs"), c["text"].alias("text"),
-            ),
-        ),
+    cells = _raw_cells(page_tables(pages))
+    last = Window.partitionBy("page_id", "table_no")
+    end = F.when(F.col("group_no") == 0, F.max("row").over(last)).otherwise(F.max("row").over(Window.partitionBy("page_id", "table_no", "group_no")))
+    room = end - F.col("row") + 1
+    sized = cells.withColumns({"raw_colspan": F.coalesce(_span(F.col("attrs"), "colspan"), F.lit(1)), "raw_rowspan": F.coalesce(_span(F.col("attrs"), "rowspan"), F.lit(1)), "room": room})
+    high = F.when(F.col("raw_rowspan") == 0, F.col("room")).when(F.col("raw_rowspan") > 1, F.least("raw_rowspan", "room")).otherwise(1)
+    clipped = sized.select(
+        "page_id", "table_no", "cell_no", "row", "section", "is_header", "raw_colspan", "raw_rowspan", "text",
+        F.least(F.greatest("raw_colspan", F.lit(1)), F.lit(MAX_COLSPAN)).alias("colspan"), high.cast("int").alias("rowspan"),
     )
-    last_row = F.try_element_at("cells", F.lit(-1))["row"]
-
-    def group_end(c: Column) -> Column:
-        """Last row of the cell's group; outside a section, of the table."""
-        group = F.filter(F.col("cells"), lambda x: (x["row"] >= c["row"]) & (x["group_no"] == c["group_no"]))
-        return F.when(c["group_no"] == 0, last_row).otherwise(F.element_at(group, -1)["row"])
-
-    clipped = spans.withColumn(
-        "cells",
-        F.transform(
-            "cells",
-            lambda c: let(
-                group_end(c) - c["row"] + 1,
-                lambda room: F.struct(
-                    *[c[n].alias(n) for n in ("row", "section", "is_header", "cs", "rs", "text")],
-                    F.least(F.greatest(c["cs"], F.lit(1)), F.lit(MAX_COLSPAN)).alias("colspan"),
-                    F.when(c["rs"] == 0, room).when(c["rs"] > 1, F.least(c["rs"], room)).otherwise(1).alias("rowspan"),
-                ),
-            ),
-        ),
-    )
-    # open spans: columns [a, b) taken down to row ``until``
-    state = F.struct(
-        F.lit(-1).alias("row"), F.lit(0).alias("col"), F.array().cast("array<struct<a:int,b:int,until:int>>").alias("held"),
-        F.array().cast("array<struct<col:int,incoming:boolean>>").alias("placed"),
-    )
-
-    def step(acc: Column, c: Column) -> Column:
-        same = acc["row"] == c["row"]
-        held = F.when(same, acc["held"]).otherwise(F.filter(acc["held"], lambda h: h["until"] >= c["row"]))
-
-        def put(h: Column) -> Column:
-            # spans are sorted by column, so one pass finds the first free slot
-            first = F.when(same, acc["col"]).otherwise(0)
-            above = F.filter(h, lambda x: x["until"] >= c["row"])
-            col = F.aggregate(F.array_sort(above), first, lambda at, x: F.when((at >= x["a"]) & (at < x["b"]), x["b"]).otherwise(at))
-            incoming = F.when(same, F.element_at(acc["placed"], -1)["incoming"]).otherwise(F.size(above) > 0)
-            taken = lambda at: F.when(
-                c["rowspan"] > 1,
-                F.array_append(h, F.struct(at.alias("a"), (at + c["colspan"]).alias("b"), (c["row"] + c["rowspan"] - 1).alias("until"))),
-            ).otherwise(h)
-            return let(
-                col,
-                lambda at: F.struct(
-                    c["row"].alias("row"), (at + c["colspan"]).cast("int").alias("col"), taken(at).alias("held"),
-                    F.array_append(acc["placed"], F.struct(at.alias("col"), incoming.alias("incoming"))).alias("placed"),
-                ),
-            )
-
-        return let(held, put)
-
-    placed = clipped.withColumn("at", F.aggregate("cells", state, step)["placed"])
-    zipped = F.explode_outer(F.arrays_zip("cells", "at"))
-    rows = placed.select("page_id", "table_no", zipped.alias("c")).where("c IS NOT NULL")
-    c = F.col("c.cells")
-    return rows.select(
-        "page_id", "table_no", c["row"].alias("row"), F.col("c.at.col").alias("col"), c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"),
-        c["cs"].alias("raw_colspan"), c["rs"].alias("raw_rowspan"), c["section"].alias("section"), c["is_header"].alias("is_header"),
-        c["text"].rlike(BLOCK_IN_CELL).alias("has_block"), c["text"].rlike(r"(?i)<table\b").alias("nested"), F.col("c.at.incoming").alias("incoming"),
-        cell_text(c["text"]).alias("text"),
+    return _placed(clipped).select(
+        "page_id", "table_no", "row", "col", "colspan", "rowspan", "raw_colspan", "raw_rowspan", "section", "is_header",
+        F.col("text").rlike(BLOCK_IN_CELL).alias("has_block"), F.col("text").rlike(r"(?i)<table\b").alias("nested"), "incoming",
+        cell_text(F.col("text")).alias("text"),
     )
 
 

@@ -17,6 +17,29 @@ from pyspark.sql import functions as F
 BLOCK = "_block"
 
 
+#: Rows of a key from which it is cut, and blocks it is cut into at most.
+DEPTH, MOST_BLOCKS = 100_000, 512
+
+
+def with_depth_blocks(df: DataFrame, keys: Sequence[str], at: Column, out: str, depth: int = DEPTH, most: int = MOST_BLOCKS) -> DataFrame:
+    """Add ``out``: a block number that rises with ``at`` (a bigint), about equally many rows in each block of a key.
+
+    Keys of more than ``depth`` rows are cut at the quantiles of a sketch of
+    their own ``at``, so a burst of rows is split however short it is; rows of
+    equal ``at`` stay together.  The cuts are one short row per large key.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > depth)
+    large = df.select(*keys, at.alias("_at")).join(sizes.select(*keys), list(keys), "left_semi")
+    marks = [k / most for k in range(1, most)]
+    sketch = large.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_at", marks, 16 * most)).alias("_cuts"))
+    # from the evenly spaced marks of the sketch as many as the key needs
+    cuts = sketch.join(sizes, list(keys)).withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(most) * depth / F.col("_rows"))))
+    cuts = cuts.select(*keys, F.filter("_cuts", lambda c, i: (i + 1) % F.col("_step") == 0).alias("_cuts"))
+    joined = df.withColumn("_at", at).join(cuts, list(keys), "left")
+    number = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))))
+    return joined.withColumn(out, number).drop("_at", "_cuts")
+
+
 def _in_block(keys: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*keys, BLOCK).orderBy(*order)
 

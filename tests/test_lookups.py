@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from gleanery.operators.lookups import saved_lookup, take_within_ttl
-from gleanery.plans.ordered import last_before, next_row, rank_in_key, sum_before
+from gleanery.plans.ordered import last_before, next_row, rank_in_key, sum_before, with_depth_blocks
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -54,12 +54,28 @@ def test_saved_lookup(spark):
     index = {"y": -1}
     caps = spark.createDataFrame(rows, "id bigint, source string, ts timestamp, snapshot boolean, quote boolean, extract string")
     known = spark.createDataFrame(list(index.items()), "source string, saved_id bigint")
-    got = {r.id: (r.state, r.previous_id) for r in saved_lookup(caps, known, F.date_trunc("minute", "ts")).collect()}
-    assert got == brute_saves(rows, index)
+    for depth in (7, 1000):
+        got = {r.id: (r.state, r.previous_id) for r in saved_lookup(caps, known, depth=depth).collect()}
+        assert got == brute_saves(rows, index)
 
 
 def test_take(spark):
     requests = spark.createDataFrame([("a", at(0), 1), ("a", at(10), 2), ("b", at(0), 3), ("c", at(0), 4)], "key string, ts timestamp, id bigint")
     opens = spark.createDataFrame([("a", at(40), 9), ("a", at(41), 8), ("b", at(31), 7)], "key string, ts timestamp, id bigint")
-    got = {r.request_id: (r.status, r.open_id) for r in take_within_ttl(requests, opens, F.date_trunc("minute", "ts")).collect()}
+    got = {r.request_id: (r.status, r.open_id) for r in take_within_ttl(requests, opens, depth=1).collect()}
     assert got == {1: ("overwritten", None), 2: ("taken", 9), 3: ("expired", None), 4: ("waiting", None)}
+
+
+def test_blocks_of_a_burst_are_even(spark):
+    """Half the rows of one key within a second of a day: still no block much over the mean."""
+    rng = random.Random(8)
+    rows = [("hot", rng.randrange(10**6)) for _ in range(4000)] + [("hot", rng.randrange(86_400 * 10**6 * 30)) for _ in range(4000)] + [("small", i) for i in range(50)] + [("same", 5)] * 300
+    df = spark.createDataFrame(rows, "k string, us bigint")
+    got = with_depth_blocks(df, ["k"], F.col("us"), "b", depth=100, most=512)
+    hot = [(r.us, r.b) for r in got.where("k = 'hot'").collect()]
+    assert len(hot) == 8000 and [b for _, b in sorted(hot)] == sorted(b for _, b in hot)
+    sizes = {}
+    for _, b in hot:
+        sizes[b] = sizes.get(b, 0) + 1
+    assert len(sizes) > 60 and max(sizes.values()) < 200
+    assert {r.b for r in got.where("k = 'small'").collect()} == {0} and got.where("k = 'same'").select("b").distinct().count() == 1

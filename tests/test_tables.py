@@ -1,3 +1,5 @@
+import random
+
 from gleanery.operators.tables import table_cells, table_kinds, table_markdown
 
 SIMPLE = "<table><thead><tr><th>A</th><th>B|</th></tr></thead><tbody><tr><td>1</td><td>x<br>y</td></tr><tr><td>2 &amp; 3</td></tr></tbody></table>"
@@ -38,3 +40,26 @@ def test_markdown(spark):
     got = {r.table_no: r.markdown for r in table_markdown(cells).collect()}
     assert got[0] == "| A | B\\| |\n| --- | --- |\n| 1 | x<br>y |\n| 2 & 3 |   |"
     assert got[1] == "|   |   |\n| --- | --- |\n| a | b |\n| c | d |"
+
+
+def test_large_tables_are_placed_in_one_pass(spark):
+    """Random spans against a plain grid, a table of many cells, and numbers beyond an int."""
+    rng = random.Random(6)
+    spec = [[(rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 4])) for _ in range(rng.randrange(1, 5))] for _ in range(60)]
+    html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{y}.{x}</td>" for x, (w, h) in enumerate(r)) + "</tr>" for y, r in enumerate(spec)) + "</table>"
+    held, want = [], []
+    for y, r in enumerate(spec):
+        held = sorted(h for h in held if h[2] >= y)
+        at, new = 0, []
+        for x, (w, h) in enumerate(r):
+            for a, b, _ in held:
+                at = b if a <= at < b else at
+            high = min(h, len(spec) - y)
+            want.append((y, at, w, high, f"{y}.{x}"))
+            new += [(at, at + w, y + high - 1)] if high > 1 else []
+            at += w
+        held += new
+    assert grid(spark, html) == sorted(want)
+    big = "<table>" + ("<tr>" + "<td>x</td>" * 20 + "</tr>") * 1000 + "<tr><td colspan=99999999999 rowspan=-99999999999>y</td></tr></table>"
+    got = grid(spark, big)
+    assert len(got) == 20_001 and got[-1] == (1000, 0, 1000, 1, "y")
