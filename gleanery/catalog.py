@@ -22,7 +22,7 @@ from gleanery.operators.names import unique_names
 from gleanery.plans.flagship import site_report
 from gleanery.session import checkpoint_dir, scratch_path
 from gleanery.sources import writers
-from gleanery.sources.readers import parse_documents, read_captures, read_sidecars, stream_captures, table
+from gleanery.sources.readers import read_assets, read_captures, read_clip_library, read_library_files, read_sidecars, stream_captures, table
 from gleanery.streaming import jobs, stateful
 from gleanery.streaming.run import drain, drain_to_end, event_stream
 
@@ -505,11 +505,12 @@ def _w8c(spark, d):
 def _s4(spark, d):
     records = derive.stored_documents(spark, d)
     path = scratch_path(spark, "clips")
-    index = records.select("id", "source", "medium", "title", F.col("captured").alias("saved_at"), "tags")
-    body = documents.clip_documents(records).join(records.select("id", "medium"), "id")
-    writers.write_clips(path, "b1", None, body, index)
-    back = spark.read.parquet(f"{path}/documents").select("id", "medium", "document")
-    return back.join(spark.read.parquet(f"{path}/index").select("id", "source", "tags"), "id")
+    body = documents.clip_documents(records).select(F.concat("id", F.lit(".md")).alias("file"), "document")
+    attached = records.select("id", F.lit(1).alias("index"), F.lit("txt").alias("ext"), F.encode("body", "UTF-8").alias("content"))
+    writers.write_library(path, body, attached, records.select("id", "source", "medium", "tags"))
+    back = read_library_files(spark, path).select(F.regexp_replace("path", r"\.md$", "").alias("id"), F.col("value").alias("document"))
+    files = read_assets(spark, path).select("id", F.concat("index", F.lit("."), "ext").alias("attached"), F.sha2("content", 256).alias("sha256"))
+    return spark.read.parquet(f"{path}/.index").join(back, "id").join(files, "id", "left")
 
 
 def sidecars_of(spark, d):
@@ -536,8 +537,10 @@ def _s3(spark, d):
 
 @query("s2_read_clip_library")
 def _s2(spark, d):
+    path = scratch_path(spark, "library")
     stored = documents.clip_documents(derive.stored_documents(spark, d))
-    return parse_documents(stored.select(F.concat("id", F.lit(".md")).alias("path"), F.col("document").alias("value")))
+    writers.write_library(path, stored.select(F.concat("id", F.lit(".md")).alias("file"), "document"))
+    return read_clip_library(spark, path)
 
 
 @query("s6_stream_captures")

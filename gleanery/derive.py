@@ -152,19 +152,19 @@ def stored_documents(spark: SparkSession, d: str) -> DataFrame:
         F.lit("").alias("note"),
         F.when(F.col("lang") == "de", "fallback").otherwise("full").alias("extract"),
         F.col("text").alias("body"),
-        F.when(F.col("lang") == "de", F.col("text")).otherwise("-").alias("description"),
+        F.when(F.col("lang").isin("de", "fr"), F.col("text")).otherwise("-").alias("description"),
         F.when(F.col("lang") == "fr", "youtube").otherwise("").alias("platform"),
         F.when(F.col("lang") == "fr", F.col("n_chars").cast("double")).alias("duration"),
     )
 
 
 def inline_media(spark: SparkSession, d: str) -> DataFrame:
-    """Page addresses and inline copies of their titles as media addresses."""
-    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    """Page addresses and inline copies of the pages as media addresses."""
+    page = F.col("html")
     forms = F.array(
         F.col("url"),
-        F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode(title, "UTF-8"))),
-        F.concat(F.lit("data:text/plain,"), F.replace(F.url_encode(title), F.lit("+"), F.lit("%20"))),
+        F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode(page, "UTF-8"))),
+        F.concat(F.lit("data:text/plain,"), F.replace(F.url_encode(page), F.lit("+"), F.lit("%20"))),
     )
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), F.explode(forms).alias("url"))
 
@@ -233,7 +233,7 @@ def link_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         )
 
     parts = F.array(
-        part(F.concat(F.get(F.split("text", r"\."), F.lit(0)), F.lit(" "))),
+        part(F.concat("text", F.lit(" "))),
         part(None, short, shown),
         part(F.lit(" ")),
         part(None, F.concat(F.lit("/"), role), F.concat(F.lit("@"), role)),

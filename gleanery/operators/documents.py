@@ -131,8 +131,8 @@ _NEEDED = {
 }
 
 
-def clip_documents(clips: DataFrame) -> DataFrame:
-    """The stored text of each record ``(id, source, medium, title, …)``.
+def clip_documents(clips: DataFrame, *keep: str) -> DataFrame:
+    """The stored text of each record ``(id, source, medium, title, …)``, beside the columns to ``keep``.
 
     Layout by ``medium``: web and x are articles, link a bookmark, video and
     audio a stream, quote a quote file.  Absent optional columns read as ''.
@@ -151,7 +151,7 @@ def clip_documents(clips: DataFrame) -> DataFrame:
         .when(medium.isin("video", "audio"), stream())
         .when(medium == "quote", quote())
     )
-    return staged.select("id", document.alias("document"))
+    return staged.select("id", *keep, document.alias("document"))
 
 
 def plain_texts(docs: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ h AS (SELECT *, regexp_extract(page_url, '^(https?)', 1) = regexp_extract(url, '
   regexp_extract(page_url, '^https?://([^/?#]*)', 1) AS a, regexp_extract(url, '^https?://([^/?#]*)', 1) AS b FROM p),
 s AS (SELECT page_id, url, scheme AND (a = b OR regexp_extract(a, '[^.]+\\.[^.]+$') = regexp_extract(b, '[^.]+\\.[^.]+$')) AS same_site FROM h)
 SELECT page_id, url, same_site, CASE WHEN same_site THEN 'include' ELSE 'omit' END AS credentials FROM s""",
-    "a7_distinct_media": f"""WITH t AS (SELECT page_id AS id, {canonical('url')} AS k1, 'data:sha256:' || sha256(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS k2 FROM pages),
+    "a7_distinct_media": f"""WITH t AS (SELECT page_id AS id, {canonical('url')} AS k1, 'data:sha256:' || sha256(html) AS k2 FROM pages),
 k AS (SELECT id, k1 AS key FROM t UNION ALL SELECT id, k2 FROM t UNION ALL SELECT id, k2 FROM t)
 SELECT key, count(*) AS n, min(id) AS first_id FROM k GROUP BY 1""",
     "w2_plan_images": f"WITH {DOCS} SELECT doc_id, url, index FROM plan",
@@ -129,8 +129,8 @@ h AS (SELECT *, concat_ws(chr(10), '---', 'id: ' || {j('id')}, 'source: ' || {j(
 SELECT id, CASE medium
  WHEN 'web' THEN rtrim(head || concat_ws(chr(10) || chr(10), '# ' || line, '[Source](' || link || ')', nullif(trimmed, '')), E' \\n\\t\\r') || chr(10)
  WHEN 'link' THEN rtrim(head || concat_ws(chr(10) || chr(10), '[' || regexp_replace(line, '([\\\\\\[\\]])', '\\\\\\1', 'g') || '](' || link || ')', nullif(trimmed, '')), E' \\n\\t\\r') || chr(10)
- WHEN 'video' THEN head || concat_ws(chr(10) || chr(10), '# ' || line, '[Source](' || link || ')', '▶ YouTube video (' ||
-   CASE WHEN n_chars >= 3600 THEN (n_chars // 3600) || ':' || lpad((n_chars % 3600 // 60)::VARCHAR, 2, '0') ELSE (n_chars // 60)::VARCHAR END || ':' || lpad((n_chars % 60)::VARCHAR, 2, '0') || ') · ' || source) || chr(10)
+ WHEN 'video' THEN rtrim(head || concat_ws(chr(10) || chr(10), '# ' || line, '[Source](' || link || ')', '▶ YouTube video (' ||
+   CASE WHEN n_chars >= 3600 THEN (n_chars // 3600) || ':' || lpad((n_chars % 3600 // 60)::VARCHAR, 2, '0') ELSE (n_chars // 60)::VARCHAR END || ':' || lpad((n_chars % 60)::VARCHAR, 2, '0') || ') · ' || source, nullif(trimmed, '')), E' \\n\\t\\r') || chr(10)
  ELSE head || concat_ws(chr(10) || chr(10), '# Quotes - ' || line, '[Source](' || link || ')', text) || chr(10) END AS document FROM h""",
     "p11_plain_text": rf"""WITH s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
   '(?m)^{WS}*(```|~~~).*$', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[((?:\\.|[^\]\\])*)\]\([^)]*\)', '\1', 'g'), '(?m)^{WS}*(?:>{WS}?)+', '', 'g'),

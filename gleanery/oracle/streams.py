@@ -27,7 +27,7 @@ g AS (SELECT DISTINCT c.family, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::VARCH
    list_filter(list_transform(range(1, len(g.taken) + 2), lambda n: c.base || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END), lambda x: NOT list_contains(g.taken, x))[1] AS name
    FROM g JOIN c ON c.family = g.family AND c.rn = g.rn + 1))
 SELECT id, name || '.md' AS file FROM g WHERE rn > 0""",
-    "s4_write_clips": f"WITH doc AS ({DOC}), s AS ({STORED}) SELECT id, medium, document, source, tags FROM doc JOIN s USING (id)",
+    "s4_write_clips": f"WITH doc AS ({DOC}), s AS ({STORED}) SELECT s.id, s.medium, document, s.source, s.tags, CASE WHEN text <> '' THEN '1.txt' END AS attached, CASE WHEN text <> '' THEN sha256(text) END AS sha256 FROM doc JOIN s USING (id) JOIN documents ON id = doc_id::VARCHAR",
     "s5_sidecar_json": f"WITH {SIDE} SELECT id, to_json(side)::VARCHAR AS value FROM side",
     "s3_read_sidecars": f"WITH {SIDE} SELECT * FROM side",
     "s2_read_clip_library": f"""WITH doc AS ({DOC}), s AS ({STORED})

@@ -58,7 +58,7 @@ SELECT thread_id, CASE WHEN count(*) > 1 THEN 'thread' ELSE 'post' END AS form,
  sum(CASE WHEN n % 7 = 0 OR (n % 11 = 0 AND n % 3 = 0) THEN 1 ELSE 0 END) AS truncated, false AS "limit", sum(CASE WHEN n % 7 = 0 OR (n % 11 = 0 AND n % 3 = 0) THEN 1 ELSE 0 END) > 0 AS partial,
  '@' || min_by(handle, rn) || ' - ' || left(min_by(plain, rn), 30) AS title, string_agg(md, {NL2} ORDER BY rn) AS markdown FROM r GROUP BY 1""",
     "j6_resolve_short_links": f"""WITH l AS (SELECT md5(text)[1:8] AS s, min('https://example.com/a/(' || conv_id || ')') AS u FROM conversations WHERE role = 'assistant' GROUP BY 1),
-t AS (SELECT conv_id * 100 + turn AS post_id, role, turn, split_part(text, '.', 1) AS head, md5(text)[1:8] AS s FROM conversations),
+t AS (SELECT conv_id * 100 + turn AS post_id, role, turn, text AS head, md5(text)[1:8] AS s FROM conversations),
 g AS (SELECT t.*, coalesce(l.u, CASE WHEN role = 'system' THEN 'https://sys.example.com/' || turn ELSE 'https://t.co/' || t.s END) AS target FROM t LEFT JOIN l ON t.s = l.s)
 SELECT post_id, {trim("head || ' ' || '[' || replace(target, 'https://', '') || '](' || replace(replace(target, '(', '%28'), ')', '%29') || ') [@' || role || '](https://x.com/' || role || ') [#' || role || '](https://x.com/hashtag/' || role || ')'")} AS expanded FROM g""",
     "p12_post_videos": f"""WITH {POSTS}

@@ -91,10 +91,23 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def read_library_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, value``: name and text of the ``.md`` files of a library folder."""
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    # the name comes percent-encoded
+    return files.select(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("path"), "value")
+
+
 def read_clip_library(spark: SparkSession, path: str) -> DataFrame:
     """The ``.md`` documents of a library folder."""
-    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return parse_documents(files.select(F.col("_metadata.file_name").alias("path"), "value"))
+    return parse_documents(read_library_files(spark, path))
+
+
+def read_assets(spark: SparkSession, path: str) -> DataFrame:
+    """``id, index, ext, content`` of the attachments of a library folder; Spark's scan leaves out files of no bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/.assets")
+    part = lambda i: F.regexp_extract("path", r"/\.assets/([^/]+)/([0-9]+)\.([^/]+)$", i)
+    return files.select(part(1).alias("id"), part(2).cast("int").alias("index"), part(3).alias("ext"), "content")
 
 
 def parse_sidecars(raw: DataFrame, column: str = "value") -> DataFrame:

@@ -2,8 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from gleanery.sources.readers import parse_sidecars, read_clip_library, read_sidecars
-from gleanery.sources.writers import sidecar_json, write_clips, write_sidecars
+from gleanery.sources.readers import parse_sidecars, read_assets, read_clip_library, read_sidecars
+from gleanery.sources.writers import sidecar_json, write_clips, write_library, write_sidecars
 
 
 def test_clip_library(spark, tmp_path):
@@ -46,3 +46,14 @@ def test_write_clips_again_is_the_same(spark, tmp_path):
     write_clips(path, "b2", None, docs.where("id = '1'"), index.where("id = '1'"))
     write_clips(path, "b1", None, docs, index)
     assert spark.read.parquet(f"{path}/index").groupBy("batch").count().orderBy("batch").collect() == [("b1", 2), ("b2", 1)]
+
+
+def test_library_of_files(spark, tmp_path):
+    path = str(tmp_path / "lib")
+    docs = spark.createDataFrame([("a.md", '---\nid: "a"\ntitle: "é"\n---\nbody'), ("b (2).md", "plain")], "file string, document string")
+    files = spark.createDataFrame([("a", 1, "png", b"\x00\xff"), ("a", 2, "bin", b""), ("b", 1, "txt", b"t" * 100_000)], "id string, index int, ext string, content binary")
+    for _ in range(2):  # again is the same
+        write_library(path, docs, files, files.select("id"))
+    assert {(r.path, r.id, r.title, r.body) for r in read_clip_library(spark, path).collect()} == {("a.md", "a", "é", "body"), ("b (2).md", None, None, "plain")}
+    assert sorted((r.id, r["index"], r.ext, bytes(r.content)) for r in read_assets(spark, path).collect()) == sorted(tuple(r) for r in [("a", 1, "png", b"\x00\xff"), ("b", 1, "txt", b"t" * 100_000)])
+    assert {p.name for p in (tmp_path / "lib").iterdir()} == {"a.md", "b (2).md", ".assets", ".index"}
