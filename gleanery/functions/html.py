@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import collapse, decode_entities, first_match, let
 
-# groups: 1 name, 2 double-quoted, 3 single-quoted, 4 bare value
-ATTRIBUTE = r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))"""
+# An attribute by the grammar of HTML, in two groups: a name of anything but controls, blanks and ``"'/=>``,
+# and a value as it stands, in quotes of either kind or bare.
+ATTRIBUTE = r"""([^\x00-\x20"'/=>]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'<=>`]++)"""
 META = r"(?i)<meta\b[^>]*>"
 LINK_TAG = r"(?i)<link\b[^>]*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
@@ -17,12 +18,12 @@ TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
 def attribute(tag: Column, name: str) -> Column:
     """Value of the first attribute with this name; NULL when absent."""
     names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 1), F.lower)
+    at = F.nullif(F.array_position(names, name), F.lit(0).cast("long"))
 
-    def value(at: Column) -> Column:
-        groups = [F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), g), at) for g in (2, 3, 4)]
-        return F.when(at >= 0, F.concat(*groups))
+    def bare(raw: Column) -> Column:
+        return F.when(F.left(raw, F.lit(1)).isin('"', "'"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
 
-    return let((F.array_position(names, name) - 1).cast("int"), value)
+    return let(F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 2), (at - 1).cast("int")), bare)
 
 
 def meta_entries(html: Column) -> Column:

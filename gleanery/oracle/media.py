@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from gleanery.derive import BRAND_TYPE, TYPE_KIND, TYPE_SUFFIX
+from gleanery.oracle.plain import plain
 from gleanery.oracle.pages import LINKS as PAGE_LINKS, WS, canonical
 
 
@@ -132,9 +133,7 @@ SELECT id, CASE medium
  WHEN 'video' THEN rtrim(head || concat_ws(chr(10) || chr(10), '# ' || line, '[Source](' || link || ')', '▶ YouTube video (' ||
    CASE WHEN n_chars >= 3600 THEN (n_chars // 3600) || ':' || lpad((n_chars % 3600 // 60)::VARCHAR, 2, '0') ELSE (n_chars // 60)::VARCHAR END || ':' || lpad((n_chars % 60)::VARCHAR, 2, '0') || ') · ' || source, nullif(trimmed, '')), E' \\n\\t\\r') || chr(10)
  ELSE head || concat_ws(chr(10) || chr(10), '# Quotes - ' || line, '[Source](' || link || ')', text) || chr(10) END AS document FROM h""",
-    "p11_plain_text": rf"""WITH s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '(?m)^{WS}*(```|~~~).*$', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[((?:\\.|[^\]\\])*)\]\([^)]*\)', '\1', 'g'), '(?m)^{WS}*(?:>{WS}?)+', '', 'g'),
-  '(?m)^{WS}*(?:#{{1,6}}{WS}|[-+]{WS}|[0-9]+\.{WS})', '', 'g'), '\*\*|__', '', 'g'), '\\\n', chr(10), 'g'), '\\([!-/:-@\[-`{{-~])', '\1', 'g'), '{WS}+', ' ', 'g')) AS text FROM documents)
+    "p11_plain_text": f"""WITH s AS (SELECT doc_id, {plain('text')} AS text FROM documents)
 SELECT doc_id, text, length(text) AS length FROM s""",
     "x1_chunk_documents": r"""WITH RECURSIVE s0 AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)[^.!?。！？]*[.!?。！？]+\s*|[^.!?。！？]+\z') AS ss FROM documents WHERE length(text) > 2000),
 s1 AS (SELECT doc_id, generate_subscripts(ss, 1) AS i, unnest(ss) AS s FROM s0),

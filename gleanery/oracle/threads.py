@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from gleanery.oracle.plain import plain
 from gleanery.oracle.pages import WS
 
 
@@ -16,9 +17,7 @@ def quoted(s: str) -> str:
     return f"'> ' || replace({s}, chr(10), chr(10) || '> ')"
 
 
-PLAIN = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '(?m)^{WS}*(```|~~~).*$', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[((?:\\.|[^\]\\])*)\]\([^)]*\)', '\1', 'g'), '(?m)^{WS}*(?:>{WS}?)+', '', 'g'),
-  '(?m)^{WS}*(?:#{{1,6}}{WS}|[-+]{WS}|[0-9]+\.{WS})', '', 'g'), '\*\*|__', '', 'g'), '\\\n', chr(10), 'g'), '\\([!-/:-@\[-`{{-~])', '\1', 'g'), '{WS}+', ' ', 'g'))"""
+PLAIN = plain("text")
 CLOCK = "CASE WHEN n >= 3600 THEN (n // 3600) || ':' || lpad((n % 3600 // 60)::VARCHAR, 2, '0') ELSE (n // 60)::VARCHAR END || ':' || lpad((n % 60)::VARCHAR, 2, '0')"
 NL2 = "chr(10) || chr(10)"
 
