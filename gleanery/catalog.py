@@ -659,6 +659,19 @@ def _x4(spark, d):
     return units.interleave_translations(table(spark, d, "documents").select("doc_id", "text"), translated_units(spark, d), F.lit("en"))
 
 
+@query("x3_structured_units")
+def _x3s(spark, d):
+    found = units.document_units(derive.structured_documents(spark, d))
+    return found.select("doc_id", "unit_no", "kind", "start", "end", "indent", "level", "segments")
+
+
+@query("x4_changed_documents")
+def _x4c(spark, d):
+    # units of the earlier text meet the text of today
+    earlier = units.document_units(derive.structured_documents(spark, d)).withColumn("translations", F.transform("segments", F.reverse))
+    return units.interleave_translations(derive.structured_documents(spark, d, changed=True), earlier, F.lit("en"))
+
+
 def segment_lines(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "segment"))

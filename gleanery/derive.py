@@ -246,6 +246,23 @@ def link_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return made, links
 
 
+def structured_documents(spark: SparkSession, d: str, changed: bool = False) -> DataFrame:
+    """Documents of every kind of block: all plain words of a text as heading, list, quote and paragraph.
+
+    ``changed``: the same later, with a paragraph more at the start, another
+    heading, and the two list items the other way round.
+    """
+    words = F.concat(F.regexp_extract_all("text", F.lit("([a-z]{3,})"), 1), F.array(*map(F.lit, ("alpha", "beta", "gamma", "delta", "echo", "fox"))))
+    at = lambda i: F.get("w", F.lit(i))
+    heading = F.concat(F.lit("## "), at(0), F.lit(" "), at(1), F.lit(" later" if changed else ""))
+    items = [F.concat(F.lit("- "), at(2), F.lit(" one")), F.concat(F.lit("- "), at(3), F.lit(" two"))]
+    lines = [heading, "", *(reversed(items) if changed else items), "", F.concat(F.lit("> "), at(4), F.lit(" "), at(5)), "", F.array_join("w", " ")]
+    if changed:
+        lines = ["a new start", "", *lines]
+    columns = [F.lit(x) if isinstance(x, str) else x for x in lines]
+    return table(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", F.concat_ws("\n", *columns).alias("text"))
+
+
 def chained_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Lists whose every snapshot shows the last known post and a new one beside it: events by type, as long a chain as there are."""
     events = table(spark, d, "events").select(F.col("event_type").alias("list_id"), "ts", "event_id")

@@ -65,9 +65,8 @@ def _fences(lines: Column) -> Column:
     where its quote ends, or before a line left of its list item's text.
     """
 
-    def mark(x: Column) -> Column:
-        margin = F.filter(lines, lambda y: (y["i"] < x["i"]) & (y["indent"] == 0) & (y["kind"] != "blank"))
-        in_list = (x["indent"] > 0) & F.coalesce(F.try_element_at(margin, F.lit(-1))["kind"] == "list", F.lit(False))
+    def mark(x: Column, margin: Column) -> Column:
+        in_list = (x["indent"] > 0) & F.coalesce(margin == "list", F.lit(False))
         return F.struct(
             x["i"].alias("i"),
             F.regexp_extract(x["line"], _FENCE_LINE, 1).alias("run"),
@@ -81,12 +80,9 @@ def _fences(lines: Column) -> Column:
             close = F.filter(marks, lambda c: (c["i"] > m["i"]) & c["closer"] & c["run"].startswith(m["run"]))
             last = F.size(lines) - 1
             closing = F.coalesce(F.get(close, F.lit(0))["i"], last)
-            # a quote ends with its last quoted line, an item before a line left of its text
-            left = F.filter(
-                lines,
-                lambda x: (x["i"] > m["i"])
-                & ((m["quoted"] & (x["kind"] != "quote")) | ((x["kind"] != "blank") & (x["indent"] < m["col"]))),
-            )
+            # a quote ends with its last quoted line, an item before a line left of its text; only up to the closing line it matters
+            inside = F.slice(lines, m["i"] + 2, closing - m["i"])
+            left = F.filter(inside, lambda x: (m["quoted"] & (x["kind"] != "quote")) | ((x["kind"] != "blank") & (x["indent"] < m["col"])))
             bound = F.coalesce(F.get(left, F.lit(0))["i"], last + 1)
             return F.least(closing, F.when(closing == bound, bound).otherwise(bound - 1)).cast("int")
 
@@ -99,7 +95,22 @@ def _fences(lines: Column) -> Column:
         start = F.struct(F.lit(-1).alias("until"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
         return F.aggregate(marks, start, step)["spans"]
 
-    return let(F.transform(F.filter(lines, lambda x: x["line"].rlike(_FENCE_LINE)), mark), spans)
+    # a fold over the lines at the margin and the fence lines tells each fence line what was at the margin before it
+    fence_line = lambda x: x["line"].rlike(_FENCE_LINE)
+    at_margin = lambda x: (x["indent"] == 0) & (x["kind"] != "blank")
+
+    def note(acc: Column, x: Column) -> Column:
+        made = F.struct(x.alias("x"), acc["margin"].alias("margin"))
+        return F.struct(
+            F.when(at_margin(x), x["kind"]).otherwise(acc["margin"]).alias("margin"),
+            F.when(fence_line(x), F.array_append(acc["marks"], made)).otherwise(acc["marks"]).alias("marks"),
+        )
+
+    kind = "struct<i:int,line:string,kind:string,indent:int,col:int>"
+    start = F.struct(F.lit(None).cast("string").alias("margin"), F.array().cast(f"array<struct<x:{kind},margin:string>>").alias("marks"))
+    noted = F.aggregate(F.filter(lines, lambda x: at_margin(x) | fence_line(x)), start, note)["marks"]
+    marks = F.when(F.exists(lines, fence_line), F.transform(noted, lambda n: mark(n["x"], n["margin"])))
+    return F.coalesce(let(marks, spans), F.array().cast(f"array<{_SPAN}>"))
 
 
 def _body_start(lines: Column) -> Column:
@@ -109,21 +120,15 @@ def _body_start(lines: Column) -> Column:
 
 def _chunks(lines: Column, fences: Column, body: Column) -> Column:
     """``array<struct<a, b>>``: runs of lines between blanks and fences."""
+    written = F.transform(F.filter(lines, lambda x: (x["i"] >= body) & (x["kind"] != "blank")), lambda x: x["i"])
+    fenced = F.flatten(F.transform(fences, lambda f: F.sequence(f["a"], f["b"])))
 
-    def solid(i: Column) -> Column:
-        x = F.get(lines, i)
-        return F.coalesce((i >= body) & (x["kind"] != "blank") & ~F.exists(fences, lambda f: (i >= f["a"]) & (i <= f["b"])), F.lit(False))
-
-    flags = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), solid(x["i"]).alias("s")))
-
-    def edges(f: Column) -> Column:
-        starts = F.filter(f, lambda x: x["s"] & ~F.coalesce(F.get(f, x["i"] - 1)["s"], F.lit(False)))
-        ends = F.filter(f, lambda x: x["s"] & ~F.coalesce(F.get(f, x["i"] + 1)["s"], F.lit(False)))
-        return F.transform(
-            F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.struct(z["s"]["i"].alias("a"), z["e"]["i"].alias("b"))
-        )
+    def edges(solid: Column) -> Column:
+        starts = F.filter(solid, lambda i, k: F.coalesce(F.get(solid, k - 1) != i - 1, F.lit(True)))
+        ends = F.filter(solid, lambda i, k: F.coalesce(F.get(solid, k + 1) != i + 1, F.lit(True)))
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b")))
 
-    return let(flags, edges)
+    return let(F.array_except(written, fenced), edges)
 
 
 def _blocks(lines: Column, chunk: Column) -> Column:

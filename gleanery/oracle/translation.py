@@ -38,6 +38,14 @@ SQL = {
     "x4_interleave_translations": f"""WITH {UNITS}, x AS (SELECT doc_id, seg, reverse(seg) AS up FROM u)
 SELECT d.doc_id, d.text || CASE WHEN x.up IS NOT NULL AND x.up <> x.seg THEN chr(10) || chr(10) || {ESCAPED} ELSE '' END AS document,
  CASE WHEN x.up IS NULL THEN 0 ELSE 1 END AS applied, 0 AS missing FROM documents d LEFT JOIN x ON d.doc_id = x.doc_id""",
+    "x3_structured_units": """WITH w AS (SELECT doc_id, list_concat(regexp_extract_all(text, '[a-z]{3,}'), ['alpha', 'beta', 'gamma', 'delta', 'echo', 'fox']) AS w FROM documents)
+SELECT doc_id, unnest(range(5))::INT AS unit_no, unnest(['heading', 'list-item', 'list-item', 'quote-paragraph', 'paragraph']) AS kind, unnest([0, 2, 3, 5, 7])::INT AS start, unnest([0, 2, 3, 5, 7])::INT AS "end",
+ unnest([0, 2, 2, 0, 0])::INT AS indent, unnest([2, 0, 0, 0, 0])::INT AS level, unnest([[w[1] || ' ' || w[2]], [w[3] || ' one'], [w[4] || ' two'], [w[5] || ' ' || w[6]], [array_to_string(w, ' ')]]) AS segments FROM w""",
+    "x4_changed_documents": """WITH w AS (SELECT doc_id, list_concat(regexp_extract_all(text, '[a-z]{3,}'), ['alpha', 'beta', 'gamma', 'delta', 'echo', 'fox']) AS w FROM documents),
+p AS (SELECT doc_id, w, w[3] || ' one' AS i1, w[4] || ' two' AS i2, w[5] || ' ' || w[6] AS q, array_to_string(w, ' ') AS t FROM w)
+SELECT doc_id, concat_ws(chr(10), 'a new start', '', '## ' || w[1] || ' ' || w[2] || ' later', '', '- ' || i2, '- ' || i1 || chr(92), '  ' || reverse(i1), '', '> ' || q) ||
+ CASE WHEN reverse(q) <> q THEN concat(chr(10), '>', chr(10), '> ', reverse(q)) ELSE '' END || chr(10) || chr(10) || t || CASE WHEN reverse(t) <> t THEN chr(10) || chr(10) || reverse(t) ELSE '' END AS document,
+ 3 AS applied, 2 AS missing FROM p""",
     "j13_translate_segments": f"WITH {LINES}, {MEMORY}, {TRANSLATED} SELECT doc_id, line_no, segment, translated FROM tr",
     "a5_translation_status": f"""WITH {LINES}, {MEMORY}, {TRANSLATED}, c AS (SELECT doc_id, any_value(lang) AS lang, count(translated) AS applied, count(*) AS total FROM tr GROUP BY 1),
 s AS (SELECT *, CASE WHEN lang = 'es' THEN 'skipped' WHEN applied >= total THEN 'complete' WHEN applied > 0 THEN 'partial' ELSE 'failed' END AS status FROM c)
