@@ -23,7 +23,7 @@ SHARDS = 3
 FILTER_BITS = 1 << 26
 PROBES = 2
 #: Bytes of text that are counted at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 SUPPORT, MAX_WORDS, TOP = 10, 3, 2000
 #: Parts of a language that are ranked by themselves.
