@@ -53,11 +53,11 @@ SELECT doc_id, applied, total, status, status = 'failed' AND total > 3 AS retrya
     "x8_language_gate": """WITH g AS (SELECT doc_id, n_chars, CASE lang WHEN 'de' THEN 'zh-Hant' WHEN 'fr' THEN 'zh' ELSE lang END AS lang, n_chars < 500 AS unsure,
   CASE WHEN doc_id < 500 THEN 'es' WHEN n_chars > 300 THEN 'zh' END AS target FROM documents)
 SELECT doc_id, CASE WHEN NOT unsure THEN lang END AS lang, CASE WHEN target IS NULL THEN 'none' WHEN unsure THEN 'source-unknown' WHEN lang = target THEN 'skipped' ELSE 'translate' END AS action FROM g""",
-    "x8_detect_language": rf"""WITH d AS (SELECT doc_id, (doc_id % 2)::INT AS fold, lang, ' ' || lower(regexp_replace(text, '[^\p{{L}}]+', ' ', 'g')) || ' ' AS t,
-  ' ' || lower(regexp_replace(left(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^{WS}*$')), chr(10)), 2000), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS s FROM documents),
-n AS (SELECT 1 - fold AS fold, lang, gram, count(*) AS n FROM (SELECT fold, lang, t[i:i + 2] AS gram FROM d, unnest(range(1, greatest(length(t) - 1, 2))) AS u(i)) GROUP BY ALL),
+    "x8_detect_language": rf"""WITH d AS (SELECT doc_id, (doc_id % 2)::INT AS fold, lang, string_split(' ' || lower(regexp_replace(text, '[^\p{{L}}]+', ' ', 'g')) || ' ', '') AS t,
+  string_split(' ' || lower(regexp_replace(left(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^{WS}*$')), chr(10)), 2000), '[^\p{{L}}]+', ' ', 'g')) || ' ', '') AS s FROM documents),
+n AS (SELECT 1 - fold AS fold, lang, gram, count(*) AS n FROM (SELECT fold, lang, unnest(list_transform(range(1, greatest(len(t) - 1, 2)), lambda i: concat(t[i], t[i + 1], t[i + 2]))) AS gram FROM d) GROUP BY ALL),
 p AS (SELECT fold, lang, gram, ln(n / sum(n) OVER (PARTITION BY fold, lang)) AS w FROM n),
-g AS (SELECT doc_id, fold, gram, count(*) AS n FROM (SELECT doc_id, fold, s[i:i + 2] AS gram FROM d, unnest(range(1, greatest(length(s) - 1, 2))) AS u(i)) GROUP BY ALL),
+g AS (SELECT doc_id, fold, gram, count(*) AS n FROM (SELECT doc_id, fold, unnest(list_transform(range(1, greatest(len(s) - 1, 2)), lambda i: concat(s[i], s[i + 1], s[i + 2]))) AS gram FROM d) GROUP BY ALL),
 z AS (SELECT doc_id, sum(n) AS size FROM g GROUP BY 1),
 h AS (SELECT g.doc_id, g.fold, p.lang, sum(g.n * (p.w + 12)) / any_value(z.size) AS score FROM g JOIN p ON g.gram = p.gram AND g.fold = p.fold JOIN z ON z.doc_id = g.doc_id GROUP BY 1, 2, 3)
 SELECT doc_id, fold, max_by(lang, score) AS lang, round(1 / sum(exp((score - top) * 20)), 3) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM h) GROUP BY 1, 2""",
