@@ -124,6 +124,14 @@ def _j1(spark, d):
     return lookups.saved_lookup(captures_of(spark, d), index)
 
 
+@query("j1_index_keys")
+def _j1k(spark, d):
+    pages = table(spark, d, "pages")
+    kind = F.element_at(F.array(F.lit("quote"), F.lit("media"), F.lit("page")), (F.col("page_id") % 3 + 1).cast("int"))
+    url = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("#part"))).otherwise(F.concat(F.lit("data:text/plain,"), F.col("page_id").cast("string"), F.lit("%20x")))
+    return pages.select("page_id", kind.alias("kind"), lookups.index_key(kind, F.col("url"), media.media_key(url)).alias("key"))
+
+
 @query("j2_new_captures")
 def _j2a(spark, d):
     return lookups.new_captures(captures_of(spark, d), index_of(spark, d)).select("id", "source")
@@ -424,6 +432,25 @@ def _w4(spark, d):
     return quotes.quote_anchors(derive.quotes(spark, d)).select("id", "anchor")
 
 
+@query("w4_fragment_urls")
+def _w4f(spark, d):
+    turns = table(spark, d, "conversations")
+    words = turns.select("conv_id", "turn", F.concat(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1), F.array(F.lit("one"), F.lit("two"), F.lit("three"))).alias("w"))
+    at = lambda i: F.get("w", F.lit(i))
+    form = F.col("turn") % 3
+    page = F.concat(F.lit("https://q.example.com/"), F.col("conv_id").cast("string"), F.when(form == 0, "#top").when(form == 1, "#a:~:text=old").otherwise(""))
+    end = F.when(form != 1, F.array_join("w", " "))
+    return words.select(
+        "conv_id", "turn", quotes.fragment_url(page, F.concat(at(0), F.lit(", "), at(1), F.lit("-")), end, F.when(form == 2, at(2)), F.when(form == 0, at(2))).alias("url")
+    )
+
+
+@query("a2_quote_entries")
+def _a2e(spark, d):
+    found = quotes.collect_quotes(derive.quotes(spark, d))
+    return found.select("source", "part", quotes.count_entries(F.col("document")).alias("found"))
+
+
 @query("a2_collect_quotes")
 def _a2(spark, d):
     return quotes.collect_quotes(derive.quotes(spark, d))

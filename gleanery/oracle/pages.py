@@ -58,6 +58,9 @@ FROM l GROUP BY 1""",
 SELECT page_id, unnest(range(9))::INT AS pos, unnest(['ftp://U@' || lower(host) || path || '/%C3%A9?k=' || n, 'wss://' || lower(host) || ':444/?q=%27', 'file://' || path || '/b%20c.txt',
   'file://' || CASE WHEN path = '' THEN '/' ELSE path END, 'mailto:Some One@' || upper(host) || '?subject=a%20b&cc=' || n, 'app+x://' || upper(host) || ':80' || path || '/y?a=' || chr(39) || '1' || chr(39),
   'app://' || upper(host), 'app://bad host/' || n, 'tel:+' || n]) AS source FROM p""",
+    "j1_index_keys": f"""WITH p AS (SELECT page_id, {canonical('url')} AS key FROM pages)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'quote' WHEN 1 THEN 'media' ELSE 'page' END AS kind, CASE page_id % 3 WHEN 0 THEN 'quote:' || key
+ WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN key ELSE 'data:sha256:' || sha256(page_id || ' x') END ELSE key END AS key FROM p""",
     "p2_page_meta": f"SELECT page_id, {TITLE} AS title, '' AS description, '' AS image, '' AS site_name, '' AS published, '' AS author FROM pages",
     "p2_page_meta_tags": """SELECT page_id, 'First & ' || trim(regexp_extract(html, '<a href="/([^"]*)">', 1)) AS title, 'plain text <b>' AS description,
  regexp_extract(url, '^https?://[^/?#]*') || '/i/' || page_id || '.png?a=1&b=2' AS image, '' AS site_name, '2024-01-02' AS published, 'Me' AS author FROM pages""",

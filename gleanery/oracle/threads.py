@@ -75,6 +75,10 @@ n AS (SELECT source, count(*) AS entries FROM q GROUP BY 1)
 SELECT source, part, entries, CASE WHEN part = 0 THEN concat_ws(chr(10), '---', 'id: "' || source || '"', 'source: "' || source || '"', 'medium: "quote"', 'title: "' || title || '"',
  'author: ""', 'published: ""', 'captured: "' || strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') || '"', 'site: "q.example.com"', 'tags: []', 'note: ""', 'extract: "full"', '---', '',
  '# Quotes - ' || replace(title, '  ', ' '), '', '[Source](' || source || ')', '', body, '') ELSE chr(10) || body || chr(10) END AS document FROM p JOIN n USING (source)""",
+    "a2_quote_entries": f"WITH {QUOTES}, e2 AS (SELECT source, (rn - 1) // 1000 AS part, rn FROM e) SELECT source, part, count(*) AS found FROM e2 GROUP BY 1, 2",
+    "w4_fragment_urls": """WITH w AS (SELECT conv_id, turn, turn % 3 AS form, list_concat(regexp_extract_all(text, '[a-z]+'), ['one', 'two', 'three']) AS w FROM conversations)
+SELECT conv_id, turn, 'https://q.example.com/' || conv_id || CASE form WHEN 0 THEN '#top' WHEN 1 THEN '#a' ELSE '#' END || ':~:text=' || CASE WHEN form = 2 THEN w[3] || '-,' ELSE '' END || w[1] || '%2C%20' || w[2] || '%2D' ||
+ CASE WHEN form <> 1 THEN ',' || array_to_string(w, '%20') ELSE '' END || CASE WHEN form = 0 THEN ',-' || w[3] ELSE '' END AS url FROM w""",
     "a2_quote_notes": f"WITH {QUOTES} SELECT id, entry || {NL2} || title || {NL2} || '> next' || {NL2} || 'next anchor' || chr(10) AS document, anchor, title AS note FROM e",
     "j11_quote_targets": """WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
 SELECT conv_id * 100 + turn AS id, 'https://q.example.com/' || conv_id AS source, CASE WHEN n > 3 THEN 'append' ELSE 'new' END AS target, CASE WHEN n > 3 THEN conv_id END AS file_id, n IN (2, 3) AS recreated
