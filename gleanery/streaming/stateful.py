@@ -2,18 +2,21 @@
 
 What counts is the order of events, not of arrival: rows of a key wait, by
 bucket of event time, until the watermark has passed their bucket and are then
-taken in order, so the number of files in a trigger decides nothing.  The
-caller's delay bounds how long rows wait; it must cover how far the input is
-out of order.
+taken in order, so the number of files in a trigger decides nothing.  State is one row per key, handed
+over with the rows of a trigger, so a key costs one call and no round trips.
+The caller's delay bounds how long rows wait; it must cover how far the input
+is out of order.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleanery.operators.stores import LIMITS
 from gleanery.session import ship_package
@@ -26,109 +29,76 @@ TTL_SECONDS = 30
 BUCKET_MS = 60_000
 
 
-class InEventOrder(StatefulProcessor):
+class InEventOrder:
     """Hands the rows of a key to :meth:`take` in the order of :meth:`place`.
 
-    Rows wait in a map of buckets of event time, each with a timer at its end.
-    When the watermark passes that, the bucket is complete: it alone is read,
-    sorted, taken and dropped, so a call holds one bucket of a key, however
-    many rows the key has.  What the job itself wants to do at a time without a
-    row (:meth:`due`) has a timer of its own and waits for the buckets before.
+    Rows wait in the state of their key.  When the watermark passes the end of
+    a bucket of event time, the bucket is complete and every later row is of a
+    later one; all complete buckets of a key are taken in one call.  What the
+    job itself wants to do at a time without a row (:meth:`due`) waits for the
+    end of the bucket of that time.  A call holds what waits of one key.
     """
 
     #: Columns of a row after ``id`` and its time in microseconds.
     more: dict[str, str] = {}
     #: Columns of the result after ``key``.
     made: list[str] = []
+    #: What is kept of a key between calls, and its first value.
+    kept: str
+    first: tuple
 
     def __init__(self, bucket_ms: int) -> None:
         self.bucket_ms = bucket_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        extra = "".join(f", {name}: {kind}" for name, kind in self.more.items())
-        self.held = handle.getMapState("held", "bucket bigint", f"rows array<struct<id: bigint, us: bigint{extra}>>")
-        self.open = handle.getValueState("open", "buckets array<bigint>")
-        self.alarm = handle.getValueState("alarm", "at bigint")
-        self.begin(handle)
-
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        """State of the job itself."""
-
     def place(self, row: tuple) -> tuple:
         """What rows are ordered by."""
         return row[1], row[0]
 
-    def take(self, rows: list[tuple]) -> list[tuple]:
-        """Results of the next rows in order."""
+    def take(self, kept: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        """What is kept after the next rows in order, and their results."""
         raise NotImplementedError
 
-    def settle(self, until: int) -> list[tuple]:
-        """Results once all rows before ``until`` (in ms) are taken."""
-        return []
+    def settle(self, kept: tuple, until: int) -> tuple[tuple, list[tuple]]:
+        """The same once all rows before ``until`` (in ms) are taken."""
+        return kept, []
 
-    def due(self) -> int | None:
+    def due(self, kept: tuple) -> int | None:
         """When the job wants to be called without a row, in ms."""
         return None
 
-    def _buckets(self) -> list[int]:
-        return list(self.open.get()[0]) if self.open.exists() else []
-
-    def _wake(self, known: int) -> None:
-        """Keep the job's own timer where :meth:`due` wants it; a time that is over waits for the end of an open bucket."""
-        before = self.alarm.get()[0] if self.alarm.exists() else None
-        due = self.due()
-        at = None if due is None or due < known else due + 1
-        if at == before:
-            return
-        if before is not None:
-            self.handle.deleteTimer(before) if before % self.bucket_ms else None
-            self.alarm.clear()
-        if at is not None:
-            self.handle.registerTimer(at)
-            self.alarm.update((at,))
-
-    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=self.made)
-        frame.insert(0, "key", key[0])
-        return frame.astype({"key": "int64"} | {c: "datetime64[us]" if c == "ts" or c.endswith("_at") else "int64" for c in self.made})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting: dict[int, list[tuple]] = {}
-        for frame in rows:
-            us = frame["ts"].astype("datetime64[us]").astype("int64").tolist()
-            for row in zip(frame["id"].tolist(), us, *(frame[c].tolist() for c in self.more), strict=True):
-                waiting.setdefault(row[1] // (1000 * self.bucket_ms), []).append(row)
-        opened = self._buckets()
-        for bucket, some in waiting.items():
-            if bucket in opened:
-                some = [*map(tuple, self.held.getValue((bucket,))[0]), *some]
-            else:
-                opened.append(bucket)
-                self.handle.registerTimer((bucket + 1) * self.bucket_ms)
-            self.held.updateValue((bucket,), (some,))
-        self.open.update((sorted(opened),))
-        yield self._frame(key, [])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        opened, out = self._buckets(), []
-        while opened and (opened[0] + 1) * self.bucket_ms <= now:
-            bucket = opened.pop(0)
-            rows = sorted(map(tuple, self.held.getValue((bucket,))[0]), key=self.place)
-            out += self.take(rows) + self.settle((bucket + 1) * self.bucket_ms)
-            self.held.removeKey((bucket,))
-        # all rows before the watermark are here: taken, or in an open bucket
-        known = timerValues.getCurrentWatermarkInMs()
-        out += self.settle(min(known, opened[0] * self.bucket_ms) if opened else known)
-        self.open.update((opened,)) if opened else self.open.clear()
-        if self.alarm.exists() and self.alarm.get()[0] <= now:
-            self.alarm.clear()
-        self._wake(known)
-        yield self._frame(key, out)
-
-    def close(self) -> None:
-        pass
+    def _frame(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        columns = {"key": np.full(len(out), key[0], "int64")}
+        for name, values in zip(self.made, zip(*out, strict=True), strict=True):
+            numbers = np.array(values, "int64")
+            columns[name] = numbers.astype("datetime64[us]") if name == "ts" or name.endswith("_at") else numbers
+        return pd.DataFrame(columns)
+
+    def state_schema(self) -> str:
+        held = {"ids": "bigint", "times": "bigint"} | {f"held_{name}": kind for name, kind in self.more.items()}
+        return ", ".join([*(f"{name} array<{kind}>" for name, kind in held.items()), self.kept])
+
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = 2 + len(self.more)
+        before = tuple(state.get) if state.exists else (*([] for _ in range(columns)), *self.first)
+        rows, kept = list(zip(*before[:columns], strict=True)), before[columns:]
+        if not state.hasTimedOut:
+            for frame in frames:
+                us = frame["ts"].astype("datetime64[us]").astype("int64").tolist()
+                rows += zip(frame["id"].tolist(), us, *(frame[c].tolist() for c in self.more), strict=True)
+        size = self.bucket_ms
+        known = state.getCurrentWatermarkMs() // size * size
+        waiting = [r for r in rows if r[1] >= known * 1000]
+        kept, out = self.take(kept, sorted((r for r in rows if r[1] < known * 1000), key=self.place))
+        kept, more = self.settle(kept, known)
+        held = map(list, zip(*waiting, strict=True)) if waiting else ([] for _ in range(columns))
+        state.update((*held, *kept))
+        # the next call without a row: when the first bucket that waits, or that of the job's own time, is complete
+        times = [min(r[1] for r in waiting) // 1000] if waiting else []
+        due = self.due(kept)
+        if times or due is not None:
+            state.setTimeoutTimestamp((min([*times, *([] if due is None else [due])]) // size + 1) * size)
+        if out or more:
+            yield self._frame(key, out + more)
 
 
 class GenerationGuard(InEventOrder):
@@ -136,20 +106,16 @@ class GenerationGuard(InEventOrder):
 
     more = {"generation": "bigint"}
     made = ["id", "ts", "generation"]
+    kept = "generation bigint"
+    first = (None,)
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "generation bigint")
-
-    def take(self, rows: list[tuple]) -> list[tuple]:
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        out = []
+    def take(self, kept: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        newest, out = kept[0], []
         for item, us, generation in rows:
             if newest is None or generation >= newest:
                 newest = generation
                 out.append((item, us, generation))
-        if newest is not None:
-            self.newest.update((int(newest),))
-        return out
+        return (newest,), out
 
 
 class PendingQueue(InEventOrder):
@@ -160,18 +126,15 @@ class PendingQueue(InEventOrder):
 
     more = {"kind": "string"}
     made = ["id", "queued_at", "saved_at"]
+    kept = "granted boolean, ids array<bigint>, us array<bigint>"
+    first = (False, [], [])
 
     def __init__(self, limit: int, bucket_ms: int) -> None:
         super().__init__(bucket_ms)
         self.limit = limit
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.granted = handle.getValueState("granted", "granted boolean")
-        self.waiting = handle.getListState("waiting", "id bigint, us bigint")
-
-    def take(self, rows: list[tuple]) -> list[tuple]:
-        granted = bool(self.granted.get()[0]) if self.granted.exists() else False
-        queue = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
+    def take(self, kept: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        granted, queue = kept[0], deque(zip(kept[1], kept[2], strict=True), maxlen=self.limit)
         out = []
         for item, us, kind in rows:
             if kind == "revoke":
@@ -179,14 +142,12 @@ class PendingQueue(InEventOrder):
             elif kind == "grant":
                 granted = True
                 out += [(i, t, us) for i, t in queue]
-                queue = []
+                queue.clear()
             elif granted:
                 out.append((item, us, us))
             else:
-                queue = [*queue, (item, us)][-self.limit :]
-        self.granted.update((granted,))
-        self.waiting.put(queue) if queue else self.waiting.clear()
-        return out
+                queue.append((item, us))
+        return (granted, [int(i) for i, _ in queue], [int(t) for _, t in queue]), out
 
 
 class Throttle(InEventOrder):
@@ -198,47 +159,37 @@ class Throttle(InEventOrder):
 
     more = {"phase": "string"}
     made = ["id", "sent_at_ms"]
+    kept = "sent bigint, phase string, id bigint, due bigint"
+    first = (None, None, None, None)
 
     def __init__(self, interval_ms: int, bucket_ms: int) -> None:
         super().__init__(bucket_ms)
         self.interval = interval_ms
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getValueState("sent", "at bigint, phase string")
-        self.pending = handle.getValueState("pending", "id bigint, due bigint")
+    def due(self, kept: tuple) -> int | None:
+        return kept[3]
 
-    def due(self) -> int | None:
-        return self.pending.get()[1] if self.pending.exists() else None
-
-    def take(self, rows: list[tuple]) -> list[tuple]:
-        last, phase = self.sent.get() if self.sent.exists() else (None, None)
-        waiting = tuple(self.pending.get()) if self.pending.exists() else None
+    def take(self, kept: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        last, phase, *waiting = kept
         out = []
         for item, us, now_phase in rows:
             now = us // 1000
-            if waiting and waiting[1] <= now:
-                out.append(waiting)
-                last, waiting = waiting[1], None
+            if waiting[1] is not None and waiting[1] <= now:
+                out.append(tuple(waiting))
+                last, waiting = waiting[1], [None, None]
             if now_phase != phase or now_phase == "finished" or now - last >= self.interval:
                 out.append((item, now))
-                last, phase, waiting = now, now_phase, None
+                last, phase, waiting = now, now_phase, [None, None]
             else:
-                waiting = (item, last + self.interval)
-        if last is not None:
-            self.sent.update((int(last), phase))
-        self.pending.update((int(waiting[0]), int(waiting[1]))) if waiting else self.pending.clear()
-        return out
+                waiting = [item, last + self.interval]
+        return (last, phase, *waiting), out
 
-    def settle(self, until: int) -> list[tuple]:
+    def settle(self, kept: tuple, until: int) -> tuple[tuple, list[tuple]]:
         """The value that waits, if its time has come and no row before that can change it."""
-        if not self.pending.exists():
-            return []
-        item, due = self.pending.get()
-        if due >= until:
-            return []
-        self.sent.update((int(due), self.sent.get()[1]))
-        self.pending.clear()
-        return [(int(item), int(due))]
+        _, phase, item, due = kept
+        if due is None or due >= until:
+            return kept, []
+        return (due, phase, None, None), [(item, due)]
 
 
 class Take(InEventOrder):
@@ -250,34 +201,36 @@ class Take(InEventOrder):
 
     more = {"opens": "boolean"}
     made = ["request_id", "open_id", "asked_at", "opened_at"]
+    kept = "id bigint, us bigint"
+    first = (None, None)
 
     def __init__(self, ttl_ms: int, bucket_ms: int) -> None:
         super().__init__(bucket_ms)
         self.ttl = 1000 * ttl_ms
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "id bigint, us bigint")
-
     def place(self, row: tuple) -> tuple:
         return row[1], row[2], row[0]
 
-    def take(self, rows: list[tuple]) -> list[tuple]:
-        latest = tuple(self.latest.get()) if self.latest.exists() else None
-        out = []
+    def take(self, kept: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        latest, out = kept, []
         for item, us, opens in rows:
             if not opens:
                 latest = (item, us)
-            elif latest is not None:
+            elif latest[0] is not None:
                 if us - latest[1] <= self.ttl:
                     out.append((latest[0], item, latest[1], us))
-                latest = None
-        self.latest.update(latest) if latest else self.latest.clear()
-        return out
+                latest = (None, None)
+        return latest, out
 
 
-def _run(rows: DataFrame, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
+def _run(rows: DataFrame, job: InEventOrder, schema: str, delay: str) -> DataFrame:
     ship_package()
-    return rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+    def call(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return job(key, frames, state)
+
+    keyed = rows.withWatermark("ts", delay).groupBy("key")
+    return keyed.applyInPandasWithState(call, schema, job.state_schema(), "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_generation_guard(updates: DataFrame, delay: str, bucket_ms: int = BUCKET_MS) -> DataFrame:

@@ -1,13 +1,14 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.streaming import jobs
 from gleanery.streaming.jobs import stream_once, stream_threads, thread_sessions
 from gleanery.streaming.run import drain, drain_to_end, event_stream
-from gleanery.streaming.stateful import stream_take, stream_throttle
+from gleanery.streaming.stateful import Throttle, stream_take, stream_throttle
 
 HOURS = 3600 * 1000
 DELAY = "60 days"
@@ -119,3 +120,35 @@ def test_take_of_the_latest_request(spark, tmp_path, per_trigger):
             if at - asked <= datetime.timedelta(seconds=20):
                 want.add((key, request, item))
     assert {(r.key, r.request_id, r.open_id) for r in got.collect()} == want and len(want) > 20
+
+
+class OneKey:
+    """State of one key as the engine hands it over."""
+
+    def __init__(self):
+        self.exists, self.hasTimedOut, self.now, self.wake = False, False, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.now
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.now
+        self.wake = at
+
+
+def test_many_buckets_are_one_call():
+    job, state, calls = Throttle(1000, 500), OneKey(), []
+    take = job.take
+    job.take = lambda kept, rows: (calls.append(len(rows)), take(kept, rows))[1]
+    us = [random.Random(3).randrange(0, 60_000_000) for _ in range(200)]
+    frame = pd.DataFrame({"id": range(200), "ts": pd.to_datetime(us, unit="us"), "phase": "running"})
+    got = [f for some in (frame[:90], frame[90:]) for f in job((7,), iter([some]), state)]
+    assert state.wake == min(us) // 500_000 * 500 + 500 and calls == [0, 0]
+    state.now, state.hasTimedOut = 70_000, True
+    got += list(job((7,), iter([]), state))
+    assert calls == [0, 0, 200] and state.get[0] == []
+    rows = [(7, i, t // 1000, "running") for i, t in enumerate(us)]
+    assert {tuple(r) for f in got for r in f.itertuples(index=False)} == brute(rows, 1000)
