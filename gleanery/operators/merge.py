@@ -18,16 +18,18 @@ def list_ranks(tokens: DataFrame) -> DataFrame:
     ``tokens``: ``head, token, next, weight``; ``head`` names the list, ``next``
     is NULL at its end.  Pointer jumping: each round a token takes over the sum
     and the pointer of the token it points to, so the distance doubles and a
-    row stays as long as it was.
+    row stays as long as it was.  A round has no more tasks than a shuffle has
+    partitions: what the driver keeps of them does not grow from round to round.
     """
+    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = tokens.groupBy("head").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    state = tokens.select("head", "token", "next", F.col("weight").alias("rest")).checkpoint()
+    state = tokens.select("head", "token", "next", F.col("weight").alias("rest")).coalesce(partitions).checkpoint()
     reach = 1
     while reach < sizes:
         # a token that has reached the end stays as it is; only the others look ahead
         ahead = state.select(F.col("token").alias("next"), F.col("next").alias("_next"), F.col("rest").alias("_rest"))
         moving = state.where("next IS NOT NULL").join(ahead, "next").select("head", "token", F.col("_next").alias("next"), (F.col("rest") + F.col("_rest")).alias("rest"))
-        state = moving.unionByName(state.where("next IS NULL")).checkpoint()
+        state = moving.unionByName(state.where("next IS NULL")).coalesce(partitions).checkpoint()
         reach *= 2
     totals = tokens.groupBy("head").agg(F.sum("weight").alias("_total"))
     return state.join(totals, "head").select("token", (F.col("_total") - F.col("rest")).alias("before"))

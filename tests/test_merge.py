@@ -1,6 +1,7 @@
 import random
 
-from gleanery.operators.merge import thread_merge
+from gleanery.operators.merge import list_ranks, thread_merge
+from gleanery.session import checkpoint_dir
 
 
 def brute(snapshots):
@@ -50,3 +51,22 @@ def test_random_snapshots(spark):
     for r in thread_merge(cells).orderBy("list_id", "position").collect():
         got.setdefault(r.list_id, []).append((r.id, r.handle, r.break_before))
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_rounds_of_ranking_keep_their_number_of_tasks(spark, monkeypatch):
+    rows = [("l", i, i + 1 if i < 299 else None, 1) for i in range(300)]
+    tokens = spark.createDataFrame(rows, "head string, token bigint, next bigint, weight bigint").repartition(4)
+    seen, checkpoint = [], type(tokens).checkpoint
+
+    def counted(self, *args, **more):
+        seen.append(checkpoint(self, *args, **more))
+        return seen[-1]
+
+    checkpoint_dir(spark)
+    monkeypatch.setattr(type(tokens), "checkpoint", counted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert {r.token: r.before for r in list_ranks(tokens).collect()} == {i: i for i in range(300)}
+        assert len(seen) == 10 and max(df.rdd.getNumPartitions() for df in seen) <= 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
