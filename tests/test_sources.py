@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from gleanery.sources.readers import parse_sidecars, read_assets, read_clip_library, read_sidecars
+from gleanery.sources.readers import parse_sidecars, read_assets, read_clip_library, read_sidecars, stream_captures
 from gleanery.sources.writers import sidecar_json, write_clips, write_library, write_sidecars
+from gleanery.streaming.run import drain
 
 
 def test_clip_library(spark, tmp_path):
@@ -57,3 +59,12 @@ def test_library_of_files(spark, tmp_path):
     assert {(r.path, r.id, r.title, r.body) for r in read_clip_library(spark, path).collect()} == {("a.md", "a", "é", "body"), ("b (2).md", None, None, "plain")}
     assert sorted((r.id, r["index"], r.ext, bytes(r.content)) for r in read_assets(spark, path).collect()) == sorted(tuple(r) for r in [("a", 1, "png", b"\x00\xff"), ("b", 1, "txt", b"t" * 100_000)])
     assert {p.name for p in (tmp_path / "lib").iterdir()} == {"a.md", "b (2).md", ".assets", ".index"}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streamed_table_is_a_file_or_a_folder(spark, folder, tmp_path, files):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    pages.repartition(files).write.parquet(str(tmp_path / "pages.parquet"))
+    for d in (folder, str(tmp_path)):
+        got = drain(stream_captures(spark, d).select("page_id", "url", "html"), "captures")
+        assert sorted(r.page_id for r in got.collect()) == sorted(r.page_id for r in pages.collect())
