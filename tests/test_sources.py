@@ -68,3 +68,13 @@ def test_streamed_table_is_a_file_or_a_folder(spark, folder, tmp_path, files):
     for d in (folder, str(tmp_path)):
         got = drain(stream_captures(spark, d).select("page_id", "url", "html"), "captures")
         assert sorted(r.page_id for r in got.collect()) == sorted(r.page_id for r in pages.collect())
+
+
+def test_the_driver_lists_no_files(spark, tmp_path):
+    path = str(tmp_path / "lib")
+    docs = spark.range(30).select(F.concat("id", F.lit(".md")).alias("file"), F.lit("d").alias("document"))
+    files = spark.range(30).select("id", F.lit(3).alias("index"), F.lit("txt").alias("ext"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    write_library(path, docs, files)
+    for df in (read_assets(spark, path), read_clip_library(spark, path)):
+        assert df.inputFiles() == [] and df.count() == 30
+    assert all(r.id == bytes(r.content).decode() and r["index"] == 3 for r in read_assets(spark, path).collect())
