@@ -100,12 +100,13 @@ def _left_before(blocks: DataFrame, total: int, kind: str) -> DataFrame:
 def admit_by_budget(items: DataFrame, per_item: float = ITEM_MAX_BYTES, total: float = TOTAL_MAX_BYTES, cut: int = BLOCK, block: Column | None = None) -> DataFrame:
     """Admit items ``(record, pos, size)`` in order while they fit the budget.
 
-    A rejected item uses nothing, so this is no running sum.  The items of a
-    record are cut into blocks of the order (``block``, by default ``cut``
-    positions; a short record is one): each is one row.  What is left before
-    each block comes from passing the blocks of a record in order, one at a
-    time and by halving (:func:`settled`), at eight bytes an item; every block
-    then decides its items by itself.  Sizes are whole billionths, so fractions
+    A rejected item uses nothing, so this is no running sum.  A record of at
+    most ``cut`` items is one row and has the whole budget.  The items of a
+    longer one are cut into blocks of the order (``block``, by default ``cut``
+    positions): each is one row.  What is left before each block comes from
+    passing the blocks of a record in order, one at a time and by halving
+    (:func:`settled`), at eight bytes an item; every block then decides its
+    items by itself.  Sizes are whole billionths, so fractions
     are exact; an item of no known size is not admitted.  A NULL record is one.
     """
     total = round(Decimal(str(total)) * STEPS)
@@ -114,10 +115,18 @@ def admit_by_budget(items: DataFrame, per_item: float = ITEM_MAX_BYTES, total: f
     amount = F.when(F.col("size") <= per_item, (F.col("size").try_cast("decimal(24,9)") * STEPS).cast(EXACT))
     fits_at_all = F.when(amount <= Decimal(total), amount.cast(kind))
     item = F.struct("pos", F.coalesce(fits_at_all, over).alias("amount"), F.col("size").cast("double").alias("size"))
-    lists = items.groupBy("record", (F.floor(F.col("pos") / cut) if block is None else block).alias("_block")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    lefts = _left_before(lists.select("record", "_block", F.transform("items", lambda i: i["amount"]).alias("amounts")), total, kind)
+    # one key for more than ``cut`` items: a broadcast, so that the items are shuffled once, into their lists
+    long = items.groupBy(F.col("record").alias("_r")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cut).select("_r")
+    dealt = items.join(F.broadcast(long), items["record"].eqNullSafe(long["_r"]), "left")
+    is_long = F.col("_r").isNotNull() | F.col("record").isNull()
+    number = F.when(is_long, F.floor(F.col("pos") / cut) if block is None else block)
+    lists = dealt.groupBy("record", is_long.alias("_long"), number.alias("_block")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    single = lists.where("NOT _long").select("record", "items", F.lit(Decimal(total)).cast(kind).alias("left"))
+    cuts = lists.where("_long")
+    lefts = _left_before(cuts.select("record", "_block", F.transform("items", lambda i: i["amount"]).alias("amounts")), total, kind)
     lefts = lefts.select(F.col("record").alias("_r"), F.col("_block").alias("_b"), "left")
-    begun = lists.join(lefts, lists["record"].eqNullSafe(lefts["_r"]) & lists["_block"].eqNullSafe(lefts["_b"]))
+    passed = cuts.join(lefts, cuts["record"].eqNullSafe(lefts["_r"]) & cuts["_block"].eqNullSafe(lefts["_b"]))
+    begun = single.unionByName(passed.select("record", "items", "left"))
     start = F.struct(F.col("left").alias("left"), F.array().cast("array<boolean>").alias("taken"))
 
     def step(acc: Column, i: Column) -> Column:

@@ -120,3 +120,18 @@ def test_settled_is_the_plain_rule():
         taken = brute(sizes, 10**9, left)
         got, rest = settled(np.array(sizes, np.int64), left)
         assert got.tolist() == taken and rest == left - sum(s for s, ok in zip(sizes, taken, strict=True) if ok)
+
+
+def test_only_long_records_pass_block_by_block(spark, monkeypatch):
+    """Positions far apart made every item of a short record a block of its own."""
+    from gleanery.operators import images
+
+    passed = []
+    left_before = images._left_before
+    monkeypatch.setattr(images, "_left_before", lambda blocks, *rest: passed.append(blocks) or left_before(blocks, *rest))
+    rng = random.Random(14)
+    sizes = {r: [rng.choice([1, 5, 17, 33, 60]) for _ in range(30 if r == 3 else 4)] for r in range(12)}
+    rows = [(r, pos * 10**9, size) for r, mine in sizes.items() for pos, size in enumerate(mine)]
+    got = admit_by_budget(spark.createDataFrame(rows, "record int, pos bigint, size int"), 40, 100, cut=8).collect()
+    assert {(r.record, r.pos // 10**9): r.admitted for r in got} == {(r, n): ok for r, mine in sizes.items() for n, ok in enumerate(brute(mine, 40, 100))}
+    assert {r.record for r in passed[0].collect()} == {3}
