@@ -57,14 +57,18 @@ def locate_clips(ids: DataFrame, *stores: DataFrame) -> DataFrame:
     """Each requested id from the first store that knows it.
 
     Stores are given in priority order and share their columns, with ``id``.
+    Requests and records of an id meet in one aggregate: one shuffle, and one
+    sort in a task at a time, where a join would sort both of its sides too.
     """
     columns = [c for c in stores[0].columns if c != "id"]
-    tagged = [s.select("id", F.struct(F.lit(i).alias("priority"), *columns).alias("hit")) for i, s in enumerate(stores)]
-    union = tagged[0]
-    for more in tagged[1:]:
-        union = union.unionByName(more)
-    wanted = union.join(ids.select("id").distinct(), "id", "left_semi")
-    return wanted.groupBy("id").agg(F.min("hit").alias("hit")).select("id", "hit.*")
+    union = None
+    for i, s in enumerate(stores):
+        tagged = s.select("id", F.struct(F.lit(i).alias("priority"), *columns).alias("hit"), F.lit(False).alias("asked"))
+        union = tagged if union is None else union.unionByName(tagged)
+    hit = union.schema["hit"].dataType
+    union = union.unionByName(ids.select("id", F.lit(None).cast(hit).alias("hit"), F.lit(True).alias("asked")))
+    found = union.where("id IS NOT NULL").groupBy("id").agg(F.min("hit").alias("hit"), F.max("asked").alias("asked"))
+    return found.where("asked AND hit IS NOT NULL").select("id", "hit.*")
 
 
 def pending_minus_done(queue: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -79,3 +79,15 @@ def test_blocks_of_a_burst_are_even(spark):
         sizes[b] = sizes.get(b, 0) + 1
     assert len(sizes) > 60 and max(sizes.values()) < 200
     assert {r.b for r in got.where("k = 'small'").collect()} == {0} and got.where("k = 'same'").select("b").distinct().count() == 1
+
+
+def test_located_clips_need_no_join(spark):
+    """The join held sorts of both sides in one task beside the aggregate's own."""
+    from gleanery.operators.stores import locate_clips
+
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("x",)], "id string")
+    first = spark.createDataFrame([("b", 1), ("c", 2), (None, 3)], "id string, n int")
+    second = spark.createDataFrame([("a", 5), ("b", 6), ("a", 4)], "id string, n int")
+    found = locate_clips(ids, first, second)
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 4), ("b", 0, 1)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
