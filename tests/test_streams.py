@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery import catalog
+from gleanery.session import names_in
 from gleanery.streaming import jobs
 from gleanery.streaming.jobs import stream_once, stream_threads, thread_sessions
 from gleanery.streaming.run import drain, drain_to_end, event_stream
@@ -65,6 +67,21 @@ def test_threads_lose_nothing(spark, folder, shuffled, per_trigger):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_an_arrival_is_several_files(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    monkeypatch.setattr(catalog, "FILE_ROWS", 500)
+    catalog._arrivals.cache_clear()
+    try:
+        path, files, _ = catalog._arrivals(spark.sparkContext.applicationId, d)
+        assert files == 3 and len(names_in(path)) == 8 * files + 1  # _SUCCESS
+        got = catalog.QUERIES["st3_stream_threads"](spark, d)
+    finally:
+        catalog._arrivals.cache_clear()
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    want = thread_sessions(events, "6 hours", max_posts=3, max_time=36000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_once_keeps_late_rows(spark, folder, shuffled):
     twice = keyed(spark, shuffled, 1).select(F.explode(F.array("id", "id")).alias("op_id"), "ts")
     got = [r.op_id for r in drain(stream_once(twice, DELAY), "once").collect()]
