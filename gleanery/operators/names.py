@@ -96,30 +96,40 @@ def unique_names(clips: DataFrame, existing: DataFrame, ext: str = ".md", cut: i
     """
     checkpoint_dir(clips.sparkSession)
     block = F.floor(F.col("seq") / cut)
-    items = clips.select("id", "seq", "base", name_key(F.col("base")).alias("key"))
-    bases = items.groupBy("key").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n")).withColumn("depth", _depth(F.col("key")))
+    # names are compared once per different title; from there a key is a number
+    seq_type, id_type = clips.schema["seq"].dataType, clips.schema["id"].dataType
+    titles = clips.groupBy("base").agg(F.min("seq").alias("first_seq")).withColumn("key", name_key(F.col("base"))).checkpoint()
+    bases = (
+        titles.groupBy("key").agg(F.min("first_seq").alias("first_seq"))
+        .select("first_seq", "key", F.monotonically_increasing_id().alias("no"), _depth(F.col("key")).alias("depth")).checkpoint()
+    )
+    numbered = titles.join(bases.select("key", "no"), "key").select("base", "no").checkpoint()
+    items = clips.select("id", "seq", "base").join(numbered, "base")
     taken = existing.where(F.endswith("file", F.lit(ext))).select(
         name_key(F.regexp_replace("file", rf"{ext.replace('.', chr(92) + '.')}\z", "")).alias("key")
     ).distinct()
 
     # numbers of a base that somebody else may hold: (key, k, since)
     named = _parent(F.col("key"))
-    held = taken.withColumn("s", named).where("s IS NOT NULL").select(name_key(F.col("s.p")).alias("key"), F.col("s.k").alias("k"), F.lit(None).cast("bigint").alias("since"))
-    plain = taken.select("key", F.lit(1).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("since"))
-    rival = bases.withColumn("s", named).where("s IS NOT NULL").select(name_key(F.col("s.p")).alias("key"), F.col("s.k").alias("k"), F.col("first_seq").cast("bigint").alias("since"))
+    held = taken.withColumn("s", named).where("s IS NOT NULL").select(name_key(F.col("s.p")).alias("key"), F.col("s.k").alias("k"), F.lit(None).cast(seq_type).alias("since"))
+    plain = taken.select("key", F.lit(1).cast("bigint").alias("k"), F.lit(None).cast(seq_type).alias("since"))
+    parents = bases.select(F.col("no").alias("child"), "depth", F.col("first_seq").alias("since"), named.alias("s")).where("s IS NOT NULL")
+    rivals_of = parents.select(name_key(F.col("s.p")).alias("key"), F.col("s.k").alias("k"), "since", "child", "depth").join(bases.select("key", "no"), "key").drop("key").checkpoint()
     contested = (
-        held.unionByName(plain).unionByName(rival)
-        .groupBy("key", "k")
+        held.unionByName(plain).join(bases.select("key", "no"), "key").drop("key").unionByName(rivals_of.select("no", "k", "since"))
+        .groupBy("no", "k")
         .agg(F.when(F.count("since") == F.count("*"), F.min("since")).alias("since"))
-        .join(bases.select("key"), "key", "left_semi")
-    )
-    # how many records of the base arrived before the rival did
-    marks = contested.where("since IS NOT NULL").select("key", F.col("since").alias("seq"), "k", F.lit(0).alias("one"))
+    ).checkpoint()
+    # how many records of the base arrived before the rival did, and before each record
+    marks = contested.where("since IS NOT NULL").select(
+        F.lit(None).cast(id_type).alias("id"), F.col("since").alias("seq"), F.lit(None).cast("string").alias("base"), "no", "k", F.lit(0).alias("one")
+    )
     counted = sum_before(
-        items.select("key", F.col("seq").cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("k"), F.lit(1).alias("one")).unionByName(marks),
-        ["key"], ["seq"], block, F.col("one"), "before",
-    ).where("k IS NOT NULL").select("key", "k", "before")
-    obstacles = contested.join(counted, ["key", "k"], "left").select("key", "k", F.coalesce("before", F.lit(_ALWAYS)).cast("bigint").alias("before"))
+        items.select("id", "seq", "base", "no", F.lit(None).cast("bigint").alias("k"), F.lit(1).alias("one")).unionByName(marks),
+        ["no"], ["seq"], block, F.col("one"), "before",
+    ).select("id", "base", "no", "k", "before").checkpoint()
+    since = counted.where("k IS NOT NULL").select("no", "k", "before")
+    obstacles = contested.join(since, ["no", "k"], "left").select("no", "k", F.coalesce("before", F.lit(_ALWAYS)).cast("bigint").alias("before"))
     obstacles = obstacles.checkpoint()
 
     none = F.array().cast("array<bigint>")
@@ -138,39 +148,41 @@ def unique_names(clips: DataFrame, existing: DataFrame, ext: str = ".md", cut: i
         what is folded per base is the titles of this batch it competes with.
         """
         always = F.col("before") == _ALWAYS
-        shifted = sum_before(rows, ["key"], ["k"], F.floor(F.col("k") / cut), F.when(always, 1).otherwise(0), "fixed")
-        contest = shifted.where(~always).select("key", "k", (F.col("k") - F.col("fixed") - F.col("before")).alias("limit"))
-        placed = rank_in_key(contest, ["key"], ["k"], F.floor(F.col("k") / cut), "n").join(bases.select("key", F.col("first_seq").cast("bigint").alias("base")), "key")
-        lists = placed.groupBy("base", F.floor((F.col("n") - 1) / rivals).alias("block")).agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.struct("k", "limit"))).alias("o"))
+        shifted = sum_before(rows, ["no"], ["k"], F.floor(F.col("k") / cut), F.when(always, 1).otherwise(0), "fixed")
+        contest = shifted.where(~always).select("no", "k", (F.col("k") - F.col("fixed") - F.col("before")).alias("limit"))
+        placed = rank_in_key(contest, ["no"], ["k"], F.floor(F.col("k") / cut), "n")
+        lists = placed.groupBy(F.col("no").alias("base"), F.floor((F.col("n") - 1) / rivals).alias("block")).agg(F.array_sort(F.collect_list(F.struct("k", "limit"))).alias("o"))
         lists = lists.checkpoint()
         starts = skipped_before(lists.select("base", "block", skip_steps(F.transform("o", lambda o: o["limit"])).alias("steps")))
         begun = lists.join(starts, ["base", "block"]).withColumn("start", F.struct(F.col("skipped").alias("s"), none.alias("skipped")))
-        lost = begun.select("key", F.explode(F.aggregate("o", F.col("start"), step)["skipped"]).alias("k"))
-        return lost.unionByName(rows.where(always).select("key", "k"))
+        lost = begun.select(F.col("base").alias("no"), F.explode(F.aggregate("o", F.col("start"), step)["skipped"]).alias("k"))
+        return lost.unionByName(rows.where(always).select("no", "k"))
 
     # a title ``p (k)`` finds its own name gone when p reached number k first
     deepest = bases.agg(F.max("depth")).first()[0] or 0
     skipped = None
     for depth in range(deepest + 1):
-        level = bases.where(F.col("depth") == depth)
-        rows = obstacles.join(level.select("key"), "key", "left_semi")
+        rows = obstacles.join(bases.where(F.col("depth") == depth).select("no"), "no", "left_semi")
         if depth:
-            child = level.withColumn("s", named).select("key", name_key(F.col("s.p")).alias("parent"), F.col("s.k").alias("k"))
-            lost = child.join(obstacles.where(F.col("before") != _ALWAYS).select(F.col("key").alias("parent"), "k"), ["parent", "k"])
-            lost = lost.join(skipped.select(F.col("key").alias("parent"), "k"), ["parent", "k"], "left_anti")
-            own = lost.select("key", F.lit(1).cast("bigint").alias("k"), F.lit(_ALWAYS).cast("bigint").alias("before"))
-            rows = rows.unionByName(own).dropDuplicates(["key", "k"])
+            child = rivals_of.where(F.col("depth") == depth).select("child", "no", "k")
+            lost = child.join(obstacles.where(F.col("before") != _ALWAYS).select("no", "k"), ["no", "k"])
+            lost = lost.join(skipped, ["no", "k"], "left_anti")
+            own = lost.select(F.col("child").alias("no"), F.lit(1).cast("bigint").alias("k"), F.lit(_ALWAYS).cast("bigint").alias("before"))
+            rows = rows.unionByName(own).dropDuplicates(["no", "k"])
         solved = solve(rows).checkpoint()
         skipped = solved if skipped is None else skipped.unionByName(solved)
 
     # the r-th free number is r plus the skipped ones below it
-    ordered = rank_in_key(items, ["key"], ["seq"], block, "r")
-    gaps = rank_in_key(skipped, ["key"], ["k"], F.floor(F.col("k") / cut), "j").select(
-        "key", (F.col("k") - F.col("j")).alias("r"), F.lit(0).alias("late"), F.col("k").alias("tie"), F.lit(1).alias("one"), F.lit(None).cast(items.schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("base")
-    )
+    ordered = counted.where("k IS NULL").select("id", "base", "no", (F.col("before") + 1).alias("r"))
+    gaps = rank_in_key(skipped, ["no"], ["k"], F.floor(F.col("k") / cut), "j").select("no", (F.col("k") - F.col("j")).alias("r"), F.col("k").alias("tie")).checkpoint()
+    ends = gaps.groupBy("no").agg(F.max("r").alias("last"), F.count("*").alias("gaps"))
+    # above the last gap of its key a record has them all below it
+    met = ordered.join(ends, "no", "left").withColumn("beyond", F.coalesce(F.col("r") > F.col("last"), F.lit(True)))
+    above = met.where("beyond").select("id", "base", (F.col("r") + F.coalesce("gaps", F.lit(0))).alias("number"))
     # a gap counts for ranks above its own: order it after the record of equal rank
-    ranked = ordered.select("key", F.col("r").cast("bigint").alias("r"), F.lit(-1).alias("late"), F.lit(0).cast("bigint").alias("tie"), F.lit(0).alias("one"), "id", "base")
-    shifted = sum_before(ranked.unionByName(gaps), ["key"], ["r", "late", "tie"], F.floor(F.col("r") / cut), F.col("one"), "shift")
-    number = F.col("r") + F.col("shift")
-    named_file = F.when(number == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), number.cast("string"), F.lit(")")))
-    return shifted.where("one = 0").select("id", F.concat(named_file, F.lit(ext)).alias("file"))
+    ranked = met.where("NOT beyond").select("no", "r", F.lit(-1).alias("late"), F.lit(0).cast("bigint").alias("tie"), F.lit(0).alias("one"), "id", "base")
+    between = gaps.select("no", "r", F.lit(0).alias("late"), "tie", F.lit(1).alias("one"), F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("string").alias("base"))
+    shifted = sum_before(ranked.unionByName(between), ["no"], ["r", "late", "tie"], F.floor(F.col("r") / cut), F.col("one"), "shift")
+    below = shifted.where("one = 0").select("id", "base", (F.col("r") + F.col("shift")).alias("number"))
+    named_file = F.when(F.col("number") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), F.col("number").cast("string"), F.lit(")")))
+    return above.unionByName(below).select("id", F.concat(named_file, F.lit(ext)).alias("file"))

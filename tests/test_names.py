@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -53,6 +54,18 @@ def test_many_rivals_in_blocks(spark):
         assert run(spark, bases, existing, cut=50, rivals=rivals) == brute(bases, existing)
 
 
+def test_names_are_compared_once_per_title(spark):
+    bases = ["Ä", "ä", "a\u0308", "ä (3)", "Ä", "b", "ä", "B (2)", "b", "ä", "b"] + ["ä", "B"] * 20
+    existing = ["Ä (2).md", "b (7).md"]
+    clips = spark.createDataFrame([(i, i, b) for i, b in enumerate(bases)], "id bigint, seq bigint, base string")
+    got = unique_names(clips, spark.createDataFrame([(e,) for e in existing], "file string"), cut=5)
+    # records meet by number, not by comparing their names
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collate" not in plan.lower() and "UNICODE" not in plan
+    want = brute([unicodedata.normalize("NFC", b) for b in bases], existing)
+    assert [unicodedata.normalize("NFC", r.file) for r in got.orderBy("id").collect()] == want
+
+
 def test_steps_of_a_block(spark):
     rng = random.Random(5)
     cases = [[rng.randrange(-3, 12) for _ in range(rng.randrange(0, 14))] for _ in range(60)]
