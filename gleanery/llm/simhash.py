@@ -151,7 +151,7 @@ def linked_in_blocks(members: DataFrame, *, max_bits: int, block: int = BLOCK) -
     ship()
     per = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     most = per.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("_most"), F.sum("n").alias("_all"), F.max("n").alias("_main"))
-    rows = members.join(most, "key").withColumn("seeks", F.col("label") != F.col("_most"))
+    rows = members.join(most.hint("merge"), "key").withColumn("seeks", F.col("label") != F.col("_most"))
     mains, seekers = F.ceil(F.col("_main") / block), F.ceil((F.col("_all") - F.col("_main")) / block)
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("print", "key"), F.when(F.col("seeks"), seekers).otherwise(mains)))
 
@@ -197,11 +197,13 @@ def print_labels(prints: DataFrame, *, max_bits: int = MAX_BITS, shared: int = S
     """``node, label`` of every print (column ``print``, distinct) that links to a smaller one; None if none does.
 
     Each posting list is first compared with its smallest print, then what lies
-    in different groups of one list in blocks.
+    in different groups of one list in blocks.  Joins of lists say that they
+    sort and merge: the planner takes postings to be no more bytes than the
+    prints they come from, and a file of them to be as small in memory.
     """
     index = postings(prints, max_bits, shared)
     lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("print").alias("pivot")).filter("_n > 1").drop("_n")
-    members = written(index.join(lists, "key"), "posting-lists")
+    members = written(index.join(lists.hint("merge"), "key"), "posting-lists")
     links = members.filter(F.col("print") != F.col("pivot")).filter(near("print", "pivot", max_bits)).select(F.col("print").alias("a"), F.col("pivot").alias("b")).distinct()
     links = written(links, "links")
     labels = None if links.isEmpty() else components(links)

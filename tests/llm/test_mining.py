@@ -221,3 +221,22 @@ def test_links_of_prints(spark, bits, shared, block):
     for p in prints:
         want[group[p]].append(int(np.uint64(p).view(np.int64)))
     assert {p: got.get(p, p) for p in signed} == {p: min(v) for v in want.values() for p in v}
+
+
+def test_posting_lists_are_not_broadcast(spark, monkeypatch):
+    """Postings are 35 rows a print, which the planner does not see: a small table of prints must not have them sent to the driver."""
+    plans, written = {}, simhash.written
+
+    def kept(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", kept)
+    r = random.Random(5)
+    base = [r.getrandbits(63) for _ in range(20)]
+    prints = written(spark.createDataFrame([(p,) for b in base for p in {b, b ^ 1, b ^ 5 << 40, b ^ 21 << 8}], "print long"), "prints")
+    labels = simhash.print_labels(prints)
+    assert labels.count() == 60
+    assert "Broadcast" not in plans["posting-lists"]
+    members = written(spark.createDataFrame([(1, p, p % 3) for p in base], "key long, print long, label long"), "members")
+    assert "Broadcast" not in simhash.linked_in_blocks(members, max_bits=3)._jdf.queryExecution().sparkPlan().toString()
