@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.plans.ordered import last_before, next_row
-from gleanery.session import checkpoint_dir
+from gleanery.session import checkpoint_dir, scratch_path, ship_package
 
 #: Places of a run, or siblings, that are numbered in one task.
 BLOCK = 4096
+#: Tokens of linked lists, about, whose links are followed in one task.
+LINKED = 1 << 17
 
 
 def list_ranks(tokens: DataFrame) -> DataFrame:
@@ -20,6 +25,8 @@ def list_ranks(tokens: DataFrame) -> DataFrame:
     and the pointer of the token it points to, so the distance doubles and a
     row stays as long as it was.  A round has no more tasks than a shuffle has
     partitions: what the driver keeps of them does not grow from round to round.
+    Tokens and those that point to them meet in a window, not in a join: a
+    join's estimated size is a product, a number of twice the digits each round.
     """
     partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = tokens.groupBy("head").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -27,14 +34,72 @@ def list_ranks(tokens: DataFrame) -> DataFrame:
     reach = 1
     while reach < sizes:
         # a token that has reached the end stays as it is; only the others look ahead
-        ahead = state.select(F.col("token").alias("next"), F.col("next").alias("_next"), F.col("rest").alias("_rest"))
-        moving = state.where("next IS NOT NULL").join(ahead, "next").select("head", "token", F.col("_next").alias("next"), (F.col("rest") + F.col("_rest")).alias("rest"))
+        asks = state.where("next IS NOT NULL").select("head", "token", F.col("next").alias("_key"), F.col("rest").alias("_own"), *(F.lit(None).cast(state.schema[c].dataType).alias(c) for c in ("next", "rest")))
+        answers = state.select(*(F.lit(None).cast(state.schema[c].dataType).alias(c) for c in ("head", "token")), F.col("token").alias("_key"), F.lit(None).cast("bigint").alias("_own"), "next", "rest")
+        met = Window.partitionBy("_key")
+        ahead = asks.unionByName(answers).withColumns({c: F.max(c).over(met) for c in ("next", "rest")})
+        moving = ahead.where("_own IS NOT NULL").select("head", "token", "next", (F.col("rest") + F.col("_own")).alias("rest"))
         state = moving.unionByName(state.where("next IS NULL")).coalesce(partitions).checkpoint()
         reach *= 2
     totals = tokens.groupBy("head").agg(F.sum("weight").alias("_total"))
     return state.join(totals, "head").select("token", (F.col("_total") - F.col("rest")).alias("before"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _pieces(links: pa.Table) -> pa.Table:
+    """The pieces of lists that links within one block make: per token the piece's first token and the weight before it there.
+
+    The first token also has what the piece is as a whole: its ``head``, the
+    token that follows it in another block, and its weight.
+    """
+    at = links.column("at").to_numpy()
+    n, base, order = len(at), at.min(), np.argsort(at)
+    to, weight = links.column("to").fill_null(-1).to_numpy()[order], links.column("weight").to_numpy()[order]
+    own = np.arange(n)
+    inside = (to >= base) & (to < base + n)
+    first, before = own.copy(), np.zeros(n, np.int64)
+    first[to[inside] - base] = own[inside]
+    before[to[inside] - base] = weight[inside]
+    for _ in range(n.bit_length()):  # each round looks twice as far back
+        before += before[first]
+        first = first[first]
+    last = own[~inside]
+    follows, whole = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    follows[first[last]], whole[first[last]] = to[last], before[last] + weight[last]
+    none = first != own
+    heads = pc.if_else(pa.array(none), pa.scalar(None, links.schema.field("head").type), links.column("head").combine_chunks().take(pa.array(order)))
+    columns = [pa.array(base + own), pa.array(base + first), pa.array(before), heads, pa.array(follows, mask=none | (follows < 0)), pa.array(whole, mask=none)]
+    return pa.Table.from_arrays(columns, ["at", "piece", "offset", "head", "next", "weight"])
+
+
+def with_ranks(tokens: DataFrame, linked: int = LINKED) -> DataFrame:
+    """``tokens`` of linked lists with ``before``, the summed weight of what precedes each in its list.
+
+    As :func:`list_ranks`, with other columns kept, and less for it to do:
+    tokens are numbered in their order and cut into blocks, in which a task
+    follows all links.  What is left is a list of pieces.  Where neighbours of
+    a list are near in the order of tokens, there are few; where they are not,
+    there are as many as tokens, and the result is the same.
+    """
+    ship_package()
+    blocks = -(-tokens.count() // linked) or 1
+    numbered = _kept(tokens.repartitionByRange(blocks, "token").sortWithinPartitions("token").withColumn("_at", F.monotonically_increasing_id()), "numbered-tokens")
+    link = ["head", F.col("_at").alias("at"), "weight"]
+    targets = numbered.select(F.col("token").alias("next"), F.col("_at").alias("to")).hint("merge")
+    links = numbered.where("next IS NOT NULL").select(*link, "next").join(targets, "next").drop("next").unionByName(numbered.where("next IS NULL").select(*link, F.lit(None).cast("bigint").alias("to")))
+    schema = f"at bigint, piece bigint, offset bigint, head {numbered.schema['head'].dataType.simpleString()}, next bigint, weight bigint"
+    pieces = _kept(links.withColumn("weight", F.col("weight").cast("bigint")).groupBy(F.shiftright("at", 33).alias("block")).applyInArrow(_pieces, schema), "pieces")
+    ranks = list_ranks(pieces.where("at = piece").select("head", F.col("piece").alias("token"), "next", "weight"))
+    placed = pieces.select("at", "piece", "offset").join(ranks.select(F.col("token").alias("piece"), F.col("before").alias("_before")).hint("merge"), "piece")
+    placed = placed.select(F.col("at").alias("_at"), (F.col("_before") + F.col("offset")).alias("before"))
+    return numbered.join(placed.hint("merge"), "_at").drop("_at")
+
+
 def thread_merge(cells: DataFrame) -> DataFrame:
     """Posts of each list in merged order, with their latest state.
 
@@ -49,7 +114,7 @@ def thread_merge(cells: DataFrame) -> DataFrame:
     snapshots nearer to it, and then those that precede the next post, earlier
     snapshots first.  The tour of this tree is a linked list with two rows per
     run: its posts up to the first run that hangs in it, and its parent's posts
-    after it.  :func:`list_ranks` counts the posts before each such stretch.
+    after it.  :func:`with_ranks` counts the posts before each such stretch.
     Rows are of constant size, however deep the tree is, and no list is in one
     task.
     """
@@ -60,7 +125,7 @@ def thread_merge(cells: DataFrame) -> DataFrame:
     is_post = F.col("kind") == "post"
 
     firsts = cells.where(is_post).groupBy("list_id", "id").agg(F.min(at).alias("_first"))
-    placed = cells.join(firsts, ["list_id", "id"], "left").withColumns(
+    placed = cells.join(firsts.hint("merge"), ["list_id", "id"], "left").withColumns(
         {
             "_new": F.coalesce(F.col("_first") == at, F.lit(False)),
             "_known": is_post & (F.col("_first.snapshot_no") < F.col("snapshot_no")),
@@ -82,9 +147,7 @@ def thread_merge(cells: DataFrame) -> DataFrame:
     items = items.checkpoint()
 
     runs = _hung(items)
-    tokens = _tour(runs).checkpoint()
-    ranks = list_ranks(tokens.select("head", "token", "next", "weight"))
-    stretches = tokens.join(ranks, "token").select("run", "cut", "side", "nth", "before")
+    stretches = with_ranks(_kept(_tour(runs), "tokens")).select("run", "cut", "side", "nth", "before")
     # the stretch a post is in is the last one that starts before it
     none = F.lit(None).cast("bigint")
     rows = items.select("list_id", "run", "id", "offset", F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("nth"), none.alias("from"))
@@ -114,7 +177,7 @@ def _hung(items: DataFrame) -> DataFrame:
     anchors = items.select("list_id", F.col("id").alias("anchor"), F.col("run").alias("parent"), F.col("offset").alias("hook"))
     snap = F.col("run.snapshot_no").cast("bigint")
     follows = F.col("follows") & F.col("parent").isNotNull()
-    return sizes.join(anchors, ["list_id", "anchor"], "left").select(
+    return sizes.join(anchors.hint("merge"), ["list_id", "anchor"], "left").select(
         "run",
         "size",
         "parent",

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from gleanery.operators import merge
 from gleanery.operators.merge import list_ranks, thread_merge
 from gleanery.session import checkpoint_dir
 
@@ -70,3 +73,41 @@ def test_rounds_of_ranking_keep_their_number_of_tasks(spark, monkeypatch):
         assert len(seen) == 10 and max(df.rdd.getNumPartitions() for df in seen) <= 4
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_estimates_of_ranking_stay_short(spark, monkeypatch):
+    """An estimated size that squares from round to round fills the driver: 22 rounds make it a number of some 100 MB."""
+    rows = [("l", i, i + 1 if i < 99 else None, 1) for i in range(100)]
+    tokens = spark.createDataFrame(rows, "head string, token bigint, next bigint, weight bigint")
+    bits, checkpoint = [], type(tokens).checkpoint
+
+    def sized(self, *args, **more):
+        out = checkpoint(self, *args, **more)
+        bits.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return out
+
+    checkpoint_dir(spark)
+    monkeypatch.setattr(type(tokens), "checkpoint", sized)
+    assert {r.token: r.before for r in list_ranks(tokens).collect()} == {i: i for i in range(100)}
+    assert len(bits) == 8 and bits[-1] - bits[0] < 40
+
+
+@pytest.mark.parametrize(("linked", "near"), [(7, True), (40, False), (1000, False)])
+def test_ranks_by_blocks_of_links(spark, monkeypatch, linked, near):
+    """Few tokens are left to the rounds where neighbours are near each other, and all get their rank where they are not."""
+    rng, rows, want, free = random.Random(3), [], {}, list(range(400))
+    if not near:
+        rng.shuffle(free)
+    for case, size in enumerate([1, 2, 150, 17, 230]):
+        ids, free = free[:size], free[size:]
+        weights = [rng.randrange(4) for _ in ids]
+        rows += [(f"l{case}", (i, "é"), (j, "é") if j is not None else None, w, f"also {i}") for i, j, w in zip(ids, [*ids[1:], None], weights, strict=True)]
+        want |= {i: (sum(weights[:k]), f"also {i}") for k, i in enumerate(ids)}
+    rng.shuffle(rows)
+    pair = "struct<n: bigint, s: string>"
+    tokens = spark.createDataFrame(rows, f"head string, token {pair}, next {pair}, weight int, also string").repartition(3)
+    left = []
+    monkeypatch.setattr(merge, "list_ranks", lambda t: left.append(t.count()) or list_ranks(t))
+    checkpoint_dir(spark)
+    assert {r.token.n: (r.before, r.also) for r in merge.with_ranks(tokens, linked).collect()} == want
+    assert left[0] < 400 and (not near or left[0] < 100) and (linked < 400 or left[0] == 5)
