@@ -35,8 +35,10 @@ def write_clips(path: str, batch: str, attachments: DataFrame | None, documents:
 def write_files(files: DataFrame, root: str) -> None:
     """Each row ``file, content`` (binary) as a file below ``root``, on any file system that pyarrow opens.
 
-    Tasks write beside the place and then move there, so a reader never sees
-    half a file and a task that runs again ends in the same state.
+    Tasks write into a hidden folder of their own and then move a file to its
+    place, so a reader never sees half a file, a task that runs again ends in
+    the same state, and tasks do not wait for each other to create files in one
+    folder.
     """
     ship_package()
 
@@ -44,21 +46,27 @@ def write_files(files: DataFrame, root: str) -> None:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root)
-        made = set()
-        for batch in batches:
-            names, contents = batch.column("file").to_pylist(), batch.column("content").to_pylist()
-            for name, content in zip(names, contents, strict=True):
-                folder, _, last = f"{base}/{name}".rpartition("/")
-                if folder not in made:
-                    system.create_dir(folder, recursive=True)
-                    made.add(folder)
-                beside = f"{folder}/.{last}.{uuid.uuid4().hex}"
-                with system.open_output_stream(beside, compression=None) as out:
-                    out.write(content)
-                if system.get_file_info(f"{folder}/{last}").type != fs.FileType.NotFound:
-                    system.delete_file(f"{folder}/{last}")
-                system.move(beside, f"{folder}/{last}")
-            yield pa.RecordBatch.from_arrays([batch.column("file")], ["file"])
+        own, made = f"{base}/.{uuid.uuid4().hex}", set()
+        try:
+            for batch in batches:
+                names, contents = batch.column("file").to_pylist(), batch.column("content").to_pylist()
+                for name, content in zip(names, contents, strict=True):
+                    if not made:
+                        system.create_dir(own, recursive=True)
+                    folder, _, last = f"{base}/{name}".rpartition("/")
+                    if folder not in made:
+                        above = folder.rpartition("/")[0]
+                        system.create_dir(folder, recursive=above not in made)
+                        made |= {folder, above}
+                    with system.open_output_stream(f"{own}/next", compression=None) as out:
+                        out.write(content)
+                    if system.get_file_info(f"{folder}/{last}").type != fs.FileType.NotFound:
+                        system.delete_file(f"{folder}/{last}")
+                    system.move(f"{own}/next", f"{folder}/{last}")
+                yield pa.RecordBatch.from_arrays([batch.column("file")], ["file"])
+        finally:
+            if made:
+                system.delete_dir(own)
 
     files.select("file", "content").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
 

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.catalog import QUERIES
 from gleanery.sources.readers import parse_sidecars, read_assets, read_clip_library, read_sidecars, stream_captures
 from gleanery.sources.writers import sidecar_json, write_clips, write_library, write_sidecars
 from gleanery.streaming.run import drain
@@ -78,3 +79,20 @@ def test_the_driver_lists_no_files(spark, tmp_path):
     for df in (read_assets(spark, path), read_clip_library(spark, path)):
         assert df.inputFiles() == [] and df.count() == 30
     assert all(r.id == bytes(r.content).decode() and r["index"] == 3 for r in read_assets(spark, path).collect())
+
+
+def test_files_that_were_read_back_are_not_broadcast(spark, folder):
+    """The planner takes what tasks list and read for a row, however large the library is."""
+    back = QUERIES["s4_write_clips"](spark, folder)
+    assert "Broadcast" not in back._jdf.queryExecution().sparkPlan().toString()
+    assert back.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_a_task_that_fails_leaves_nothing_hidden(spark, tmp_path):
+    path = tmp_path / "lib"
+    (path / "b.md").mkdir(parents=True)
+    (path / "b.md" / "x").touch()
+    docs = spark.createDataFrame([("a.md", "d"), ("b.md", "d")], "file string, document string").coalesce(1)
+    with pytest.raises(Exception, match="b.md"):
+        write_library(str(path), docs)
+    assert {p.name for p in path.iterdir()} == {"a.md", "b.md"}
